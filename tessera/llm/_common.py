@@ -51,11 +51,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Cap Arrow batches by bytes as well as rows, so that a run of very long
     texts can't outgrow a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        now = int(spark.conf.get(key, "0") or 0)
-    except ValueError:
-        now = 0
-    if not 0 < now <= BATCH_BYTES:
+    now = str(spark.conf.get(key, None) or "")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, exact_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNTED = "byte_bpe_50k.json"
@@ -25,9 +25,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED), limit=1024)
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("tag")
+
+
 QUERIES = {
+    "op9_exact_dedup": op9_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+}

@@ -1,14 +1,18 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+ROOT = str(Path(__file__).resolve().parents[2])
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")
 def spark():
+    from pyspark.sql import SparkSession
+
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
