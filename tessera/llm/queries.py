@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, simhash, substring_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNTED = "byte_bpe_50k.json"
@@ -29,7 +29,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("tag")
 
 
+def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), columns=["doc_id"], digest=True)
+
+
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_simhash_golay": op3_simhash_golay,
     "op9_exact_dedup": op9_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op10_token_counts": op10_token_counts,
