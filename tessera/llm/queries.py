@@ -6,8 +6,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, substring_dedup
+from . import bpe, exact_dedup, kneser_ney, quality, simhash, substring_dedup
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNTED = "byte_bpe_50k.json"
@@ -37,7 +38,26 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), columns=["doc_id"], digest=True)
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Fitted on labels outside the held-out third."""
+    return quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.crc_of(F.col("doc_id")) % 3 != 1)
+
+
+def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(spark, sf_dir), columns=["doc_id"])
+    return scored.select("doc_id", (quality.crc_of(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.crc_of(F.col("doc_id")) % 7 == 2
+    return kneser_ney.score(docs, kneser_ney.train(docs, ~held_out), held_out)
+
+
 QUERIES = {
+    "op7_quality_nbsvm": op7_quality_nbsvm,
+    "op8_kneser_ney": op8_kneser_ney,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_golay": op3_simhash_golay,
     "op9_exact_dedup": op9_exact_dedup,
