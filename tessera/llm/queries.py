@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, kneser_ney, quality, simhash, substring_dedup
+from . import bpe, exact_dedup, kneser_ney, quality, simhash, substring_dedup, webp
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNTED = "byte_bpe_50k.json"
@@ -55,7 +55,12 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, kneser_ney.train(docs, ~held_out), held_out)
 
 
+def op1_webp_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.read_payloads(webp.store_payloads(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_webp_lossless": op1_webp_lossless,
     "op7_quality_nbsvm": op7_quality_nbsvm,
     "op8_kneser_ney": op8_kneser_ney,
     "op2_substring_dedup": op2_substring_dedup,
