@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, kneser_ney, quality, simhash, substring_dedup, webp
+from . import bpe, exact_dedup, kneser_ney, mixing, quality, simhash, substring_dedup, tool_calls, webp
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNTED = "byte_bpe_50k.json"
@@ -59,7 +59,20 @@ def op1_webp_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.read_payloads(webp.store_payloads(table(spark, sf_dir, "documents")))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_turns(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link(calls, results, {"reply": tool_calls.REPLY})
+    return linked.select("conv_id", "call_id", "status", "level", "n_calls", "n_results", "valid", F.array_join("errors", "; ").alias("errors"), F.sha2("canonical_json", 256).alias("canonical_sha256"))
+
+
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", *mixing.COLUMNS)
+
+
 QUERIES = {
+    "op4_tool_calls": op4_tool_calls,
+    "op6_pfair_mixing": op6_pfair_mixing,
     "op1_webp_lossless": op1_webp_lossless,
     "op7_quality_nbsvm": op7_quality_nbsvm,
     "op8_kneser_ney": op8_kneser_ney,
@@ -71,5 +84,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_tool_calls": tool_calls.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -267,3 +267,89 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("_c") != 2**63 - 1, F.col("_c")).alias("component_id"),
     )
+
+
+# -- near copies at a stated similarity ----------------------------------------
+
+#: Least shingle hashes that stand for a text: all of them for up to so many
+#: distinct shingles, else a sample that estimates similarity to about 0.02.
+SKETCH = 512
+BANDS, ROWS = 9, 3
+_MULTIPLIERS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def sketch(text: bytes, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(fingerprint, least shingle hashes, band keys) of a text."""
+    words = text.lower().split()
+    if not words:
+        return 0, np.empty(0, np.uint32), np.empty(0, np.int64)
+    parts = list(map(b" ".join, zip(*(words[k:] for k in range(shingle))))) if len(words) > shingle else [b" ".join(words)]
+    digest = xxhash.xxh64_digest
+    raw = np.frombuffer(b"".join([digest(x, SEED) for x in parts]), np.uint8).reshape(-1, 8)
+    bits = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    hashes = raw.view(">u8").ravel().astype(np.uint64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for lo in range(0, len(hashes), 4096):
+        some = hashes[lo : lo + 4096, None] * _MULTIPLIERS[None, :]
+        least = np.minimum(least, (some ^ (some >> np.uint64(31))).min(axis=0))
+    bands = least.reshape(BANDS, ROWS)
+    keys_ = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        keys_ = (keys_ ^ bands[:, k]) * np.uint64(0xD6E8FEB86659FD93)
+    return int.from_bytes(np.packbits(bits * 2 > len(parts)).tobytes(), "big"), np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH], keys_.view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity by two texts' least hashes (sorted)."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.union1d(a, b)
+    if len(a) >= SKETCH or len(b) >= SKETCH:
+        both = both[:SKETCH]
+    common = np.intersect1d(a, b, assume_unique=True)
+    return float(np.searchsorted(common, both[-1], side="right")) / len(both)
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(_id, component): texts that lie in one group with a smaller ``_id``
+    (``doc_order`` of the key), by links of similarity ``least`` or more.
+
+    At such a similarity whole fingerprints differ in many bits, so besides the
+    Golay keys of the fingerprint each text has ``BANDS`` keys of ``ROWS`` least
+    hashes.  Each band key links its texts to three of them (least id, least and
+    greatest hash of the id), not to each other, and every candidate is verified:
+    no step gathers or pairs the texts of a key."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [sketch(x, shingle) for x in texts(b, "_text")]
+            columns = [b.column("_id"), pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)), pa.array([m[1].tobytes() for m in made], pa.binary()), pa.array([m[2] for m in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "fp", "least", "bands"])
+
+    rows = docs.select(doc_order(F.col(key)).alias("_id"), F.col(text).alias("_text"))
+    sketches = materialise(rows.mapInArrow(run, "_id long, fp long, least binary, bands array<long>"), "sketches")
+    nodes = sketches.groupBy("fp").agg(F.min("_id").alias("node"))
+    same = sketches.select("_id", "fp").join(nodes, "fp").where("_id <> node").select(F.col("_id").alias("a"), F.col("node").alias("b"))
+    banded = sketches.select("_id", F.explode("bands").alias("band"))
+    order = F.xxhash64("_id")
+    stars = banded.groupBy("band").agg(F.min("_id").alias("r0"), F.min_by("_id", order).alias("r1"), F.max_by("_id", order).alias("r2"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    starred = banded.join(stars, "band").select(F.col("_id").alias("a"), F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("b"))
+    pairs = edges(nodes).unionByName(same).unionByName(starred).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = sketches.select(F.col("_id").alias("a"), F.col("least").alias("x"))
+    right = sketches.select(F.col("_id").alias("b"), F.col("least").alias("y"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    linked = pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
+    return components(linked).withColumnRenamed("node", "_id")
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, one key of each group (the smallest),
+    columns unchanged; rows of one key stay or go together."""
+    dropped = similar_groups(docs, key, text, shingle, least).select(F.col("_id").alias("_gone"))
+    return docs.join(dropped, doc_order(F.col(key)) == F.col("_gone"), "left_anti")

@@ -96,3 +96,33 @@ def test_near_groups_on_odd_tables(spark):
     # Spark's own xxhash64 is the same function
     assert spark.sql("select xxhash64('one')").first()[0] == np.uint64(xxhash.xxh64("one", seed=42).intdigest()).view(np.int64)
     assert S.near_groups(docs.limit(0)).collect() == []
+
+
+def test_similar_groups_find_edited_copies(spark):
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(3000)]
+    base = [[rng.choice(vocab) for _ in range(n)] for n in (30, 120, 400, 900, 2500)]
+    rows, want = [], {}
+    for b, words in enumerate(base):
+        first = len(rows)
+        for copy in range(6):
+            edited = list(words)
+            for _ in range(copy * (len(words) // 400) if len(words) >= 400 else copy % 2 * (len(words) > 100)):
+                edited[rng.randrange(len(edited))] = f"edit{rng.random()}"
+            rows.append((len(rows) + 10, " ".join(edited)))
+        want |= {10 + first + k: 10 + first for k in range(6)}
+    rows += [(500 + k, " ".join(rng.choice(vocab) for _ in range(200)) + " one common line for them all here") for k in range(60)]
+    rows += [(900, None), (901, ""), (None, "alone " * 40)]
+    texts = {k: (t or "").split() for k, t in rows}
+
+    def jaccard(a, b):
+        a, b = ({" ".join(x[k : k + 5]) for k in range(max(1, len(x) - 4))} for x in (texts[a], texts[b]))
+        return len(a & b) / len(a | b)
+
+    assert all(jaccard(k, v) >= 0.8 for k, v in want.items())
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
+    kept = S.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert ids == ((set(texts) - set(want)) | set(want.values())) - {901}  # two empty texts are copies
+    assert S.drop_near_copies(docs.limit(0)).collect() == []
