@@ -149,3 +149,28 @@ def interleaved(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     made = mix(docs, weights, **options)
     columns = [c for c in docs.columns if c not in COLUMNS]
     return made.repartitionByRange("mix_slot", "mix_start").sortWithinPartitions("mix_slot", "mix_start").select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: ``mix`` with its defaults (sources tempered; one period simulated slot by slot).
+ORACLE_SQL = """
+WITH RECURSIVE
+d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s, length(coalesce(text, '')) AS n,
+             md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+z AS (SELECT s, sqrt(greatest(1, sum(n))::DOUBLE) AS w FROM d GROUP BY 1),
+e AS (SELECT s, w / sum(w) OVER () * 1024 AS x FROM z),
+f AS (SELECT s, greatest(1, floor(x))::BIGINT AS q, greatest(1, floor(x)) - x AS r FROM e),
+g AS (SELECT s, q + CASE WHEN row_number() OVER (ORDER BY r, s) <= 1024 - sum(q) OVER () THEN 1 ELSE 0 END AS q FROM f),
+l AS (SELECT list(s ORDER BY s) AS ss, list(q::BIGINT ORDER BY s) AS qs FROM g),
+p AS (
+  SELECT 0::BIGINT AS t, ks, (list_min(list_transform(range(1, len(qs) + 1), lambda j: CASE WHEN ks[j] < qs[j] AND (ks[j] * 1024) // qs[j] <= 0 THEN (((ks[j] + 1) * 1024 + qs[j] - 1) // qs[j]) * 100000 + j ELSE 1000000000000000 END)) % 100000)::BIGINT AS pick
+  FROM (SELECT qs, list_transform(qs, lambda q: 0::BIGINT) AS ks FROM l)
+  UNION ALL
+  SELECT t, ks, (list_min(list_transform(range(1, len(qs) + 1), lambda j: CASE WHEN ks[j] < qs[j] AND (ks[j] * 1024) // qs[j] <= t THEN (((ks[j] + 1) * 1024 + qs[j] - 1) // qs[j]) * 100000 + j ELSE 1000000000000000 END)) % 100000)::BIGINT
+  FROM (SELECT qs, t + 1 AS t, list_transform(range(1, len(ks) + 1), lambda j: ks[j] + CASE WHEN j = pick THEN 1 ELSE 0 END) AS ks FROM p, l WHERE t < 1023)),
+plan AS (SELECT ss[pick] AS s, qs[pick] AS q, ks[pick] AS k, t FROM p, l),
+pos AS (SELECT doc_id, source, s, coalesce(sum(n) OVER (PARTITION BY s ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM d),
+b AS (SELECT *, st // 65536 AS blk FROM pos)
+SELECT doc_id, source, blk AS mix_block, (blk // q) * 1024 + (k * 1024) // q AS mix_release, (blk // q) * 1024 + ((k + 1) * 1024 + q - 1) // q AS mix_deadline,
+       (blk // q) * 1024 + t AS mix_slot, st AS mix_start
+FROM b JOIN plan ON plan.s = b.s AND blk % q = k
+"""

@@ -85,5 +85,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_tool_calls": tool_calls.ORACLE_SQL,
+    "op6_pfair_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
