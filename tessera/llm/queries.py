@@ -84,6 +84,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_tool_calls": tool_calls.ORACLE_SQL,
     "op6_pfair_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
