@@ -164,3 +164,26 @@ def language_of(path: Column) -> Column:
     names = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "bash", "sql": "sql", "r": "r", "html": "html", "css": "css", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "xml": "xml"}
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("text"))
+
+
+def snippet(body: Column, terms: Column, width: int = 48) -> Column:
+    """The ``width`` words that hold most of the terms (the first of equals),
+    hits in <b></b>, dots where the text goes on."""
+    ws = words(body)
+    hit = lambda w: F.array_contains(terms, F.regexp_replace(fold(w), r"[^\p{L}\p{N}]", ""))
+    hits = F.transform(ws, lambda w: hit(w).cast("int"))
+    # the count of hits before each word, then windows by difference
+    before = F.aggregate(hits, F.array(F.lit(0)), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1) + h)))
+    last = F.greatest(F.size(ws) - width, F.lit(0))
+    scored = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((F.get(before, F.least(i + width, F.size(ws))) - F.get(before, i)).alias("n"), (-i).alias("at")))
+    at = -F.array_max(scored)["at"]
+    shown = F.array_join(F.transform(F.slice(ws, at + 1, F.lit(width)), lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " ")
+    return F.concat(F.when(at > 0, "...").otherwise(""), shown, F.when(at + width < F.size(ws), "...").otherwise(""))
+
+
+def parse_keywords(answer: Column, least: int = 5, most: int = 10) -> Column:
+    """Keywords of a language model's answer: a JSON list, fenced or not,
+    lower-cased, distinct; null if there are fewer than ``least``."""
+    plain = strip(F.regexp_replace(answer, r"^\s*```[a-z]*|```\s*$", ""))
+    found = F.array_distinct(F.filter(F.transform(F.from_json(plain, "array<string>"), lambda x: strip(F.lower(x))), lambda x: x.isNotNull() & (x != "")))
+    return F.when(F.size(found) >= least, F.slice(found, 1, most))
