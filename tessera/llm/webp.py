@@ -14,7 +14,7 @@ loop; both give the same pixels.
 
 ``store_payloads`` keeps a text's bytes, padded with 255 to a positive multiple
 of 576, as 8-bit samples in the green channel of images 576 wide (of at most
-16,384 rows; longer payloads are several images in a row).  ``read_payloads``
+1,024 rows; longer payloads are several images in a row).  ``read_payloads``
 decodes the stored bytes again and describes what it has read.
 
 Defined results: null text counts as empty (one row of 255); media that is
@@ -41,6 +41,9 @@ from ._common import bounded_batches, texts
 ROW = 576
 MAX_SIDE = 1 << 14
 MAX_COPY = 4096
+#: Rows of one stored image; longer payloads are several images, so that what a
+#: worker holds of one is bounded.
+PAYLOAD_ROWS = 1024
 #: Longest code that the encoder makes; decoding tables hold up to 15 bits.
 ENCODED_BITS = 12
 
@@ -722,8 +725,8 @@ def to_media(data: bytes) -> bytes:
     """Bytes, padded with 255 to a positive multiple of 576, as images."""
     padded = np.frombuffer(data + b"\xff" * (-len(data) % ROW if data else ROW), np.uint8)
     out = []
-    for lo in range(0, len(padded), ROW * MAX_SIDE):
-        image = (padded[lo : lo + ROW * MAX_SIDE].astype(np.uint32) << 8).reshape(-1, ROW)
+    for lo in range(0, len(padded), ROW * PAYLOAD_ROWS):
+        image = (padded[lo : lo + ROW * PAYLOAD_ROWS].astype(np.uint32) << 8).reshape(-1, ROW)
         few = np.count_nonzero(np.bincount(image.ravel() >> 8, minlength=256)) <= 16
         out.append(encode_argb(image, (("palette",),) if few else ()))
     return b"".join(out)
