@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import materialise
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import index, rank
@@ -35,7 +36,8 @@ def retrieve(questions: DataFrame, documents: DataFrame, links: DataFrame, k: in
     """(query_id, rank, slug, title, snippet, score, tier, categories, source)."""
     if ranked is None:
         ranked = ranked_sources(questions, documents, k)
-    fused = rank.fuse(ranked, weights, k)
+    # k rows a question: what the rest of the program reads again and again
+    fused = materialise(rank.fuse(ranked, weights, k), "fused")
     asked = questions.select("query_id", F.array_distinct(T.tokenize_query(F.col("question"))).alias("kw"), T.classify(F.col("question")).alias("kind")).where(F.size("kw") > 0)  # no keywords, no answer
     rows = fused.join(asked, "query_id").join(documents, "slug")
 
@@ -62,7 +64,7 @@ def retrieve(questions: DataFrame, documents: DataFrame, links: DataFrame, k: in
     )
     # tier 0: the rest, from the index entry alone
     rest = rows.where("rank > 5").select("query_id", "slug", "title", F.col("summary").alias("snippet"), (0.5 * F.col("score")).alias("score"), F.lit(0).alias("tier"), "categories", "source", F.col("score").alias("fused"))
-    found = answered.unionByName(rest)
+    found = materialise(answered.unionByName(rest), "found")
 
     # what links to the best three, two each, unless it is there already
     best = rank.top_k(found, 3, ["query_id"], [F.desc("score"), F.col("slug")], "_r").select("query_id", F.col("slug").alias("dst"), F.coalesce("fused", F.lit(0.1)).alias("near"), "_r")
