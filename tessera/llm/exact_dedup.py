@@ -99,7 +99,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     text_sha256, tag (xxhash64 of the original text)."""
     members = materialise(identities(docs, key, text, block), "identities")
     rank = F.struct(F.col("n_points"), -doc_order(F.col(key)), -F.col("_row"))
-    groups = members.groupBy("level", "name").agg(F.max_by(F.struct(F.col(key).alias("id"), F.col("_row").alias("row")), rank).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # written first, so that the join reads plain exchanges, whose large partitions are split
+    groups = materialise(members.groupBy("level", "name").agg(F.max_by(F.struct(F.col(key).alias("id"), F.col("_row").alias("row")), rank).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     return members.join(groups, ["level", "name"]).select(
         key,
         F.col("keep.id").alias("keep_id"),
