@@ -13,9 +13,9 @@ Counting needs no ids: adjacent pairs wait in a heap by merge rank, symbols sit
 in a doubly linked list, and the count is the number of initial symbols minus
 the merges done.
 
-Both work on pre-tokenised pieces and memoise space-delimited chunks; memos are
-dropped when they reach ``CACHE_ENTRIES``, so memory is bounded and results do
-not depend on them.
+Both work on pre-tokenised pieces and memoise space-delimited chunks; a memo
+holds ``CACHE_ENTRIES`` at most, so memory is bounded, and results do not depend
+on it.
 
 Defined results: null text counts as empty (no tokens); very long pieces cost
 linear time (encoding) or n log n (counting); columns beyond those named are
@@ -47,16 +47,22 @@ INNER_SPACE = regex.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)")
 
 
 class Memo(dict):
-    """A bounded memo of a function of one argument."""
+    """A bounded memo of a function of one argument, in two generations: when
+    the young one is full it replaces the old one, and what is used again
+    returns from there, so frequent entries stay."""
 
     def __init__(self, make, limit: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.old.pop(key, None)
+        if value is None:  # no memo holds None
+            value = self.make(key)
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -69,7 +75,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder for one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.size_of = {i: len(t) for t, i in ranks.items()}
@@ -80,9 +86,9 @@ class Codec:
         self.halves = Memo(self._halves)
         self.prefix = Memo(self._prefix)
         self.fits = Memo(self._fits)
-        self.pieces = Memo(self.encode_piece)
-        self.first = Memo(self._chunk)
-        self.later = Memo(lambda part: self._chunk(" " + part))
+        self.pieces = Memo(self.encode_piece, entries)
+        self.first = Memo(self._chunk, entries)
+        self.later = Memo(lambda part: self._chunk(" " + part), entries)
 
     # -- pairs ---------------------------------------------------------------
 
@@ -168,14 +174,14 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> Codec:
     """One codec for each worker process and vocabulary."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+    if (path, pattern, entries) not in _codecs:
+        _codecs[path, pattern, entries] = Codec(read_ranks(path), pattern, entries)
+    return _codecs[path, pattern, entries]
 
 
 def _strings(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -217,14 +223,15 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields]).add(out, BinaryType()))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", entries: int = CACHE_ENTRIES) -> DataFrame:
     """Encode each text and decode its ids in one pass: key, n_tokens,
     ids_sha256 (of the decimal ids joined by commas), decoded_sha256.  One row
-    for each row, repeated and null keys included."""
+    for each row, repeated and null keys included.  ``entries`` bounds the memos:
+    fewer take less of a worker's memory and more of its time."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sha = codec(path, pattern), hashlib.sha256
+        own, sha = codec(path, pattern, entries), hashlib.sha256
         for b in batches:
             counts, coded, decoded = [], [], []
             for x in _strings(b, text):
