@@ -18,6 +18,9 @@ from tessera.llm._common import materialise
 LEAST_QUALITY = 0.5
 SHINGLE, SIMILARITY = 5, 0.8
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Bound of the encoder's memos, less than its default: workers also hold what
+#: the stages before have left in their memory.
+MEMO_ENTRIES = 3 << 17
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
-    return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, entries=MEMO_ENTRIES)
 
 
 STAGES = [
