@@ -27,6 +27,8 @@ ignored.
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -275,17 +277,32 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 #: distinct shingles, else a sample that estimates similarity to about 0.02.
 SKETCH = 512
 BANDS, ROWS = 9, 3
+#: Bits of a text's parity signature.
+PARITY = 2048
+#: Documents, about, and occurrences in them that tell frequent shingles, and how
+#: many of these are told at most.  They only steer the work, not its results.
+SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 8192, 8, 1 << 17
 _MULTIPLIERS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def sketch(text: bytes, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(fingerprint, least shingle hashes, band keys) of a text."""
+def shingles(text: bytes, shingle: int) -> list[bytes]:
     words = text.lower().split()
     if not words:
-        return 0, np.empty(0, np.uint32), np.empty(0, np.int64)
-    parts = list(map(b" ".join, zip(*(words[k:] for k in range(shingle))))) if len(words) > shingle else [b" ".join(words)]
+        return []
+    return list(map(b" ".join, zip(*(words[k:] for k in range(shingle))))) if len(words) > shingle else [b" ".join(words)]
+
+
+def _hashes(parts: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(x, SEED) for x in parts]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(x, SEED) for x in parts]), np.uint8).reshape(-1, 8)
+
+
+def sketch(text: bytes, shingle: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, least shingle hashes, band keys, distinct shingle hashes) of a text."""
+    parts = shingles(text, shingle)
+    if not parts:
+        return 0, np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.uint64)
+    raw = _hashes(parts)
     bits = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
     hashes = raw.view(">u8").ravel().astype(np.uint64)
     least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
@@ -296,7 +313,8 @@ def sketch(text: bytes, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
     keys_ = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         keys_ = (keys_ ^ bands[:, k]) * np.uint64(0xD6E8FEB86659FD93)
-    return int.from_bytes(np.packbits(bits * 2 > len(parts)).tobytes(), "big"), np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH], keys_.view(np.int64)
+    distinct = np.unique(hashes)
+    return int.from_bytes(np.packbits(bits * 2 > len(parts)).tobytes(), "big"), np.unique((distinct >> np.uint64(32)).astype(np.uint32))[:SKETCH], keys_.view(np.int64), distinct
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -310,42 +328,185 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.searchsorted(common, both[-1], side="right")) / len(both)
 
 
+def prefix(distinct: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles in one order of all (frequent ones last): two sets of
+    similarity ``least`` or more share one of these."""
+    n = len(distinct)
+    if not n:
+        return distinct
+    level = np.zeros(n, np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], distinct), len(frequent[0]) - 1)
+        level = np.where(frequent[0][at] == distinct, frequent[1][at], 0)
+    return distinct[np.argsort(level, kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]]
+
+
+def parity(distinct: np.ndarray) -> bytes:
+    """Parities of the shingles in each of ``PARITY`` classes: two signatures
+    differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((distinct >> np.uint64(16) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one, cut between its values only."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut or (held and held[-1][0][-1] != now[0][0]):
+            held.append([x[:cut] for x in now])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        held.append([x[cut:] for x in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _meetings(token: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one token and two components whose sizes, and the places
+    of the token in their order if it is the first that they share, allow a
+    similarity of ``least``."""
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
+    apart = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start) if len(token) else np.empty(0, bool)
+    at, k = np.flatnonzero(np.repeat(apart, np.diff(np.append(start, len(token))))), 0
+    while len(at):
+        k += 1
+        at = at[at + k < len(token)]
+        at = at[token[at] == token[at + k]]
+        for lo in range(0, len(at), 1 << 15):
+            i = at[lo : lo + (1 << 15)]
+            j = i + k
+            need = np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9)
+            ok = (component[i] != component[j]) & (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
+            if ok.any():
+                yield i[ok], j[ok]
+
+
+def _meeting(least: float):
+    """Rows that another one of their token may be similar to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, own, component, n, place in _whole_keys(batches):
+            kept = np.zeros(len(token), bool)
+            for i, j in _meetings(token, component, n, place, least):
+                kept[i] = kept[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (token, own, component, place)], names=["token", "_id", "component", "place"])
+
+    return run
+
+
+def _apart(least: float):
+    """Pairs (a, b) that the parity signatures don't show to be less similar
+    than ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, own, component, place, n, bits in _whole_keys(batches):
+            found: list[np.ndarray] = []
+            size = 0
+            for i, j in _meetings(token, component, n, place, least):
+                both = n[i] + n[j]
+                ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= both - 2 * np.ceil(least / (1 + least) * both - 1e-9)
+                a, b = own[i[ok]], own[j[ok]]
+                if len(a):
+                    found.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
+                    size += len(a)
+                if size > PAIRS_AT_ONCE:
+                    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    found, size = [], 0
+            if found:
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def free_shuffles(spark) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when
+    the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that many texts of a sample have, and how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in texts(b, "_text"):
+                if parts := shingles(x, shingle):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashes(parts).view(">u8").ravel().astype(np.uint64)).view(np.int64))], names=["token"])
+
+    every = max(1, rows.count() // SAMPLE_ROWS)
+    some = rows.where(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0).mapInArrow(run, "token long")
+    found = some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
+    tokens, counts = np.array([r.token for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` of similarity ``least`` or more."""
+    left = sketches.select(F.col("_id").alias("a"), F.col("least").alias("x"))
+    right = sketches.select(F.col("_id").alias("b"), F.col("least").alias("y"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(_id, component): texts that lie in one group with a smaller ``_id``
     (``doc_order`` of the key), by links of similarity ``least`` or more.
 
-    At such a similarity whole fingerprints differ in many bits, so besides the
-    Golay keys of the fingerprint each text has ``BANDS`` keys of ``ROWS`` least
-    hashes.  Each band key links its texts to three of them (least id, least and
-    greatest hash of the id), not to each other, and every candidate is verified:
-    no step gathers or pairs the texts of a key."""
+    First most groups are found: candidates are the Golay keys' forests, equal
+    fingerprints, and ``BANDS`` keys of ``ROWS`` least hashes, each of which links
+    its texts to three of them (least id, least and greatest hash of the id).
+    Then the rest: any two similar texts share a shingle of their prefixes, so
+    each pair of texts that share one and aren't in one group yet is compared,
+    unless the parity signatures prove it less similar.  All links are verified
+    before they are reduced to groups."""
     bounded_batches(docs.sparkSession)
+    rows = docs.select(doc_order(F.col(key)).alias("_id"), F.col(text).alias("_text"))
+    frequent = _frequent(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [sketch(x, shingle) for x in texts(b, "_text")]
-            columns = [b.column("_id"), pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)), pa.array([m[1].tobytes() for m in made], pa.binary()), pa.array([m[2] for m in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "fp", "least", "bands"])
-
-    rows = docs.select(doc_order(F.col(key)).alias("_id"), F.col(text).alias("_text"))
-    sketches = materialise(rows.mapInArrow(run, "_id long, fp long, least binary, bands array<long>"), "sketches")
+            made = []
+            for x in texts(b, "_text"):
+                fp, low, bands, distinct = sketch(x, shingle)
+                made.append((fp, low.tobytes(), bands, len(distinct), parity(distinct), prefix(distinct, least, frequent).view(np.int64)))
+            columns = [b.column("_id"), pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64))]
+            columns += [pa.array([m[k] for m in made], kind) for k, kind in ((1, pa.binary()), (2, pa.list_(pa.int64())), (3, pa.int64()), (4, pa.binary()), (5, pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "fp", "least", "bands", "n", "parity", "prefix"])
+
+    sketches = materialise(rows.mapInArrow(run, "_id long, fp long, least binary, bands array<long>, n long, parity binary, prefix array<long>"), "sketches")
     nodes = sketches.groupBy("fp").agg(F.min("_id").alias("node"))
     same = sketches.select("_id", "fp").join(nodes, "fp").where("_id <> node").select(F.col("_id").alias("a"), F.col("node").alias("b"))
+    # texts without words have no shingle to meet by
+    empty = sketches.where("n = 0").select(F.col("_id").alias("a")).crossJoin(F.broadcast(sketches.where("n = 0").agg(F.min("_id").alias("b"))))  # one row
     banded = sketches.select("_id", F.explode("bands").alias("band"))
     order = F.xxhash64("_id")
     stars = banded.groupBy("band").agg(F.min("_id").alias("r0"), F.min_by("_id", order).alias("r1"), F.max_by("_id", order).alias("r2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     starred = banded.join(stars, "band").select(F.col("_id").alias("a"), F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("b"))
-    pairs = edges(nodes).unionByName(same).unionByName(starred).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    left = sketches.select(F.col("_id").alias("a"), F.col("least").alias("x"))
-    right = sketches.select(F.col("_id").alias("b"), F.col("least").alias("y"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    linked = pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
-    return components(linked).withColumnRenamed("node", "_id")
+    pairs = edges(nodes).unionByName(same).unionByName(empty).unionByName(starred).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    first = components(_verified(pairs, sketches, least)).withColumnRenamed("node", "_id")
+
+    free_shuffles(docs.sparkSession)
+
+    named = sketches.select("_id", "n", "prefix").join(first, "_id", "left").select("_id", "n", F.coalesce("component", "_id").alias("component"), F.posexplode("prefix").alias("place", "token"))
+    named = named.select("token", "_id", "component", "n", F.col("place").cast("long").alias("place")).repartition("token").sortWithinPartitions("token")
+    mixed = materialise(named.mapInArrow(_meeting(least), "token long, _id long, component long, place long"), "meeting-tokens")
+    free_shuffles(docs.sparkSession)
+    meeting = mixed.join(sketches.select("_id", "n", "parity"), "_id").select("token", "_id", "component", "place", "n", "parity")
+    rest = meeting.repartition("token").sortWithinPartitions("token").mapInArrow(_apart(least), "a long, b long").distinct()
+    linked = _verified(rest, sketches, least)
+    return components(first.select(F.col("_id").alias("a"), F.col("component").alias("b")).unionByName(linked)).withColumnRenamed("node", "_id")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -126,3 +126,48 @@ def test_similar_groups_find_edited_copies(spark):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert ids == ((set(texts) - set(want)) | set(want.values())) - {901}  # two empty texts are copies
     assert S.drop_near_copies(docs.limit(0)).collect() == []
+
+
+def jaccard_sets(text):
+    w = text.split()
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def whole_groups(rows):
+    sets = {k: jaccard_sets(t) for k, t in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    return brute_components([(a, b) for a in sets for b in sets if a < b and near(a, b)], sets)
+
+
+def test_pairs_among_many_variants_of_one_text_are_found(spark):
+    # different texts share band keys; only the two of a pair are similar
+    rng = random.Random(12)
+    template, rows = [f"w{k}" for k in range(300)], []
+    for pair in range(120):
+        words = list(template)
+        for k in rng.sample(range(300), 8):
+            words[k] = f"p{pair}e{k}"
+        edited = list(words)
+        for k in rng.sample(range(300), 5):
+            edited[k] = f"q{pair}e{k}"
+        rows += [(pair, " ".join(words)), (1000 - pair, " ".join(edited))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = whole_groups(rows)
+    assert 100 < len(set(want.values())) < 150
+    assert {r.doc_id for r in S.drop_near_copies(docs).collect()} == set(want.values())
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(14)
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for n in (1, 2, 5, 15, 40, 333):
+        for _ in range(40):
+            base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            other = np.unique(np.concatenate([base[rng.random(n) < 0.95], rng.integers(0, 1 << 63, int(rng.integers(0, n // 10 + 1))).astype(np.uint64)]))
+            common = len(np.intersect1d(base, other))
+            if common and common / len(np.union1d(base, other)) >= 0.8:
+                told = np.sort(base[: n // 2]), rng.integers(1, 9, n // 2)
+                for f in (none, told):
+                    assert len(np.intersect1d(S.prefix(base, 0.8, f), S.prefix(other, 0.8, f)))
+                x, y = (np.frombuffer(S.parity(v), np.uint64) for v in (base, other))
+                assert np.bitwise_count(x ^ y).sum() <= len(base) + len(other) - 2 * common
