@@ -273,9 +273,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
 # -- near copies at a stated similarity ----------------------------------------
 
-#: Least shingle hashes that stand for a text: all of them for up to so many
-#: distinct shingles, else a sample that estimates similarity to about 0.02.
+#: Least shingle hashes kept of a text; they settle pairs of texts that have
+#: fewer, and of a similarity further than ``CLEAR`` from the least.  All other
+#: pairs are decided on the texts.
 SKETCH = 512
+CLEAR = 0.05
 BANDS, ROWS = 9, 3
 #: Bits of a text's parity signature.
 PARITY = 2048
@@ -328,6 +330,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.searchsorted(common, both[-1], side="right")) / len(both)
 
 
+def exact_similarity(a: bytes, b: bytes, shingle: int) -> float:
+    """Jaccard similarity of two texts' whole shingle sets."""
+    x, y = set(shingles(a, shingle)), set(shingles(b, shingle))
+    common = len(x & y)
+    return common / (len(x) + len(y) - common) if x or y else 1.0
+
+
 def prefix(distinct: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first shingles in one order of all (frequent ones last): two sets of
     similarity ``least`` or more share one of these."""
@@ -447,17 +456,31 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` of similarity ``least`` or more."""
-    left = sketches.select(F.col("_id").alias("a"), F.col("least").alias("x"))
-    right = sketches.select(F.col("_id").alias("b"), F.col("least").alias("y"))
+def _verified(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts are of similarity ``least`` or more."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[bool | None] = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                s = similarity(x, y)
+                out.append(None if max(len(x), len(y)) >= SKETCH or abs(s - least) < CLEAR else s >= least)
+            made = pa.array(out, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), made], names=["a", "b", "ok"]).filter(made.fill_null(True))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            ok = [exact_similarity(x, y, shingle) >= least for x, y in zip(texts(b, "x"), texts(b, "y"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    left = sketches.select(F.col("_id").alias("a"), F.col("least").alias("x"))
+    right = sketches.select(F.col("_id").alias("b"), F.col("least").alias("y"))
+    settled = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(settle, "a long, b long, ok boolean"), "settled")
+    one = rows.select(F.col("_id").alias("a"), F.col("_text").alias("x"))
+    other = rows.select(F.col("_id").alias("b"), F.col("_text").alias("y"))
+    checked = settled.where("ok is null").select("a", "b").distinct().join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return settled.where("ok").select("a", "b").unionByName(checked)
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -495,7 +518,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     stars = banded.groupBy("band").agg(F.min("_id").alias("r0"), F.min_by("_id", order).alias("r1"), F.max_by("_id", order).alias("r2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     starred = banded.join(stars, "band").select(F.col("_id").alias("a"), F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("b"))
     pairs = edges(nodes).unionByName(same).unionByName(empty).unionByName(starred).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    first = components(_verified(pairs, sketches, least)).withColumnRenamed("node", "_id")
+    first = components(_verified(pairs, sketches, rows, shingle, least)).withColumnRenamed("node", "_id")
 
     free_shuffles(docs.sparkSession)
 
@@ -505,7 +528,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     free_shuffles(docs.sparkSession)
     meeting = mixed.join(sketches.select("_id", "n", "parity"), "_id").select("token", "_id", "component", "place", "n", "parity")
     rest = meeting.repartition("token").sortWithinPartitions("token").mapInArrow(_apart(least), "a long, b long").distinct()
-    linked = _verified(rest, sketches, least)
+    linked = _verified(rest, sketches, rows, shingle, least)
     return components(first.select(F.col("_id").alias("a"), F.col("component").alias("b")).unionByName(linked)).withColumnRenamed("node", "_id")
 
 

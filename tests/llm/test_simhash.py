@@ -157,6 +157,21 @@ def test_pairs_among_many_variants_of_one_text_are_found(spark):
     assert {r.doc_id for r in S.drop_near_copies(docs).collect()} == set(want.values())
 
 
+def test_long_texts_are_decided_on_all_their_shingles(spark):
+    rng = random.Random(13)
+    rows = []
+    for pair in range(60):
+        words = [f"p{pair}w{rng.randrange(10**6)}" for _ in range(2500)]
+        edited = list(words)
+        for k in rng.sample(range(5, 2495), 56 + pair % 3 * 2):  # similarities close to 0.8
+            edited[k] = f"edit{rng.random()}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(edited))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = whole_groups(rows)
+    assert 60 < len(set(want.values())) < 120
+    assert {r.doc_id for r in S.drop_near_copies(docs).collect()} == set(want.values())
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(14)
     none = np.empty(0, np.uint64), np.empty(0, np.int64)
