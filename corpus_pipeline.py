@@ -47,8 +47,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of every document's token ids and of what they decode to."""
-    return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, entries=MEMO_ENTRIES)
+    """Digests of every document's token ids and of what they decode to, in the
+    order of the schedule.  Rows are read again in another order than they were
+    written in, so the schedule, the same for the same rows, is made anew."""
+    return bpe.round_trip(mixing.interleaved(docs), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, entries=MEMO_ENTRIES)
 
 
 STAGES = [

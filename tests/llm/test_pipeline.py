@@ -4,10 +4,11 @@ import hashlib
 import re
 
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import tiktoken
 
 import corpus_pipeline as C
-from tessera.llm import bpe
+from tessera.llm import bpe, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +68,14 @@ def test_stages(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert C.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_the_schedule_survives_a_write_and_read(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    C.mix_sources(spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    # whatever order the files' parts are packed in
+    again = spark.read.parquet(f"{tmp_path}/mixed").repartition(7, "doc_id")
+    C.byte_level_bpe(spark, again, SF).write.parquet(f"{tmp_path}/tokens")
+    got = [d for p in sorted((tmp_path / "tokens").glob("part-*")) for d in pq.read_table(p).column("doc_id").to_pylist()]
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("mix_slot", "mix_start").collect()]
+    assert len(want) > 100 and got == want
