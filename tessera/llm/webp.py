@@ -586,6 +586,18 @@ def decode(data: bytes) -> np.ndarray:
     return _bytes(decode_argb(data))[..., [2, 1, 0, 3]]
 
 
+def decode_all(data: bytes) -> np.ndarray:
+    """The images of ``data``, one below the other; all its bytes are theirs."""
+    out = []
+    while data or not out:
+        _, _, end = _chunks(data)
+        out.append(decode(data[:end]))
+        data = data[end:]
+    if len({x.shape[1] for x in out}) > 1:
+        raise ValueError("images of several widths")
+    return np.concatenate(out)
+
+
 def _literals(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of one pixel become copies at distance 1: kept literals' mask, and
     the first pixel and length of each copy."""
@@ -787,7 +799,8 @@ def read_payloads(stored: DataFrame, key: str = "doc_id", media: str = "media")
 
 def decode_media(table: DataFrame, media: str = "media") -> DataFrame:
     """All columns plus media_height, media_width, media_pixels (RGBA bytes) and
-    media_error; columns of these names are replaced."""
+    media_error; columns of these names are replaced.  Images that follow one
+    another in a value are one below the other, and must be of one width."""
     bounded_batches(table.sparkSession)
     added = ["media_height", "media_width", "media_pixels", "media_error"]
     table = table.drop(*added)
@@ -799,7 +812,7 @@ def decode_media(table: DataFrame, media: str = "media") -> DataFrame:
                 try:
                     if x is None:
                         raise ValueError("no media")
-                    px = decode(x)
+                    px = decode_all(x)
                     out.append((px.shape[0], px.shape[1], px.tobytes(), None))
                 except ValueError as e:
                     out.append((None, None, None, str(e)))

@@ -161,3 +161,14 @@ def test_operators(spark):
     out = W.decode_media(media.unionByName(spark.createDataFrame([(9, None), (8, bytearray(b"no"))], "doc_id long, media binary"))).collect()
     assert {r.doc_id for r in out if r.media_error} == {8, 9} and all(len(r.media_pixels) == r.media_height * r.media_width * 4 for r in out if not r.media_error)
     assert W.read_payloads(W.store_payloads(docs.limit(0))).collect() == []
+
+
+def test_decode_media_gives_all_images_of_a_value(spark):
+    data = bytes(k * 7 % 251 for k in range(W.ROW)) * (W.PAYLOAD_ROWS + 3)
+    wide, narrow = (W.encode_argb(np.zeros((2, n), np.uint32)) for n in (5, 4))
+    rows = [(0, W.to_media(data)), (1, wide + b"rest"), (2, wide + narrow), (3, wide + wide)]
+    got = {r.doc_id: r for r in W.decode_media(spark.createDataFrame([(k, bytearray(x)) for k, x in rows], "doc_id long, media binary")).collect()}
+    assert (got[0].media_height, got[0].media_width, got[0].media_error) == (W.PAYLOAD_ROWS + 3, W.ROW, None)
+    assert np.frombuffer(got[0].media_pixels, np.uint8)[1::4].tobytes() == data
+    assert got[3].media_height == 4 and got[3].media_error is None
+    assert all(got[k].media_pixels is None and got[k].media_error for k in (1, 2))
