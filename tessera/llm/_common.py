@@ -3,6 +3,7 @@ tables, and bounded Arrow slices."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,18 +12,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Text bytes that one numpy pass works on; bounds a worker's temporaries.
 SLICE_BYTES = 4 << 20
 #: Upper bound of one Arrow batch sent to a worker.
 BATCH_BYTES = 16 << 20
+#: A table is broadcast only if its files, written and measured, are smaller.
+BROADCAST_BYTES = 32 << 20
+LAST = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); only
-    where it is unset, as in tests, one of our own is made."""
+    """The folder that all executors share (``spark.checkpoint.dir``).  Only
+    where it is unset and Spark runs in one process, as in tests, one of our own
+    is made; on a cluster a machine's own folder would lose rows, so that is an
+    error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -42,9 +52,37 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df_path: str, spark: SparkSession) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files are no larger than
+    ``BROADCAST_BYTES``; a larger one is joined by shuffle."""
+    return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES else df
+
+
+def free_name(base: str, *tables: DataFrame) -> str:
+    """A column name like ``base`` that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def release() -> None:
+    """Give a worker's freed memory back: workers live on from job to job, and
+    what one stage has left counts against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: it trims by itself or not at all
+        return
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -57,8 +95,22 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def doc_order(doc_id: Column) -> Column:
-    """doc_id as a non-null sort key; a missing id sorts after all others."""
-    return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
+    """An integer doc_id as a non-null sort key; a missing id sorts after all
+    others."""
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST))
+
+
+def numbered(docs: DataFrame, key: str, out: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a long column ``out`` in the order of ``key``, nulls last;
+    and, for keys that aren't integers, the table (key, out) of its numbers."""
+    column = F.col(f"`{key}`")
+    if isinstance(docs.schema[key].dataType, IntegralType):
+        return docs.withColumn(out, doc_order(column)), None
+    keys = docs.select(column.alias("_own")).where("_own IS NOT NULL").distinct().orderBy("_own")
+    keys = materialise(keys.withColumn("_number", F.monotonically_increasing_id()), "key-numbers")
+    own, number = free_name("_own", docs), free_name(f"{out}_key", docs)
+    found = docs.join(keys.select(F.col("_own").alias(own), F.col("_number").alias(number)), column == F.col(own), "left")
+    return found.withColumn(out, F.coalesce(F.col(number), F.lit(LAST))).drop(own, number), keys
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -67,10 +119,7 @@ def parallelism(spark: SparkSession) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes for a plain scan)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001  an estimate only steers partition counts
-        return 0
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bucket_count(df: DataFrame, per_bucket: int = 8 << 20) -> int:

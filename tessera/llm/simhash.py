@@ -21,8 +21,9 @@ neighbours are looked up instead, which is linear in the members.
 Defined results: null text counts as empty; a text without words has
 fingerprint zero and links like any other; fewer words than a shingle are one
 shingle; rows of one doc_id are one vertex of the graph, and a null doc_id
-sorts after all others; repeated rows each get their row; other columns are
-ignored.
+sorts after all others; ids that aren't integers are ordered by their own type, and
+component_id is of that type; repeated rows each get their row; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, doc_order, materialise, texts
+from ._common import LAST, bounded_batches, free_name, materialise, numbered, release, remove, small, texts
 from .graph import components, forest
 
 SEED = 42
@@ -260,27 +261,34 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """One row per row of ``docs``: key, fingerprint (16 hex digits) and
     component_id, the smallest key reachable over links (null only where no
     row of the component has a key)."""
-    prints = materialise(fingerprints(docs, key, text, shingle), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(doc_order(F.col(key))).alias("node")), "fingerprint-nodes")
+    rows, keys = numbered(docs.select(key, F.col(text).alias("_text")), key, "_id")
+    prints = materialise(fingerprints(rows, "_id", "_text", shingle), "fingerprints")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("_id").alias("node")), "fingerprint-nodes")
     found = components(edges(nodes))
     labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("_c"))
-    return prints.join(labels, "fp").select(
-        key,
+    made = prints.join(labels, "fp").select(
+        F.when(F.col("_id") != LAST, F.col("_id")).alias("_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("_c") != 2**63 - 1, F.col("_c")).alias("component_id"),
+        F.when(F.col("_c") != LAST, F.col("_c")).alias("_c"),
     )
+    if keys is None:
+        kind = docs.schema[key].dataType
+        return made.select(F.col("_id").cast(kind).alias(key), "fingerprint", F.col("_c").alias("component_id"))
+    own = keys.select(F.col("_number").alias("_id"), F.col("_own").alias(key))
+    least = keys.select(F.col("_number").alias("_c"), F.col("_own").alias("component_id"))
+    return made.join(own, "_id", "left").join(least, "_c", "left").select(key, "fingerprint", "component_id")
 
 
 # -- near copies at a stated similarity ----------------------------------------
 
-#: Least shingle hashes kept of a text; they settle pairs of texts that have
-#: fewer, and of a similarity further than ``CLEAR`` from the least.  All other
-#: pairs are decided on the texts.
-SKETCH = 512
-CLEAR = 0.05
 BANDS, ROWS = 9, 3
-#: Bits of a text's parity signature.
-PARITY = 2048
+#: Bits of a text's parity signature: a power of two, twice its shingles or
+#: more, between these.
+LEAST_PARITY, MOST_PARITY = 1 << 9, 1 << 16
+#: Rows of one shingle that are compared in one task, about.
+CELL = 4096
+#: Bytes of signatures compared at once.
+SIGNATURE_BYTES = 4 << 20
 #: Documents, about, and occurrences in them that tell frequent shingles, and how
 #: many of these are told at most.  They only steer the work, not its results.
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 8192, 8, 1 << 17
@@ -299,35 +307,23 @@ def _hashes(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(x, SEED) for x in parts]), np.uint8).reshape(-1, 8)
 
 
-def sketch(text: bytes, shingle: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, least shingle hashes, band keys, distinct shingle hashes) of a text."""
+def sketch(text: bytes, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(fingerprint, band keys, distinct shingle hashes) of a text."""
     parts = shingles(text, shingle)
     if not parts:
-        return 0, np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return 0, np.empty(0, np.int64), np.empty(0, np.uint64)
     raw = _hashes(parts)
     bits = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-    hashes = raw.view(">u8").ravel().astype(np.uint64)
+    distinct = np.unique(raw.view(">u8").ravel().astype(np.uint64))
     least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    for lo in range(0, len(hashes), 4096):
-        some = hashes[lo : lo + 4096, None] * _MULTIPLIERS[None, :]
+    for lo in range(0, len(distinct), 4096):
+        some = distinct[lo : lo + 4096, None] * _MULTIPLIERS[None, :]
         least = np.minimum(least, (some ^ (some >> np.uint64(31))).min(axis=0))
     bands = least.reshape(BANDS, ROWS)
     keys_ = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         keys_ = (keys_ ^ bands[:, k]) * np.uint64(0xD6E8FEB86659FD93)
-    distinct = np.unique(hashes)
-    return int.from_bytes(np.packbits(bits * 2 > len(parts)).tobytes(), "big"), np.unique((distinct >> np.uint64(32)).astype(np.uint32))[:SKETCH], keys_.view(np.int64), distinct
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity by two texts' least hashes (sorted)."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.union1d(a, b)
-    if len(a) >= SKETCH or len(b) >= SKETCH:
-        both = both[:SKETCH]
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float(np.searchsorted(common, both[-1], side="right")) / len(both)
+    return int.from_bytes(np.packbits(bits * 2 > len(parts)).tobytes(), "big"), keys_.view(np.int64), distinct
 
 
 def exact_similarity(a: bytes, b: bytes, shingle: int) -> float:
@@ -351,72 +347,77 @@ def prefix(distinct: np.ndarray, least: float, frequent: tuple[np.ndarray, np.nd
 
 
 def parity(distinct: np.ndarray) -> bytes:
-    """Parities of the shingles in each of ``PARITY`` classes: two signatures
-    differ in no more bits than the sets in elements."""
-    return np.packbits(np.bincount((distinct >> np.uint64(16) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
-
-
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of batches sorted by the first one, cut between its values only."""
-    held: list[list[np.ndarray]] = []
+    """Parities of the shingles in each of a number of classes: two signatures,
+    the longer one folded, differ in no more bits than the sets in elements."""
+    size = min(MOST_PARITY, max(LEAST_PARITY, 1 << (2 * len(distinct)).bit_length()))
+    return np.packbits(np.bincount((distinct >> np.uint64(16) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which the signatures of each pair differ."""
+    sizes = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for pair in np.unique(sizes, axis=0):
+        some = np.flatnonzero((sizes == pair).all(axis=1))
+        step, width = max(1, SIGNATURE_BYTES // int(pair.max())), int(pair.min()) // 8
+        for lo in range(0, len(some), step):
+            part = some[lo : lo + step].tolist()
+            both = [np.bitwise_xor.reduce(np.frombuffer(b"".join([of[k] for k in part]), np.uint64).reshape(len(part), -1, width), axis=1) for of in (x, y)]
+            out[part] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _need(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Shingles that sets of these sizes share at a similarity of ``least``."""
+    return np.ceil(least / (1 + least) * (n + m) - 1e-9)
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut between its values only."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        now = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        if cut or (held and held[-1][0][-1] != now[0][0]):
-            held.append([x[:cut] for x in now])
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        first = b.column(0).to_numpy()
+        cut = int(np.searchsorted(first, first[-1]))
+        if cut or (held and held[-1].column(0)[-1].as_py() != first[0]):
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
             held = []
-        held.append([x[cut:] for x in now])
+        held.append(b.slice(cut))
     if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield pa.Table.from_batches(held)
 
 
-def _meetings(token: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one token and two components whose sizes, and the places
-    of the token in their order if it is the first that they share, allow a
-    similarity of ``least``."""
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
-    apart = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start) if len(token) else np.empty(0, bool)
-    at, k = np.flatnonzero(np.repeat(apart, np.diff(np.append(start, len(token))))), 0
+def _meetings(group: np.ndarray, component: np.ndarray, chunk: np.ndarray, inner: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one cell and two components whose sizes, and the places of
+    the shingle in their order if it is the first that they share, allow a
+    similarity of ``least``.  Pairs of one chunk belong to its ``inner`` cell."""
+    at, k = np.arange(len(group)), 0
     while len(at):
         k += 1
-        at = at[at + k < len(token)]
-        at = at[token[at] == token[at + k]]
+        at = at[at + k < len(group)]
+        at = at[group[at] == group[at + k]]
         for lo in range(0, len(at), 1 << 15):
             i = at[lo : lo + (1 << 15)]
             j = i + k
-            need = np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9)
-            ok = (component[i] != component[j]) & (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
+            need = _need(n[i], n[j], least)
+            ok = (component[i] != component[j]) & (inner[i] | (chunk[i] != chunk[j])) & (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
             if ok.any():
                 yield i[ok], j[ok]
 
 
-def _meeting(least: float):
-    """Rows that another one of their token may be similar to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, own, component, n, place in _whole_keys(batches):
-            kept = np.zeros(len(token), bool)
-            for i, j in _meetings(token, component, n, place, least):
-                kept[i] = kept[j] = True
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (token, own, component, place)], names=["token", "_id", "component", "place"])
-
-    return run
-
-
 def _apart(least: float):
     """Pairs (a, b) that the parity signatures don't show to be less similar
     than ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, own, component, place, n, bits in _whole_keys(batches):
+        for t in _whole_keys(batches):
+            group, own, component, chunk, inner, place, n = (t.column(c).to_numpy() for c in ("cell", "_id", "component", "chunk", "inner", "place", "n"))
+            bits = t.column("parity").to_pylist()
             found: list[np.ndarray] = []
             size = 0
-            for i, j in _meetings(token, component, n, place, least):
-                both = n[i] + n[j]
-                ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= both - 2 * np.ceil(least / (1 + least) * both - 1e-9)
+            for i, j in _meetings(group, component, chunk, inner, n, place, least):
+                ok = differing([bits[k] for k in i.tolist()], [bits[k] for k in j.tolist()]) <= n[i] + n[j] - 2 * _need(n[i], n[j], least)
                 a, b = own[i[ok]], own[j[ok]]
                 if len(a):
                     found.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
@@ -456,84 +457,107 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are of similarity ``least`` or more."""
+def _close(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``pairs``, a written table, that sizes and signatures don't
+    show to be less similar than ``least``."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[bool | None] = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                s = similarity(x, y)
-                out.append(None if max(len(x), len(y)) >= SKETCH or abs(s - least) < CLEAR else s >= least)
-            made = pa.array(out, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), made], names=["a", "b", "ok"]).filter(made.fill_null(True))
+            n, m = b.column("x").to_numpy(), b.column("y").to_numpy()
+            ok = (_need(n, m, least) <= np.minimum(n, m)) & (differing(b.column("p").to_pylist(), b.column("q").to_pylist()) <= n + m - 2 * _need(n, m, least))
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    left = sketches.select(F.col("_id").alias("a"), F.col("n").alias("x"), F.col("parity").alias("p"))
+    right = sketches.select(F.col("_id").alias("b"), F.col("n").alias("y"), F.col("parity").alias("q"))
+    return materialise(left.join(small(pairs), "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(settle, "a long, b long"), "close-pairs")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The (a, b) of ``pairs``, a written table, whose whole texts are of
+    similarity ``least`` or more.  Only texts that pairs name are shuffled,
+    where the pairs are few enough to be sent to the texts."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [exact_similarity(x, y, shingle) >= least for x, y in zip(texts(b, "x"), texts(b, "y"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sketches.select(F.col("_id").alias("a"), F.col("least").alias("x"))
-    right = sketches.select(F.col("_id").alias("b"), F.col("least").alias("y"))
-    settled = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(settle, "a long, b long, ok boolean"), "settled")
-    one = rows.select(F.col("_id").alias("a"), F.col("_text").alias("x"))
-    other = rows.select(F.col("_id").alias("b"), F.col("_text").alias("y"))
-    checked = settled.where("ok is null").select("a", "b").distinct().join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    return settled.where("ok").select("a", "b").unionByName(checked)
-
-
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(_id, component): texts that lie in one group with a smaller ``_id``
-    (``doc_order`` of the key), by links of similarity ``least`` or more.
-
-    First most groups are found: candidates are the Golay keys' forests, equal
-    fingerprints, and ``BANDS`` keys of ``ROWS`` least hashes, each of which links
-    its texts to three of them (least id, least and greatest hash of the id).
-    Then the rest: any two similar texts share a shingle of their prefixes, so
-    each pair of texts that share one and aren't in one group yet is compared,
-    unless the parity signatures prove it less similar.  All links are verified
-    before they are reduced to groups."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(doc_order(F.col(key)).alias("_id"), F.col(text).alias("_text"))
+    named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "named-texts")
+    needed = rows.join(small(named), "_id", "left_semi")
+    one, other = needed.select(F.col("_id").alias("a"), F.col("_text").alias("x")), needed.select(F.col("_id").alias("b"), F.col("_text").alias("y"))
+    found = materialise(one.join(small(pairs), "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct(), "similar-pairs")
+    remove(named, pairs)
+    free_shuffles(rows.sparkSession)
+    return found
+
+
+def similar_groups(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(_id, component): texts that lie in one group with a smaller ``_id``, by
+    links of similarity ``least`` or more.  ``rows`` has a long _id and _text;
+    rows of one _id are one member, similar to what any of them is similar to.
+
+    First most groups are found, by some of the links: candidates are the Golay
+    keys' forests, equal fingerprints, and ``BANDS`` keys of ``ROWS`` least
+    hashes, each linking its texts to three of them; of a text's candidates that
+    may be similar, the least and the greatest are compared.  Then all other
+    links: any two similar texts share a shingle of their prefixes, so each pair
+    of texts that share one and aren't in one group yet is compared, unless
+    sizes, places or parity signatures prove it less similar.  A shingle that
+    very many texts share is dealt out to cells, each with the pairs of two
+    chunks of them.  Links count only once the whole texts are compared."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
     frequent = _frequent(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             made = []
             for x in texts(b, "_text"):
-                fp, low, bands, distinct = sketch(x, shingle)
-                made.append((fp, low.tobytes(), bands, len(distinct), parity(distinct), prefix(distinct, least, frequent).view(np.int64)))
-            columns = [b.column("_id"), pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64))]
-            columns += [pa.array([m[k] for m in made], kind) for k, kind in ((1, pa.binary()), (2, pa.list_(pa.int64())), (3, pa.int64()), (4, pa.binary()), (5, pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "fp", "least", "bands", "n", "parity", "prefix"])
+                fp, bands, distinct = sketch(x, shingle)
+                made.append((bands, len(distinct), parity(distinct), prefix(distinct, least, frequent).view(np.int64), fp))
+            columns = [b.column("_id"), pa.array(np.array([m[4] for m in made], np.uint64).view(np.int64))]
+            columns += [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "fp", "bands", "n", "parity", "prefix"])
 
-    sketches = materialise(rows.mapInArrow(run, "_id long, fp long, least binary, bands array<long>, n long, parity binary, prefix array<long>"), "sketches")
+    sketches = materialise(rows.mapInArrow(run, "_id long, fp long, bands array<long>, n long, parity binary, prefix array<long>"), "sketches")
     nodes = sketches.groupBy("fp").agg(F.min("_id").alias("node"))
     same = sketches.select("_id", "fp").join(nodes, "fp").where("_id <> node").select(F.col("_id").alias("a"), F.col("node").alias("b"))
-    # texts without words have no shingle to meet by
+    # texts without words have no shingle to meet by: they are one group
     empty = sketches.where("n = 0").select(F.col("_id").alias("a")).crossJoin(F.broadcast(sketches.where("n = 0").agg(F.min("_id").alias("b"))))  # one row
     banded = sketches.select("_id", F.explode("bands").alias("band"))
     order = F.xxhash64("_id")
     stars = banded.groupBy("band").agg(F.min("_id").alias("r0"), F.min_by("_id", order).alias("r1"), F.max_by("_id", order).alias("r2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     starred = banded.join(stars, "band").select(F.col("_id").alias("a"), F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("b"))
-    pairs = edges(nodes).unionByName(same).unionByName(empty).unionByName(starred).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    first = components(_verified(pairs, sketches, rows, shingle, least)).withColumnRenamed("node", "_id")
-
-    free_shuffles(docs.sparkSession)
-
-    named = sketches.select("_id", "n", "prefix").join(first, "_id", "left").select("_id", "n", F.coalesce("component", "_id").alias("component"), F.posexplode("prefix").alias("place", "token"))
-    named = named.select("token", "_id", "component", "n", F.col("place").cast("long").alias("place")).repartition("token").sortWithinPartitions("token")
-    mixed = materialise(named.mapInArrow(_meeting(least), "token long, _id long, component long, place long"), "meeting-tokens")
-    free_shuffles(docs.sparkSession)
-    meeting = mixed.join(sketches.select("_id", "n", "parity"), "_id").select("token", "_id", "component", "place", "n", "parity")
-    rest = meeting.repartition("token").sortWithinPartitions("token").mapInArrow(_apart(least), "a long, b long").distinct()
-    linked = _verified(rest, sketches, rows, shingle, least)
-    return components(first.select(F.col("_id").alias("a"), F.col("component").alias("b")).unionByName(linked)).withColumnRenamed("node", "_id")
+    pairs = edges(nodes).unionByName(same).unionByName(starred).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = materialise(pairs, "candidate-pairs")
+    close = _close(pairs, sketches, least)
+    some = materialise(close.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b")), "first-pairs")
+    linked = _similar(some, rows, shingle, least)
+    first = components(linked.unionByName(empty.where("a <> b"))).withColumnRenamed("node", "_id")
+    remove(pairs, close)
+
+    named = sketches.select("_id", "n", "prefix").join(small(first), "_id", "left").select("_id", "n", F.coalesce("component", "_id").alias("component"), F.posexplode("prefix").alias("place", "token"))
+    shared = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = materialise(shared.select("token", F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("chunks")), "shared-shingles")
+    free_shuffles(spark)
+    met = materialise(named.select("token", "_id", "component", F.col("place").cast("long").alias("place")).join(small(shared), "token"), "meeting-texts")
+    free_shuffles(spark)
+    dealt = sketches.select("_id", "n", "parity").join(small(met), "_id").withColumn("chunk", F.pmod(F.xxhash64("_id"), F.col("chunks")).cast("int"))
+    cells = F.expr("transform(sequence(0, chunks - 1), c -> named_struct('cell', xxhash64(token, least(c, chunk), greatest(c, chunk)), 'inner', c = chunk))")
+    dealt = dealt.withColumn("_cell", F.explode(cells)).select(F.col("_cell.cell").alias("cell"), "_id", "component", "chunk", F.col("_cell.inner").alias("inner"), "place", "n", "parity")
+    rest = materialise(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_apart(least), "a long, b long").distinct(), "rest-pairs")
+    linked = _similar(rest, rows, shingle, least)
+    done = components(first.select(F.col("_id").alias("a"), F.col("component").alias("b")).unionByName(linked)).withColumnRenamed("node", "_id")
+    remove(sketches, shared, met, linked)
+    free_shuffles(spark)
+    return done
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, one key of each group (the smallest),
     columns unchanged; rows of one key stay or go together."""
-    dropped = similar_groups(docs, key, text, shingle, least).select(F.col("_id").alias("_gone"))
-    return docs.join(dropped, doc_order(F.col(key)) == F.col("_gone"), "left_anti")
+    number, gone = free_name("_number", docs), free_name("_gone", docs)
+    rows, _ = numbered(docs, key, number)
+    dropped = similar_groups(rows.select(F.col(number).alias("_id"), F.col(text).alias("_text")), shingle, least)
+    return rows.join(small(dropped.select(F.col("_id").alias(gone))), F.col(number) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -184,5 +184,38 @@ def test_prefixes_of_similar_sets_meet():
                 told = np.sort(base[: n // 2]), rng.integers(1, 9, n // 2)
                 for f in (none, told):
                     assert len(np.intersect1d(S.prefix(base, 0.8, f), S.prefix(other, 0.8, f)))
-                x, y = (np.frombuffer(S.parity(v), np.uint64) for v in (base, other))
-                assert np.bitwise_count(x ^ y).sum() <= len(base) + len(other) - 2 * common
+                assert S.differing([S.parity(base)], [S.parity(other)])[0] <= len(base) + len(other) - 2 * common
+
+
+def test_folded_signatures_count_no_more_than_the_difference():
+    rng = np.random.default_rng(15)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 200, 300, 700, 2000, 40_000)]
+    sets += [np.unique(np.concatenate([sets[3][:-5], sets[1]]))]
+    pairs = [(x, y) for x in sets for y in sets]
+    got = S.differing([S.parity(x) for x, _ in pairs], [S.parity(y) for _, y in pairs])
+    for (x, y), n in zip(pairs, got.tolist(), strict=True):
+        true = len(np.setxor1d(x, y))
+        assert n <= true and (n == 0) == (true == 0 or n == 0)
+    assert S.differing([], []).tolist() == []
+
+
+def test_a_shingle_of_many_texts_is_dealt_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL", 16)
+    rng = random.Random(16)
+    rows = []
+    for pair in range(60):  # short texts: the common passage is among the prefixes
+        words = "this passage is in every one of the texts of this table".split() + [f"p{pair}w{k}" for k in range(40)]
+        rows += [(pair, " ".join(words)), (1000 + pair, " ".join(words[:-1] + [f"edit{rng.random()}"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = whole_groups(rows)
+    assert len(set(want.values())) == 60
+    assert {r.doc_id for r in S.drop_near_copies(docs).collect()} == set(want.values())
+
+
+def test_text_ids_and_clashing_columns(spark):
+    rows = [("b", "one two three four five six seven"), ("a", "one two three four five six seven"), (None, "other words"), ("c", None)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id string, text string, _gone int, _id int, _number int, _text int")
+    got = {r.doc_id: r.component_id for r in S.near_groups(docs).collect()}
+    assert got == {"a": "a", "b": "a", None: None, "c": "c"}
+    kept = S.drop_near_copies(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {"a", None, "c"}
