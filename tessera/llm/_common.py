@@ -6,7 +6,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ SLICE_BYTES = 4 << 20
 #: Upper bound of one Arrow batch sent to a worker.
 BATCH_BYTES = 16 << 20
 #: A table is broadcast only if its files, written and measured, are smaller.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 2 << 20
 LAST = 2**63 - 1
 
 
@@ -75,9 +75,20 @@ def free_name(base: str, *tables: DataFrame) -> str:
     return base
 
 
-def release() -> None:
-    """Give a worker's freed memory back: workers live on from job to job, and
-    what one stage has left counts against the next."""
+#: What operators keep in a worker between tasks, and how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    _kept[owner] = drop
+
+
+def release(owner: str) -> None:
+    """Called by an operator's tasks: drop what other operators keep in this
+    worker and give freed memory back.  Workers live on from job to job, and what
+    one has left counts against the next."""
+    for name in [x for x in _kept if x != owner]:
+        _kept.pop(name)()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -13,9 +13,9 @@ Counting needs no ids: adjacent pairs wait in a heap by merge rank, symbols sit
 in a doubly linked list, and the count is the number of initial symbols minus
 the merges done.
 
-Both work on pre-tokenised pieces and memoise space-delimited chunks; a memo
-holds ``CACHE_ENTRIES`` at most, so memory is bounded, and results do not depend
-on it.
+Both work on pre-tokenised pieces and memoise space-delimited chunks.  A memo
+holds ``MEMO_BYTES`` at most, and nothing of more than ``LONGEST`` characters,
+so memory is bounded, and results do not depend on it.
 
 Defined results: null text counts as empty (no tokens); very long pieces cost
 linear time (encoding) or n log n (counting); columns beyond those named are
@@ -30,6 +30,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from itertools import chain
+from sys import getsizeof
 
 import ahocorasick
 import numpy as np
@@ -37,9 +38,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import bounded_batches
+from ._common import bounded_batches, keeps, release
 
-CACHE_ENTRIES = 3 << 18
+#: Bytes of one memo, keys, values and slots counted.
+MEMO_BYTES = 128 << 20
+#: Longest piece or chunk, in characters, that is memoised.
+LONGEST = 64
+#: Bytes of a dictionary's slot, about, while it grows.
+SLOT = 150
 #: A space inside a run of white space, where splitting before it would cut a
 #: piece in two; such texts are split by the pattern alone.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -47,20 +53,23 @@ INNER_SPACE = regex.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)")
 
 
 class Memo(dict):
-    """A bounded memo of a function of one argument, in two generations: when
-    the young one is full it replaces the old one, and what is used again
-    returns from there, so frequent entries stay."""
+    """A memo of a function of one argument, bounded in bytes, in two
+    generations: when the young one is full it replaces the old one, and what is
+    used again returns from there, so frequent entries stay."""
 
-    def __init__(self, make, limit: int = CACHE_ENTRIES):
+    def __init__(self, make, limit: int = MEMO_BYTES):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.size, self.old = make, limit, 0, {}
 
     def __missing__(self, key):
+        if type(key) is str and len(key) > LONGEST:
+            return self.make(key)
         value = self.old.pop(key, None)
         if value is None:  # no memo holds None
             value = self.make(key)
-        if len(self) >= self.limit // 2:
-            self.old = dict(self)
+        self.size += getsizeof(key) + getsizeof(value) + SLOT
+        if self.size > self.limit // 2:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[key] = value
         return value
@@ -75,7 +84,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder for one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_bytes: int = MEMO_BYTES):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.size_of = {i: len(t) for t, i in ranks.items()}
@@ -83,12 +92,12 @@ class Codec:
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.halves = Memo(self._halves)
-        self.prefix = Memo(self._prefix)
-        self.fits = Memo(self._fits)
-        self.pieces = Memo(self.encode_piece, entries)
-        self.first = Memo(self._chunk, entries)
-        self.later = Memo(lambda part: self._chunk(" " + part), entries)
+        self.halves = Memo(self._halves, memo_bytes)
+        self.prefix = Memo(self._prefix, memo_bytes)
+        self.fits = Memo(self._fits, memo_bytes)
+        self.pieces = Memo(self.encode_piece, memo_bytes)
+        self.first = Memo(self._chunk, memo_bytes // 4)
+        self.later = Memo(lambda part: self._chunk(" " + part), memo_bytes)
 
     # -- pairs ---------------------------------------------------------------
 
@@ -177,11 +186,12 @@ class Codec:
 _codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> Codec:
+def codec(path: str, pattern: str, memo_bytes: int = MEMO_BYTES) -> Codec:
     """One codec for each worker process and vocabulary."""
-    if (path, pattern, entries) not in _codecs:
-        _codecs[path, pattern, entries] = Codec(read_ranks(path), pattern, entries)
-    return _codecs[path, pattern, entries]
+    if (path, pattern, memo_bytes) not in _codecs:
+        keeps("codec", _codecs.clear)
+        _codecs[path, pattern, memo_bytes] = Codec(read_ranks(path), pattern, memo_bytes)
+    return _codecs[path, pattern, memo_bytes]
 
 
 def _strings(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -223,15 +233,16 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields]).add(out, BinaryType()))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", entries: int = CACHE_ENTRIES) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Encode each text and decode its ids in one pass: key, n_tokens,
     ids_sha256 (of the decimal ids joined by commas), decoded_sha256.  One row
-    for each row, repeated and null keys included.  ``entries`` bounds the memos:
-    fewer take less of a worker's memory and more of its time."""
+    for each row, repeated and null keys included.  ``memo_bytes`` bounds each memo:
+    less takes less of a worker's memory and more of its time."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sha = codec(path, pattern, entries), hashlib.sha256
+        release("codec")
+        own, sha = codec(path, pattern, memo_bytes), hashlib.sha256
         for b in batches:
             counts, coded, decoded = [], [], []
             for x in _strings(b, text):
@@ -256,6 +267,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def refuse(spec: dict) -> None:
+    """Raise ``ValueError`` for a file of the tokenizers library that asks for
+    what the counter doesn't do."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    unfit = [
+        (model.get("type", "BPE") != "BPE", "a model that isn't BPE"),
+        (model.get("dropout"), "dropout"),
+        (model.get("ignore_merges"), "ignored merges"),
+        (model.get("byte_fallback"), "byte fallback"),
+        (model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"), "affixes of subwords"),
+        (spec.get("normalizer"), "a normaliser"),
+        (before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True), "another pre-tokeniser than plain byte level"),
+        (any(t.get(f) for t in spec.get("added_tokens", ()) for f in ("lstrip", "rstrip", "single_word")), "added tokens with flags"),
+    ]
+    for wrong, what in unfit:
+        if wrong:
+            raise ValueError(f"the vocabulary file asks for {what}")
+
+
 class Counter:
     """Token counts for a byte-level BPE file of the tokenizers library."""
 
@@ -264,6 +294,7 @@ class Counter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = byte_letters()
         self.start = [vocab[letters[b]] for b in range(256)]
@@ -277,7 +308,7 @@ class Counter:
         self.special_strings = special
         self.find = regex.compile(self.PATTERN).findall
         self.pieces = Memo(self.count_piece)
-        self.first = Memo(self._chunk)
+        self.first = Memo(self._chunk, MEMO_BYTES // 4)
         self.later = Memo(lambda part: self._chunk(" " + part))
 
     def count_piece(self, piece: str) -> int:
@@ -334,6 +365,7 @@ _counters: dict[str, Counter] = {}
 
 def counter(path: str) -> Counter:
     if path not in _counters:
+        keeps("counter", _counters.clear)
         _counters[path] = Counter(path)
     return _counters[path]
 
@@ -344,6 +376,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("counter")
         own = counter(path)
         for b in batches:
             rows = _strings(b, text)

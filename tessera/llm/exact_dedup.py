@@ -14,9 +14,10 @@ stands for a single block and draws new marks in the (rare) other case, so a
 hash collision can never join two texts.
 
 Defined results: null text counts as empty, and empty texts are equal; a null
-key sorts after all others; repeated rows are members of their group, of which
-one row stays; an empty table gives no rows; columns of any other names are
-ignored by ``exact_groups`` and kept untouched by ``drop_copies``.
+key sorts after all others, and keys of any type are ordered by it; repeated
+rows are members of their group, of which one row stays; an empty table gives no
+rows; columns of any other names are ignored by ``exact_groups`` and kept
+untouched by ``drop_copies``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_order, materialise
+from ._common import free_name, materialise, remove
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Code points of a block.
@@ -51,10 +52,12 @@ def _block_names(normal: DataFrame, size: int, seed: int) -> DataFrame | None:
     return None if shared else names
 
 
-def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per input row: key, tag (xxhash64 of the whole text), n_points
+def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, spent: list[DataFrame] | None = None) -> DataFrame:
+    """One row per input row: _key, tag (xxhash64 of the whole text), n_points
     (code points of the whole text), text_sha256 (of the normalised text), and
-    the identity (level, name)."""
+    the identity (level, name).  Tables written on the way are added to
+    ``spent``: to be removed once the result has been written."""
+    spent = [] if spent is None else spent
     whole = F.coalesce(F.col(text), F.lit(""))
     normal = docs.select(F.col(key).alias("_key"), whole.alias("_whole")).select("_key", "_whole", F.translate("_whole", WHITE, "").alias("_t"))
     seed = 0
@@ -72,9 +75,11 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
         ),
         "block-marks",
     )
+    spent += [names, rows]
     first = rows.select("_row", F.size("marks").alias("n"), F.posexplode("marks").alias("pos", "mark")).join(names, "mark").select("_row", "n", F.col("pos").cast("long").alias("pos"), "name")
     done = first.where("n = 1").select("_row", F.lit(0).alias("level"), "name")
     current, level = materialise(first.where("n > 1"), "names-0"), 0
+    spent.append(current)
     widest = current.agg(F.max("n")).first()[0] or 1
     while widest > 1:
         level, widest = level + 1, (widest + 1) // 2
@@ -85,24 +90,28 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
         )
         pairs = materialise(pairs, f"pairs-{level}")
         of_pair = materialise(_named(pairs.select("a", "b").distinct(), ["a", "b"]), f"pair-names-{level}")
+        spent += [pairs, of_pair]
         renamed = pairs.join(of_pair, ["a", "b"]).select("_row", "n", "pos", "name")
         done = done.unionByName(renamed.where("n = 1").select("_row", F.lit(level).alias("level"), "name"))
         current = renamed.where("n > 1")
         if widest > 1:
             current = materialise(current, f"names-{level}")
-    return rows.join(done, "_row").select("_row", F.col("_key").alias(key), "tag", "n_points", F.lower(F.hex("sha")).alias("text_sha256"), "level", "name")
+            spent.append(current)
+    return rows.join(done, "_row").select("_row", "_key", "tag", "n_points", F.lower(F.hex("sha")).alias("text_sha256"), "level", "name")
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input row: key, keep_id (key of the row that stays: most
     code points in the original text, then smallest key), group_size, kept,
     text_sha256, tag (xxhash64 of the original text)."""
-    members = materialise(identities(docs, key, text, block), "identities")
-    rank = F.struct(F.col("n_points"), -doc_order(F.col(key)), -F.col("_row"))
+    spent: list[DataFrame] = []
+    members = materialise(identities(docs, key, text, block, spent), "identities")
+    remove(*spent)
+    rank = F.struct(-F.col("n_points"), F.col("_key").isNull(), F.col("_key").alias("id"), F.col("_row").alias("row"))
     # written first, so that the join reads plain exchanges, whose large partitions are split
-    groups = materialise(members.groupBy("level", "name").agg(F.max_by(F.struct(F.col(key).alias("id"), F.col("_row").alias("row")), rank).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
+    groups = materialise(members.groupBy("level", "name").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     return members.join(groups, ["level", "name"]).select(
-        key,
+        F.col("_key").alias(key),
         F.col("keep.id").alias("keep_id"),
         "group_size",
         (F.col("keep.row") == F.col("_row")).alias("kept"),
@@ -113,11 +122,14 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns unchanged."""
-    stay = exact_groups(docs, key, text, block).groupBy(F.col(key).alias("_k"), F.col("tag").alias("_tag")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies")).where("_kept")
-    tagged = docs.withColumn("_tag2", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    found = tagged.join(stay, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_tag2") == F.col("_tag")))
-    single = found.where("_copies = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = found.where("_copies > 1").dropDuplicates([key, "_tag2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, tag, mark, copies = (free_name(n, docs) for n in ("_own", "_stay", "_mark", "_copies"))
+    groups = exact_groups(docs.select(F.col(f"`{key}`").alias("_own"), F.col(f"`{text}`").alias("_text")), "_own", "_text", block)
+    stay = groups.groupBy(F.col("_own").alias(own), F.col("tag").alias(tag)).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias(copies)).where("_kept").drop("_kept")
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    found = marked.join(stay, F.col(f"`{key}`").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(tag)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = found.where(F.col(copies) == 1).select(*columns)
+    repeated = found.where(F.col(copies) > 1).dropDuplicates([key, mark]).select(*columns)
     return single.unionByName(repeated)
 
 

@@ -15,15 +15,19 @@ slots, so one period, computed once, places every block:
 All rows stay.  A source that has run out leaves its later slots empty, and the
 others go on in their proportions.
 
-A source's running length is computed in parts: rows are grouped by the leading
-bits of their hash, so a source with a third of all rows is no hot group, and
-only the parts' sums are accumulated over a source.
+A source's running length is computed in parts of about ``PART_ROWS`` rows, by
+the leading bits of their hash, so a source with a third of all rows is no hot
+group, and only the parts' sums are accumulated over a source.
+
+The driver holds the sources' sizes and one period, at most ``slots`` blocks or
+four for each source.  Sources are names that weights are given to; a table with
+more than ``MOST_SOURCES`` is refused, as its schedule would outgrow the driver.
 
 Defined results: a missing source is a source of its own, and a missing text
 has length 0; rows of equal keys are ordered by their text's hash, and repeated
 rows follow each other; sources without a stated weight get ``default``; weights
 of 0 or less are refused; an empty table gives no rows; columns named ``mix_*``
-are replaced, all others kept.
+are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +36,16 @@ import heapq
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOTS = 1024
 BLOCK_CHARS = 1 << 16
 #: Rows of one source that a window holds, about.
-PART_ROWS = 4096
+PART_ROWS = 1024
+MOST_SOURCES = 1 << 20
+#: A period of more blocks is joined by shuffle instead of being broadcast.
+BROADCAST_BLOCKS = 1 << 16
 COLUMNS = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_start")
 
 
@@ -94,17 +101,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key:
     Without ``weights``, sources are tempered by the square root of their size."""
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in COLUMNS]
+    kept = [F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in columns],
+        *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)],
         F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string"))).alias("_s"),
         F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_n"),
         F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("_h"),
         F.xxhash64(text).alias("_t"),
     )
-    # one row for each source comes to the driver
-    found = {r["_s"]: (r["chars"], r["n"]) for r in rows.groupBy("_s").agg(F.sum("_n").alias("chars"), F.count(F.lit(1)).alias("n")).collect()}
+    # one row for each source comes to the driver, and not more than it can hold
+    sizes = rows.groupBy("_s").agg(F.sum("_n").alias("chars"), F.count(F.lit(1)).alias("n"))
+    found = {r["_s"]: (r["chars"], r["n"]) for r in sizes.limit(MOST_SOURCES + 1).collect()}
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     if not found:
-        return docs.select(*columns, *[F.lit(None).cast("long").alias(c) for c in COLUMNS])
+        return docs.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(None).cast("long").alias(c) for c in COLUMNS])
     if weights is None:
         share = shares(tempered({s: c for s, (c, _) in found.items()}), slots)
     else:
@@ -112,9 +123,12 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key:
         share = shares({s: given.get(s, default) for s in found}, slots)
     plan = period(share)
     slots = len(plan)
-    digits = max(1, math.ceil(math.log(max(1, max(n for _, n in found.values()) / PART_ROWS), 16)))
-    rows = rows.withColumn("_p", F.substring("_h", 1, digits))
+    send = F.broadcast if slots <= BROADCAST_BLOCKS else (lambda table: table)
 
+    # a source's share of the period, and the parts that its rows are summed in
+    each = _table(spark, [(s, q, -(-found[s][1] // PART_ROWS)) for s, q in share.items()], "_s string, _q long, _parts long")
+    rows = rows.join(send(each), "_s")
+    rows = rows.withColumn("_p", F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.col("_parts"), 32)).drop("_parts")
     parts = rows.groupBy("_s", "_p").agg(F.sum("_n").alias("_sum"))
     before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_s", "_p", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
@@ -122,15 +136,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key:
     placed = rows.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(parts, ["_s", "_p"])
     placed = placed.withColumn("mix_start", F.col("_offset") + F.col("_inner")).withColumn("mix_block", F.floor(F.col("mix_start") / F.lit(block_chars)).cast("long"))
 
-    # the period has a fixed number of rows: at most ``slots``, or four a source
-    table = ", ".join(f"({_quoted(s)}, {q}L, {k}L, {r}L, {d}L, {t}L)" for s, q, k, r, d, t in plan) if len(plan) <= 8192 else None
-    names = ["_s", "_q", "_k", "_release", "_deadline", "_slot"]
-    schedule = spark.sql(f"SELECT * FROM VALUES {table} AS t({', '.join(names)})") if table else spark.createDataFrame(plan, ", ".join(f"{n} {'string' if n == '_s' else 'long'}" for n in names))
-    each = schedule.select("_s", "_q").distinct()
-    placed = placed.join(F.broadcast(each), "_s").withColumn("_k", F.col("mix_block") % F.col("_q")).join(F.broadcast(schedule.drop("_q")), ["_s", "_k"])
+    schedule = _table(spark, [(s, k, r, d, t) for s, _, k, r, d, t in plan], "_s string, _k long, _release long, _deadline long, _slot long")
+    placed = placed.withColumn("_k", F.col("mix_block") % F.col("_q")).join(send(schedule), ["_s", "_k"])
     turn = (F.floor(F.col("mix_block") / F.col("_q")) * slots).cast("long")
     return placed.select(
-        *[F.col(f"`{c}`") for c in columns],
+        *kept,
         "mix_block",
         (turn + F.col("_release")).alias("mix_release"),
         (turn + F.col("_deadline")).alias("mix_deadline"),
@@ -139,6 +149,14 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key:
     )
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows, as literals; of many, as Arrow batches."""
+    if len(rows) > 8192:
+        return spark.createDataFrame(rows, schema)
+    values = ", ".join("(" + ", ".join(_quoted(x) if isinstance(x, str) else f"{x}L" for x in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(c.split()[0] for c in schema.split(', '))})")
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -146,8 +164,8 @@ def _quoted(s: str) -> str:
 def interleaved(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
     """``docs``, columns unchanged, in the order of the schedule: range
     partitions by slot, sorted, so files written from it follow one another."""
-    made = mix(docs, weights, **options)
     columns = [c for c in docs.columns if c not in COLUMNS]
+    made = mix(docs, weights, **options)
     return made.repartitionByRange("mix_slot", "mix_start").sortWithinPartitions("mix_slot", "mix_start").select(*[F.col(f"`{c}`") for c in columns])
 
 

@@ -10,7 +10,9 @@ on margins of folds that the model hasn't seen.
 
 The classifier is fitted on at most ``PER_CLASS`` labelled rows of each class,
 chosen by the hash of their id (the documented bound of its sample): these go
-to the driver as sorted feature arrays.  Scoring covers all rows, and its state
+to the driver as sorted feature arrays, or as bit maps where those are smaller,
+so ``2 * PER_CLASS`` rows take 2 ** BITS / 8 bytes each at most, 256 MB in all
+(measured: 3 KB a row).  Scoring covers all rows, and its state
 is one dense array of weights, whose size is fixed.
 
 Defined results: null text counts as empty; an empty text has no features and
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import bounded_batches, texts
+from ._common import bounded_batches, free_name, release, texts
 
 BITS = 18
 ORDERS = (1, 2, 3)
@@ -64,6 +66,22 @@ def features(text: bytes, bits: int = BITS, orders: tuple[int, ...] = ORDERS) ->
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def packed(columns: np.ndarray, bits: int = BITS) -> bytes:
+    """Sorted columns as they are or, where that is shorter, as a bit map (one
+    byte more than a whole number of words tells which)."""
+    if columns.nbytes <= 1 << (bits - 3):
+        return columns.tobytes()
+    seen = np.zeros(1 << bits, dtype=bool)
+    seen[columns] = True
+    return np.packbits(seen).tobytes() + b"\1"
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) % 4 == 0:
+        return np.frombuffer(data, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, len(data) - 1))).astype(np.int32)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -184,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [features(t).tobytes() for t in texts(b, "_t")]
+            made = [packed(features(t)) for t in texts(b, "_t")]
             yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_y"), pa.array(made, pa.binary())], names=["k", "y", "f"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -192,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     keys, blobs = found.column("k").to_pylist(), found.column("f").to_pylist()
     order = sorted(range(len(keys)), key=lambda i: (keys[i], blobs[i]))
     labels = found.column("y").to_numpy()
-    return fit([np.frombuffer(blobs[i], np.int32) for i in order], labels[np.array(order, dtype=np.int64)])
+    return fit([unpacked(blobs[i]) for i in order], labels[np.array(order, dtype=np.int64)])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None, out: str = "score") -> DataFrame:
@@ -201,17 +219,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
     bounded_batches(spark)
     names = [c for c in (docs.columns if columns is None else columns) if c != out]
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(f"`{text}`").alias("_t"), *[F.col(f"`{c}`") for c in names])
+    rows = docs.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("quality")
         own = shared.value
         for b in batches:
-            made = pa.array([own.score(features(t)) for t in texts(b, "_t")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], made], names=[*names, out])
+            made = pa.array([own.score(features(t)) for t in texts(b, "_text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], made], names=[*b.schema.names[1:], "score"])
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields[1:]).add(out, "double"))
+    return rows.mapInArrow(run, StructType(rows.schema.fields[1:]).add("score", "double")).toDF(*names, out)
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows that the classifier doesn't reject, columns unchanged."""
-    return score(docs, model, text, out="_quality").where(F.col("_quality") >= least).drop("_quality")
+    own = free_name("_quality", docs)
+    return score(docs, model, text, out=own).where(F.col(own) >= least).drop(own)

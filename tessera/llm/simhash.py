@@ -510,7 +510,7 @@ def similar_groups(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
     frequent = _frequent(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release("simhash")
         for b in batches:
             made = []
             for x in texts(b, "_text"):

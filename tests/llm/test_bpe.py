@@ -58,3 +58,25 @@ def test_operators_on_odd_tables(spark):
     counts = bpe.count_tokens(docs, P.path("byte_bpe_50k.json"), limit=1).collect()
     assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in counts) == [(0, 0, False), (0, 0, False), (1, 1, False), (7, 2, True), (7, 2, True)]
     assert bpe.round_trip(docs.limit(0), path, P.PATTERN).collect() == []
+
+
+def test_memos_are_bounded_in_bytes():
+    made = []
+    memo = bpe.Memo(lambda k: made.append(k) or (k,) * 10, limit=20_000)
+    for k in range(3000):
+        assert memo[f"key{k}"] == (f"key{k}",) * 10
+        assert memo["often"] == ("often",) * 10
+        assert memo["long" * 50] == ("long" * 50,) * 10
+    assert memo.size <= 10_000 and len(memo) + len(memo.old) < 100
+    assert made.count("often") == 1 and made.count("long" * 50) == 3000
+
+
+def test_unfit_vocabulary_files_are_refused():
+    fit = {"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    bpe.refuse(fit)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"model": {"type": "WordPiece"}}, {"model": {"type": "BPE", "byte_fallback": True}}, {"added_tokens": [{"content": "x", "lstrip": True}]}):
+        try:
+            bpe.refuse(fit | change)
+        except ValueError:
+            continue
+        raise AssertionError(change)

@@ -40,3 +40,12 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = X.exact_groups(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_text_ids_and_clashing_columns(spark):
+    rows = [("b", "a b"), ("a", "a b"), (None, "ab"), ("c", None), ("d", " ")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id string, text string, _own int, tag int, _mark int, _copies int, _kept int")
+    got = {r.doc_id: (r.keep_id, r.kept) for r in X.exact_groups(docs).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), None: ("a", False), "c": ("d", False), "d": ("d", True)}
+    kept = X.drop_copies(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {"a", "d"}

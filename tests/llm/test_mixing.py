@@ -69,3 +69,22 @@ def test_interleaved_order_and_empty(spark):
     ordered = [r.source for r in out.collect()]
     assert len(ordered) == 400 and abs(ordered[:60].count("b") - 30) <= 1
     assert M.mix(docs.limit(0)).collect() == []
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["_s", "_n", "_h", "_t", "_p", "_q", "_parts", "_k", "c0"]
+    docs = spark.createDataFrame([(k, "x" * k, f"s{k % 3}", *range(9)) for k in range(50)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    made = M.mix(docs)
+    assert made.columns == [*docs.columns, *M.COLUMNS]
+    assert sorted(made.select(*docs.columns).collect()) == sorted(docs.collect())
+    assert M.interleaved(docs).columns == docs.columns
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_SOURCES", 5)
+    docs = spark.range(6).selectExpr("id AS doc_id", "'t' AS text", "id AS source")
+    try:
+        M.mix(docs)
+    except ValueError:
+        return
+    raise AssertionError

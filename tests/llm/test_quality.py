@@ -50,3 +50,18 @@ def test_odd_tables(spark):
     assert Q.train(docs, labels.where("quality = 1"), F.lit(True)).constant == 1.0
     assert Q.train(docs, labels.limit(0), F.lit(True)).constant == 0.5
     assert Q.score(docs.limit(0), model).collect() == []
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "good text", 5, 6, 7)], "doc_id long, text string, _t int, _quality int, c0 int")
+    model = Q.Model(np.zeros(1 << Q.BITS, np.float32), 0.0, constant=1.0)
+    assert Q.keep_good(docs, model).collect() == docs.collect()
+    assert Q.score(docs, model).columns == [*docs.columns, "score"]
+
+
+def test_packed_features_are_bounded():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 8191, 8192, 8193, 100_000, 1 << Q.BITS):
+        columns = np.sort(rng.permutation(1 << Q.BITS)[:n]).astype(np.int32)
+        assert len(Q.packed(columns)) <= (1 << Q.BITS) // 8 + 1
+        assert Q.unpacked(Q.packed(columns)).tolist() == columns.tolist()

@@ -64,3 +64,37 @@ def test_turns_and_plan(spark):
     assert got[None, "turn-0"].status == got[4, None].status == "unidentified" and len(got) == 6
     empty = spark.createDataFrame([], CALLS)
     assert T.link(empty, spark.createDataFrame([], RESULTS), SCHEMAS).collect() == []
+
+
+def test_numbers_have_one_spelling(spark):
+    one = {"1": ["1", "1.0", "1e0", "100e-2", "10E-1", "0.1e+1"], "0": ["0", "-0", "0.0e5", "-0.00"], "1e+400": ["1E400", "10e399"], "-12.5": ["-12.50", "-1.25e1", "-125E-1"], "1e-7": ["0.0000001", "0.1e-6"], "0.000001": ["1e-6", "0.0000010"], "100000000000000000000": ["1e20"], "1e+21": ["1000000000000000000000"], "1.1111111111111111111111111": ["1.11111111111111111111111110"]}
+    rows = [(1, f"c{k}-{j}", 0, "f", f'{{"a": {t}}}', None) for k, ts in enumerate(one.values()) for j, t in enumerate(ts)]
+    got = {r.call_id: r for r in T.link(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), {"f": {"a": ("integer", True)}}).collect()}
+    for k, (spelling, ts) in enumerate(one.items()):
+        for j in range(len(ts)):
+            r = got[f"c{k}-{j}"]
+            assert r.canonical_json.startswith(f'{{"arguments":{{"a":{spelling}}},')
+            assert r.valid == ("e-" not in spelling and "." not in spelling), spelling
+
+
+def test_marks_do_not_show(spark):
+    odd = {
+        '{"b":"x\\"n5\\" \\\\","c":["n1","s",{"s":"n","n":[]}],"d":"\\u0023 , \\"s"}': True,
+        '{"k\\"n":"","":{}}': True,
+        '{"a":"' + 'q\\n, "'[:-1] * 30_000 + '"}': True,
+        '{"a":01}': False,
+        '{"a":1,"a":2}': False,
+        '{"a":1e9999999999999}': False,
+        '{"a" 1}': False,
+        "": False,
+        "[" * 300 + "]" * 300: False,
+    }
+    rows = [(1, f"c{k}", 0, "f", t, None) for k, t in enumerate(odd)]
+    got = {r.call_id: r for r in T.link(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), {"f": {}}).collect()}
+    for k, (t, fine) in enumerate(odd.items()):
+        r = got[f"c{k}"]
+        assert (r.errors != ["arguments are no object"]) == fine, t[:50]
+        if fine:
+            own = json.loads(r.canonical_json)
+            assert own["arguments"] == json.loads(t) and own["id"] == f"c{k}" and own["name"] == "f"
+            assert r.canonical_json == json.dumps(own, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
