@@ -18,9 +18,9 @@ from tessera.llm._common import materialise
 LEAST_QUALITY = 0.5
 SHINGLE, SIMILARITY = 5, 0.8
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bound of the encoder's memos, less than its default: workers also hold what
-#: the stages before have left in their memory.
-MEMO_ENTRIES = 3 << 17
+#: Bound of each of the encoder's memos, less than its default: workers also hold
+#: what the stages before have left in their memory.
+MEMO_BYTES = 64 << 20
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Digests of every document's token ids and of what they decode to, in the
     order of the schedule.  Rows are read again in another order than they were
     written in, so the schedule, the same for the same rows, is made anew."""
-    return bpe.round_trip(mixing.interleaved(docs), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, entries=MEMO_ENTRIES)
+    return bpe.round_trip(mixing.interleaved(docs), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, memo_bytes=MEMO_BYTES)
 
 
 STAGES = [
