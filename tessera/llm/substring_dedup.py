@@ -54,11 +54,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _ODD, dtype=np.uint64)
-    return np.multiply.accumulate(out) if n else out
-
-
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte and end of each word, and each text's first word (n+1)."""
     dark = ~_WHITE[data]
@@ -72,15 +67,22 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, np.flatnonzero(dark & after) + 1, np.searchsorted(first, offsets)
 
 
+#: Masks of a word's first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each word."""
-    if not len(first):
-        return np.empty(0, np.uint64)
+    """A 64-bit hash of each word, eight bytes at a time."""
     size = end - first
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    values = data[at + np.repeat(first, size)].astype(np.uint64) + np.uint64(1)
-    values *= _powers(int(size.max()))[at]
-    return mix(np.add.reduceat(values, np.cumsum(size) - size))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(size.astype(np.uint64) * _ODD ^ (eight[first] & _FIRST[np.minimum(size, 8)]))
+    some, k = np.flatnonzero(size > 8), 8
+    while len(some):
+        out[some] = mix(out[some] * _ODD ^ (eight[first[some] + k] & _FIRST[np.minimum(size[some] - k, 8)]))
+        k += 8
+        some = some[size[some] > k]
+    return mix(out * _ODD)
 
 
 def joined(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:

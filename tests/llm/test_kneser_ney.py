@@ -10,42 +10,49 @@ from tessera.llm import kneser_ney as K
 
 
 def brute(train, scored):
-    big, uni = Counter(), Counter()
+    three, uni = Counter(), Counter()
+    split = lambda t: [*(t or "").lower().encode().split(), "</s>"]
     for t in train:
-        w = [*(t or "").lower().encode().split(), "</s>"]
+        w = split(t)
         uni.update(w)
-        big.update(zip(["<s>", *w[:-1]], w))
-    follow, left = defaultdict(Counter), Counter()
-    for (v, w), c in big.items():
-        follow[v][w] = c
-        left[w] += 1
-    coc, loc = Counter(big.values()), Counter(left.values())
-    d, e = K.discounts(*(coc[k] for k in (1, 2, 3, 4))), K.discounts(*(loc[k] for k in (1, 2, 3, 4)))
+        three.update(zip(["<s>", "<s>", *w[:-2]], ["<s>", *w[:-1]], w))
+    contexts, follow, left = defaultdict(Counter), defaultdict(Counter), Counter()
+    for (u, v, w), c in three.items():
+        contexts[u, v][w] = c
+        follow[v][w] += c if v == "<s>" else 1
+    for v in follow:
+        left.update(follow[v].keys())
+    two = [x for v in follow.values() for x in v.values()]
+    d1, d2, d3 = (K.discounts(*(Counter(x)[k] for k in (1, 2, 3, 4))) for x in (left.values(), two, three.values()))
     cut = lambda c, d: 0 if c == 0 else d[min(c, 3) - 1]
-    pairs, n, size = len(big), sum(uni.values()), len(uni)
-    rest = sum(cut(x, e) for x in left.values()) / pairs
+    pairs, n, size = len(two), sum(uni.values()), len(uni)
+    rest = sum(cut(x, d1) for x in left.values()) / pairs
+
+    def over(counts, x, d, low):
+        total = sum(counts.values())
+        return max(counts[x] - cut(counts[x], d), 0) / total + sum(cut(k, d) for k in counts.values()) / total * low if total else low
+
     out = []
     for t in scored:
-        w = [*(t or "").lower().encode().split(), "</s>"]
+        w = split(t)
         total = base = 0.0
-        for v, x in zip(["<s>", *w[:-1]], w):
-            low = max(left[x] - cut(left[x], e), 0) / pairs + rest / (size + 1)
-            c = sum(follow[v].values())
-            p = low if not c else max(follow[v][x] - cut(follow[v][x], d), 0) / c + sum(cut(k, d) for k in follow[v].values()) / c * low
+        for u, v, x in zip(["<s>", "<s>", *w[:-2]], ["<s>", *w[:-1]], w):
+            p = max(left[x] - cut(left[x], d1), 0) / pairs + rest / (size + 1)
+            p = over(contexts[u, v], x, d3, over(follow[v], x, d2, p))
             total += math.log10(p)
             base += math.log10((uni[x] + 1) / (n + size + 1))
         out.append((len(w), sum(uni[x] > 0 for x in w), n, base, total))
     return out
 
 
-@pytest.mark.parametrize("words", [6, 400])
-def test_against_brute_force(spark, words):
+@pytest.mark.parametrize("words, part", [(6, 1 << 22), (400, 1 << 22), (6, 16), (400, 16), (400, 1)])
+def test_against_brute_force(spark, words, part):
     rng = random.Random(words)
     vocab = [f"W{k}" if k % 3 else f"é{k}" for k in range(words)]
     texts = [" ".join(rng.choice(vocab[: 1 + k]) for _ in range(rng.randint(0, 80))) for k in (rng.randrange(words) for _ in range(80))]
     texts += [None, "", " \t", "never seen words here", "a" * 3000, texts[0], texts[0]]
     docs = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)], "doc_id long, text string, score double").repartition(3)
-    model = K.train(docs, F.col("doc_id") % 4 != 1)
+    model = K.train(docs, F.col("doc_id") % 4 != 1, part=part)
     got = sorted(K.score(docs, model, F.col("doc_id") % 4 == 1).collect())
     want = brute([t for k, t in enumerate(texts) if k % 4 != 1], texts)
     assert [r.held_out for r in got] == [k % 4 == 1 for k in range(len(texts))]
@@ -60,9 +67,32 @@ def test_probabilities_sum_to_one(spark):
     model = K.train(docs, F.lit(True))
     words = [b"a", b"b", b"c", b"d", b"e"]
     tokens = np.array([K.tokens_of(np.frombuffer(w, np.uint8), np.array([0, 1]))[0][0] for w in words] + [K.END, 12345], np.uint64)
-    for v in [K.START, *tokens]:
-        _, logs = model.log10(tokens, np.full(len(tokens), v, np.uint64))
-        assert (10**logs).sum() == pytest.approx(1)  # the last stands for all unseen words
+    texts = [[], *([x] for x in tokens), *([x, y] for x in tokens for y in tokens)]  # contexts
+    for context in texts:
+        rows = np.array([[*context, x] for x in tokens], np.uint64)
+        begin = np.arange(len(rows) + 1) * rows.shape[1]
+        _, logs = model.log10(rows.ravel(), begin)
+        last = logs[begin[1:] - 1]
+        assert (10**last).sum() == pytest.approx(1)  # the last stands for all unseen words
+
+
+def test_tables_find_what_was_written(tmp_path):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 63, 64, 5000, 100_000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        counts = [rng.geometric(0.5, len(keys)) ** 7, rng.integers(0, 40, len(keys))]
+        for whole in (False, True):
+            name = f"{n}-{whole}"
+            K.write_table(f"file://{tmp_path}", name, keys, counts, (6, 6), whole=whole)
+            table = K._table(f"file://{tmp_path}", name)
+            at = table.find(keys)
+            assert (at == np.arange(len(keys))).all() and (table.rows(at) == np.stack(counts, axis=1)).all()
+            other = np.setdiff1d(rng.integers(0, 1 << 64, 3000, dtype=np.uint64), keys)
+            assert (table.find(other) == -1).all() and not table.rows(table.find(other)).any()
+    close = np.array([5, 6, 7 << 40], np.uint64)  # alike in the bits kept: written whole
+    K.write_table(f"file://{tmp_path}", "close", close, [np.arange(3) << 40], (20,))
+    assert K._table(f"file://{tmp_path}", "close").rows(np.arange(3))[:, 0].tolist() == [0, 1 << 40, 2 << 40]
+    assert K._table(f"file://{tmp_path}", "close").find(close).tolist() == [0, 1, 2]
 
 
 def test_empty_tables(spark):
