@@ -12,10 +12,22 @@ once with numpy; literal runs are then followed four symbols a step, and only
 back-references are handled one by one.  All other streams take the general
 loop; both give the same pixels.
 
+What it holds at once is bounded: bit positions are taken ``CHUNK`` bytes at a
+time.
+
+The encoder finds real back-references: places chosen by their content (a hash
+of the next bytes) are compared with earlier places of the same hash, matches
+are grown to both sides and checked, and runs of one pixel copy their neighbour.
+Of the transforms it takes those that pay for the image at hand: the palette
+where 16 colours or fewer occur, the predictor (each tile with the mode, of those
+that the row above alone decides, that leaves least) where it shortens the
+samples by estimate.
+
 ``store_payloads`` keeps a text's bytes, padded with 255 to a positive multiple
-of 576, as 8-bit samples in the green channel of images 576 wide (of at most
-1,024 rows; longer payloads are several images in a row).  ``read_payloads``
-decodes the stored bytes again and describes what it has read.
+of 576, as 8-bit samples in the green channel of one file, 576 wide.  Up to
+16,384 rows are a simple file; more, which no VP8L image can hold, are frames of
+the same container, one below the other on one canvas.  ``read_payloads`` decodes
+the stored bytes again and describes what it has read.
 
 Defined results: null text counts as empty (one row of 255); media that is
 null, cut short or not lossless WebP raises ``ValueError`` in ``decode`` and
@@ -36,14 +48,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from ._common import bounded_batches, texts
+from ._common import bounded_batches, release, texts
 
 ROW = 576
 MAX_SIDE = 1 << 14
 MAX_COPY = 4096
-#: Rows of one stored image; longer payloads are several images, so that what a
-#: worker holds of one is bounded.
-PAYLOAD_ROWS = 1024
+#: Bytes whose bit positions are looked up at once.
+CHUNK = 1 << 16
+#: Bytes of a match at least, and how far back it may lie.
+LEAST_MATCH, FARTHEST = 24, (1 << 20) - 120
+#: Rows of a frame.
+FRAME_ROWS = MAX_SIDE
+#: Side of a predictor's tile, as a power of two, and the modes that the encoder
+#: chooses from: nothing, above, above left, and the mean of these.
+TILE, MODES = 5, (0, 2, 4, 8)
 #: Longest code that the encoder makes; decoding tables hold up to 15 bits.
 ENCODED_BITS = 12
 
@@ -306,55 +324,63 @@ def _green_only(r: Reader, width: int, size: int, codes: list[Code]) -> np.ndarr
     if green.single is not None and green.single < 256:
         return np.full(size, base | green.single << 8, np.uint32)
     out = np.empty(size, np.uint32)
-    first = r.at >> 3
-    data = np.frombuffer(r.data, np.uint8, len(r.data) - first, first)
-    data = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
-    n = len(data) - 4
-    windows = data[:n] | data[1 : n + 1] << 8 | data[2 : n + 2] << 16
-    windows = (windows[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << green.bits) - 1)).ravel()
-    symbols = green.symbols[windows]
-    here = np.arange(len(symbols), dtype=np.int32)
-    one = np.where(symbols < 256, here + green.sizes[windows], here)  # others stay where they are
-    np.minimum(one, len(symbols) - 1, out=one)
-    two = one[one]
-    four = two[two]
-    step, kind = memoryview(four), memoryview(symbols)
-    at, done, start = r.at - 8 * first, 0, 8 * first
+    done = 0
     while done < size:
-        if kind[at] < 256:
-            run, limit = [], (size - done + 3) // 4
-            while len(run) < limit:
-                run.append(at)
-                onward = step[at]
-                if onward == at:
-                    break
-                at = onward
-            spots = np.array(run, np.int32)
-            spots = np.stack([spots, one[spots], two[spots], one[two[spots]]], axis=1).ravel()
-            found = symbols[spots]
-            found = found[found < 256][: size - done]
-            if not len(found):
-                raise ValueError("lossless WebP data is cut short")
-            out[done : done + len(found)] = base | found.astype(np.uint32) << 8
-            done += len(found)
-            if done == size:
-                # where the last literal ends
-                literal = spots[symbols[spots] < 256][: len(found)]
-                at = int(literal[-1]) + int(green.sizes[windows[literal[-1]]])
-                break
+        first = r.at >> 3
+        data = np.frombuffer(r.data, np.uint8, min(CHUNK, len(r.data) - first), first)
+        last = first + len(data) == len(r.data)
+        data = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
+        n = len(data) - 4
+        if not n:
+            raise ValueError("lossless WebP data is cut short")
+        windows = data[:n] | data[1 : n + 1] << 8 | data[2 : n + 2] << 16
+        windows = (windows[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << green.bits) - 1)).ravel()
+        symbols = green.symbols[windows]
+        sizes = green.sizes[windows]
+        # a chunk's last bits are read with the next one
+        stop = len(symbols) - 1 if last else len(symbols) - 32
+        here = np.arange(len(symbols), dtype=np.int32)
+        one = np.where((symbols < 256) & (here < stop), here + sizes, here)  # others stay where they are
+        np.minimum(one, len(symbols) - 1, out=one)
+        two = one[one]
+        four = two[two]
+        step, kind = memoryview(four), memoryview(symbols)
+        at, start = r.at - 8 * first, 8 * first
+        while done < size and (at < stop or last):
             if kind[at] < 256:
-                raise ValueError("lossless WebP data is cut short")
-        symbol = kind[at]
-        r.at = start + at + int(green.sizes[windows[at]])
-        if symbol >= 280:
-            raise ValueError("a colour cache symbol without a colour cache")
-        length = unprefix(symbol - 256, r)
-        _copy(out, done, _distance(unprefix(codes[4].read(r), r), width), length)
-        done += length
-        at = r.at - start
-    r.at = start + at
-    if r.at > r.end:
-        raise ValueError("lossless WebP data is cut short")
+                run, limit = [], (size - done + 3) // 4
+                while len(run) < limit:
+                    run.append(at)
+                    onward = step[at]
+                    if onward == at:
+                        break
+                    at = onward
+                spots = np.array(run, np.int32)
+                spots = np.stack([spots, one[spots], two[spots], one[two[spots]]], axis=1).ravel()
+                spots = spots[(symbols[spots] < 256) & ((spots < stop) | last)][: size - done]
+                # places after a stop repeat: each literal is one place
+                spots = spots[np.concatenate([[True], spots[1:] != spots[:-1]])] if len(spots) else spots
+                if not len(spots):
+                    raise ValueError("lossless WebP data is cut short")
+                out[done : done + len(spots)] = base | symbols[spots].astype(np.uint32) << 8
+                done += len(spots)
+                at = int(spots[-1]) + int(sizes[spots[-1]])
+                if at >= len(symbols):
+                    break
+                if done < size and at < stop and kind[at] < 256:
+                    raise ValueError("lossless WebP data is cut short")
+                continue
+            symbol = kind[at]
+            r.at = start + at + int(sizes[at])
+            if symbol >= 280:
+                raise ValueError("a colour cache symbol without a colour cache")
+            length = unprefix(symbol - 256, r)
+            _copy(out, done, _distance(unprefix(codes[4].read(r), r), width), length)
+            done += length
+            at = r.at - start
+        r.at = start + at
+        if r.at > r.end or (done < size and r.at == r.end):
+            raise ValueError("lossless WebP data is cut short")
     return out
 
 
@@ -443,10 +469,20 @@ def _predicted(mode: int, left, up, up_right, up_left):
     return [0, 0, 0, 255]
 
 
+def _from_above(modes: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Predictions of a row's pixels but the first, where the row above alone
+    decides them (modes 0, 2, 4, 8)."""
+    up, corner = above[1:], above[:-1]
+    black = np.array([0, 0, 0, 255], np.uint8)
+    mean = ((up.astype(np.uint16) + corner) >> 1).astype(np.uint8)
+    kind = modes[1:, None]
+    return np.where(kind == 2, up, np.where(kind == 4, corner, np.where(kind == 8, mean, black)))
+
+
 def predict(image: np.ndarray, modes: np.ndarray, bits: int, forward: bool) -> np.ndarray:
     """Subtract (``forward``) or add each pixel's prediction.  Predictions use
-    original pixels, so the inverse goes pixel by pixel; rows of upward
-    prediction alone are taken at once."""
+    original pixels, so the inverse goes pixel by pixel; the first row, and rows
+    that the row above decides, are taken at once."""
     height, width = image.shape
     given = _bytes(image)
     real = given if forward else np.zeros_like(given)
@@ -461,14 +497,24 @@ def predict(image: np.ndarray, modes: np.ndarray, bits: int, forward: bool) -> n
 
     for y in range(height):
         row = (modes[y >> bits] >> 8 & 0xF).tolist()
-        if y and not forward and set(row) == {2}:
-            real[y] = out[y] = given[y] + real[y - 1]
+        if y == 0:
+            guess = np.zeros_like(given[0])
+            guess[0, 3] = 255
+            if forward:
+                guess[1:] = real[0, :-1]
+                out[0] = given[0] - guess
+            else:
+                real[0] = out[0] = np.cumsum(np.concatenate([given[0, :1] + guess[:1], given[0, 1:]]), axis=0, dtype=np.uint8)
             continue
-        above = real[y - 1].tolist() if y else None
+        if set(row) <= {*MODES}:
+            guess = np.concatenate([real[y - 1, :1], _from_above(np.repeat(row, 1 << bits)[:width], real[y - 1])])
+            out[y] = given[y] - guess if forward else given[y] + guess
+            if not forward:
+                real[y] = out[y]
+            continue
+        above = real[y - 1].tolist()
         for x in range(width):
-            if y == 0:
-                put(y, x, [0, 0, 0, 255] if x == 0 else real[0, x - 1].tolist())
-            elif x == 0:
+            if x == 0:
                 put(y, x, above[0])
             else:
                 right = above[x + 1] if x + 1 < width else real[y, 0].tolist()
@@ -532,26 +578,55 @@ def _running(table: np.ndarray) -> np.ndarray:
 # -- whole files ---------------------------------------------------------------
 
 
-def _chunks(data: bytes) -> tuple[int, int, int]:
-    """(first byte, size) of the VP8L chunk and the file's whole size."""
+def _frames(data: bytes) -> tuple[list[tuple[int, int, int, int]], int, int]:
+    """(x, y, first byte, size) of each VP8L chunk, and the canvas (0, 0 where
+    the only image is all of it)."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     end = 8 + int.from_bytes(data[4:8], "little")
-    at = 12
-    while at + 8 <= min(end, len(data)):
-        size = int.from_bytes(data[at + 4 : at + 8], "little")
-        if data[at : at + 4] == b"VP8L":
-            if at + 8 + size > len(data):
-                raise ValueError("lossless WebP data is cut short")
-            return at + 8, size, end
-        at += 8 + size + (size & 1)
-    raise ValueError("no lossless image in the file")
+    if len(data) > end + (end & 1):
+        raise ValueError("bytes after the end of the file")
+    number = lambda at: int.from_bytes(data[at : at + 3], "little")
+    found, width, height = [], 0, 0
+
+    def walk(at: int, stop: int, x: int, y: int) -> None:
+        nonlocal width, height
+        while at + 8 <= min(stop, len(data)):
+            kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+            if kind == b"VP8L":
+                if at + 8 + size > len(data):
+                    raise ValueError("lossless WebP data is cut short")
+                found.append((x, y, at + 8, size))
+            elif kind == b"VP8X":
+                width, height = number(at + 12) + 1, number(at + 15) + 1
+            elif kind == b"ANMF":
+                walk(at + 24, at + 8 + size, 2 * number(at + 8), 2 * number(at + 11))
+            at += 8 + size + (size & 1)
+
+    walk(12, end, 0, 0)
+    if not found:
+        raise ValueError("no lossless image in the file")
+    return found, width, height
 
 
 def decode_argb(data: bytes) -> np.ndarray:
-    first, size, _ = _chunks(data)
-    body = data[first : first + size]
-    r = Reader(body)
+    """The pixels of a file as ARGB words.  Frames of one file are laid on its
+    canvas in order, each over what is there; the rest is transparent."""
+    frames, width, height = _frames(data)
+    if len(frames) == 1:
+        _, _, first, size = frames[0]
+        return _decode_frame(data[first : first + size])
+    canvas = np.zeros((height, width), np.uint32)
+    for x, y, first, size in frames:
+        part = _decode_frame(data[first : first + size])
+        if y + part.shape[0] > height or x + part.shape[1] > width:
+            raise ValueError("a frame outside the canvas")
+        canvas[y : y + part.shape[0], x : x + part.shape[1]] = part
+    return canvas
+
+
+def _decode_frame(body: bytes) -> np.ndarray:
+    r, size = Reader(body), len(body)
     if size < 5 or r(8) != 0x2F:
         raise ValueError("no lossless image in the file")
     width, height = r(14) + 1, r(14) + 1
@@ -586,37 +661,76 @@ def decode(data: bytes) -> np.ndarray:
     return _bytes(decode_argb(data))[..., [2, 1, 0, 3]]
 
 
-def decode_all(data: bytes) -> np.ndarray:
-    """The images of ``data``, one below the other; all its bytes are theirs."""
-    out = []
-    while data or not out:
-        _, _, end = _chunks(data)
-        out.append(decode(data[:end]))
-        data = data[end:]
-    if len({x.shape[1] for x in out}) > 1:
-        raise ValueError("images of several widths")
-    return np.concatenate(out)
-
-
-def _literals(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of one pixel become copies at distance 1: kept literals' mask, and
-    the first pixel and length of each copy."""
-    same = np.concatenate([[False], pixels[1:] == pixels[:-1]])
+def find_copies(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sample, length and distance of copies, in order and apart: of runs,
+    from the sample before; of matches, from anywhere up to ``FARTHEST`` back."""
+    n = len(samples)
+    same = np.concatenate([[False], samples[1:] == samples[:-1]])
     edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
     starts, lengths = edges[::2], np.diff(edges)[::2]
-    long = lengths >= 8
-    starts, lengths = starts[long], lengths[long]
-    keep = np.ones(len(pixels), dtype=bool)
-    for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-        keep[s : s + n] = False
-    return keep, starts, lengths
+    found = [(s, k, 1) for s, k in zip(starts[lengths >= 8].tolist(), lengths[lengths >= 8].tolist(), strict=True)]
+    if n > 2 * LEAST_MATCH:
+        eight = np.ndarray(n - LEAST_MATCH + 1, "<u8", samples, strides=(1,))
+        # one place in eight, chosen by the bytes there
+        places = np.flatnonzero((eight * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(61) == 0)
+        later = np.ndarray(n - 7, "<u8", samples, strides=(1,))
+        key = (eight[places] * np.uint64(0x9E3779B97F4A7C15) ^ later[places + 8]) * np.uint64(0xD6E8FEB86659FD93) ^ later[places + 16]
+        order = np.argsort(key, kind="stable")
+        again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        if len(again):
+            pairs = sorted(zip(places[order[again + 1]].tolist(), places[order[again]].tolist(), strict=True))
+            data, reach = samples.tobytes(), 0
+            matches = []
+            for at, source in pairs:
+                distance = at - source
+                if at < reach or distance > FARTHEST or data[at : at + LEAST_MATCH] != data[source : source + LEAST_MATCH]:
+                    continue
+                while at > reach and source > 0 and data[at - 1] == data[source - 1]:
+                    at, source = at - 1, source - 1
+                length = LEAST_MATCH
+                while at + length < n:
+                    step = min(512, n - at - length)
+                    a, b = samples[at + length : at + length + step], samples[source + length : source + length + step]
+                    differ = np.flatnonzero(a != b)
+                    length += int(differ[0]) if len(differ) else step
+                    if len(differ):
+                        break
+                matches.append((at, length, distance))
+                reach = at + length
+            found = _apart(found, matches)
+    made = np.array(sorted(found), np.int64).reshape(-1, 3)
+    return made[:, 0], made[:, 1], made[:, 2]
+
+
+def _apart(runs: list[tuple[int, int, int]], matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Matches, and of runs what lies between them."""
+    out, k = list(matches), 0
+    for start, length, distance in runs:
+        while k < len(matches) and matches[k][0] + matches[k][1] <= start:
+            k += 1
+        at, end, j = start, start + length, k
+        while at < end:
+            if j < len(matches) and matches[j][0] <= at:
+                at, j = max(at, matches[j][0] + matches[j][1]), j + 1
+                continue
+            stop = min(end, matches[j][0]) if j < len(matches) else end
+            if stop - at >= 8:
+                out.append((at, stop - at, distance))
+            at = stop
+    return out
 
 
 def write_image(w: Writer, image: np.ndarray, top: bool, cache_bits: int = 0) -> np.ndarray:
     """Code an image; what ``w`` holds and the rest of the bits come back as one
     array, and ``w`` is spent."""
     pixels = np.ascontiguousarray(image, np.uint32).ravel()
-    keep, starts, lengths = _literals(pixels)
+    if not ((pixels ^ pixels[0]) & np.uint32(0xFFFF00FF)).any():
+        starts, lengths, distances = find_copies((pixels >> 8).astype(np.uint8))
+    else:
+        starts, lengths, distances = _pixel_runs(pixels)
+    keep = np.ones(len(pixels), dtype=bool)
+    for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+        keep[s : s + n] = False
     green = (pixels >> 8 & 0xFF).astype(np.int64)
     cached = np.zeros(len(pixels), dtype=bool)
     if cache_bits:
@@ -626,12 +740,12 @@ def write_image(w: Writer, image: np.ndarray, top: bool, cache_bits: int = 0) ->
             if keep[k] and cache[slot] == x:
                 green[k], cached[k] = 280 + slot, True
             cache[slot] = x
-    copies = []  # (pixel, symbol, extra, extra bits)
-    for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-        at = s
+    copies = []  # (pixel, symbol, extra, extra bits; the same three of the distance)
+    for at, n, d in zip(starts.tolist(), lengths.tolist(), distances.tolist(), strict=True):
+        far = prefix(2 if d == 1 else d + 120)  # code 2: the pixel to the left
         while n:
             part = min(n, MAX_COPY)
-            copies.append((at, *prefix(part)))
+            copies.append((at, *prefix(part), *far))
             at, n = at + part, n - part
     alphabet = 280 + (1 << cache_bits if cache_bits else 0)
     counts = [np.bincount(green[keep], minlength=alphabet)]
@@ -640,8 +754,7 @@ def write_image(w: Writer, image: np.ndarray, top: bool, cache_bits: int = 0) ->
     plain = keep & ~cached
     channels = [(pixels[plain] >> s & 0xFF).astype(np.int64) for s in (16, 0, 24)]
     counts += [np.bincount(c, minlength=256) for c in channels]
-    near = np.zeros(40, np.int64)
-    near[1] = len(copies)  # distance code 2: the pixel to the left
+    near = np.bincount([c[4] for c in copies], minlength=40) if copies else np.zeros(40, np.int64)
     lengths_of = [code_lengths(c) for c in [*counts, near]]
     w(1, 1) if cache_bits else w(0, 1)
     if cache_bits:
@@ -660,23 +773,38 @@ def write_image(w: Writer, image: np.ndarray, top: bool, cache_bits: int = 0) ->
             widths.append(sizes[k + 1][c])
             places.append(np.flatnonzero(plain) * 8 + 1 + k)
     if copies:
-        at, symbol, extra, n = (np.array(x, np.int64) for x in zip(*copies, strict=True))
-        values += [codes[0][256 + symbol], extra, codes[4][np.ones(len(at), np.int64)]]
-        widths += [sizes[0][256 + symbol], n, sizes[4][np.ones(len(at), np.int64)]]
-        places += [at * 8, at * 8 + 1, at * 8 + 2]
+        at, symbol, extra, n, far, rest, m = (np.array(x, np.int64) for x in zip(*copies, strict=True))
+        values += [codes[0][256 + symbol], extra, codes[4][far], rest]
+        widths += [sizes[0][256 + symbol], n, sizes[4][far], m]
+        places += [at * 8, at * 8 + 1, at * 8 + 2, at * 8 + 3]
     if len(values) > 1:
         order = np.argsort(np.concatenate(places), kind="stable")
         values, widths = np.concatenate(values)[order], np.concatenate(widths)[order]
     else:
         values, widths = values[0], widths[0]
-    widest = int(widths.max()) if len(widths) else 0
-    out = [w.bits()]
-    if widest:
-        for lo in range(0, len(values), 1 << 18):
-            v, n = values[lo : lo + (1 << 18)].astype(np.uint16), widths[lo : lo + (1 << 18)]
-            places_of = np.arange(widest, dtype=np.uint16)
-            out.append((v[:, None] >> places_of & np.uint16(1)).astype(np.uint8)[places_of < n[:, None]])
-    return np.concatenate(out)
+    return np.concatenate([w.bits(), _bits(values, widths)])
+
+
+def _bits(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The bits of all values, each of its width (24 at most)."""
+    ends = np.cumsum(widths)
+    if not len(ends) or not ends[-1]:
+        return np.empty(0, np.uint8)
+    begin = ends - widths
+    placed = values.astype(np.int64) << (begin & 7)
+    first, size = begin >> 3, (int(ends[-1]) >> 3) + 5
+    # bits of different values don't overlap, so the bytes' sums are their unions
+    out = sum(np.bincount(first + k, placed >> 8 * k & 255, size) for k in range(4))
+    return np.unpackbits(out.astype(np.uint8), bitorder="little")[: int(ends[-1])]
+
+
+def _pixel_runs(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one pixel, where more than one channel has bits."""
+    same = np.concatenate([[False], pixels[1:] == pixels[:-1]])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+    starts, lengths = edges[::2], np.diff(edges)[::2]
+    long = lengths >= 8
+    return starts[long], lengths[long], np.ones(long.sum(), np.int64)
 
 
 def _continued(bits: np.ndarray) -> Writer:
@@ -686,8 +814,21 @@ def _continued(bits: np.ndarray) -> Writer:
     return w
 
 
+def _file(chunks: bytes) -> bytes:
+    return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WEBP" + chunks
+
+
+def _chunk(kind: bytes, body: bytes) -> bytes:
+    return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+
+
 def encode_argb(image: np.ndarray, transforms: tuple = (), cache_bits: int = 0) -> bytes:
-    """A lossless WebP file.  ``transforms`` apply in order, each once:
+    """A lossless WebP file of an image of ARGB words."""
+    return _file(_encoded(image, transforms, cache_bits))
+
+
+def _encoded(image: np.ndarray, transforms: tuple, cache_bits: int = 0) -> bytes:
+    """The VP8L chunk of a file.  ``transforms`` apply in order, each once:
     ("predictor", modes, bits), ("cross", elements, bits), ("green",),
     ("palette",); modes and elements are sub-images of ARGB words."""
     height, width = image.shape
@@ -720,9 +861,7 @@ def encode_argb(image: np.ndarray, transforms: tuple = (), cache_bits: int = 0)
             image = to_palette(image, table)
     w(0, 1)
     body = np.packbits(write_image(w, image, True, cache_bits), bitorder="little").tobytes()
-    size = len(body)
-    body += b"\0" * (size & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", size) + body
+    return _chunk(b"VP8L", body)
 
 
 def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0) -> bytes:
@@ -733,25 +872,48 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0) -> b
 # -- payloads ------------------------------------------------------------------
 
 
+def _entropy(samples: np.ndarray) -> float:
+    """Bits of the samples by their frequencies."""
+    counts = np.bincount(samples.ravel(), minlength=256)
+    counts = counts[counts > 0]
+    return float(counts.sum() * np.log2(counts.sum()) - (counts * np.log2(counts)).sum())
+
+
+def choose(samples: np.ndarray) -> tuple:
+    """The transforms that pay for rows of samples, by estimate."""
+    if np.count_nonzero(np.bincount(samples.ravel(), minlength=256)) <= 16:
+        return (("palette",),)
+    if len(samples) < 1 << TILE:
+        return ()  # the tiles' table and the first row cost more than they save
+    side, (height, width) = 1 << TILE, samples.shape
+    up, corner = samples[:-1], np.concatenate([samples[:-1, :1], samples[:-1, :-1]], axis=1)
+    left = {0: samples[1:], 2: samples[1:] - up, 4: samples[1:] - corner, 8: samples[1:] - ((up.astype(np.uint16) + corner) >> 1).astype(np.uint8)}
+    if min(_entropy(left[m]) for m in MODES[1:]) > 0.9 * _entropy(samples):
+        return ()
+    rows, columns = np.arange(0, height, side), np.arange(0, width, side)
+    small = np.stack([np.add.reduceat(np.add.reduceat(np.minimum(x, -x).astype(np.int64), rows[:1].tolist() + (rows[1:] - 1).tolist(), axis=0), columns, axis=1) for x in left.values()])
+    modes = np.array(MODES, np.uint32)[np.argmin(small, axis=0)]
+    return (("predictor", modes << np.uint32(8), TILE),)
+
+
 def to_media(data: bytes) -> bytes:
-    """Bytes, padded with 255 to a positive multiple of 576, as images."""
-    padded = np.frombuffer(data + b"\xff" * (-len(data) % ROW if data else ROW), np.uint8)
-    out = []
-    for lo in range(0, len(padded), ROW * PAYLOAD_ROWS):
-        image = (padded[lo : lo + ROW * PAYLOAD_ROWS].astype(np.uint32) << 8).reshape(-1, ROW)
-        few = np.count_nonzero(np.bincount(image.ravel() >> 8, minlength=256)) <= 16
-        out.append(encode_argb(image, (("palette",),) if few else ()))
-    return b"".join(out)
+    """Bytes, padded with 255 to a positive multiple of 576, as one file."""
+    samples = np.frombuffer(data + b"\xff" * (-len(data) % ROW if data else ROW), np.uint8).reshape(-1, ROW)
+    parts = [samples[lo : lo + FRAME_ROWS] for lo in range(0, len(samples), FRAME_ROWS)]
+    coded = [_encoded(x.astype(np.uint32) << np.uint32(8), choose(x)) for x in parts]
+    if len(coded) == 1:
+        return _file(coded[0])
+    number = lambda x: struct.pack("<I", x)[:3]
+    chunks = [_chunk(b"VP8X", b"\x02\0\0\0" + number(ROW - 1) + number(len(samples) - 1)), _chunk(b"ANIM", bytes(6))]
+    for k, (x, body) in enumerate(zip(parts, coded, strict=True)):
+        # no blending (2): a frame replaces what is below it
+        chunks.append(_chunk(b"ANMF", number(0) + number(k * FRAME_ROWS // 2) + number(ROW - 1) + number(len(x) - 1) + number(0) + b"\x02" + body))
+    return _file(b"".join(chunks))
 
 
 def from_media(media: bytes) -> np.ndarray:
-    """All samples of the images, in order."""
-    out = []
-    while media:
-        _, _, end = _chunks(media)
-        out.append((decode_argb(media[:end]) >> 8 & 0xFF).astype(np.uint8).ravel())
-        media = media[end:]
-    return np.concatenate(out)
+    """All samples of a file, in order."""
+    return (decode_argb(media) >> 8 & 0xFF).astype(np.uint8).ravel()
 
 
 def describe(samples: np.ndarray) -> str:
@@ -799,8 +961,8 @@ def read_payloads(stored: DataFrame, key: str = "doc_id", media: str = "media")
 
 def decode_media(table: DataFrame, media: str = "media") -> DataFrame:
     """All columns plus media_height, media_width, media_pixels (RGBA bytes) and
-    media_error; columns of these names are replaced.  Images that follow one
-    another in a value are one below the other, and must be of one width."""
+    media_error; columns of these names are replaced.  Frames of one file are one
+    picture; bytes after a file's end are an error."""
     bounded_batches(table.sparkSession)
     added = ["media_height", "media_width", "media_pixels", "media_error"]
     table = table.drop(*added)
@@ -812,7 +974,7 @@ def decode_media(table: DataFrame, media: str = "media") -> DataFrame:
                 try:
                     if x is None:
                         raise ValueError("no media")
-                    px = decode_all(x)
+                    px = decode(x)
                     out.append((px.shape[0], px.shape[1], px.tobytes(), None))
                 except ValueError as e:
                     out.append((None, None, None, str(e)))

@@ -140,10 +140,63 @@ def test_payloads_round_trip(data):
     assert W.to_media(data) == media
 
 
-def test_long_payloads_are_several_images():
-    data = b"0123456789 abcdefghijklmnop" * (W.ROW * W.PAYLOAD_ROWS * 5 // 54 + 50)
+@pytest.mark.parametrize("chunk", [48, 200, 1 << 16])
+def test_chunks_of_bit_positions_change_nothing(monkeypatch, chunk):
+    monkeypatch.setattr(W, "CHUNK", chunk)
+    text = b"".join(b"%d some words of %d, " % (k * 7919, k) for k in range(900)) + b"\0" * 999 + b"the end, " * 40
+    for data in (text, text[:577], b"ab" * 4000 + text[:5000] + text[1000:4000], bytes(RNG.integers(0, 256, 9000, dtype=np.uint8))):
+        media = W.to_media(data)
+        assert W.from_media(media).tobytes().startswith(data)
+        with pytest.raises(ValueError):
+            W.decode_argb(media[:4] + (len(media) - 28).to_bytes(4, "little") + media[8:16] + (len(media) - 40).to_bytes(4, "little") + media[20:-20])
+
+
+def test_back_references_are_found():
+    line = bytes(RNG.integers(32, 127, 700, dtype=np.uint8))
+    data = line + bytes(RNG.integers(32, 127, 3000, dtype=np.uint8)) + line[5:690] + b"." * 300 + line + line[:100]
+    starts, lengths, distances = W.find_copies(np.frombuffer(data, np.uint8))
+    covered = np.zeros(len(data), dtype=bool)
+    for s, n, d in zip(starts.tolist(), lengths.tolist(), distances.tolist()):
+        assert not covered[s : s + n].any() and 0 < d <= s
+        covered[s : s + n] = True
+        made = bytearray(data[:s])
+        for _ in range(n):
+            made.append(made[-d])
+        assert made[s:] == data[s : s + n]
+    assert covered[3700:].sum() > 1700 and len(W.to_media(data)) < 0.9 * 3700 + 600
+    for n in (0, 1, 23, 48, 49, 60):
+        W.find_copies(np.frombuffer(data[:n], np.uint8))
+
+
+def test_predictors_are_chosen_where_they_pay():
+    base = RNG.integers(0, 200, W.ROW).astype(np.int64)
+    drift = np.cumsum(RNG.integers(0, 2, (80, W.ROW)), axis=0)
+    data = (base + drift & 255).astype(np.uint8).tobytes()
+    assert W.choose(np.frombuffer(data, np.uint8).reshape(-1, W.ROW))[0][0] == "predictor"
+    media = W.to_media(data)
+    assert W.from_media(media).tobytes() == data and len(media) < len(data) / 3
+    assert W.choose(RNG.integers(0, 200, (80, W.ROW)).astype(np.uint8)) == ()
+
+
+def test_rows_at_once_equal_pixels_one_by_one(monkeypatch):
+    plain = RNG.integers(0, 1 << 32, (9, 21), dtype=np.uint32)
+    for mode in W.MODES:
+        modes = np.full((3, 6), mode << 8, np.uint32)
+        fast = W.predict(plain, modes, 2, True)
+        assert (W.predict(fast, modes, 2, False) == plain).all()
+        with monkeypatch.context() as m:
+            m.setattr(W, "MODES", ())
+            assert (W.predict(plain, modes, 2, True) == fast).all() and (W.predict(fast, modes, 2, False) == plain).all()
+
+
+def test_long_payloads_are_frames_of_one_file(monkeypatch):
+    monkeypatch.setattr(W, "FRAME_ROWS", 8)
+    data = b"0123456789 abcdefghijklmnop" * 500
     media = W.to_media(data)
-    assert media.count(b"WEBPVP8L") == 3 and W.from_media(media).tobytes().startswith(data)
+    frames, width, height = W._frames(media)
+    assert len(frames) == 3 and (width, height) == (W.ROW, 24) and [f[:2] for f in frames] == [(0, 0), (0, 8), (0, 16)]
+    assert media.count(b"RIFF") == 1 and W.from_media(media).tobytes().startswith(data)
+    assert W.decode(media).shape == (24, W.ROW, 4)
 
 
 def test_operators(spark):
@@ -163,12 +216,12 @@ def test_operators(spark):
     assert W.read_payloads(W.store_payloads(docs.limit(0))).collect() == []
 
 
-def test_decode_media_gives_all_images_of_a_value(spark):
-    data = bytes(k * 7 % 251 for k in range(W.ROW)) * (W.PAYLOAD_ROWS + 3)
-    wide, narrow = (W.encode_argb(np.zeros((2, n), np.uint32)) for n in (5, 4))
-    rows = [(0, W.to_media(data)), (1, wide + b"rest"), (2, wide + narrow), (3, wide + wide)]
+def test_decode_media_reads_a_value_whole(spark):
+    data = bytes(k * 7 % 251 for k in range(W.ROW)) * 1030
+    wide = W.encode_argb(np.zeros((2, 5), np.uint32))
+    rows = [(0, W.to_media(data)), (1, wide + b"rest"), (2, wide + wide), (3, wide)]
     got = {r.doc_id: r for r in W.decode_media(spark.createDataFrame([(k, bytearray(x)) for k, x in rows], "doc_id long, media binary")).collect()}
-    assert (got[0].media_height, got[0].media_width, got[0].media_error) == (W.PAYLOAD_ROWS + 3, W.ROW, None)
+    assert (got[0].media_height, got[0].media_width, got[0].media_error) == (1030, W.ROW, None)
     assert np.frombuffer(got[0].media_pixels, np.uint8)[1::4].tobytes() == data
-    assert got[3].media_height == 4 and got[3].media_error is None
+    assert got[3].media_height == 2 and got[3].media_error is None
     assert all(got[k].media_pixels is None and got[k].media_error for k in (1, 2))
