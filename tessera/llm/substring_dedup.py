@@ -11,16 +11,23 @@ the earliest of each run are repeats; their runs return to their documents,
 which drop the words they cover.
 
 Equal super-k-mers within an Arrow batch are merged before they travel: all but
-the earliest are repeats whatever the other batches hold.  A passage that is in
-a third of all documents thus sends one string for each batch, not for each
-copy.  Strings of one batch and bucket are one compressed row.
+the earliest are repeats whatever the other batches hold, and need no bucket but
+go to any.  Strings of one batch and bucket are one compressed row.
+
+Minimisers that many documents of a sample have are hot: their super-k-mers are
+cut further, by the windows' second minimiser (another hash), and dealt to
+buckets by both, and they are merged over all of a task's batches, not only
+within one.  So a passage that is in a third of all documents sends one string
+for each task, not for each copy, and what follows or precedes a common phrase is
+spread.  The sample steers the work only: equal windows have both minimisers in
+common, so they meet in one bucket either way.
 
 Defined results: null text has no words; words are kept byte for byte and
 joined by one space; texts shorter than a window lose nothing; windows are
 judged on the input.  Documents are ordered by doc_id, a null doc_id after all
-others, rows of one doc_id by the hash of their text; identical rows count as
-one document and each get its result.  Columns of other names are ignored by
-``repeats`` and kept by ``drop_repeats``.
+others, rows of one doc_id by a 64-bit hash of their text; ids that aren't
+integers are ordered by their own type; identical rows count as one document and
+each get its result.  Columns of other names are kept by ``drop_repeats``.
 """
 
 from __future__ import annotations
@@ -37,11 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import binary_rows, bounded_batches, bucket_count, doc_order, text_slices
+from ._common import binary_rows, bounded_batches, bucket_count, free_name, numbered, release, text_slices
 
 WINDOW = 20
 MINIMISER = 4
 SLICE = 1 << 20
+#: Documents, about, of the sample that tells hot minimisers; super-k-mers of it
+#: that make one hot; how many are told at most; and strings of hot ones that a
+#: task remembers.  They only steer the work, not its results.
+SAMPLE_ROWS, HOT, MOST_HOT, REMEMBERED = 8192, 16, 1 << 15, 1 << 16
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -104,9 +115,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(x) - width + 1], low[width - span :][: len(x) - width + 1])
 
 
-def super_kmers(data: np.ndarray, offsets: np.ndarray, window: int, m: int):
-    """(text number, first word within it, windows, minimiser, string start,
-    string end) of each super-k-mer, and the joined words of all texts."""
+def super_kmers(data: np.ndarray, offsets: np.ndarray, window: int, m: int, hot: np.ndarray | None = None):
+    """(text number, first word within it, windows, minimiser, second minimiser
+    or 0, string start, string end) of each super-k-mer, and the joined words of
+    all texts.  ``hot`` are the sorted minimisers that are cut by a second."""
     first, end, of_text = words_of(data, offsets)
     n = len(first)
     if n < window:
@@ -116,27 +128,36 @@ def super_kmers(data: np.ndarray, offsets: np.ndarray, window: int, m: int):
     for k in range(m):
         grams = mix(grams * _ODD + hashes[k : n - m + 1 + k])
     low = sliding_min(grams, window - m + 1)
+    second = np.zeros(len(low), np.uint64)
+    if hot is not None and len(hot):
+        of_hot = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+        if of_hot.any():
+            second[of_hot] = sliding_min(mix(grams ^ _MUL), window - m + 1)[of_hot]
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(of_text))
     ok = text[: n - window + 1] == text[window - 1 :]
     starts = np.flatnonzero(ok)
     if not len(starts):
         return None
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (starts[1:] != starts[:-1] + 1) | (low[starts[1:]] != low[starts[:-1]])
+    new[1:] = (starts[1:] != starts[:-1] + 1) | (low[starts[1:]] != low[starts[:-1]]) | (second[starts[1:]] != second[starts[:-1]])
     begin = starts[new]
     windows = np.diff(np.append(np.flatnonzero(new), len(starts)))
     string, at = joined(data, first, end)
     last = begin + windows + window - 2  # the last word
-    return text[begin], begin - of_text[text[begin]], windows, low[begin], at[begin], at[last] + (end - first)[last], string
+    return text[begin], begin - of_text[text[begin]], windows, low[begin], second[begin], at[begin], at[last] + (end - first)[last], string
+
+
+#: key, tag, start, windows
+_KINDS = (np.int64, np.int64, np.int32, np.int32)
 
 
 def _pack(skm: dict[str, list], known: list[tuple[int, int, int, int]]) -> bytes:
     """One batch's super-k-mers of one bucket, and runs already known to be
     repeats, as one compressed string."""
-    arrays = [np.array(skm["key"], np.int64), np.array(skm["tag"], np.int32), np.array(skm["start"], np.int32), np.array(skm["windows"], np.int32)]
-    runs = [np.array([r[k] for r in known], t) for k, t in enumerate((np.int64, np.int32, np.int32, np.int32))]
+    arrays = [np.array(skm["key"], np.int64), np.array(skm["tag"], np.int64), np.array(skm["start"], np.int32), np.array(skm["windows"], np.int32)]
+    runs = [np.array([r[k] for r in known], t) for k, t in enumerate(_KINDS)]
     head = np.array([len(skm["key"]), len(known)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays), *(a.tobytes() for a in runs), b" ".join(skm["text"])]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays), *(a.tobytes() for a in runs), b" ".join(skm["text"])]))
 
 
 def _unpack(blob: bytes):
@@ -144,7 +165,7 @@ def _unpack(blob: bytes):
     n, r = np.frombuffer(raw, np.int64, 2)
     at, out = 16, []
     for size in (n, r):
-        for kind in (np.int64, np.int32, np.int32, np.int32):
+        for kind in _KINDS:
             out.append(np.frombuffer(raw, kind, size, at))
             at += int(size) * np.dtype(kind).itemsize
     return out[:4], out[4:], raw[at:]
@@ -210,13 +231,35 @@ def bucket_repeats(blobs: list[bytes], window: int = WINDOW):
     return [np.concatenate([o[i] for o in out]) for i in range(4)]
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
+def hot_minimisers(rows: DataFrame, window: int, m: int) -> np.ndarray:
+    """Minimisers (sorted) of many super-k-mers of a sample of ``rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.nan_to_num(pa.compute.binary_length(b.column("_text")).to_numpy(zero_copy_only=False))
+            for lo, hi in text_slices(sizes, SLICE):
+                made = super_kmers(*binary_rows(b.column("_text").slice(lo, hi - lo)), window, m)
+                if made is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(made[3].view(np.int64))], names=["low"])
+
+    every = max(1, rows.count() // SAMPLE_ROWS)
+    some = rows.where(F.pmod(F.xxhash64("_tag"), F.lit(every)) == 0).select("_text").mapInArrow(run, "low long")
+    found = some.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "low").limit(MOST_HOT).collect()
+    return np.sort(np.array([r.low for r in found], np.int64).view(np.uint64))
+
+
+def repeats(rows: DataFrame, window: int = WINDOW, m: int = MINIMISER, buckets: int | None = None) -> DataFrame:
     """(_key, _tag, start, windows): runs of windows that occur earlier, by
-    document; _key is ``doc_order`` of the key, _tag the hash of the text."""
-    bounded_batches(docs.sparkSession)
-    buckets = bucket_count(docs)
+    document.  ``rows`` has the document's place in the order, _key, the hash of
+    its text, _tag, and its _text."""
+    bounded_batches(rows.sparkSession)
+    buckets = buckets or bucket_count(rows)
+    hot = hot_minimisers(rows, window, m)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("substrings")
+        sent: dict[bytes, tuple[int, int, int]] = {}  # the earliest of each string that this task has sent
+        turn = 0
         for b in batches:
             keys, tags = b.column("_key").to_numpy(), b.column("_tag").to_numpy()
             order = np.lexsort((tags, keys))
@@ -224,41 +267,53 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
             repeated[1:] = (keys[order[1:]] == keys[order[:-1]]) & (tags[order[1:]] == tags[order[:-1]])
             order = order[~repeated]
             keys, tags = keys[order], tags[order]
-            rows = b.column("_text").take(pa.array(order))
-            sizes = pa.compute.binary_length(rows).to_numpy(zero_copy_only=False)
+            texts = b.column("_text").take(pa.array(order))
+            sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
             seen: set[bytes] = set()
             out: dict[int, dict[str, list]] = defaultdict(lambda: {"key": [], "tag": [], "start": [], "windows": [], "text": []})
-            known: dict[int, list] = defaultdict(list)
+            known: list[tuple[int, int, int, int]] = []
             for lo, hi in text_slices(np.nan_to_num(sizes), SLICE):
-                data, offsets = binary_rows(rows.slice(lo, hi - lo))
-                made = super_kmers(data, offsets, window, m)
+                data, offsets = binary_rows(texts.slice(lo, hi - lo))
+                made = super_kmers(data, offsets, window, m, hot)
                 if made is None:
                     continue
-                of, start, windows, low, a, z, string = made
-                bucket = (low % np.uint64(buckets)).tolist()
-                for k, t, s, n, g, i, j in zip(keys[lo + of].tolist(), tags[lo + of].tolist(), start.tolist(), windows.tolist(), bucket, a.tolist(), z.tolist(), strict=True):
+                of, start, windows, low, second, a, z, string = made
+                bucket = (np.where(second > 0, mix(low + second * _ODD), low) % np.uint64(buckets)).tolist()
+                for k, t, s, n, g, h, i, j in zip(keys[lo + of].tolist(), tags[lo + of].tolist(), start.tolist(), windows.tolist(), bucket, second.tolist(), a.tolist(), z.tolist(), strict=True):
                     piece = string[i:j]
                     if piece in seen:
-                        known[g].append((k, t, s, n))
+                        known.append((k, t, s, n))
                         continue
                     seen.add(piece)
+                    if h:
+                        if sent.get(piece, (k, t, s)) < (k, t, s):
+                            known.append((k, t, s, n))
+                            continue
+                        if len(sent) >= REMEMBERED:
+                            sent.clear()
+                        sent[piece] = (k, t, s)
                     o = out[g]
                     o["key"].append(k)
                     o["tag"].append(t)
                     o["start"].append(s)
                     o["windows"].append(n)
                     o["text"].append(piece)
-            groups = sorted({*out, *known})
+            # runs known to be repeats need no bucket of their own
+            groups = sorted(out)
+            blobs = [_pack(out[g], []) for g in groups]
+            for lo in range(0, len(known), 1 << 12):
+                turn += 1
+                groups.append((int(keys[0]) + turn) % buckets)
+                blobs.append(_pack({"key": [], "tag": [], "start": [], "windows": [], "text": []}, known[lo : lo + (1 << 12)]))
             if groups:
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([_pack(out[g], known[g]) for g in groups], pa.binary())], names=["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def count_windows(group: pa.Table) -> pa.Table:
         found = bucket_repeats(group.column("blob").to_pylist(), window)
         return pa.table([pa.array(x) for x in found], names=["_key", "_tag", "start", "windows"])
 
-    rows = docs.select(doc_order(F.col(key)).alias("_key"), F.hash(F.coalesce(text, F.lit(""))).alias("_tag"), F.coalesce(text, F.lit("")).alias("_text"))
-    packed = rows.mapInArrow(cut, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(count_windows, "_key long, _tag int, start int, windows int")
+    packed = rows.select("_key", "_tag", "_text").mapInArrow(cut, "bucket int, blob binary")
+    return packed.groupBy("bucket").applyInArrow(count_windows, "_key long, _tag long, start int, windows int")
 
 
 def keep_words(text: bytes, runs: list[tuple[int, int]], window: int) -> tuple[int, int, bytes]:
@@ -278,8 +333,11 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     """``columns`` of ``docs`` (default: all but the results' names) and
     n_words, n_removed, and kept_text or, if ``digest``, kept_sha256."""
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("n_words", "n_removed", "kept_text", "kept_sha256")]
-    found = repeats(docs, key, text, window, m).groupBy("_key", "_tag").agg(F.collect_list(F.struct("start", "windows")).alias("_runs"))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(text, F.lit("")).alias("_text"), doc_order(F.col(key)).alias("_key"), F.hash(F.coalesce(text, F.lit(""))).alias("_tag"))
+    place = free_name("_place", docs)
+    ordered, _ = numbered(docs, key, place)
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = ordered.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], whole.alias("_text"), F.col(place).alias("_key"), F.xxhash64(whole).alias("_tag"))
+    found = repeats(rows, window, m, bucket_count(docs)).groupBy("_key", "_tag").agg(F.collect_list(F.struct("start", "windows")).alias("_runs"))
     both = rows.join(found.hint("shuffle_hash"), ["_key", "_tag"], "left").drop("_key", "_tag")
     last = "kept_sha256" if digest else "kept_text"
 
