@@ -286,7 +286,7 @@ BANDS, ROWS = 9, 3
 #: more, between these.
 LEAST_PARITY, MOST_PARITY = 1 << 9, 1 << 16
 #: Rows of one shingle that are compared in one task, about.
-CELL = 4096
+CELL = 1024
 #: Bytes of signatures compared at once.
 SIGNATURE_BYTES = 4 << 20
 #: Documents, about, and occurrences in them that tell frequent shingles, and how
