@@ -44,8 +44,8 @@ from ._common import bounded_batches, keeps, release
 MEMO_BYTES = 128 << 20
 #: Longest piece or chunk, in characters, that is memoised.
 LONGEST = 64
-#: Bytes of a dictionary's slot, about, while it grows.
-SLOT = 150
+#: Bytes of a dictionary's slot, about, with room to grow.
+SLOT = 90
 #: A space inside a run of white space, where splitting before it would cut a
 #: piece in two; such texts are split by the pattern alone.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -67,7 +67,8 @@ class Memo(dict):
         value = self.old.pop(key, None)
         if value is None:  # no memo holds None
             value = self.make(key)
-        self.size += getsizeof(key) + getsizeof(value) + SLOT
+        # a tuple of one id is shared by all that have it
+        self.size += getsizeof(key) + SLOT + (getsizeof(value) if type(value) is tuple and len(value) > 1 else 0)
         if self.size > self.limit // 2:
             self.old, self.size = dict(self), 0
             self.clear()
@@ -88,6 +89,7 @@ class Codec:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.size_of = {i: len(t) for t, i in ranks.items()}
+        self.single = {i: (i,) for i in self.bytes_of}
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), i)
@@ -95,7 +97,7 @@ class Codec:
         self.halves = Memo(self._halves, memo_bytes)
         self.prefix = Memo(self._prefix, memo_bytes)
         self.fits = Memo(self._fits, memo_bytes)
-        self.pieces = Memo(self.encode_piece, memo_bytes)
+        self.pieces = Memo(self.encode_piece, memo_bytes // 2)
         self.first = Memo(self._chunk, memo_bytes // 4)
         self.later = Memo(lambda part: self._chunk(" " + part), memo_bytes)
 
@@ -142,7 +144,7 @@ class Codec:
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(data)
         if whole is not None:
-            return (whole,)
+            return self.single[whole]
         size_of, prefix, fits = self.size_of, self.prefix, self.fits
         longest = [0] * len(data)
         for end, i in self.automaton.iter(data.decode("latin-1")):
@@ -169,7 +171,8 @@ class Codec:
         return tuple(out)
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(chunk))))
+        pieces = self.find(chunk)
+        return self.pieces[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
         if not text:
