@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Events that a webhook may ask for, and seconds before each attempt (fixed values).
-EVENTS = ("document.created", "document.updated", "document.deleted", "document.duplicate", "query.executed", "feedback.recorded", "index.rebuilt")
+EVENTS = ("document.created", "document.updated", "document.deleted", "reindex.started", "reindex.completed")
 ATTEMPTS = (0, 1, 5)
 
+WEBHOOKS = "tenant_id string, id string, url string, events array<string>, secret string"
+FIELDS = "tenant_id string, field_name string, field_type string, required boolean"
 KEYS = "tenant_id string, key_id string, key_hash string, read_only boolean, revoked boolean"
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import number_within
 from ..functions import scoring as S
 from ..functions import text as T
 from .rank import WEIGHTS
@@ -39,8 +40,14 @@ def signals(log: DataFrame, scale: int = 1, memory: int = MEMORY) -> DataFrame:
 
     Each query meets its predecessors by number, an equi-join per distance, so a
     session with very many queries costs 20 rows a query and no more."""
-    order = Window.partitionBy("session").orderBy("ts", "query_id")
-    rows = log.select("session", "query_id", "ts", T.query_hash(F.col("question")).alias("h"), F.array_distinct(T.tokenize_query(F.col("question"))).alias("kw")).withColumn("n", F.row_number().over(order))
+    rows = log.select(
+        "session",
+        "query_id",
+        "ts",
+        T.query_hash(F.col("question")).alias("h"),
+        F.array_distinct(T.tokenize_query(F.col("question"))).alias("kw"),
+    )
+    rows = number_within(rows, "session", ["ts", "query_id"], "n")
     prev = rows.select("session", F.col("query_id").alias("p_id"), F.col("ts").alias("p_ts"), F.col("h").alias("p_h"), F.col("kw").alias("p_kw"), F.col("n").alias("p_n"))
     wide = rows.withColumn("p_n", F.explode(F.sequence(F.col("n") - 1, F.col("n") - memory, F.lit(-1)))).where("p_n >= 1")
     both = wide.join(prev, ["session", "p_n"])
@@ -93,6 +100,15 @@ def tuning_gate(log: DataFrame, least: int = 50, score: float = 0.7) -> DataFram
 def rate_limit(calls: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
     """Calls (key, ts) with the number in the trailing window and whether it is
     within ``most``; an upper bound, as refused calls count too (the exact form,
-    in which they don't, is ``streaming.rate_limiter``)."""
-    w = Window.partitionBy("key").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("allowed", F.col("recent") <= most)
+    in which they don't, is ``streaming.rate_limiter``).
+
+    A window reaches into the stretch of ``seconds`` before its own and no
+    further, so calls go to their own stretch and, to be counted, to the next: a
+    key's calls are spread over as many groups as stretches."""
+    length = seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = calls.withColumn("_at", at).withColumn("_own", F.floor(F.col("_at") / length))
+    both = rows.withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy("key", "_stretch").orderBy("_at").rangeBetween(-length, 0)
+    counted = both.withColumn("recent", F.count(F.lit(1)).over(w)).where("_stretch = _own")
+    return counted.withColumn("allowed", F.col("recent") <= most).drop("_at", "_own", "_stretch")

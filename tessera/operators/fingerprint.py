@@ -1,94 +1,216 @@
-"""Keywords, categories, concepts and synopsis of documents (slug, title, text)."""
+"""Keywords, categories, concepts and synopsis of documents (slug, title, text).
+
+All of it is local to a document, so it is computed in the row, without a
+shuffle: a document's tokens are sorted, and the runs of equal ones counted.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import COMMON_WORDS, STOP_WORDS, TAXONOMY
 
+# Patterns and weights of the kinds of evidence for a concept.
+CAPITALISED = r"\b([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){0,2})\b"
+EMPHASISED = r"\*{1,3}([^*\n]+)\*{1,3}|_{1,3}([^_\n]+)_{1,3}"
+SHORT_HEADING, LONG_HEADING, EMPHASIS, PAIR, TITLE = 3.0, 2.5, 2.0, 1.5, 5.0
+#: Factors of a keyword that is in the title, the first paragraph, a heading.
+BOOSTS = (3.0, 2.0, 2.0)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def runs(ordered: Column, same: Callable[[Column, Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
+    """``make(array, first, end)`` of each run of like elements of a sorted array."""
+
+    def of(a: Column) -> Column:
+        places = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda i: (i == 0) | ~same(F.get(a, i), F.get(a, i - 1)))
+        return let(first, lambda s: F.transform(s, lambda lo, k: make(a, lo, F.coalesce(F.get(s, k + 1), F.size(a)))))
+
+    return let(ordered, of)
+
+
+def counted(values: Column) -> Column:
+    """Distinct strings of an array, sorted, with their numbers: value, n."""
+    return runs(F.sort_array(values), lambda x, y: x == y, lambda a, lo, hi: F.struct(F.get(a, lo).alias("value"), (hi - lo).alias("n")))
+
+
+def frequencies(text: Column, stop=STOP_WORDS) -> Column:
+    """token, n, first, tf of a text's distinct tokens: raw and augmented
+    frequency, first place."""
+    placed = F.transform(T.tokenize(F.coalesce(text, F.lit("")), stop), lambda x, i: F.struct(x.alias("token"), i.alias("pos")))
+    found = runs(
+        F.sort_array(placed),
+        lambda x, y: x["token"] == y["token"],
+        lambda a, lo, hi: F.struct(F.get(a, lo)["token"].alias("token"), (hi - lo).cast("long").alias("n"), F.get(a, lo)["pos"].alias("first")),
+    )
+
+    def with_tf(rows: Column) -> Column:
+        return let(
+            F.array_max(F.transform(rows, lambda r: r["n"])),
+            lambda most: F.transform(rows, lambda r: F.struct(r["token"].alias("token"), r["n"].alias("n"), r["first"].alias("first"), (0.5 + 0.5 * r["n"] / most).alias("tf"))),
+        )
+
+    return let(found, with_tf)
+
 
 def term_frequencies(docs: DataFrame, stop=STOP_WORDS) -> DataFrame:
-    """(slug, token, n, first, tf): raw and augmented frequency, first place."""
-    rows = docs.select("slug", F.posexplode(T.tokenize(F.col("text"), stop)).alias("pos", "token"))
-    counts = rows.groupBy("slug", "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    most = F.max("n").over(Window.partitionBy("slug"))
-    return counts.withColumn("tf", 0.5 + 0.5 * F.col("n") / most)
+    """(slug, token, n, first, tf)."""
+    return docs.select("slug", F.explode(frequencies(F.col("text"), stop)).alias("r")).select("slug", "r.token", "r.n", "r.first", "r.tf")
+
+
+def keyword_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS, common=COMMON_WORDS) -> Column:
+    """token, score of a text's best tokens: TF x static IDF with boosts for the
+    title, the first paragraph and headings."""
+    text = F.coalesce(text, F.lit(""))
+    entry = lambda token, kind, pos: F.struct(token.alias("token"), F.lit(kind).alias("kind"), pos.cast("int").alias("pos"))
+    marked = lambda kind: lambda x: entry(x, kind, F.lit(0))
+    of_kind = lambda kind: lambda x: x["kind"] == kind
+    where = [T.tokenize(F.coalesce(title, F.lit("")), stop), T.tokenize(T.first_paragraph(text), stop), T.tokenize(F.array_join(T.headings(text), "\n"), stop)]
+    everything = F.concat(
+        F.transform(T.tokenize(text, stop), lambda x, i: entry(x, 0, i)),
+        *[F.transform(F.array_distinct(w), marked(kind + 1)) for kind, w in enumerate(where)],
+    )
+
+    def summary(a: Column, lo: Column, hi: Column) -> Column:
+        # a run is sorted by kind: its places in the text, then at most three others
+        last = F.slice(a, F.greatest(lo, hi - len(BOOSTS)) + 1, F.least(hi - lo, F.lit(len(BOOSTS))))
+        others = F.size(F.filter(last, lambda x: x["kind"] > 0))
+        boost = F.lit(1.0)
+        for kind, factor in enumerate(BOOSTS):
+            boost = boost * F.when(F.exists(last, of_kind(kind + 1)), factor).otherwise(1.0)
+        first = F.get(a, lo)
+        return F.struct(first["token"].alias("token"), (hi - lo - others).alias("n"), first["pos"].alias("first"), boost.alias("boost"))
+
+    found = F.filter(runs(F.sort_array(everything), lambda x, y: x["token"] == y["token"], summary), lambda r: r["n"] > 0)
+
+    def scored(rows: Column) -> Column:
+        def each(most: Column) -> Column:
+            score = lambda r: F.round((0.5 + 0.5 * r["n"] / most) * T.static_idf(r["token"], stop, common) * r["boost"], 6)
+            return F.transform(rows, lambda r: F.struct((-score(r)).alias("minus"), r["first"].alias("first"), r["token"].alias("token")))
+
+        return let(F.array_max(F.transform(rows, lambda r: r["n"])), each)
+
+    best = F.slice(F.sort_array(F.filter(let(found, scored), lambda r: r["minus"] < 0)), 1, k)
+    return F.transform(best, lambda r: F.struct(r["token"].alias("token"), (-r["minus"]).alias("score")))
+
+
+def _listed(docs: DataFrame, rows: Column, *names: str) -> DataFrame:
+    """(slug, names, rank) of an array of structs."""
+    out = docs.select("slug", F.posexplode(rows).alias("i", "r"))
+    return out.select("slug", *[F.col(f"r.{n}") for n in names], (F.col("i") + 1).alias("rank"))
 
 
 def keywords(docs: DataFrame, k: int = 10, stop=STOP_WORDS, common=COMMON_WORDS) -> DataFrame:
-    """(slug, token, score, rank): TF x static IDF with boosts for the title,
-    the first paragraph and headings."""
-    boosts = docs.select(
-        "slug",
-        T.tokenize(F.col("title"), stop).alias("_title"),
-        T.tokenize(T.first_paragraph(F.col("text")), stop).alias("_first"),
-        T.tokenize(F.array_join(T.headings(F.col("text")), "\n"), stop).alias("_heads"),
-    )
+    """(slug, token, score, rank)."""
+    return _listed(docs, keyword_array(F.col("title"), F.col("text"), k, stop, common), "token", "score")
+
+
+def category_array(tokens: Column, taxonomy=None, k: int = 5) -> Column:
+    """category, score by a document's keywords: 1 for an exact taxonomy word, 0.5
+    for one that contains or is contained; scores of 1 or more."""
+    table = F.array(*[F.struct(F.lit(c).alias("category"), F.array(*[F.lit(w) for w in ws]).alias("words")) for c, ws in (taxonomy or TAXONOMY).items()])
+    hit = lambda token, w: F.when(token == w, 1.0).when(token.contains(w) | w.contains(token), 0.5).otherwise(0.0)
+    total = lambda words, token: F.aggregate(words, F.lit(0.0), lambda s, w: s + hit(token, w))
 
-    def boosted(column: str, factor: float) -> Column:
-        return F.transform(F.array_distinct(column), lambda x: F.struct(x.alias("token"), F.lit(factor).alias("f")))
+    def of(list_: Column) -> Column:
+        score = lambda c: F.aggregate(list_, F.lit(0.0), lambda s, token: s + total(c["words"], token))
+        return F.transform(table, lambda c: F.struct((-score(c)).alias("minus"), c["category"].alias("category")))
 
-    where = boosts.select("slug", F.explode(F.concat(boosted("_title", 3.0), boosted("_first", 2.0), boosted("_heads", 2.0))).alias("b"))
-    where = where.groupBy("slug", F.col("b.token").alias("token")).agg(F.product("b.f").alias("boost"))
-    scored = term_frequencies(docs, stop).join(where, ["slug", "token"], "left")
-    scored = scored.select("slug", "token", "first", F.round(F.col("tf") * T.static_idf(F.col("token"), stop, common) * F.coalesce("boost", F.lit(1.0)), 6).alias("score")).where("score > 0")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("score"), "first")))
-    return ranked.where(F.col("rank") <= k).select("slug", "token", "score", "rank")
+    best = F.slice(F.sort_array(F.filter(let(tokens, of), lambda r: r["minus"] <= -1)), 1, k)
+    return F.transform(best, lambda r: F.struct(r["category"].alias("category"), (-r["minus"]).alias("score")))
 
 
-def taxonomy_rows(docs: DataFrame, taxonomy=None) -> DataFrame:
-    rows = [(c, w) for c, ws in (taxonomy or TAXONOMY).items() for w in ws]
-    return docs.sparkSession.createDataFrame(rows, "category string, word string")
+def categories(docs: DataFrame, taxonomy=None, k: int = 5) -> DataFrame:
+    """(slug, category, score, rank)."""
+    tokens = F.transform(keyword_array(F.col("title"), F.col("text")), lambda r: r["token"])
+    return _listed(docs, category_array(tokens, taxonomy, k), "category", "score")
 
 
-def categories(words: DataFrame, taxonomy=None, k: int = 5) -> DataFrame:
-    """(slug, category, score, rank) of keyword rows (slug, token): 1 for an
-    exact taxonomy word, 0.5 for one that contains or is contained."""
-    table = taxonomy_rows(words, taxonomy)  # the taxonomy is a fixed, small list
-    distinct = words.select("token").distinct()
-    pairs = distinct.join(F.broadcast(table), F.col("word").contains(F.col("token")) | F.col("token").contains(F.col("word")))
-    weights = pairs.groupBy("token", "category").agg(F.sum(F.when(F.col("word") == F.col("token"), 1.0).otherwise(0.5)).alias("w"))
-    scored = words.join(weights, "token").groupBy("slug", "category").agg(F.sum("w").alias("score")).where("score >= 1")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("score"), "category")))
-    return ranked.where(F.col("rank") <= k)
+def merged_categories(known: Column, found: Column, k: int = 5) -> Column:
+    """Categories that a document has already, then those found, without repeats."""
+    none = F.array().cast("array<string>")
+    return F.slice(F.array_distinct(F.concat(F.coalesce(known, none), F.coalesce(found, none))), 1, k)
 
 
 def synopsis(text: Column, title: Column, most: int = 200, stop=STOP_WORDS) -> Column:
     """The best sentence of the first 500 words, first of equals; a text of under
     50 words is its own synopsis."""
-    plain = T.strip_markdown(text)
-    flat = T.strip(F.regexp_replace(plain, T.SPACE, " "))
-    found = T.sentences(T.first_words(plain, 500))
-    scored = F.transform(found, lambda s, i: F.struct(T.sentence_score(s, i, F.array_distinct(T.tokenize(title, stop)), stop).alias("score"), (-i).alias("at"), s.alias("s")))
-    best = F.array_max(scored)["s"]
-    return F.when(T.word_count(plain) < 50, T.truncate(flat, most)).otherwise(T.truncate(F.coalesce(best, flat), most))
+    plain = T.strip_markdown(F.coalesce(text, F.lit("")))
+    own = F.array_distinct(T.tokenize(F.coalesce(title, F.lit("")), stop))
 
+    def of(p: Column) -> Column:
+        flat = T.strip(F.regexp_replace(p, T.SPACE, " "))
+        scored = let(own, lambda tokens: F.transform(T.sentences(T.first_words(p, 500)), lambda s, i: F.struct(T.sentence_score(s, i, tokens, stop).alias("score"), (-i).alias("at"), s.alias("s"))))
+        best = F.array_max(scored)["s"]
+        return F.when(T.word_count(p) < 50, T.truncate(flat, most)).otherwise(T.truncate(F.coalesce(best, flat), most))
 
-def concepts(docs: DataFrame, k: int = 10, stop=STOP_WORDS) -> DataFrame:
-    """(slug, concept, score, rank): capitalised runs, headings, bold phrases,
-    frequent bigrams and short titles, with additive scores."""
-    text = F.col("text")
-    caps = docs.select("slug", F.explode(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){0,2})\b"), F.lit(1))).alias("concept"))
-    single = ~F.col("concept").rlike(r"\s")
-    caps = caps.where(~(single & (F.lower("concept").isin(*stop) | (F.length("concept") <= 3)))).groupBy("slug", "concept").agg(F.count(F.lit(1)).cast("double").alias("w")).where(~single | (F.col("w") >= 2))
-    heads = docs.select("slug", F.explode(T.headings(text)).alias("h")).select("slug", T.strip(F.regexp_replace("h", r"[^a-zA-Z0-9 \-]", "")).alias("h")).where("h <> ''").withColumn("ws", T.words(F.col("h")))
-    windows = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-    short = heads.where(F.size("ws") <= 3).select("slug", F.col("h").alias("concept"), F.lit(3.0).alias("w"))
-    long = heads.where(F.size("ws") > 3).select("slug", F.explode(F.concat(windows(3), windows(2))).alias("concept"), F.lit(2.5).alias("w"))
-    marked = F.regexp_extract_all(text, F.lit(r"\*{1,3}([^*\n]+)\*{1,3}|_{1,3}([^_\n]+)_{1,3}"), F.lit(0))
-    bold = docs.select("slug", F.explode(F.transform(marked, lambda m: T.strip(F.regexp_replace(m, r"^[*_]{1,3}|[*_]{1,3}$", "")))).alias("concept"))
-    bold = bold.where(T.word_count(F.col("concept")).between(1, 3) & (F.length("concept") <= 50)).select("slug", "concept", F.lit(2.0).alias("w"))
-    pairs = bigrams(docs, stop).where("n >= 2").select("slug", F.col("bigram").alias("concept"), (F.col("n") * 1.5).alias("w"))
-    titled = docs.select("slug", T.strip(F.regexp_replace("title", r"[^a-zA-Z0-9 \-]", "")).alias("concept")).where(T.word_count(F.col("concept")).between(1, 3)).select("slug", "concept", F.lit(5.0).alias("w"))
-    found = caps.unionByName(short).unionByName(long).unionByName(bold).unionByName(pairs).unionByName(titled).groupBy("slug", "concept").agg(F.sum("w").alias("score"))
-    found = found.where((F.length("concept") > 1) & ~F.regexp_replace("concept", "[ -]", "").rlike("^[0-9]+$") & ~F.lower("concept").isin(*stop))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("score"), "concept"))).where(F.col("rank") <= k)
+    return let(plain, of)
+
+
+def bigram_array(text: Column, stop=STOP_WORDS) -> Column:
+    """value, n of a text's pairs of adjacent tokens."""
+
+    def pairs(t: Column) -> Column:
+        most = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, F.lit(1), most), F.slice(t, F.lit(2), most), lambda a, b: F.concat_ws(" ", a, b))
+
+    return counted(let(T.tokenize(F.coalesce(text, F.lit("")), stop), pairs))
 
 
 def bigrams(docs: DataFrame, stop=STOP_WORDS) -> DataFrame:
     """(slug, bigram, n) of adjacent tokens."""
-    tokens = docs.select("slug", T.tokenize(F.col("text"), stop).alias("t"))
-    rows = tokens.select("slug", F.explode(F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).alias("bigram"))
-    return rows.groupBy("slug", "bigram").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select("slug", F.explode(bigram_array(F.col("text"), stop)).alias("r")).select("slug", F.col("r.value").alias("bigram"), F.col("r.n").cast("long").alias("n"))
+
+
+def concept_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS) -> Column:
+    """concept, score: capitalised runs, headings, emphasised phrases, frequent
+    bigrams and short titles, with additive scores."""
+    text = F.coalesce(text, F.lit(""))
+    said = lambda concept, w: F.struct(concept.alias("concept"), w.cast("double").alias("w"))
+    plain = lambda s: T.strip(F.regexp_replace(s, r"[^a-zA-Z0-9 \-]", ""))
+    none = F.array().cast("array<struct<concept:string,w:double>>")
+
+    single = lambda c: ~c.rlike(r"\s")
+    caps = F.filter(
+        counted(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(1))),
+        lambda r: ~single(r["value"]) | ((r["n"] >= 2) & ~F.lower(r["value"]).isin(*stop) & (F.length(r["value"]) > 3)),
+    )
+
+    def of_heading(h: Column) -> Column:
+        ws = T.words(h)
+        windows = lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: said(F.array_join(F.slice(ws, i, F.lit(n)), " "), F.lit(LONG_HEADING)))
+        return F.when(h == "", none).when(F.size(ws) <= 3, F.array(said(h, F.lit(SHORT_HEADING)))).otherwise(F.concat(windows(3), windows(2)))
+
+    headed = F.flatten(F.transform(F.transform(T.headings(text), plain), of_heading))
+    phrases = F.transform(F.regexp_extract_all(text, F.lit(EMPHASISED), F.lit(0)), lambda m: T.strip(F.regexp_replace(m, r"^[*_]{1,3}|[*_]{1,3}$", "")))
+    bold = F.filter(phrases, lambda p: T.word_count(p).between(1, 3) & (F.length(p) <= 50))
+    pairs = F.filter(bigram_array(text, stop), lambda r: r["n"] >= 2)
+    titled = F.filter(F.array(plain(F.coalesce(title, F.lit("")))), lambda t: T.word_count(t).between(1, 3))
+    everything = F.concat(
+        F.transform(caps, lambda r: said(r["value"], r["n"])),
+        F.coalesce(headed, none),
+        F.transform(bold, lambda p: said(p, F.lit(EMPHASIS))),
+        F.transform(pairs, lambda r: said(r["value"], r["n"] * PAIR)),
+        F.transform(titled, lambda t: said(t, F.lit(TITLE))),
+    )
+    added = runs(
+        F.sort_array(everything),
+        lambda x, y: x["concept"] == y["concept"],
+        lambda a, lo, hi: F.struct((-F.aggregate(F.slice(a, lo + 1, hi - lo), F.lit(0.0), lambda s, x: s + x["w"])).alias("minus"), F.get(a, lo)["concept"].alias("concept")),
+    )
+    kept = F.filter(added, lambda r: (F.length(r["concept"]) > 1) & ~F.regexp_replace(r["concept"], "[ -]", "").rlike("^[0-9]+$") & ~F.lower(r["concept"]).isin(*stop))
+    return F.transform(F.slice(F.sort_array(kept), 1, k), lambda r: F.struct(r["concept"].alias("concept"), (-r["minus"]).alias("score")))
+
+
+def concepts(docs: DataFrame, k: int = 10, stop=STOP_WORDS) -> DataFrame:
+    """(slug, concept, score, rank)."""
+    return _listed(docs, concept_array(F.col("title"), F.col("text"), k, stop), "concept", "score")

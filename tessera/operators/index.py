@@ -21,6 +21,12 @@ def postings(docs: DataFrame, id_: str, *fields: Column, stemmed: bool = False)
     return rows.join(stems, "term").groupBy(F.col("stem").alias("term"), id_, "dl").agg(F.sum("tf").alias("tf")).select("term", id_, "tf", "dl")
 
 
+def lengths(docs: DataFrame, id_: str, *fields: Column) -> DataFrame:
+    """(id, dl): pooled tokens of each document."""
+    size = F.size(F.concat(*[T.full_text_tokens(F.coalesce(f, F.lit(""))) for f in fields]))
+    return docs.select(id_, size.cast("long").alias("dl"))
+
+
 def keyword_weights(entries: DataFrame, id_: str = "slug") -> DataFrame:
     """(token, id, weight): what one question keyword scores on an entry with
     columns fingerprint, categories, synopsis, title."""

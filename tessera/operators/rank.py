@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import materialise, small
 from ..functions import scoring as S
 from ..functions import text as T
 
@@ -19,6 +24,13 @@ def question_terms(questions: DataFrame, terms, query: str = "query_id") -> Data
     return questions.select(query, F.explode(terms).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_bucket(terms: DataFrame, term: str) -> DataFrame:
+    """``terms`` with the bucket of the index that each is in."""
+    from ..plans.indexes import BUCKETS
+
+    return terms.withColumn("bucket", F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
+
+
 def bm25(questions: DataFrame, postings: DataFrame, stats: DataFrame, id_: str, k: int = 10, stemmed: bool = False) -> DataFrame:
     """(query_id, id, score, rank).  ``stats`` is one row: n documents, avgdl."""
     terms = T.full_text_tokens(F.array_join(T.sanitize(F.col("question")), " "))
@@ -27,9 +39,15 @@ def bm25(questions: DataFrame, postings: DataFrame, stats: DataFrame, id_: str,
         from ..functions.porter import porter_stem
 
         asked = asked.withColumn("term", porter_stem("term")).groupBy("query_id", "term").agg(F.sum("n").alias("n"))
-    used = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = materialise(asked, "asked-terms")
+    named = asked.select("term").distinct()
+    if "bucket" in postings.columns:
+        used = postings.join(small(materialise(with_bucket(named, "term"), "named-terms")), ["bucket", "term"])
+    else:
+        used = postings.join(small(materialise(named, "named-terms")), "term")
+    used = materialise(used, "used-postings")  # read twice: for document frequencies and for scores
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = used.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    hits = used.join(df, "term").join(small(asked), "term").crossJoin(F.broadcast(stats))  # stats is one row
     score = S.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n_docs"), F.col("df"))
     found = hits.groupBy("query_id", id_).agg(F.round(F.sum(F.col("n") * score), 6).alias("score"))
     return top_k(found, k, ["query_id"], [F.desc("score"), F.col(id_)])
@@ -42,14 +60,52 @@ def corpus_stats(docs: DataFrame, id_: str, *fields) -> DataFrame:
 
 def tier0(questions: DataFrame, weights: DataFrame, id_: str = "slug", k: int = 10) -> DataFrame:
     asked = question_terms(questions, T.tokenize_query(F.col("question"))).withColumnRenamed("term", "token")
-    found = weights.join(asked, "token").groupBy("query_id", id_).agg(F.sum(F.col("n") * F.col("weight")).alias("score")).where("score > 0")
+    if "bucket" in weights.columns:
+        asked = with_bucket(asked, "token")
+    asked = small(materialise(asked, "asked-tokens"))
+    found = weights.join(asked, ["bucket", "token"] if "bucket" in weights.columns else "token").groupBy("query_id", id_).agg(F.sum(F.col("n") * F.col("weight")).alias("score")).where("score > 0")
     return top_k(found, k, ["query_id"], [F.desc("score"), F.col(id_)])
 
 
+#: Vectors of one block.
+BLOCK = 4096
+
+
+def _blocks(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
+    """(ids, rows): vectors of unit length, many in one row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                part = b.slice(lo, BLOCK)
+                rows = [np.asarray(x, np.float64) for x in part.column(1).to_pylist()]
+                unit = [x / n if (n := np.sqrt(x @ x)) else x for x in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.concatenate(unit).tobytes()], pa.binary())], names=["ids", "rows"]
+                )
+
+    known = vectors.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long"), vector)
+    return known.mapInArrow(pack, "ids array<bigint>, rows binary")
+
+
 def cosine(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Exhaustive: queries (query_id, query) x vectors (vec_id, embedding); the
-    query side is broadcast only if Spark finds it small."""
-    scored = vectors.join(queries, F.lit(True), "inner").select("query_id", "vec_id", F.round(S.cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
+    """Exhaustive: queries (query_id, query) x vectors (vec_id, embedding), both
+    with integer ids.  Vectors are scaled to unit length once; blocks of queries
+    meet blocks of vectors as matrix products, of which the k best of each query
+    go on.  The query blocks are broadcast only if they are measured to be small."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q_ids, q, v_ids, v in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q", "ids", "rows")), strict=True):
+                q, v = np.frombuffer(q).reshape(len(q_ids), -1), np.frombuffer(v).reshape(len(v_ids), -1)
+                scores, own, of = np.round(q @ v.T, 6) + 0.0, np.array(q_ids), np.array(v_ids)
+                best = np.lexsort((np.broadcast_to(of, scores.shape), -scores), axis=1)[:, :k]
+                out = [np.repeat(own, best.shape[1]), of[best].ravel(), np.take_along_axis(scores, best, axis=1).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
+
+    asked = materialise(_blocks(queries, "query_id", "query").toDF("q_ids", "q"), "query-blocks")
+    pairs = _blocks(vectors, "vec_id", "embedding").crossJoin(small(asked))  # a block each
+    scored = pairs.mapInArrow(multiply, "query_id long, vec_id long, score double")
     return top_k(scored, k, ["query_id"], [F.desc("score"), F.col("vec_id")])
 
 
@@ -63,7 +119,7 @@ def fuse(ranked: DataFrame, weights: dict[str, float] | None = None, k: int = 10
     first source, by priority, that lists each id."""
     weights = weights or WEIGHTS
     table = F.create_map(*[x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))])
-    order = F.create_map(*[x for i, s in enumerate(weights) for x in (F.lit(s), F.lit(i))])
+    order = F.create_map(*[x for i, s in enumerate([*WEIGHTS, *sorted(set(weights) - set(WEIGHTS))]) for x in (F.lit(s), F.lit(i))])
     fused = ranked.groupBy("query_id", id_).agg(
         F.round(F.sum(F.coalesce(F.try_element_at(table, F.col("source")), F.lit(1.0)) / (RRF_K + F.col("rank"))), 9).alias("score"),
         F.min_by("source", F.try_element_at(order, F.col("source"))).alias("source"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import fingerprint
 
 SECTION = "struct<heading:string,body:string>"
 
@@ -89,13 +90,13 @@ def split(docs: DataFrame, threshold: int = 2000, least: int = 50) -> tuple[Data
     line = F.substring(T.strip(F.substring_index("s.body", "\n", 1)), 1, 60)
     title = F.when(F.col("s.heading") != "", T.strip(F.regexp_replace("s.heading", r"^#+\s*", ""))).when(line != "", line).otherwise(F.concat(F.lit("Section "), F.col("i") + 1))
     each = each.select(F.col("slug").alias("parent"), "preamble", F.col("i").alias("section_index"), child.alias("base"), title.alias("title"), _joined(F.col("s.heading"), F.col("s.body")).alias("body"))
-    from pyspark.sql import Window
-
     # a document's sections are as many as its headings
     twin = F.row_number().over(Window.partitionBy("parent", "base").orderBy("section_index"))
     each = each.withColumn("slug", F.when(twin == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), twin)))
     children = each.select("slug", "parent", "section_index", "title", "body")
-    listed = each.groupBy("parent", "preamble").agg(F.array_sort(F.collect_list(F.struct("section_index", "slug", "title"))).alias("m"))
+    # what a section is about, in 150 characters, for the parent's map
+    each = each.withColumn("synopsis", fingerprint.synopsis(F.col("body"), F.col("title"), 150))
+    listed = each.groupBy("parent", "preamble").agg(F.array_sort(F.collect_list(F.struct("section_index", "slug", "title", "synopsis"))).alias("m"))
     links = F.array_join(F.transform("m", lambda x: F.concat(F.lit("- [["), x["slug"], F.lit("]]"))), "\n")
-    parents = listed.select(F.col("parent").alias("slug"), T.strip(_joined(F.col("preamble"), F.lit("## Sections\n"), links)).alias("body"), F.transform("m", lambda x: x["slug"]).alias("children"), F.transform("m", lambda x: F.struct(x["slug"].alias("slug"), x["title"].alias("title"), F.lit("").alias("synopsis"))).alias("section_map"))
+    parents = listed.select(F.col("parent").alias("slug"), T.strip(_joined(F.col("preamble"), F.lit("## Sections\n"), links)).alias("body"), F.transform("m", lambda x: x["slug"]).alias("children"), F.transform("m", lambda x: F.struct(x["slug"].alias("slug"), x["title"].alias("title"), x["synopsis"].alias("synopsis"))).alias("section_map"))
     return parents, children

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import number_within
 from ..functions import text as T
 
 
@@ -29,19 +30,20 @@ def merge_metadata(docs: DataFrame, updates: DataFrame, key: str = "slug", colum
 def number_slugs(titles: DataFrame, existing: DataFrame | None = None, order: str = "ord") -> DataFrame:
     """``titles`` (title, ord) plus slug: equal bases get -2, -3 ... in order,
     after those that exist already."""
-    rows = titles.withColumn("_base", T.slug(F.col("title")))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(order))
+    rows = number_within(titles.withColumn("_base", T.slug(F.col("title"))), "_base", [order], "_place")
+    n = F.col("_place")
     if existing is not None:
         taken = existing.select(F.regexp_replace("slug", r"-[0-9]+$", "").alias("_base"), F.coalesce(F.expr("try_cast(regexp_extract(slug, '-([0-9]+)$', 1) AS int)"), F.lit(1)).alias("_k")).groupBy("_base").agg(F.max("_k").alias("_taken"))
         rows = rows.join(taken, "_base", "left")
         n = n + F.coalesce("_taken", F.lit(0))
-    return rows.withColumn("slug", F.when(n == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), n))).drop("_base", "_taken")
+    return rows.withColumn("slug", F.when(n == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), n))).drop("_base", "_taken", "_place")
 
 
 def mark_duplicates(docs: DataFrame, key: str, text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """(key, content_hash, status, original): the first of equal contents is
-    created, others are duplicates; ``known`` holds (content_hash, slug)."""
-    rows = docs.select(key, T.content_hash(F.col(text)).alias("content_hash"))
+    created, others are duplicates; a null text counts as empty; ``known`` holds
+    (content_hash, slug)."""
+    rows = docs.select(key, T.content_hash(F.coalesce(text, F.lit(""))).alias("content_hash"))
     first = rows.groupBy("content_hash").agg(F.min(key).alias("original"))
     rows = rows.join(first, "content_hash")
     status = F.when(F.col(key) == F.col("original"), "created").otherwise("duplicate")
@@ -57,6 +59,11 @@ def page(docs: DataFrame, number: int, size: int, order: str = "slug") -> DataFr
     return docs.orderBy(order).offset((number - 1) * size).limit(size)
 
 
+def bounded_k(k: int | None, default: int = 10) -> int:
+    """How many answers are asked for: 1 to 100; none or 0 is the default."""
+    return max(1, min(100, k or default))
+
+
 def search(docs: DataFrame, filters: dict | None = None, k: int = 10) -> DataFrame:
     """Structured search: category, has_children, parent, min_word_count; other
     keys are ignored; newest first."""
@@ -69,4 +76,4 @@ def search(docs: DataFrame, filters: dict | None = None, k: int = 10) -> DataFra
             docs = docs.where(F.col("parent") == value)
         elif name == "min_word_count":
             docs = docs.where(F.col("word_count") >= value)
-    return docs.orderBy(F.desc("updated"), "slug").limit(k or 10)
+    return docs.orderBy(F.desc("updated"), "slug").limit(bounded_k(k))

@@ -15,18 +15,26 @@ def scoped(rows: DataFrame, tenant: str | None) -> DataFrame:
 def validate(docs: DataFrame, fields: DataFrame, key: str = "slug", values: str = "extra") -> DataFrame:
     """(key, errors): missing required fields and values that don't have the
     field's type.  ``values`` is a map of JSON values; fields (field_name,
-    field_type in string, int, float, bool, list; required)."""
-    v = F.col("_v")
-    ok = (
-        F.when(F.col("field_type") == "string", v.rlike(r'^".*"$'))
-        .when(F.col("field_type") == "int", v.rlike(r"^(-?[0-9]+|true|false)$"))
-        .when(F.col("field_type") == "float", v.rlike(r"^(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false)$"))
-        .when(F.col("field_type") == "bool", v.rlike("^(true|false)$"))
-        .when(F.col("field_type") == "list", v.rlike(r"^\[.*\]$"))
-    )
-    rows = docs.select(key, values).join(fields, F.lit(True)).withColumn("_v", F.try_element_at(values, F.col("field_name")))
-    error = F.when(v.isNull() & F.col("required"), F.concat(F.lit("missing required field: "), F.col("field_name"))).when(v.isNotNull() & ~F.coalesce(ok, F.lit(False)), F.concat(F.col("field_name"), F.lit(" is no "), F.col("field_type")))
-    return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(error)), "; ").alias("errors"))
+    field_type in string, int, float, bool, list; required).  A tenant's fields
+    are one array that goes to the documents, whose rows stay where they are."""
+
+    def error(f: Column) -> Column:
+        v, kind = F.try_element_at(values, f["field_name"]), f["field_type"]
+        ok = (
+            F.when(kind == "string", v.rlike(r'^".*"$'))
+            .when(kind == "int", v.rlike(r"^(-?[0-9]+|true|false)$"))
+            .when(kind == "float", v.rlike(r"^(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false)$"))
+            .when(kind == "bool", v.rlike("^(true|false)$"))
+            .when(kind == "list", v.rlike(r"^\[.*\]$"))
+        )
+        missing = F.concat(F.lit("missing required field: "), f["field_name"])
+        wrong = F.concat(f["field_name"], F.lit(" is no "), kind)
+        return F.when(v.isNull() & f["required"], missing).when(v.isNotNull() & ~F.coalesce(ok, F.lit(False)), wrong)
+
+    listed = fields.agg(F.collect_list(F.struct("field_name", "field_type", "required")).alias("_fields"))
+    rows = docs.select(key, values).crossJoin(F.broadcast(listed))  # one row
+    errors = F.filter(F.transform("_fields", error), lambda e: e.isNotNull())
+    return rows.select(key, F.array_join(F.array_sort(errors), "; ").alias("errors"))
 
 
 def permitted(method: Column, read_only: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import materialise
@@ -10,24 +10,31 @@ from ..functions import text as T
 from ..operators import fingerprint, index, split, store
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """``docs`` (slug, title, text) plus fingerprint, categories, concepts and
-    summary; a document without category is ``general``."""
-    kw = fingerprint.keywords(docs)
-    cats = fingerprint.categories(kw)
-    listed = lambda rows, c: rows.groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(c).alias("v")))), lambda x: x["v"]).alias(c))  # noqa: E731  at most ten a document
-    both = docs.join(listed(kw, "token"), "slug", "left").join(listed(cats, "category"), "slug", "left").join(listed(fingerprint.concepts(docs), "concept"), "slug", "left")
+def describe(docs: DataFrame, taxonomy=None, summarise=fingerprint.synopsis) -> DataFrame:
+    """``docs`` (slug, title, text; existing_categories if known) plus
+    fingerprint, categories, concepts and summary; a document without category is
+    ``general``.  ``summarise`` is another way to make summaries, a function of
+    the columns text and title: a language model's, for example."""
     none = F.array().cast("array<string>")
-    words = F.coalesce("token", none)
-    found = F.coalesce("concept", none)
-    padded = F.slice(F.concat(found, F.filter(words, lambda w: ~F.array_contains(F.transform(found, F.lower), w))), F.lit(1), F.greatest(F.size(found), F.lit(3)))
-    return both.select(*docs.columns, words.alias("fingerprint"), F.coalesce("category", F.array(F.lit("general"))).alias("categories"), padded.alias("concepts"), fingerprint.synopsis(F.col("text"), F.col("title")).alias("summary"))
-
-
-def ingest(extracted: DataFrame, threshold: int = 2000, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    named = lambda rows, c: F.transform(rows, lambda r: r[c])
+    out = docs.withColumn("fingerprint", named(fingerprint.keyword_array(F.col("title"), F.col("text")), "token"))
+    found = named(fingerprint.category_array(F.col("fingerprint"), taxonomy), "category")
+    if "existing_categories" in docs.columns:
+        found = fingerprint.merged_categories(F.col("existing_categories"), found)
+    general = fingerprint.let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit("general"))))
+    own = named(fingerprint.concept_array(F.col("title"), F.col("text")), "concept")
+    # three concepts at least, if there are keywords to make them up
+    spare = lambda c: F.filter("fingerprint", lambda w: ~F.array_contains(F.transform(c, F.lower), w))
+    padded = fingerprint.let(own, lambda c: F.slice(F.concat(c, spare(c)), F.lit(1), F.greatest(F.size(c), F.lit(3))))
+    out = out.withColumn("categories", general).withColumn("concepts", F.coalesce(padded, none)).withColumn("summary", summarise(F.col("text"), F.col("title")))
+    return out.drop("existing_categories")
+
+
+def ingest(extracted: DataFrame, threshold: int = 2000, existing: DataFrame | None = None, taxonomy=None, summarise=fingerprint.synopsis) -> tuple[DataFrame, DataFrame]:
     """(documents, results) of rows (ord, title, text): duplicates, slugs, split
-    sections, fingerprints.  results: ord, slug, status."""
-    titled = extracted.withColumn("title", F.coalesce("title", F.lit("untitled")))
+    sections, fingerprints.  results: ord, slug, status; a duplicate has the slug
+    of the document that it repeats."""
+    titled = extracted.withColumn("title", F.coalesce("title", F.lit("untitled"))).withColumn("text", F.coalesce("text", F.lit("")))
     marked = store.mark_duplicates(titled, "ord")
     fresh = titled.join(marked.where("status = 'created'").select("ord", "content_hash"), "ord")
     fresh = materialise(store.number_slugs(fresh, existing), "fresh")
@@ -38,16 +45,18 @@ def ingest(extracted: DataFrame, threshold: int = 2000, existing: DataFrame | No
     top = whole.select("slug", "title", F.coalesce("_body", "text").alias("text"), F.lit(None).cast("string").alias("parent"), F.coalesce("children", empty).alias("children"), F.coalesce("section_map", maps).alias("section_map"))
     below = children.select("slug", "title", F.col("body").alias("text"), "parent", empty.alias("children"), maps.alias("section_map"))
     # the pieces are read by every part of the fingerprint
-    documents = describe(materialise(top.unionByName(below), "ingested")).withColumn("word_count", T.word_count(F.col("text"))).withColumnRenamed("text", "body")
+    documents = describe(materialise(top.unionByName(below), "ingested"), taxonomy, summarise).withColumn("word_count", T.word_count(F.col("text"))).withColumnRenamed("text", "body")
     slugs = fresh.select("ord", "slug").join(parents.select("slug", F.lit(True).alias("_split")), "slug", "left")
-    results = marked.join(slugs, "ord", "left").select("ord", "slug", F.when(F.col("_split"), "split").otherwise(F.col("status")).alias("status"))
+    results = marked.join(slugs.withColumnRenamed("ord", "original"), "original", "left").select("ord", "slug", F.when(F.col("status") == "duplicate", "duplicate").when(F.col("_split"), "split").otherwise(F.col("status")).alias("status"))
     return documents, results
 
 
 def derive_indexes(documents: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "postings": index.postings(documents, "slug", F.col("title"), F.col("summary"), F.col("body")),
+    """All that is derived from documents: what an engine keeps beside them."""
+    from .indexes import tables_of
+
+    return tables_of(documents) | {
         "links": index.links(documents),
-        "master_index": documents.select("slug", "title", "categories", "summary", "fingerprint", (F.size("children") > 0).alias("has_children"), "parent"),
+        "entries": documents.select("slug", "title", "categories", "summary", "fingerprint", (F.size("children") > 0).alias("has_children"), "parent"),
         "index_state": index.index_state(documents, "slug", "title", "body"),
     }

@@ -1,118 +1,129 @@
 """The registered queries of the engine's own operators, and the same in SQL.
 
 Documents of the driver's tables have no titles: the title is the first
-sentence, cut at 60 characters; the slug is ``doc-<id>``.
+sentence, cut at 60 characters; the slug is ``doc-<id>``.  Retrieval reads an
+index that is built once for each session and folder, as an engine keeps it:
+``index_build`` builds it anew, all other queries join its tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql as Q
+from .durable import fresh_folder, materialise
 from .functions import scoring as S
 from .functions import text as T
-from .functions.lexicon import COMMON_WORDS, STOP_WORDS, TAXONOMY
-from .operators import feedback, fingerprint, graph, index, rank, split, store, tenancy
-from .plans import ingest, retrieve
-from .sources import html, urls
+from .operators import control, feedback, fingerprint, graph, index, rank, split, store, tenancy
+from .plans import indexes, ingest, retrieve
+from .sources import files, html, notes, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _list(words) -> str:
-    return ", ".join(f"'{w}'" for w in words)
-
-
-STOP = _list(STOP_WORDS)
-
+# -- frames ----------------------------------------------------------------------
 
-def sql_query_tokens(t: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({STOP}))"
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    first = F.coalesce(F.substring(F.get(T.sentences(F.col("text")), 0), 1, 60), F.lit(""))
+    return docs.select(F.concat(F.lit("doc-"), "doc_id").alias("slug"), "doc_id", first.alias("title"), "text", "lang", "source")
 
-def sql_tokens(t: str) -> str:
-    return rf"list_filter(regexp_extract_all(lower({t}), '[a-z][a-z0-9\-]*[a-z0-9]|[a-z]'), lambda x: length(x) BETWEEN 2 AND 30 AND x NOT IN ({STOP}))"
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
-def sql_words(t: str) -> str:
-    return rf"list_filter(regexp_split_to_array({t}, '\s+'), lambda x: x <> '')"
 
+def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
 
-# -- frames ----------------------------------------------------------------------
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as engine documents; every document with over 300 words lists
+    the next one as its section."""
+    docs = ingest.describe(corpus(spark, sf_dir))
+    nxt = F.concat(F.lit("doc-"), F.col("doc_id") + 1)
+    maps = F.when(T.word_count(F.col("text")) > 300, F.array(F.struct(nxt.alias("slug"), F.col("title").alias("title"), F.col("summary").alias("synopsis"))))
+    maps = F.coalesce(maps, F.array().cast("array<struct<slug:string,title:string,synopsis:string>>"))
+    return docs.select("slug", "doc_id", "title", F.col("text").alias("body"), "summary", "categories", "concepts", "fingerprint", maps.alias("section_map"))
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    first = F.substring(F.get(T.sentences(F.col("text")), 0), 1, 60)
-    return docs.select(F.concat(F.lit("doc-"), "doc_id").alias("slug"), "doc_id", first.alias("title"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
 
+@dataclass(frozen=True)
+class Store:
+    """What an engine keeps: documents, their index, and a plain full-text index
+    of titles and texts."""
 
-SQL_CORPUS = r"""corpus AS (SELECT 'doc-' || doc_id AS slug, doc_id, coalesce(text, '') AS text, lang, source,
-  left(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))[1], 60) AS title FROM documents)"""
+    documents: DataFrame
+    index: indexes.Index
+    plain: indexes.Index
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+_stores: dict[tuple[str, str], Store] = {}
 
 
-def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+def build(spark: SparkSession, sf_dir: str) -> Store:
+    documents = materialise(described(spark, sf_dir), "documents")
+    full = indexes.build(documents, fresh_folder(spark, "index"))
+    bare = documents.select("slug", "title", "body", F.lit("").alias("summary"), *[F.array().cast("array<string>").alias(c) for c in indexes.LISTS])
+    plain = indexes.build(bare, fresh_folder(spark, "plain-index"), stemmed=False)
+    return Store(documents, full, plain)
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("slug", "title", F.col("title").alias("synopsis"), F.array("lang", "source").alias("categories"), F.slice(F.array_distinct(T.tokenize(F.col("text"))), 1, 10).alias("fingerprint"))
+def kept(spark: SparkSession, sf_dir: str) -> Store:
+    """The session's store of a folder's documents."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        _stores[key] = build(spark, sf_dir)
+    return _stores[key]
 
 
-SQL_ENTRIES = f"""entries AS (SELECT slug, title, title AS synopsis, [lang, source] AS categories,
-  list_transform(list_sort(list_distinct(list_transform(tk, lambda x: list_position(tk, x)))), lambda p: tk[p])[1:10] AS fingerprint
-  FROM (SELECT *, {sql_tokens('text')} AS tk FROM corpus))"""
+# -- ranking ---------------------------------------------------------------------
 
 
-def postings_of(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    return index.postings(docs, "slug", F.col("title"), F.col("text")), rank.corpus_stats(docs, "slug", F.col("title"), F.col("text"))
+def index_build(spark, sf_dir):
+    """Builds the store anew; what the index holds of each document."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    _stores[key] = made = build(spark, sf_dir)
+    terms = made.index.postings.groupBy("slug").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    weights = made.index.weights.groupBy("slug").agg(F.count(F.lit(1)).alias("n_keywords"), F.sum("weight").alias("weight"))
+    none = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind)).alias(c)
+    return made.index.lengths.join(terms, "slug", "left").join(weights, "slug", "left").select("slug", "dl", none("n_terms", "long"), none("n_tokens", "long"), none("n_keywords", "long"), none("weight", "double"))
 
 
-# -- ranking ---------------------------------------------------------------------
+SQL_POOLED = "title || ' ' || summary || ' ' || text || ' ' || array_to_string(categories, ' ') || ' ' || array_to_string(concepts, ' ') || ' ' || array_to_string(fingerprint, ' ')"
+SQL_KEPT = f"{Q.CORPUS},\n{Q.FINGERPRINTS}"
+SQL_PLAIN = Q.bm25("corpus", "title || ' ' || text", "plain")
+SQL_PORTER = Q.bm25("described", SQL_POOLED, "bm25", stemmed=True)
 
 
 def bm25_topk(spark, sf_dir):
-    post, stats = postings_of(spark, sf_dir)
-    return rank.bm25(questions(spark, sf_dir), post, stats, "slug")
+    tables = kept(spark, sf_dir).plain
+    return rank.bm25(questions(spark, sf_dir), tables.postings, tables.stats(), "slug")
 
 
 def bm25_porter_topk(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    fields = [F.col("title"), F.col("text")]
-    return rank.bm25(questions(spark, sf_dir), index.postings(docs, "slug", *fields, stemmed=True), rank.corpus_stats(docs, "slug", *fields), "slug", stemmed=True)
-
-
-SQL_BM25 = rf"""toks AS (SELECT slug, regexp_extract_all(strip_accents(lower(title || ' ' || text)), '[\p{{L}}\p{{N}}]+') AS t FROM corpus),
-tf AS (SELECT slug, len(t) AS dl, unnest(t) AS term FROM toks),
-post AS (SELECT term, slug, dl, count(*) AS tf FROM tf GROUP BY ALL),
-st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM toks),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-qs AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 1) AS w FROM benchmark),
-qt AS (SELECT query_id, unnest(regexp_extract_all(strip_accents(lower(array_to_string(w, ' '))), '[\p{{L}}\p{{N}}]+')) AS term FROM qs),
-q AS (SELECT query_id, term, count(*) AS n FROM qt GROUP BY ALL),
-bm AS (SELECT query_id, slug, round(sum(q.n * (CASE WHEN ln((st.n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((st.n - df + 0.5) / (df + 0.5)) END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / st.a))), 6) AS score
-  FROM q JOIN post USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
-bm25 AS (SELECT query_id, slug, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS rank FROM bm QUALIFY rank <= 10)"""
+    """Stems of all seven fields, as an engine searches."""
+    tables = kept(spark, sf_dir).index
+    return rank.bm25(questions(spark, sf_dir), tables.postings, tables.stats(), "slug", stemmed=True)
 
 
 def tier0_keyword_topk(spark, sf_dir):
-    return rank.tier0(questions(spark, sf_dir), index.keyword_weights(entries(spark, sf_dir)))
+    return rank.tier0(questions(spark, sf_dir), kept(spark, sf_dir).index.weights)
 
 
-SQL_TIER0 = rf"""kw AS (
-  SELECT DISTINCT slug, lower(unnest(fingerprint)) AS token, 3.0 AS w, 'f' AS k FROM entries
-  UNION SELECT DISTINCT slug, lower(unnest(categories)), 2.0, 'c' FROM entries
-  UNION SELECT DISTINCT slug, unnest({sql_words('lower(synopsis)')}), 1.5, 's' FROM entries
-  UNION SELECT DISTINCT slug, unnest({sql_words('lower(title)')}), 3.0, 't' FROM entries),
-kwt AS (SELECT token, slug, sum(w)::DOUBLE AS weight FROM kw GROUP BY ALL),
-qk AS (SELECT item_id AS query_id, unnest({sql_query_tokens('text')}) AS token FROM benchmark),
+SQL_WEIGHTS = rf"""kw AS (
+  SELECT DISTINCT slug, lower(unnest(fingerprint)) AS token, 3.0 AS w, 'f' AS k FROM described
+  UNION SELECT DISTINCT slug, lower(unnest(categories)), 2.0, 'c' FROM described
+  UNION SELECT DISTINCT slug, unnest({Q.words('lower(summary)')}), 1.5, 's' FROM described
+  UNION SELECT DISTINCT slug, unnest({Q.words('lower(title)')}), 3.0, 't' FROM described),
+kwt AS (SELECT token, slug, sum(w)::DOUBLE AS weight FROM kw GROUP BY ALL)"""
+SQL_TIER0 = f"""{SQL_WEIGHTS},
+qk AS (SELECT item_id AS query_id, unnest({Q.query_tokens('text')}) AS token FROM benchmark),
 t0 AS (SELECT query_id, slug, sum(weight) AS score FROM qk JOIN kwt USING (token) GROUP BY ALL),
 tier0 AS (SELECT query_id, slug, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS rank FROM t0 QUALIFY rank <= 10)"""
 
@@ -126,23 +137,37 @@ def cosine_topk(spark, sf_dir):
     return rank.cosine(vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-SQL_COSINE = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(coalesce(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) /
-  nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0), 0), 6) AS score
-  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)
+SQL_COSINES = """round(coalesce(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) /
+  nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0), 0), 6)"""
+SQL_COSINE = f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {SQL_COSINES} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10"""
 
+#: Best full-text score below which the registered questions ask for vectors too.
+GATE = 80.0
+
+
+def question_vectors(spark, sf_dir):
+    """(query_id, slug, score): the vector of a question's number against all;
+    vector i is document i's."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = questions(spark, sf_dir).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("query"))
+    return rank.cosine(asked, vectors).select("query_id", F.concat(F.lit("doc-"), "vec_id").alias("slug"), "score")
+
 
 def ranked(spark, sf_dir):
-    one = tier0_keyword_topk(spark, sf_dir).select("query_id", F.lit("master_index").alias("source"), "slug", "rank")
-    return one.unionByName(bm25_topk(spark, sf_dir).select("query_id", F.lit("fts5").alias("source"), "slug", "rank"))
+    return retrieve.ranked_sources(questions(spark, sf_dir), kept(spark, sf_dir).index, vectors=question_vectors(spark, sf_dir), gate=GATE)
 
 
 def rrf_hybrid(spark, sf_dir):
     return rank.fuse(ranked(spark, sf_dir))
 
 
-SQL_RRF = """lists AS (SELECT query_id, 'master_index' AS source, 0 AS p, slug, rank FROM tier0 UNION ALL SELECT query_id, 'fts5', 1, slug, rank FROM bm25),
-fu AS (SELECT query_id, slug, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, arg_min(source, p) AS source FROM lists GROUP BY ALL),
+SQL_RRF = f"""gated AS (SELECT item_id AS query_id FROM benchmark LEFT JOIN bm25 ON query_id = item_id GROUP BY 1 HAVING coalesce(max(score), 0) < {GATE} OR count(score) < 3),
+vs AS (SELECT b.item_id AS query_id, 'doc-' || e.vec_id AS slug, {SQL_COSINES} AS score, e.vec_id FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e),
+v10 AS (SELECT query_id, slug, score FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10),
+near AS (SELECT query_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS rank FROM v10 SEMI JOIN gated USING (query_id)),
+lists AS (SELECT query_id, 'master_index' AS source, 0 AS p, 1.0 AS w, slug, rank FROM tier0 UNION ALL SELECT query_id, 'fts5', 1, 1.0, slug, rank FROM bm25 UNION ALL SELECT query_id, 'embeddings', 2, 0.8, slug, rank FROM near),
+fu AS (SELECT query_id, slug, round(sum(w::DOUBLE / (60 + rank)), 9) AS score, arg_min(source, p) AS source FROM lists GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS rank FROM fu QUALIFY rank <= 10)"""
 
 
@@ -150,15 +175,6 @@ def embedding_gate(spark, sf_dir):
     return rank.embedding_gate(questions(spark, sf_dir), bm25_topk(spark, sf_dir), least=100.0)
 
 
-def documents_of(spark, sf_dir):
-    """The corpus as engine documents; every document with over 300 words lists
-    the next one as its section."""
-    docs = corpus(spark, sf_dir)
-    nxt = F.concat(F.lit("doc-"), F.col("doc_id") + 1)
-    maps = F.when(T.word_count(F.col("text")) > 300, F.array(F.struct(nxt.alias("slug"), F.col("title").alias("title"), F.lit("").alias("synopsis")))).otherwise(F.array().cast("array<struct<slug:string,title:string,synopsis:string>>"))
-    return docs.select("slug", "title", F.col("text").alias("body"), F.col("title").alias("summary"), F.array("lang", "source").alias("categories"), F.slice(T.tokenize(F.col("title")), 1, 3).alias("concepts"), F.slice(F.array_distinct(T.tokenize(F.col("text"))), 1, 10).alias("fingerprint"), maps.alias("section_map"))
-
-
 def link_table(spark, sf_dir):
     """Document i links to 7 i + 1 and 13 i + 5, modulo the number of documents."""
     docs = table(spark, sf_dir, "documents")
@@ -170,29 +186,40 @@ def link_table(spark, sf_dir):
 SQL_LINKS = """links AS (SELECT 'doc-' || doc_id AS src, 'doc-' || unnest([(doc_id * 7 + 1) % n, (doc_id * 13 + 5) % n]) AS dst FROM documents, (SELECT max(doc_id) + 1 AS n FROM documents))"""
 
 
+def answers(spark, sf_dir):
+    return retrieve.retrieve(questions(spark, sf_dir), kept(spark, sf_dir).documents, link_table(spark, sf_dir), ranked(spark, sf_dir))
+
+
 def tiered_retrieve(spark, sf_dir):
-    return retrieve.retrieve(questions(spark, sf_dir), documents_of(spark, sf_dir), link_table(spark, sf_dir), ranked=ranked(spark, sf_dir)).select("query_id", "rank", "slug", "score", "tier", "source", F.md5(F.coalesce("snippet", F.lit("")).cast("binary")).alias("snippet_md5"))
+    return answers(spark, sf_dir).select("query_id", "rank", "slug", "title", "score", "tier", "source", F.array_join("categories", ",").alias("categories"), F.md5(F.coalesce("snippet", F.lit("")).cast("binary")).alias("snippet_md5"))
+
+
+def retrieval_reads(spark, sf_dir):
+    """What the tiers read for each question, and the deepest tier."""
+    return retrieve.bytes_read(answers(spark, sf_dir))
 
 
 STRUCTURED = "|".join(T.STRUCTURED)
 
-SQL_TIERED = rf"""docs2 AS (SELECT *, list_slice({sql_tokens('title')}, 1, 3) AS concepts, len({sql_words('text')}) > 300 AS has_sec FROM corpus),
-asked AS (SELECT item_id AS query_id, list_distinct({sql_query_tokens('text')}) AS kw, regexp_matches(lower(text), '{STRUCTURED}') AS structured FROM benchmark),
-f5 AS (SELECT f.query_id, f.slug, f.score AS fused, f.source, a.kw, a.structured, d.title, d.text, d.concepts, d.has_sec, 'doc-' || (d.doc_id + 1) AS nxt,
-  f.score + 2 * (CASE WHEN len(a.kw) > 0 AND len(d.concepts) > 0 THEN len(list_intersect(a.kw, d.concepts))::DOUBLE / len(list_distinct(a.kw || d.concepts)) ELSE 0 END) AS t1,
-  CASE WHEN d.has_sec AND len(a.kw) > 0 AND len({sql_query_tokens("d.title || ' '")}) > 0 THEN len(list_intersect(a.kw, {sql_query_tokens("d.title || ' '")}))::DOUBLE / len(list_distinct(a.kw || {sql_query_tokens("d.title || ' '")})) ELSE 0 END AS sec
-  FROM fused f JOIN asked a USING (query_id) JOIN docs2 d USING (slug) WHERE f.rank <= 5),
-ans AS (SELECT f.query_id, coalesce(c.slug, f.slug) AS slug, CASE WHEN f.structured THEN f.title ELSE trim(left(coalesce(c.text, f.text), 300), chr(32) || chr(9) || chr(10) || chr(13)) END AS snippet,
-  CASE WHEN NOT f.structured AND c.slug IS NOT NULL THEN t1 + sec ELSE t1 END AS score, CASE WHEN f.structured THEN 1 WHEN c.slug IS NOT NULL THEN 2 ELSE 3 END AS tier, f.source,
-  CASE WHEN NOT f.structured AND c.slug IS NOT NULL THEN NULL ELSE t1 END AS near
+SQL_TIERED = rf"""docs2 AS (SELECT *, len({Q.words('text')}) > 300 AS has_sec, list_transform(concepts, lambda x: lower(x)) AS lc,
+  {Q.query_tokens("title || ' ' || summary")} AS st, strlen(concat_ws(' ', title, summary, array_to_string(categories, ' '), array_to_string(concepts, ' '))) AS header FROM described),
+asked AS (SELECT item_id AS query_id, list_distinct({Q.query_tokens('text')}) AS kw, regexp_matches(lower(text), '{STRUCTURED}') AS structured FROM benchmark),
+f5 AS (SELECT f.query_id, f.slug, f.score AS fused, f.source, a.structured, d.title, d.text, d.summary, d.categories, d.header, 'doc-' || (d.doc_id + 1) AS nxt,
+  f.score + 2 * (CASE WHEN len(a.kw) > 0 AND len(d.lc) > 0 THEN len(list_intersect(a.kw, d.lc))::DOUBLE / len(list_distinct(a.kw || d.lc)) ELSE 0 END) AS t1,
+  CASE WHEN d.has_sec AND len(a.kw) > 0 AND len(d.st) > 0 THEN len(list_intersect(a.kw, d.st))::DOUBLE / len(list_distinct(a.kw || d.st)) ELSE 0 END AS sec
+  FROM fused f JOIN asked a USING (query_id) JOIN docs2 d USING (slug) WHERE f.rank <= 5 AND len(a.kw) > 0),
+ans AS (SELECT f.query_id, coalesce(c.slug, f.slug) AS slug, f.title, CASE WHEN f.structured THEN f.summary ELSE trim(left(coalesce(c.text, f.text), 300), chr(32) || chr(9) || chr(10) || chr(13)) END AS snippet,
+  CASE WHEN c.slug IS NOT NULL THEN t1 + sec ELSE t1 END AS score, CASE WHEN f.structured THEN 1 WHEN c.slug IS NOT NULL THEN 2 ELSE 3 END AS tier, f.source, f.categories,
+  CASE WHEN c.slug IS NOT NULL THEN NULL ELSE fused END AS near, f.header + CASE WHEN f.structured THEN 0 ELSE strlen(coalesce(c.text, f.text)) END AS n_bytes
   FROM f5 f LEFT JOIN corpus c ON c.slug = f.nxt AND f.sec > 0 AND NOT f.structured),
-found AS (SELECT query_id, slug, snippet, score, tier, source, (SELECT any_value(fused) FROM f5 WHERE f5.query_id = ans.query_id AND f5.slug = ans.slug AND ans.tier <> 2) AS near FROM ans
-  UNION ALL SELECT f.query_id, f.slug, d.title, 0.5 * f.score, 0, f.source, f.score FROM fused f JOIN corpus d USING (slug) WHERE f.rank > 5),
+found AS (SELECT * FROM ans
+  UNION ALL SELECT f.query_id, f.slug, d.title, d.summary, 0.5 * f.score, 0, f.source, d.categories, f.score, 0 FROM fused f JOIN docs2 d USING (slug) JOIN asked a USING (query_id) ANTI JOIN ans x ON x.query_id = f.query_id AND x.slug = f.slug WHERE f.rank > 5 AND len(a.kw) > 0),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS r FROM found QUALIFY r <= 3),
 src AS (SELECT b.query_id, l.src, b.slug AS dst, coalesce(b.near, 0.1::DOUBLE) AS near, b.r, row_number() OVER (PARTITION BY b.query_id, b.slug ORDER BY l.src) AS n FROM best b JOIN (SELECT DISTINCT * FROM links) l ON l.dst = b.slug QUALIFY n <= 2),
 more AS (SELECT query_id, src AS slug, arg_min(near, r) AS near FROM src s WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.query_id = s.query_id AND f.slug = s.src) GROUP BY 1, 2),
-res AS (SELECT query_id, slug, snippet, round(score, 6) AS score, tier, source FROM found UNION ALL SELECT m.query_id, m.slug, d.title, round(0.5 * m.near, 6), 1, 'backlinks' FROM more m JOIN corpus d USING (slug))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug, tier) AS rank, slug, score, tier, source, md5(snippet) AS snippet_md5 FROM res QUALIFY rank <= 10"""
+res AS (SELECT query_id, slug, title, snippet, round(score, 6) AS score, tier, source, categories, n_bytes FROM found
+  UNION ALL SELECT m.query_id, m.slug, d.title, d.summary, round(0.5 * m.near, 6), 1, 'backlinks', d.categories, d.header FROM more m JOIN docs2 d USING (slug)),
+answers AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug, tier) AS rank FROM res QUALIFY rank <= 10)"""
 
 
 # -- text ------------------------------------------------------------------------
@@ -220,7 +247,7 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 SQL_SCALARS = rf"""WITH a AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 90)), '^\s+|\s+$', '', 'g'), '[\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{{2,}}', '-', 'g') AS s0,
   regexp_replace(regexp_replace(lower(regexp_replace(left(text, 50), '^#+\s*', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS h, left(text, 200) AS head FROM documents),
 b AS (SELECT *, regexp_replace(s0, '^-+|-+$', '', 'g') AS s, 200 - strpos(reverse(head), ' ') AS last FROM a)
-SELECT doc_id, len({sql_words('text')})::INT AS n_words, len({sql_query_tokens('text')})::INT AS n_query_tokens, len({sql_tokens('text')})::INT AS n_tokens,
+SELECT doc_id, len({Q.words('text')})::INT AS n_words, len({Q.query_tokens('text')})::INT AS n_query_tokens, len({Q.tokens('text')})::INT AS n_tokens,
   len(list_filter(string_split(regexp_replace({_STRIP.format("regexp_replace(text, '\\s+', ' ', 'g')")}, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> ''))::INT AS n_sentences,
   md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#{{1,6}}\s+', '', 'g'), '\*{{1,3}}|_{{1,3}}', '', 'g'), '`{{1,3}}', '', 'g'), '(?m)^\s*[-*+]\s', '', 'g'), '(?m)^\s*\d+\.\s', '', 'g')) AS plain_md5,
   md5({_STRIP.format("regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \\t]+$', '', 'g')")}) AS clean_md5,
@@ -244,13 +271,14 @@ SELECT query_id, CASE WHEN regexp_matches(lower(q), '{STRUCTURED}') THEN 'struct
 def jaccard_turns(spark, sf_dir):
     """Keyword overlap of each question with the benchmark item of its number."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id"), T.tokenize_query(F.col("text")).alias("b"))
-    n = table(spark, sf_dir, "benchmark").count()
-    rows = user_turns(spark, sf_dir).withColumn("item_id", F.col("query_id") % n).join(b, "item_id").withColumn("a", T.tokenize_query(F.col("question")))
+    n = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n"))
+    turns = user_turns(spark, sf_dir).crossJoin(F.broadcast(n))  # one row
+    rows = turns.withColumn("item_id", F.col("query_id") % F.col("n")).join(b, "item_id").withColumn("a", T.tokenize_query(F.col("question")))
     return rows.select("query_id", "item_id", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(S.partial_match(F.array_distinct("a"), F.array_distinct("b")), 6).alias("partial"))
 
 
-SQL_JACCARD = f"""WITH b AS (SELECT item_id, list_distinct({sql_query_tokens('text')}) AS b FROM benchmark),
-q AS (SELECT conv_id * 1000 + turn AS query_id, list_distinct({sql_query_tokens('text')}) AS a FROM conversations WHERE role = 'user')
+SQL_JACCARD = f"""WITH b AS (SELECT item_id, list_distinct({Q.query_tokens('text')}) AS b FROM benchmark),
+q AS (SELECT conv_id * 1000 + turn AS query_id, list_distinct({Q.query_tokens('text')}) AS a FROM conversations WHERE role = 'user')
 SELECT query_id, item_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) ELSE 0 END, 6) AS jaccard,
 round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_filter(a, lambda k: len(list_filter(b, lambda t: contains(t, k) OR contains(k, t))) > 0))::DOUBLE / len(a) ELSE 0 END, 6) AS partial
 FROM q JOIN b ON item_id = query_id % (SELECT count(*) FROM benchmark)"""
@@ -263,29 +291,12 @@ def tf_augmented(spark, sf_dir):
     return fingerprint.term_frequencies(corpus(spark, sf_dir)).select("slug", "token", "n", F.round("tf", 6).alias("tf"))
 
 
-SQL_TF = f"""tk AS (SELECT slug, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (SELECT slug, {sql_tokens('text')} AS t FROM corpus)),
-tfs AS (SELECT slug, token, count(*) AS n, min(pos) AS first FROM tk GROUP BY ALL),
-tfa AS (SELECT *, 0.5::DOUBLE + 0.5::DOUBLE * n / max(n) OVER (PARTITION BY slug) AS tf FROM tfs)"""
-
-
 def keyword_fingerprint(spark, sf_dir):
     return fingerprint.keywords(corpus(spark, sf_dir))
 
 
-SQL_KEYWORDS = rf"""bo AS (SELECT slug, list_distinct({sql_tokens('title')}) AS tt, list_distinct({sql_tokens(r"regexp_split_to_array(text, '\n\s*\n')[1]")}) AS fp FROM corpus),
-ks AS (SELECT slug, token, first, round(tf * (CASE WHEN token IN ({_list(COMMON_WORDS)}) THEN 1.0::DOUBLE WHEN length(token) <= 3 THEN 2.45::DOUBLE ELSE 3.5::DOUBLE END)
-  * (CASE WHEN list_contains(tt, token) THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN list_contains(fp, token) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM tfa JOIN bo USING (slug)),
-kf AS (SELECT slug, token, score, row_number() OVER (PARTITION BY slug ORDER BY score DESC, first) AS rank FROM ks QUALIFY rank <= 10)"""
-
-
 def category_detect(spark, sf_dir):
-    return fingerprint.categories(keyword_fingerprint(spark, sf_dir))
-
-
-_TAX = ", ".join(f"('{c}', '{w}')" for c, ws in TAXONOMY.items() for w in ws)
-SQL_CATEGORIES = f"""tax AS (SELECT * FROM (VALUES {_TAX}) t(category, word)),
-cs AS (SELECT slug, category, sum(CASE WHEN word = token THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS score FROM kf JOIN tax ON contains(word, token) OR contains(token, word) GROUP BY ALL HAVING score >= 1)
-SELECT slug, category, score, row_number() OVER (PARTITION BY slug ORDER BY score DESC, category) AS rank FROM cs QUALIFY rank <= 5"""
+    return fingerprint.categories(corpus(spark, sf_dir))
 
 
 def synopsis_sentence(spark, sf_dir):
@@ -296,11 +307,6 @@ def bigram_concepts(spark, sf_dir):
     return fingerprint.bigrams(corpus(spark, sf_dir)).where("n >= 2")
 
 
-SQL_BIGRAMS = f"""WITH {SQL_CORPUS}, tk AS (SELECT slug, {sql_tokens('text')} AS t FROM corpus),
-p AS (SELECT slug, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS bigram FROM tk)
-SELECT slug, bigram, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 2"""
-
-
 def document_concepts(spark, sf_dir):
     return fingerprint.concepts(corpus(spark, sf_dir))
 
@@ -312,7 +318,7 @@ def exact_duplicates(spark, sf_dir):
     return store.mark_duplicates(table(spark, sf_dir, "documents"), "doc_id")
 
 
-SQL_DUPLICATES = r"""WITH h AS (SELECT doc_id, sha256(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS content_hash FROM documents)
+SQL_DUPLICATES = r"""WITH h AS (SELECT doc_id, sha256(lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'))) AS content_hash FROM documents)
 SELECT doc_id, content_hash, CASE WHEN doc_id = min(doc_id) OVER w THEN 'created' ELSE 'duplicate' END AS status, min(doc_id) OVER w AS original FROM h WINDOW w AS (PARTITION BY content_hash)"""
 
 
@@ -360,7 +366,7 @@ def structured_search(spark, sf_dir):
     return store.search(docs, {"category": "fr", "has_children": True, "min_word_count": 100, "unknown": 1}, 20).select("slug", "word_count")
 
 
-SQL_SEARCH = f"""SELECT doc_id AS slug, len({sql_words('text')})::INT AS word_count FROM documents WHERE (lang = 'fr' OR source = 'fr') AND doc_id % 2 = 0 AND len({sql_words('text')}) >= 100 ORDER BY doc_id * 7919 % 100003 DESC, doc_id LIMIT 20"""
+SQL_SEARCH = f"""SELECT doc_id AS slug, len({Q.words('text')})::INT AS word_count FROM documents WHERE (lang = 'fr' OR source = 'fr') AND doc_id % 2 = 0 AND len({Q.words('text')}) >= 100 ORDER BY doc_id * 7919 % 100003 DESC, doc_id LIMIT 20"""
 
 
 def paginate(spark, sf_dir):
@@ -368,7 +374,12 @@ def paginate(spark, sf_dir):
 
 
 def store_stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("text", F.explode(F.array("lang", "source")).alias("c")).agg(F.count_distinct("c").alias("categories"), (F.count(F.lit(1)) / 2).cast("long").alias("documents"), (F.sum(F.octet_length("text")) / 2).cast("long").alias("bytes"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.array("lang", "source"))))).cast("long").alias("categories"),
+        F.count(F.lit(1)).alias("documents"),
+        F.sum(F.octet_length("text")).alias("bytes"),
+    )
 
 
 # -- pages and sections ----------------------------------------------------------
@@ -415,12 +426,13 @@ SQL_BACKLINKS = f"WITH {SQL_LINKS} SELECT dst AS slug, count(DISTINCT src) AS n,
 
 
 def related_bfs(spark, sf_dir):
-    start = spark.createDataFrame([("doc-0",), ("doc-17",)], "slug string")
+    """From every document whose id is divisible by 100."""
+    start = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.concat(F.lit("doc-"), "doc_id").alias("slug"))
     return graph.related(link_table(spark, sf_dir), start, 3)
 
 
 SQL_BFS = f"""WITH RECURSIVE {SQL_LINKS}, b AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links),
-w AS (SELECT 'doc-0' AS start, 'doc-0' AS slug, 0 AS hops UNION SELECT 'doc-17', 'doc-17', 0 UNION SELECT start, dst, hops + 1 FROM w JOIN b ON src = slug WHERE hops < 3)
+w AS (SELECT 'doc-' || doc_id AS start, 'doc-' || doc_id AS slug, 0 AS hops FROM documents WHERE doc_id % 100 = 0 UNION SELECT start, dst, hops + 1 FROM w JOIN b ON src = slug WHERE hops < 3)
 SELECT start, slug, min(hops)::INT AS hops FROM w GROUP BY 1, 2 HAVING min(hops) > 0"""
 
 
@@ -463,7 +475,7 @@ def implicit_signals(spark, sf_dir):
     return feedback.signals(query_log(spark, sf_dir), scale=3600).drop("feedback_at")
 
 
-SQL_SIGNALS = f"""WITH {SQL_LOG}, r AS (SELECT *, list_distinct({sql_query_tokens('question')}) AS kw, row_number() OVER (PARTITION BY session ORDER BY ts, query_id) AS n FROM log),
+SQL_SIGNALS = f"""WITH {SQL_LOG}, r AS (SELECT *, list_distinct({Q.query_tokens('question')}) AS kw, row_number() OVER (PARTITION BY session ORDER BY ts, query_id) AS n FROM log),
 p AS (SELECT c.query_id AS by_query_id, p.query_id, p.n, c.question = p.question AS same, epoch(c.ts) - epoch(p.ts) AS gap, len(list_intersect(c.kw, p.kw))::DOUBLE / len(list_distinct(c.kw || p.kw)) AS o
   FROM r c JOIN r p ON c.session = p.session AND c.n - p.n BETWEEN 1 AND 20),
 k AS (SELECT *, CASE WHEN same AND gap <= 216000 THEN 'repeat_query' WHEN gap <= 1080000 AND o > 0.6 THEN 'refinement' WHEN gap <= 108000 AND o < 0.2 THEN 'topic_switch' END AS signal_type FROM p)
@@ -527,13 +539,15 @@ def full_ingest(spark, sf_dir):
 
 
 def _with(*parts: str) -> str:
-    return "WITH " + ",\n".join(parts)
+    return "WITH RECURSIVE " + ",\n".join(parts)
 
 
-_SEARCH_PARTS = (SQL_CORPUS, SQL_ENTRIES, SQL_BM25, SQL_TIER0, SQL_RRF)
+_SEARCH = (SQL_KEPT, SQL_PORTER, SQL_TIER0, SQL_RRF)
 
 QUERIES = {
     "tiered_retrieve": tiered_retrieve,
+    "retrieval_reads": retrieval_reads,
+    "index_build": index_build,
     "bm25_topk": bm25_topk,
     "bm25_porter_topk": bm25_porter_topk,
     "tier0_keyword_topk": tier0_keyword_topk,
@@ -575,19 +589,24 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "tiered_retrieve": _with(*_SEARCH_PARTS, SQL_LINKS, SQL_TIERED),
-    "bm25_topk": _with(SQL_CORPUS, SQL_BM25) + " SELECT * FROM bm25",
-    "tier0_keyword_topk": _with(SQL_CORPUS, SQL_ENTRIES, SQL_TIER0) + " SELECT * FROM tier0",
+    "tiered_retrieve": _with(*_SEARCH, SQL_LINKS, SQL_TIERED) + " SELECT query_id, rank, slug, title, score, tier, source, array_to_string(categories, ',') AS categories, md5(snippet) AS snippet_md5 FROM answers",
+    "retrieval_reads": _with(*_SEARCH, SQL_LINKS, SQL_TIERED) + " SELECT query_id, sum(n_bytes)::BIGINT AS n_bytes, max(tier) AS tier_max FROM answers GROUP BY 1",
+    "index_build": _with(SQL_KEPT, SQL_PORTER, SQL_WEIGHTS) + " SELECT slug, len(t) AS dl, coalesce(n_terms, 0) AS n_terms, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_keywords, 0) AS n_keywords, coalesce(weight, 0)::DOUBLE AS weight FROM bm25t LEFT JOIN (SELECT slug, count(*) AS n_terms, sum(tf) AS n_tokens FROM bm25p GROUP BY 1) USING (slug) LEFT JOIN (SELECT slug, count(*) AS n_keywords, sum(weight) AS weight FROM kwt GROUP BY 1) USING (slug)",
+    "bm25_topk": _with(Q.CORPUS, SQL_PLAIN) + " SELECT * FROM plain",
+    "bm25_porter_topk": _with(SQL_KEPT, SQL_PORTER) + " SELECT * FROM bm25",
+    "tier0_keyword_topk": _with(SQL_KEPT, SQL_TIER0) + " SELECT * FROM tier0",
     "cosine_topk": SQL_COSINE,
-    "rrf_hybrid": _with(*_SEARCH_PARTS) + " SELECT * FROM fused",
-    "embedding_gate": _with(SQL_CORPUS, SQL_BM25) + " SELECT item_id AS query_id, coalesce(max(score), 0) AS best, count(score) AS n_hits, coalesce(max(score), 0) < 100 OR count(score) < 3 AS use_embeddings FROM benchmark LEFT JOIN bm25 ON query_id = item_id GROUP BY 1",
+    "rrf_hybrid": _with(*_SEARCH) + " SELECT * FROM fused",
+    "embedding_gate": _with(Q.CORPUS, SQL_PLAIN) + " SELECT item_id AS query_id, coalesce(max(score), 0) AS best, count(score) AS n_hits, coalesce(max(score), 0) < 100 OR count(score) < 3 AS use_embeddings FROM benchmark LEFT JOIN plain ON query_id = item_id GROUP BY 1",
     "text_scalars": SQL_SCALARS,
     "query_classify": SQL_CLASSIFY,
     "jaccard_turns": SQL_JACCARD,
-    "tf_augmented": _with(SQL_CORPUS, SQL_TF) + " SELECT slug, token, n, round(tf, 6) AS tf FROM tfa",
-    "keyword_fingerprint": _with(SQL_CORPUS, SQL_TF, SQL_KEYWORDS) + " SELECT * FROM kf",
-    "category_detect": _with(SQL_CORPUS, SQL_TF, SQL_KEYWORDS, SQL_CATEGORIES),
-    "bigram_concepts": SQL_BIGRAMS,
+    "tf_augmented": _with(Q.CORPUS, Q.TF) + " SELECT slug, token, n, round(tf, 6) AS tf FROM tfa",
+    "keyword_fingerprint": _with(Q.CORPUS, Q.TF, Q.KEYWORDS) + " SELECT * FROM kf",
+    "category_detect": _with(Q.CORPUS, Q.TF, Q.KEYWORDS, Q.CATEGORIES) + " SELECT * FROM ct",
+    "synopsis_sentence": _with(Q.CORPUS, Q.synopsis()) + " SELECT * FROM syn",
+    "bigram_concepts": _with(Q.CORPUS, Q.BIGRAMS) + " SELECT * FROM bg",
+    "document_concepts": _with(Q.CORPUS, Q.BIGRAMS, Q.CONCEPTS) + " SELECT * FROM cc",
     "exact_duplicates": SQL_DUPLICATES,
     "slug_numbering": SQL_SLUGS,
     "upsert_merge": SQL_UPSERT,

@@ -4,11 +4,12 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from tessera.engine import Engine, sign
+from tessera import tables
+from tessera.engine import Config, Engine, sign, tenant
 from tessera.functions import scoring as S
 from tessera.functions import text as T
 from tessera.functions.porter import stem
-from tessera.operators import fingerprint, graph, index, split, store
+from tessera.operators import fingerprint, graph, index, rank, split, store
 from tessera.sources import files, urls
 
 
@@ -86,7 +87,7 @@ def test_fingerprint_parts(spark):
     docs = spark.createDataFrame([("a", "Kubernetes Guide", "Kubernetes cluster guide. The **API gateway** routes. New York City is big. API token, API token."), ("b", "x", "")], "slug string, title string, text string")
     words = fingerprint.keywords(docs)
     assert words.where("slug = 'a' AND rank = 1").first().token in ("kubernetes", "guide")
-    assert {r.category for r in fingerprint.categories(words).where("slug = 'a'").collect()} >= {"deployment"}
+    assert {r.category for r in fingerprint.categories(docs).where("slug = 'a'").collect()} >= {"deployment"}
     found = {r.concept: r.score for r in fingerprint.concepts(docs).where("slug = 'a'").collect()}
     assert found["Kubernetes Guide"] == 5.0 and found["New York City"] == 1.0 and found["API gateway"] == 2.0 and found["api token"] == 3.0
 
@@ -128,29 +129,162 @@ def test_files(spark, tmp_path):
 
 def test_urls(spark):
     rows = [("http://127.0.0.1/x", False), ("https://10.0.0.1", False), ("http://169.254.1.1", False), ("http://8.8.8.8/a", True), ("ftp://8.8.8.8", False), ("nonsense", False), ("https://example.org", True)]
+    rows += [(f"http://{h}/", False) for h in ("2130706433", "0x7f.1", "017700000001", "127.1", "[::1]", "[fd00::1]", "[fe80::1%25eth0]", "[::ffff:10.0.0.1]", "[::ffff:a00:1]", "[::127.0.0.1]", "[64:ff9b::a00:1]", "0", "10.1.65535", "999.1.1.1", "a.local", "x:y@127.0.0.1:80")]
+    rows += [("http://134744072/", True), ("http://[2606:4700::1111]/", True), ("HTTPS://user@Example.ORG:8443/p", True), ("http://", False), (None, False)]
     got = urls.safe(spark.createDataFrame(rows, "url string, want boolean")).collect()
     assert all(r.safe == r.want for r in got), got
 
 
+def sources(folder):
+    folder.mkdir()
+    for k, body in enumerate(["# Cats\n\nCats purr and sleep. See [[dogs]].", "# Dogs\n\nDogs bark at cats and run.", "# Birds\n\nBirds fly over water."]):
+        (folder / f"{k}.md").write_text(body.replace("# ", "---\ntitle: " + body[2:6] + "\n---\n# ", 1))
+    return str(folder)
+
+
 def test_engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
-    src = tmp_path / "src"
-    src.mkdir()
-    for k, body in enumerate(["# Cats\n\nCats purr and sleep. See [[dogs]].", "# Dogs\n\nDogs bark at cats and run.", "# Birds\n\nBirds fly over water."]):
-        (src / f"{k}.md").write_text(body.replace("# ", "---\ntitle: " + body[2:6] + "\n---\n# ", 1))
-    assert sorted(r.status for r in e.ingest(str(src)).collect()) == ["created"] * 3
+    assert e.query("anything").count() == 0
+    assert sorted(r.status for r in e.ingest(sources(tmp_path / "src")).collect()) == ["created"] * 3
     again = e.ingest_text("# Cats\n\nCats purr and sleep. See [[dogs]].", "Other").collect()
     assert [(r.slug, r.status) for r in again] == [("cats", "duplicate")]
     assert e.ingest_text("A new text about fish and water.", "Cats").first().slug == "cats-2"
     assert e.documents(1, 50).count() == 4
     top = e.query("purring cats sleep").collect()
     assert top[0].slug == "cats" and e.query("the of and").count() == 0
-    assert e.search("dogs").first().slug == "dogs"
-    assert {r.status for r in e.reindex().collect()} == {"created"} and e.reindex().count() == 0
-    e.delete("cats")
+    assert {r.slug for r in e.search("dogs").collect()} == {"cats", "dogs"} and e.search("barked").first().slug == "dogs"
+    assert "<b>" in e.snippets("dogs").where("slug = 'dogs'").first().snippet
+    assert e.reindex().count() == 0
+    assert e.delete("cats") and not e.delete("cats")
     assert e.get("cats").count() == 0 and e.documents(1, 50).count() == 3
+    assert e.search("purr").count() == 0 and [r.src for r in e.backlinks("dogs").collect()] == []
     assert e.ingest_text("# Cats\n\nCats purr and sleep. See [[dogs]].", "Cats").first().status == "created"
+    assert [r.slug for r in e.related("dogs").collect()] == [r.src for r in e.backlinks("dogs").collect()] != []
     assert e.stats().first().documents == 4
     manifest = e.export(str(tmp_path / "bundle")).first()
-    assert manifest.document_count == 4 and Engine(spark, str(tmp_path / "other")).load(str(tmp_path / "bundle")) == 4
+    other = Engine(spark, str(tmp_path / "other"))
+    assert manifest.document_count == 4 and other.load(str(tmp_path / "bundle")) == 4
+    assert other.search("purr").first().title == "Cats" and other.ingest_text("Birds fly over water.", "x").first().status == "created"
     assert len(sign(b"x", "k")) == 64
+
+
+def test_a_store_outlives_its_engine(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    first = Engine(spark, folder)
+    first.ingest(sources(tmp_path / "src"))
+    asked = {(r.slug, r.score) for r in first.query("cats and dogs").collect()}
+    second = Engine(spark, folder)
+    assert {(r.slug, r.score) for r in second.query("cats and dogs").collect()} == asked
+    assert second.ingest_text("Birds fly over water.", "b").first().status == "created"
+    assert second.ingest_text("# Birds\n\nBirds fly over water.", "b").first().status == "duplicate"
+    # incremental rows equal those of an index made at once
+    second.delete("dogs")
+    second.update(spark.createDataFrame([("bird", "Birds swim under [[cats]].")], "slug string, body string"))
+    assert second.search("swim").first().slug == "bird" and {r.slug for r in second.search("fly").collect()} == {"b"}
+    assert [r.src for r in second.backlinks("cats").collect()] == ["bird"]
+    docs = second.table("documents")
+    from tessera.plans import indexes
+
+    whole = indexes.tables_of(docs)
+    kept = second.index()
+    for name, table in (("postings", kept.postings), ("weights", kept.weights), ("lengths", kept.lengths)):
+        columns = whole[name].columns
+        assert sorted(table.select(*columns).collect()) == sorted(whole[name].collect()), name
+    before = {r.slug: r.body for r in docs.collect()}
+    second.tables.compact()
+    third = Engine(spark, folder)
+    assert {r.slug: r.body for r in third.table("documents").collect()} == before and not third.tables.has("tombstones")
+    assert third.search("swim").first().slug == "bird"
+    # of two writers the later one fails, and a damaged manifest doesn't stand
+    second.delete("b")
+    try:
+        third.delete("bird")
+    except tables.Conflict:
+        third.tables.refresh()
+    else:
+        raise AssertionError
+    assert third.get("b").count() == 0 and third.get("bird").count() == 1
+    (tmp_path / "store" / "manifests" / "99999.json").write_text("{")
+    assert Engine(spark, folder).get("bird").count() == 1
+
+
+def test_null_texts_and_repeats_have_a_status(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("1", "a", None), ("2", "b", ""), ("3", "c", "text one"), ("4", "d", " TEXT ONE ")], "ord string, title string, text string")
+    assert sorted((r.ord, r.slug, r.status) for r in e.ingest_rows(rows).collect()) == [("1", "a", "created"), ("2", "a", "duplicate"), ("3", "c", "created"), ("4", "c", "duplicate")]
+
+
+def test_feedback_loop(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), Config(self_tuning=True, tune_interval=60))
+    e.ingest(sources(tmp_path / "src"))
+    asked = spark.createDataFrame([(k, "cats purr" if k % 2 else "dogs bark") for k in range(60)], "query_id long, question string")
+    assert e.query(asked).count() > 0
+    assert e.log().count() == 60 and e.log().where("tier_max = 3").count() == 60
+    assert {r.slug for r in e.flagged().collect()} >= {"cats", "dogs"}
+    assert e.tune_now() is None  # too little is known
+    e.record_feedback(3, 0.1)
+    e.record_feedback(3, 0.9)
+    assert e.log().where("query_id = 3").first().feedback_score == 0.9
+    assert e.retrieval_stats()["totals"].first().total == 60
+    scores = spark.range(55).selectExpr("id AS query_id", "1.0D AS score", "'explicit' AS signal_type", "current_timestamp() AS at", "id AS by_query_id")
+    e.tables.commit(append={"feedback": scores})
+    e.query(asked.withColumn("query_id", F.col("query_id") + 100))  # the interval is full
+    again = Engine(spark, str(tmp_path / "store"))
+    assert set(again.tables.now.values["weights"]) == set(rank.WEIGHTS) and list(again.weights) == list(rank.WEIGHTS)
+
+
+def test_vectors_answer_weak_questions(spark, tmp_path):
+    def embed(texts, key):
+        one = lambda w: F.size(F.filter(F.split(F.lower("text"), r"\W+"), lambda x: x.startswith(w))).cast("double")
+        return texts.select(key, F.array(one("cat"), one("dog"), one("fl"), one("zeppelin")).alias("embedding"))
+
+    e = Engine(spark, str(tmp_path / "store"), Config(embeddings=True), embed=embed)
+    e.ingest(sources(tmp_path / "src"))
+    assert e.table("vectors").count() == 3
+    found = e.query("flibber flop").collect()
+    assert [(r.slug, r.source) for r in found] == [("bird", "embeddings")]
+    e.delete("bird")
+    assert e.query("flibber flop").count() == 0 and e.table("vectors").count() == 2
+
+
+def test_urls_and_control_plane(spark, tmp_path):
+    page = b"<html><head><title>Frogs</title><meta name='description' content='Green'><link rel='canonical' href='http://x/y'></head><body><h1>Frogs</h1><p>Frogs jump.</p></body></html>"
+    e = Engine(spark, str(tmp_path / "store"), fetch=lambda url: ("text/html; charset=utf-8", page) if "ok" in url else ("image/png", b""))
+    assert e.ingest_url("http://2130706433/").first().status == "failed"
+    assert e.ingest_url("https://example.org/ok").first().slug == "frogs"
+    assert e.ingest_url("https://example.org/no").first().error.startswith("unsupported content type")
+    assert e.get("frogs").first().metadata == {"source": "https://example.org/ok", "description": "Green", "canonical_url": "http://x/y"}
+    secret = e.create_key("t", read_only=True)
+    asks = spark.createDataFrame([(1, secret, "GET"), (2, secret, "POST")], "request_id int, secret string, method string")
+    again = Engine(spark, str(tmp_path / "store"))
+    assert {r.request_id: r.allowed for r in again.verify(asks).collect()} == {1: True, 2: False} and again.keys("t").count() == 1
+    again.revoke_key(again.keys().first().key_id)
+    assert not any(r.allowed for r in again.verify(asks).collect())
+    hook = again.put_webhook("http://h", ["document.created"], "s", "t")
+    assert again.fire("t", "document.created", "{}").first().signature == sign(b"{}", "s") and again.webhooks("t").count() == 1
+    try:
+        again.put_webhook("http://h", ["nope"])
+    except ValueError:
+        pass
+    else:
+        raise AssertionError
+    again.drop_webhook(hook)
+    assert again.webhooks("t").count() == 0
+    again.put_field("size", "int", True, "t")
+    again.put_field("size", "float", False, "t")
+    assert [(r.field_name, r.field_type) for r in again.fields("t").collect()] == [("size", "float")]
+    again.drop_field("size", "t")
+    assert again.fields("t").count() == 0
+    (tmp_path / "store" / "config.json").write_text('{"max_results": 3, "unknown": 1}')
+    assert Engine(spark, str(tmp_path / "store")).config.max_results == 3
+    assert tenant(spark, str(tmp_path), "a").folder != tenant(spark, str(tmp_path), "b").folder
+
+
+def test_sections_have_synopses(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), Config(split_threshold=40, feedback=False))
+    parts = [f"## {name}\n\n" + " ".join([f"{name} {word} explained in one long sentence of its own."] * 8) for name, word in (("Apples", "orchards"), ("Pears", "gardens"), ("Plums", "brandy"))]
+    assert e.ingest_text("Intro.\n\n" + "\n\n".join(parts), "Fruit").first().status == "split"
+    parent = e.get("fruit").first()
+    assert [s.slug for s in parent.section_map] == parent.children and all("explained" in s.synopsis and len(s.synopsis) <= 153 for s in parent.section_map)
+    found = e.query("explained brandy of fruit").collect()
+    assert any(r.tier == 2 and r.slug == "fruit-plums" and r.title == "Plums" for r in found), found
