@@ -11,7 +11,7 @@ from tessera.llm import kneser_ney as K
 
 def brute(train, scored):
     three, uni = Counter(), Counter()
-    split = lambda t: [*(t or "").lower().encode().split(), "</s>"]
+    split = lambda t: [*(t or "").encode().lower().split(), "</s>"]
     for t in train:
         w = split(t)
         uni.update(w)
