@@ -104,11 +104,17 @@ def test_store_and_graph(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "a.md").write_text("---\ntitle: The Title\ntags: x\n---\n# H\n\nbody\n")
+    (tmp_path / "a.md").write_text("---\ntitle: The Title\ntags: x\nlist:\n  - one\n  - 'two'\nflow: [a, b]\nnested: {k: 1}\n---\n# H\n\nbody\n")
+    (tmp_path / "k.md").write_text("---\ntitle: [broken\n---\nbody")
+    (tmp_path / "l.csv").write_text('name,note\n"x,1","say ""hi"""\n"two\nlines",z\n')
+    (tmp_path / "m.csv").write_text("a,b\n" + "".join(f"{k},{k * k}\n" for k in range(101)))
+    (tmp_path / "n.yaml").write_text("title: Why\nlist:\n- 1\n")
+    (tmp_path / "o.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "p.csv").write_text("")
     (tmp_path / "b.txt").write_text("# Head line\n\ntext.")
     (tmp_path / "c.py").write_text('"""Doc string."""\nx = 1\n')
     (tmp_path / "d.json").write_text('{"name": "N", "v": [1]}')
-    (tmp_path / "e.csv").write_text("a;b\n1;2\n3\n4;5;6\n")
+    (tmp_path / "e.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
     (tmp_path / "f.html").write_text("<title>P</title><h2>Q</h2><p>r &amp; s</p><script>no</script><li>t</li>")
     (tmp_path / "g.toml").write_text('title = "Tom"\n')
     (tmp_path / "h.xlsx").write_bytes(b"xx")
@@ -116,14 +122,20 @@ def test_files(spark, tmp_path):
     (tmp_path / ".hidden.txt").write_text("no")
     word = io.BytesIO()
     with zipfile.ZipFile(word, "w") as z:
-        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>para</w:t></w:r></w:p></w:body></w:document>')
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>para</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>h1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>h2</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
     (tmp_path / "j.docx").write_bytes(word.getvalue())
     got = {r.path.rsplit("/", 1)[1]: r for r in files.read(spark, str(tmp_path)).collect()}
     assert (got["a.md"].title, got["a.md"].text, got["a.md"].metadata["tags"]) == ("The Title", "# H\n\nbody", "x")
     assert got["b.txt"].title == "Head line" and got["c.py"].metadata["summary"] == "Doc string." and got["c.py"].text.startswith("```python\n")
     assert got["d.json"].title == "N" and got["e.csv"].text == "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 |  |\n| 4 | 5 |"
     assert (got["f.html"].title, got["f.html"].text) == ("P", "P\n\n## Q\n\nr & s\n\n- t")
-    assert got["g.toml"].title == "Tom" and got["j.docx"].text == "# Top\n\npara"
+    assert got["g.toml"].title == "Tom" and got["j.docx"].text == "# Top\n\npara\n\n| h1 | h2 |\n| --- | --- |\n| c |  |"
+    assert {k: got["a.md"].metadata[k] for k in ("list", "flow", "nested")} == {"list": '["one", "two"]', "flow": '["a", "b"]', "nested": '{"k": 1}'}
+    assert got["k.md"].text.startswith("---\ntitle: [broken") and got["k.md"].status == "extracted" and got["k.md"].title is None
+    assert got["l.csv"].text == '| name | note |\n| --- | --- |\n| x,1 | say "hi" |\n| two\nlines | z |'
+    assert got["m.csv"].text.startswith("**CSV Summary**: 101 rows, 2 columns\n**Columns**: a, b\n") and got["m.csv"].metadata["row_count"] == "101"
+    assert got["n.yaml"].title == "Why" and got["p.csv"].text == "*Empty CSV file*"
+    assert got["o.pdf"].status == "failed" and got["o.pdf"].error
     assert got["h.xlsx"].status == got["i.txt"].status == "failed" and ".hidden.txt" not in got
 
 
