@@ -267,7 +267,7 @@ def _parsed(kinds: dict) -> Callable:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, extension, text, title, metadata, status, error) of all files under
     ``path`` but hidden ones; unsupported and unreadable files have status
-    ``failed``."""
+    ``failed``.  Spark's reader leaves files of no bytes out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").rlike(r"/\.[^/]*"))
     return extract(files)
 

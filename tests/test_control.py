@@ -49,3 +49,24 @@ def test_snippet_and_keywords(spark):
     assert out == "...w w <b>Cats,</b> and <b>dogs</b>..."
     k = spark.createDataFrame([('```json\n["B ", "a", "b", "c", "d", "e"]\n```',), ('["a"]',), ("no",)], "t string").select(T.parse_keywords(F.col("t")).alias("k")).collect()
     assert [r.k for r in k] == [["b", "a", "c", "d", "e"], None, None]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera.cli import main
+
+    store, src = str(tmp_path / "store"), tmp_path / "src"
+    src.mkdir()
+    (src / "a.md").write_text("---\ntitle: Cats\ntags: [x, y]\n---\nCats purr at night and sleep all day.")
+    run = lambda *words: (main([*words, "--store", store], spark), capsys.readouterr().out)
+    assert run("query", "cats")[0] == 1
+    assert "created" in run("ingest", str(src))[1]
+    assert "cats" in run("query", "purring cats")[1] and "cats" in run("search", "sleeping")[1]
+    assert "cats" in run("search", "", "--filters", '{"min_word_count": 3}')[1]
+    assert run("reindex")[1] == "0 documents\n" and run("reindex", "--full")[1] == "1 documents\n"
+    assert "1" in run("stats", "--feedback")[1] and run("tune")[1] == "null\n" and run("flagged")[0] == 0
+    assert run("export", str(tmp_path / "bundle"))[0] == 0
+    assert len(run("api-key", "create", "t")[1]) > 20 and "t" in run("api-key", "list")[1]
+    assert run("api-key", "revoke", "t")[0] == 0 and "true" in run("api-key", "list")[1]
+    assert run("serve")[0] == run("ingest-url", "http://x")[0] == 2
+    assert main(["import", str(tmp_path / "bundle"), "--store", str(tmp_path / "other")], spark) == 0
+    assert "1 documents" in capsys.readouterr().out

@@ -110,7 +110,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "m.csv").write_text("a,b\n" + "".join(f"{k},{k * k}\n" for k in range(101)))
     (tmp_path / "n.yaml").write_text("title: Why\nlist:\n- 1\n")
     (tmp_path / "o.pdf").write_bytes(b"%PDF-1.4")
-    (tmp_path / "p.csv").write_text("")
+
     (tmp_path / "b.txt").write_text("# Head line\n\ntext.")
     (tmp_path / "c.py").write_text('"""Doc string."""\nx = 1\n')
     (tmp_path / "d.json").write_text('{"name": "N", "v": [1]}')
@@ -134,7 +134,8 @@ def test_files(spark, tmp_path):
     assert got["k.md"].text.startswith("---\ntitle: [broken") and got["k.md"].status == "extracted" and got["k.md"].title is None
     assert got["l.csv"].text == '| name | note |\n| --- | --- |\n| x,1 | say "hi" |\n| two\nlines | z |'
     assert got["m.csv"].text.startswith("**CSV Summary**: 101 rows, 2 columns\n**Columns**: a, b\n") and got["m.csv"].metadata["row_count"] == "101"
-    assert got["n.yaml"].title == "Why" and got["p.csv"].text == "*Empty CSV file*"
+    assert got["n.yaml"].title == "Why"
+    assert files.extract(spark.createDataFrame([("p.csv", bytearray(b""))], "path string, content binary")).first().text == "*Empty CSV file*"
     assert got["o.pdf"].status == "failed" and got["o.pdf"].error
     assert got["h.xlsx"].status == got["i.txt"].status == "failed" and ".hidden.txt" not in got
 
