@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from ._common import bounded_batches, keeps, release
 
 #: Bytes of one memo, keys, values and slots counted.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 160 << 20
 #: Longest piece or chunk, in characters, that is memoised.
 LONGEST = 64
 #: Bytes of a dictionary's slot, about, with room to grow.
@@ -97,7 +97,7 @@ class Codec:
         self.halves = Memo(self._halves, memo_bytes)
         self.prefix = Memo(self._prefix, memo_bytes)
         self.fits = Memo(self._fits, memo_bytes)
-        self.pieces = Memo(self.encode_piece, memo_bytes // 2)
+        self.pieces = Memo(self.encode_piece, memo_bytes)
         self.first = Memo(self._chunk, memo_bytes // 4)
         self.later = Memo(lambda part: self._chunk(" " + part), memo_bytes)
 
