@@ -20,7 +20,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bound of each of the encoder's memos, less than its default: workers also hold
 #: what the stages before have left in their memory.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 72 << 20
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ multi-line patterns break at line feeds only (``(?d)``).
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ STRUCTURED = (r"\bwhich files?\b", r"\bhow many\b", r"\blist all\b", r"\bwhat ca
 _MARKED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def words(t: Column) -> Column:
     return F.filter(F.split(t, SPACE), lambda x: x != "")
 
@@ -169,16 +175,21 @@ def language_of(path: Column) -> Column:
 def snippet(body: Column, terms: Column, width: int = 48) -> Column:
     """The ``width`` words that hold most of the terms (the first of equals),
     hits in <b></b>, dots where the text goes on."""
-    ws = words(body)
     hit = lambda w: F.array_contains(terms, F.regexp_replace(fold(w), r"[^\p{L}\p{N}]", ""))
-    hits = F.transform(ws, lambda w: hit(w).cast("int"))
-    # the count of hits before each word, then windows by difference
-    before = F.aggregate(hits, F.array(F.lit(0)), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1) + h)))
-    last = F.greatest(F.size(ws) - width, F.lit(0))
-    scored = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((F.get(before, F.least(i + width, F.size(ws))) - F.get(before, i)).alias("n"), (-i).alias("at")))
-    at = -F.array_max(scored)["at"]
-    shown = F.array_join(F.transform(F.slice(ws, at + 1, F.lit(width)), lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " ")
-    return F.concat(F.when(at > 0, "...").otherwise(""), shown, F.when(at + width < F.size(ws), "...").otherwise(""))
+
+    def of(ws: Column, hits: Column) -> Column:
+        last = F.greatest(F.size(ws) - width, F.lit(0))
+        count = lambda i: F.aggregate(F.slice(hits, i + 1, F.lit(width)), F.lit(0), lambda n, h: n + h.cast("int"))
+        scored = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(count(i).alias("n"), (-i).alias("at")))
+
+        def shown(at: Column) -> Column:
+            marked = lambda w, h: F.when(h, F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)
+            some = F.zip_with(F.slice(ws, at + 1, F.lit(width)), F.slice(hits, at + 1, F.lit(width)), marked)
+            return F.concat(F.when(at > 0, "...").otherwise(""), F.array_join(some, " "), F.when(at + width < F.size(ws), "...").otherwise(""))
+
+        return let(-F.array_max(scored)["at"], shown)
+
+    return let(words(body), lambda ws: let(F.transform(ws, hit), lambda hits: of(ws, hits)))
 
 
 def parse_keywords(answer: Column, least: int = 5, most: int = 10) -> Column:

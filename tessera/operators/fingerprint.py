@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import COMMON_WORDS, STOP_WORDS, TAXONOMY
+from ..functions.text import let
 
 # Patterns and weights of the kinds of evidence for a concept.
 CAPITALISED = r"\b([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){0,2})\b"
@@ -22,11 +23,6 @@ SHORT_HEADING, LONG_HEADING, EMPHASIS, PAIR, TITLE = 3.0, 2.5, 2.0, 1.5, 5.0
 BOOSTS = (3.0, 2.0, 2.0)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def runs(ordered: Column, same: Callable[[Column, Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
     """``make(array, first, end)`` of each run of like elements of a sorted array."""
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog
 from . import sql as Q
 from .durable import fresh_folder, materialise
 from .functions import scoring as S
@@ -482,6 +483,11 @@ k AS (SELECT *, CASE WHEN same AND gap <= 216000 THEN 'repeat_query' WHEN gap <=
 SELECT query_id, by_query_id, CASE signal_type WHEN 'repeat_query' THEN 0.3 WHEN 'refinement' THEN 0.5 ELSE 0.8 END::DOUBLE AS score, signal_type FROM k WHERE signal_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY by_query_id ORDER BY n DESC) = 1"""
 
 
+SQL_APPLIED = f"""WITH {SQL_LOG}, found AS ({SQL_SIGNALS.replace(f"WITH {SQL_LOG}, r AS", "WITH r AS")}),
+last AS (SELECT f.query_id, f.score, f.signal_type FROM found f JOIN log l ON l.query_id = f.by_query_id QUALIFY row_number() OVER (PARTITION BY f.query_id ORDER BY l.ts DESC, f.by_query_id DESC) = 1)
+SELECT query_id, coalesce(score, feedback_score) AS feedback_score, last.signal_type FROM log LEFT JOIN last USING (query_id)"""
+
+
 def tier_penalty_flagged(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("slug"), (F.col("event_id") % 4).alias("tier"))
     return feedback.flagged(e, rate=0.2, totals=e.groupBy("slug").agg(F.count(F.lit(1)).alias("total")))
@@ -586,6 +592,7 @@ QUERIES = {
     "url_safety": url_safety,
     "schema_validation": schema_validation,
     "tenant_isolation": tenant_isolation,
+    **catalog.QUERIES,
 }
 
 ORACLE_SQL = {
@@ -628,4 +635,7 @@ ORACLE_SQL = {
     "url_safety": SQL_URLS,
     "schema_validation": SQL_VALIDATION,
     "tenant_isolation": "SELECT CASE WHEN c_nationkey = 7 THEN 'n7' ELSE 'global' END AS tenant, count(*) AS n FROM customer WHERE c_nationkey = 7 OR c_nationkey >= 20 GROUP BY 1",
+    "signals_applied": SQL_APPLIED,
+    "tuning_gate": _with(SQL_LOG) + " SELECT count(*) FILTER (feedback_score >= 0.7) AS data_points, count(*) FILTER (feedback_score >= 0.7) >= 50 AS enough FROM log",
+    **catalog.ORACLE_SQL,
 }
