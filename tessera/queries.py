@@ -409,10 +409,27 @@ SQL_HTML = rf"""SELECT page_id, nullif(regexp_replace(regexp_extract(html, '(?is
 len(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"''#]+)', 1)))::INT AS n_links FROM pages"""
 
 
+def sectioned(spark, sf_dir):
+    """Pages as markdown: every third as it is, the others with a heading of the
+    second or third level before each paragraph."""
+    text = html.to_markdown(F.col("html"))
+    headed = lambda mark: F.replace(text, F.lit("\n\n"), F.lit(f"\n\n{mark} Part One\n\n"))
+    kind = F.col("page_id") % 3
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"), F.when(kind == 1, headed("##")).when(kind == 2, headed("###")).otherwise(text).alias("text"))
+
+
+_PARTED = "replace(md, chr(10) || chr(10), chr(10) || chr(10) || '{} Part One' || chr(10) || chr(10))"
+SQL_SECTIONED = rf"""pm AS (SELECT page_id, nullif(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\s+|\s+$', '', 'g'), '') AS title, {Q.clean(_sql_html())} AS md FROM pages),
+pt AS (SELECT page_id, title, CASE page_id % 3 WHEN 1 THEN {_PARTED.format('##')} WHEN 2 THEN {_PARTED.format('###')} ELSE md END AS text FROM pm)"""
+
+
 def page_sections(spark, sf_dir):
-    docs = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id").alias("slug"), html.to_markdown(F.col("html")).alias("text"))
+    docs = materialise(sectioned(spark, sf_dir).select(F.concat(F.lit("page-"), "page_id").alias("slug"), "text"), "pages")
     _, children = split.split(docs, threshold=60, least=20)
-    return children.select("slug", "parent", "section_index", "title", T.word_count(F.col("body")).alias("n_words"))
+    return children.select("slug", "parent", F.col("section_index").cast("long").alias("section_index"), "title", T.word_count(F.col("body")).alias("n_words"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+SQL_SECTIONS = f"WITH {SQL_SECTIONED}, ps AS (SELECT 'page-' || page_id AS slug, text FROM pt),\n{Q.sections('ps', 60, 20)}\nSELECT slug, parent, section_index, title, len({Q.words('body')})::INT AS n_words, md5(body) AS body_md5 FROM kids"
 
 
 # -- graph -----------------------------------------------------------------------
@@ -538,10 +555,26 @@ def tenant_isolation(spark, sf_dir):
 
 
 def full_ingest(spark, sf_dir):
-    """Pages through the whole ingest program."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), html.title(F.col("html")).alias("title"), html.to_markdown(F.col("html")).alias("text"))
+    """Pages, some of them twice, through the whole ingest program."""
+    pages = sectioned(spark, sf_dir).select(F.col("page_id").alias("ord"), "title", "text")
+    again = pages.where("ord % 5 = 0").withColumn("ord", F.col("ord") + 1_000_000)
+    pages = materialise(pages.unionByName(again), "pages")
     documents, _ = ingest.ingest(pages, threshold=150)
-    return documents.select("slug", "title", "parent", "word_count", "categories", F.size("concepts").alias("n_concepts"), "summary")
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return documents.select("slug", "title", "parent", "word_count", listed("categories"), listed("concepts"), listed("fingerprint"), "summary", listed("children"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+SQL_INGEST = f"""WITH {SQL_SECTIONED},
+pg AS (SELECT page_id AS ord, coalesce(title, 'untitled') AS title, text FROM pt UNION ALL SELECT page_id + 1000000, coalesce(title, 'untitled'), text FROM pt WHERE page_id % 5 = 0),
+pf AS (SELECT *, {Q.slug_base('title')} AS b0 FROM pg QUALIFY row_number() OVER (PARTITION BY sha256(lower({Q.strip('text')})) ORDER BY ord) = 1),
+pb AS (SELECT ord, title, text, CASE WHEN b0 = '' THEN 'untitled' ELSE {Q.cut_at_hyphen('b0', 60)} END AS b FROM pf),
+pn AS (SELECT ord, title, text, b || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || row_number() OVER w END AS slug FROM pb WINDOW w AS (PARTITION BY b ORDER BY ord)),
+{Q.sections('pn', 150, 50)},
+pl AS (SELECT parent, list(slug ORDER BY section_index) AS children, string_agg('- [[' || slug || ']]', chr(10) ORDER BY section_index) AS links FROM kids GROUP BY 1),
+pr AS (SELECT secs.slug, children, {Q.strip(Q.joined('preamble', "'## Sections' || chr(10)", 'links'))} AS body FROM secs JOIN pl ON pl.parent = secs.slug),
+corpus AS (SELECT pn.slug, title, coalesce(body, text) AS text, NULL::VARCHAR AS parent, coalesce(children, []) AS children FROM pn LEFT JOIN pr USING (slug) UNION ALL SELECT slug, title, body, parent, [] FROM kids),
+{Q.FINGERPRINTS}
+SELECT slug, title, parent, len({Q.words('text')})::INT AS word_count, array_to_string(categories, ',') AS categories, array_to_string(concepts, ',') AS concepts, array_to_string(fingerprint, ',') AS fingerprint, summary, array_to_string(children, ',') AS children, md5(text) AS body_md5 FROM described"""
 
 
 def _with(*parts: str) -> str:
@@ -623,6 +656,8 @@ ORACLE_SQL = {
     "paginate": "SELECT s_suppkey AS slug, s_name FROM supplier ORDER BY 1 LIMIT 20 OFFSET 40",
     "store_stats": "SELECT (SELECT count(DISTINCT c) FROM (SELECT lang AS c FROM documents UNION ALL SELECT source FROM documents)) AS categories, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes FROM documents",
     "html_to_markdown": SQL_HTML,
+    "page_sections": SQL_SECTIONS,
+    "full_ingest": SQL_INGEST,
     "backlinks_reverse": SQL_BACKLINKS,
     "related_bfs": SQL_BFS,
     "query_log_stats": _with(SQL_LOG) + " SELECT count(*) AS total, count(feedback_score) AS with_feedback, round(avg(feedback_score), 6) AS avg_score FROM log",

@@ -188,3 +188,60 @@ def bm25(source: str, fields: str, out: str = "bm25", stemmed: bool = False) ->
         f"{out} AS (SELECT query_id, slug, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS rank FROM {out}h QUALIFY rank <= 10)",
     ]
     return ",\n".join(parts)
+
+
+# -- slugs and sections --------------------------------------------------------------
+
+
+def cut_at_hyphen(s: str, most: int) -> str:
+    tail = f"strpos(reverse(left({s}, {most})), '-')"
+    return f"CASE WHEN length({s}) <= {most} THEN {s} WHEN {tail} > 0 AND {most} - {tail} > 0 THEN left({s}, {most} - {tail}) ELSE left({s}, {most}) END"
+
+
+def slug_base(t: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({strip(f'lower({t})')}, '[\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+def heading_base(t: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower(regexp_replace({t}, '^#+\s*', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+def joined(*parts: str) -> str:
+    """Parts that aren't empty, with blank lines between."""
+    return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x <> ''), chr(10) || chr(10))"
+
+
+def sections(source: str, threshold: int, least: int) -> str:
+    """CTEs of the sections of ``source`` (slug, text): ``secs`` (slug, preamble,
+    ss) of documents that are split, and ``kids`` (slug, parent, section_index,
+    title, body)."""
+
+    def at_level(mark: str, name: str) -> str:
+        first = "split_part(p, chr(10), 1)"
+        each = f"{{'heading': {strip(first)}, 'body': {strip(f'substr(p, length({first}) + 1)')}}}"
+        return rf"""{name} AS (SELECT slug, {strip('pp[1]')} AS pre, list_transform(pp[2:], lambda p: {each}) AS ss FROM (SELECT slug, string_split(regexp_replace(text, '(?m)^({mark}\s+.+)$', chr(1) || '\1', 'g'), chr(1)) AS pp FROM {source}))"""
+
+    carried = f"CASE WHEN a.c THEN {strip(joined('a.h', 'a.b', 'x.b'))} ELSE x.b END"
+    short = f"len({words(f'''x.h || ' ' || ({carried})''')}) < {least}"
+    last = "m.done[len(m.done)]"
+    line = f"left({strip(f'''split_part(s.body, chr(10), 1)''')}, 60)"
+    return rf"""{at_level('##', 'sh2')},
+{at_level('###', 'sh3')},
+spp AS (SELECT slug, list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda p: {strip('p')}), lambda p: p <> '') AS ps FROM {source}),
+spk AS (SELECT slug, list_reduce(list_prepend({{'done': []::VARCHAR[], 'now': '', 'n': 0::BIGINT}}, list_transform(ps, lambda p: {{'done': []::VARCHAR[], 'now': p, 'n': len({words('p')})::BIGINT}})),
+  lambda a, x: CASE WHEN a.n + x.n > {threshold} AND a.now <> '' THEN {{'done': list_append(a.done, a.now), 'now': x.now, 'n': x.n}}
+    ELSE {{'done': a.done, 'now': CASE WHEN a.now = '' THEN x.now ELSE a.now || chr(10) || chr(10) || x.now END, 'n': a.n + x.n}} END) AS r FROM spp),
+spa AS (SELECT slug, CASE WHEN r.now = '' THEN r.done ELSE list_append(r.done, r.now) END AS ps FROM spk),
+sst AS (SELECT d.slug, CASE WHEN len({words('d.text')}) <= {threshold} THEN 'single' WHEN len(h2.ss) > 1 THEN 'h2' WHEN len(h3.ss) > 1 THEN 'h3' WHEN len(spa.ps) > 1 THEN 'paragraphs' ELSE 'single' END AS strategy,
+  h2.pre AS pre2, h2.ss AS ss2, h3.pre AS pre3, h3.ss AS ss3, list_transform(spa.ps, lambda p: {{'heading': '', 'body': p}}) AS ssp
+  FROM {source} d JOIN sh2 h2 USING (slug) JOIN sh3 h3 USING (slug) JOIN spa USING (slug)),
+sch AS (SELECT slug, CASE strategy WHEN 'h2' THEN pre2 WHEN 'h3' THEN pre3 ELSE '' END AS preamble, CASE strategy WHEN 'h2' THEN ss2 WHEN 'h3' THEN ss3 ELSE ssp END AS ss FROM sst WHERE strategy <> 'single'),
+smg AS (SELECT slug, preamble, list_reduce(list_prepend({{'done': []::STRUCT(heading VARCHAR, body VARCHAR)[], 'h': '', 'b': '', 'c': false}}, list_transform(ss, lambda s: {{'done': []::STRUCT(heading VARCHAR, body VARCHAR)[], 'h': s.heading, 'b': s.body, 'c': true}})),
+  lambda a, x: CASE WHEN {short} THEN {{'done': a.done, 'h': x.h, 'b': {carried}, 'c': true}} ELSE {{'done': list_append(a.done, {{'heading': x.h, 'body': {carried}}}), 'h': '', 'b': '', 'c': false}} END) AS m FROM sch),
+sfn AS (SELECT slug, preamble, CASE WHEN NOT m.c THEN m.done WHEN len(m.done) = 0 THEN [{{'heading': m.h, 'body': m.b}}]
+  ELSE list_append(m.done[1:len(m.done) - 1], {{'heading': {last}.heading, 'body': {strip(joined(f'{last}.body', 'm.h', 'm.b'))}}}) END AS ss FROM smg),
+secs AS (SELECT * FROM sfn WHERE len(ss) > 1),
+skd AS (SELECT slug AS parent, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM secs),
+skb AS (SELECT parent, i, s, CASE WHEN s.heading <> '' AND {heading_base('s.heading')} <> '' THEN parent || '-' || ({cut_at_hyphen(heading_base('s.heading'), 30)}) ELSE parent || '-section-' || i END AS base,
+  CASE WHEN s.heading <> '' THEN {strip(r"regexp_replace(s.heading, '^#+\s*', '')")} WHEN {line} <> '' THEN {line} ELSE 'Section ' || (i + 1) END AS title FROM skd),
+kids AS (SELECT base || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || row_number() OVER w END AS slug, parent, i AS section_index, title, {joined('s.heading', 's.body')} AS body FROM skb WINDOW w AS (PARTITION BY parent, base ORDER BY i))"""
