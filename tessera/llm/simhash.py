@@ -14,9 +14,9 @@ link is lost.  Candidates with one key are verified by counting bits.
 
 Copies are no candidates: rows are grouped by fingerprint first.  Within one
 key, links are reduced to a forest as they are found, so a group of near copies
-costs as many output rows as it has members; where one side of a key has more
-members than a fingerprint has neighbours within 3 bits (43,745), those
-neighbours are looked up instead, which is linear in the members.
+costs as many output rows as it has members.  A key with more than ``CELL`` rows
+on a side is dealt to cells, each with the pairs of one part of either side, so
+that no task takes all of it.
 
 Defined results: null text counts as empty; a text without words has
 fingerprint zero and links like any other; fewer words than a shingle are one
@@ -48,6 +48,8 @@ MAX_BITS = 3
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code.
 GENERATOR = 0b101011100011
+#: Rows of one key or shingle that are compared in one task, about.
+CELL = 1024
 #: Key groups up to this many candidate pairs are taken together.
 PAIRS_AT_ONCE = 1 << 20
 
@@ -147,29 +149,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
 
 
-def _neighbours() -> np.ndarray:
-    masks = [np.uint64(0)]
-    for weight in range(1, MAX_BITS + 1):
-        masks += [np.uint64(sum(1 << k for k in bits)) for bits in combinations(range(64), weight)]
-    return np.array(masks, dtype=np.uint64)
-
-
 def _links_within(left: np.ndarray, right: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one key's sides that differ in ``near`` bits at most."""
-    masks = _neighbours() if near == MAX_BITS and len(right) > 43_745 else None
-    if masks is None:
-        step = max(1, PAIRS_AT_ONCE // len(right))
-        for k in range(0, len(left), step):
-            i, j = np.nonzero(np.bitwise_count(left[k : k + step, None] ^ right[None, :]) <= near)
-            yield i + k, j
-        return
-    order = np.argsort(right)
-    ranked = right[order]
-    for i, x in enumerate(left):
-        wanted = masks ^ x
-        at = np.minimum(np.searchsorted(ranked, wanted), len(ranked) - 1)
-        hit = order[at[ranked[at] == wanted]]  # fingerprints are distinct
-        yield np.full(len(hit), i), hit
+    step = max(1, PAIRS_AT_ONCE // len(right))
+    for k in range(0, len(left), step):
+        i, j = np.nonzero(np.bitwise_count(left[k : k + step, None] ^ right[None, :]) <= near)
+        yield i + k, j
 
 
 def links(keyed: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], near: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,7 +239,15 @@ def edges(nodes: DataFrame) -> DataFrame:
             yield from done(held)
 
     keyed = nodes.select("fp", "node").mapInArrow(emit, "key int, side boolean, fp long, node long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "a long, b long")
+    # a key of very many rows is dealt to cells, each with a part of either side
+    sides = keyed.groupBy("key").agg(F.count_if(F.col("side")).alias("r"), F.count_if(~F.col("side")).alias("l"))
+    parts = [F.ceil(F.col(c) / F.lit(CELL)).cast("int").alias(f"{c}_parts") for c in ("l", "r")]
+    large = materialise(sides.where((F.col("l") > CELL) | (F.col("r") > CELL)).where("l > 0 AND r > 0").select("key", *parts), "large-keys")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side"), F.col("r_parts")).otherwise(F.col("l_parts"))).cast("int")
+    cells = F.expr("transform(sequence(0, if(side, l_parts, r_parts) - 1), o -> xxhash64(key, if(side, o, _own), if(side, _own, o)))")
+    dealt = keyed.join(small(large), "key", "left").withColumn("_own", own)
+    dealt = dealt.select(F.explode(F.when(F.col("l_parts").isNull(), F.array(F.col("key").cast("long"))).otherwise(cells)).alias("key"), "side", "fp", "node")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(match, "a long, b long")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -285,8 +278,6 @@ BANDS, ROWS = 9, 3
 #: Bits of a text's parity signature: a power of two, twice its shingles or
 #: more, between these.
 LEAST_PARITY, MOST_PARITY = 1 << 9, 1 << 16
-#: Rows of one shingle that are compared in one task, about.
-CELL = 1024
 #: Bytes of signatures compared at once.
 SIGNATURE_BYTES = 4 << 20
 #: Documents, about, and occurrences in them that tell frequent shingles, and how

@@ -202,17 +202,26 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Schema]) ->
 
 
 #: The tool that a user's turn is taken to call.
-REPLY: Schema = {"n_chars": ("integer", True), "text": ("string", True), "turn": ("integer", True)}
+REPLY: Schema = {"n_chars": ("integer", True), "text": ("string", True), "turn": ("integer", True), "urgent": ("boolean", False)}
 
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of turns (conv_id, turn, role, text): each
     user turn calls ``reply``, the next assistant turn answers it, and a call's
-    parent is the user turn two turns before, if there is one."""
+    parent is the user turn two turns before, if there is one.  As callers do,
+    they spell one number in several ways (12, 12.0, 120e-1), and those with an
+    exclamation mark say how urgent they are in words, where the schema has a
+    boolean."""
     turn = F.col("turn").cast("long")
     name = lambda t: F.concat(F.lit("turn-"), t.cast("string"))
     asked = conversations.where("role = 'user'")
-    calls = asked.select("conv_id", name(turn).alias("call_id"), turn.alias("position"), F.lit("reply").alias("name"), F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("text"), F.length("text").cast("long").alias("n_chars"))).alias("arguments"))
+    size = F.length("text").cast("string")
+    spelled = F.when(turn % 3 == 0, size).when(turn % 3 == 1, F.concat(size, F.lit(".0"))).otherwise(F.concat(size, F.lit("0e-1")))
+    quoted = F.to_json(F.struct(F.col("text").alias("text")))
+    said = F.concat(F.lit(","), F.substr(quoted, F.lit(2), F.length(quoted) - 2), F.lit(', "n_chars" : '), spelled)
+    urgent = F.when(F.contains("text", F.lit("!")), F.lit(',"urgent":"yes"'))
+    arguments = F.concat(F.lit('{"turn":'), turn.cast("string"), F.coalesce(said, F.lit("")), F.coalesce(urgent, F.lit("")), F.lit("}"))
+    calls = asked.select("conv_id", name(turn).alias("call_id"), turn.alias("position"), F.lit("reply").alias("name"), arguments.alias("arguments"))
     before = asked.select("conv_id", (turn + 2).alias("position"), name(turn).alias("parent_id")).distinct()
     calls = calls.join(before, ["conv_id", "position"], "left")
     results = conversations.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
@@ -232,9 +241,9 @@ j AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn)
 SELECT conv_id, 'turn-' || turn AS call_id,
        CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
        level, coalesce(nu, 0) AS n_calls, coalesce(na, 0) AS n_results,
-       called AND text IS NOT NULL AS valid,
-       CASE WHEN called AND text IS NULL THEN 'missing n_chars; missing text' ELSE '' END AS errors,
-       sha256('{' || CASE WHEN called THEN '"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"n_chars":' || length(text) || ',"text":' || to_json(text) || ',' END || '"turn":' || turn || '},' ELSE '' END
+       called AND text IS NOT NULL AND NOT contains(text, '!') AS valid,
+       CASE WHEN called AND text IS NULL THEN 'missing n_chars; missing text' WHEN called AND contains(text, '!') THEN 'not boolean: urgent' ELSE '' END AS errors,
+       sha256('{' || CASE WHEN called THEN '"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"n_chars":' || length(text) || ',"text":' || to_json(text) || ',' END || '"turn":' || turn || CASE WHEN contains(text, '!') THEN ',"urgent":"yes"' ELSE '' END || '},' ELSE '' END
               || '"id":"turn-' || turn || '"' || CASE WHEN called THEN ',"name":"reply"' ELSE '' END
               || CASE WHEN level > 0 THEN ',"parent":"turn-' || (turn - 2) || '"' ELSE '' END
               || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END || '}') AS canonical_sha256

@@ -52,15 +52,9 @@ def test_edges_connect_what_brute_force_connects(spark):
     assert {k: got.get(k, k) for k in range(len(x))} == want
 
 
-def test_neighbour_lookup_equals_the_pairs():
-    rng = np.random.default_rng(2)
-    right = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 44_000).astype(np.uint64)) ^ rng.integers(0, 1 << 17, 44_000).astype(np.uint64))
-    while len(right) <= 43_745:
-        right = np.unique(np.concatenate([right, rng.integers(0, 1 << 18, 20_000).astype(np.uint64)]))
-    left = right[:: len(right) // 5]
-    fast = {(int(a), int(b)) for i, j in S._links_within(left, right, 3) for a, b in zip(i, j)}
-    slow = {(int(a), int(b)) for a in range(len(left)) for b in np.flatnonzero(np.bitwise_count(left[a] ^ right) <= 3)}
-    assert fast == slow
+def test_large_keys_are_dealt_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL", 8)
+    test_edges_connect_what_brute_force_connects(spark)
 
 
 def test_components_of_long_chains_and_stars(spark):
