@@ -90,6 +90,7 @@ class Codec:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.size_of = {i: len(t) for t, i in ranks.items()}
         self.single = {i: (i,) for i in self.bytes_of}
+        self.digits = {i: str(i) for i in self.bytes_of}
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), i)
@@ -145,19 +146,19 @@ class Codec:
         whole = self.ranks.get(data)
         if whole is not None:
             return self.single[whole]
-        size_of, prefix, fits = self.size_of, self.prefix, self.fits
-        longest = [0] * len(data)
+        size_of, prefix, fits, n = self.size_of, self.prefix, self.fits, len(data)
+        longest = [0] * n
         for end, i in self.automaton.iter(data.decode("latin-1")):
             longest[end - size_of[i] + 1] = i  # longer ones end later
-        open_at = bytearray(b"\1") * (len(data) + 1)
+        open_at = bytearray(b"\1") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
-        while at < len(data):
+        while at < n:
             end = at + size_of[token]
             if open_at[end] and (not out or fits[out[-1], token]):
                 out.append(token)
                 at = end
-                if at < len(data):
+                if at < n:
                     token = longest[at]
                 continue
             shorter = prefix[token]
@@ -246,12 +247,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("codec")
         own, sha = codec(path, pattern, memo_bytes), hashlib.sha256
+        digits = own.digits.__getitem__
         for b in batches:
             counts, coded, decoded = [], [], []
             for x in _strings(b, text):
                 found = own.encode(x)
                 counts.append(len(found))
-                coded.append(sha(",".join(map(str, found)).encode()).hexdigest())
+                coded.append(sha(",".join(map(digits, found)).encode()).hexdigest())
                 decoded.append(sha(own.decode(found)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
