@@ -1,18 +1,22 @@
 """Command line: ``python -m tessera.cli COMMAND ... --store FOLDER``.
 
-A store is opened, not built: what was ingested before is there.  ``serve`` and
-``ingest-url`` need a web framework and a network, which aren't here; they say so.
+A store is opened, not built: what was ingested before is there.  Pages are
+fetched by the standard library, from hosts that aren't inside.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import urllib.request
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import server
 from .engine import Engine
+from .sources import urls
 
 STORE = "./knowledge"
 
@@ -48,16 +52,37 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+class _Watched(urllib.request.HTTPRedirectHandler):
+    """Redirects, five at most, to hosts that aren't inside."""
+
+    max_redirections = 5
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        if not urls.outside(newurl):
+            raise ValueError("redirected to a blocked address")
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def fetch(url: str) -> tuple[str, bytes]:
+    """(content type, bytes) of a page; names are resolved and looked at first."""
+    if not urls.outside(url):
+        raise ValueError("blocked address")
+    with urllib.request.build_opener(_Watched).open(url, timeout=10) as page:
+        return page.headers.get("Content-Type", "text/plain"), page.read()
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
-    if a.command in ("serve", "ingest-url"):
-        print(f"{a.command}: no {'web framework' if a.command == 'serve' else 'network'} here; use Engine with your own")
-        return 2
     spark = spark or SparkSession.builder.appName("tessera").getOrCreate()
-    e = Engine(spark, a.store)
+    if a.command == "serve":
+        server.serve(spark, replace(server.Settings.from_environment(), folder=a.store, host=a.host, port=a.port))
+        return 0
+    e = Engine(spark, a.store, fetch=fetch)
     show = lambda df, n=20: df.show(n, truncate=80)
     if a.command == "ingest":
         show(e.ingest(a.path), 100)
+    elif a.command == "ingest-url":
+        show(e.ingest_url(a.url))
     elif a.command == "import":
         print(e.load(a.bundle_path), "documents")
     elif a.command == "api-key" and a.action == "create":

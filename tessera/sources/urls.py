@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import socket
+import urllib.parse
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,3 +74,16 @@ def safe(urls: DataFrame, url: str = "url", allow: tuple[str, ...] = ()) -> Data
     allowed = F.col("host").isin(*allow) if allow else F.lit(False)
     told = F.coalesce(scheme, F.lit(False)) & (F.coalesce(allowed, F.lit(False)) | F.coalesce(named & ~F.col("_told.blocked"), F.lit(False)))
     return rows.withColumn("ip", F.col("_told.ip")).withColumn("safe", told).drop("_told")
+
+
+def outside(url: str) -> bool:
+    """Whether every address that a URL's host resolves to may be fetched from."""
+    parts = urllib.parse.urlsplit(url)
+    if parts.scheme not in ("http", "https") or not parts.hostname:
+        return False
+    try:
+        found = socket.getaddrinfo(parts.hostname, None, proto=socket.IPPROTO_TCP)
+    except OSError:
+        return False
+    spelled = [f"[{x[4][0]}]" if x[0] == socket.AF_INET6 else x[4][0] for x in found]
+    return all((a := address(s)) is not None and not any(a in n for n in _NETWORKS if n.version == a.version) for s in spelled)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tessera.engine import sign
 from tessera.functions import text as T
 from tessera.operators import control as C
-from tessera.sources import files, notes
+from tessera.sources import files, notes, urls
 
 
 def test_keys(spark):
@@ -67,6 +67,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("export", str(tmp_path / "bundle"))[0] == 0
     assert len(run("api-key", "create", "t")[1]) > 20 and "t" in run("api-key", "list")[1]
     assert run("api-key", "revoke", "t")[0] == 0 and "true" in run("api-key", "list")[1]
-    assert run("serve")[0] == run("ingest-url", "http://x")[0] == 2
+    assert "blocked address" in run("ingest-url", "http://127.0.0.1:9/")[1]
+    assert not urls.outside("http://localhost/") and not urls.outside("file:///etc") and not urls.outside("http://[::1]/")
     assert main(["import", str(tmp_path / "bundle"), "--store", str(tmp_path / "other")], spark) == 0
     assert "1 documents" in capsys.readouterr().out
