@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..durable import materialise
 from ..functions.lexicon import STOP_WORDS
 from ..operators.feedback import MEMORY, REFINEMENT, REPEAT, TOPIC_SWITCH
 
@@ -82,3 +84,29 @@ def maintain(changes: DataFrame, apply, checkpoint: str):
     """Run ``apply(batch, number)`` on each batch of document changes; batches
     carry their number, so a repeated one can be recognised."""
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def keep(engine, changes: DataFrame, checkpoint: str, name: str = "changes"):
+    """Keep a store's documents and index in step with a stream of changes (slug,
+    title, body; a null body deletes): new slugs are ingested by their title,
+    known ones replaced.  The store's manifest holds the number of the last batch
+    that was applied, so a batch that comes again changes nothing."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        key = f"stream:{name}"
+        if engine.tables.now.values.get(key, -1) >= number:
+            return
+        # of several changes to one slug within a batch any may be the last
+        last = materialise(batch.groupBy("slug").agg(F.max_by(F.struct("title", "body"), F.struct(F.col("body").isNotNull(), "body")).alias("c")).select("slug", "c.title", "c.body"), "batch")
+        known = last.limit(0).select("slug") if not engine.tables.has("documents") else engine.table("documents").select("slug").join(last.select("slug"), "slug", "left_semi")
+        known = materialise(known, "known")
+        fresh = last.where("body IS NOT NULL").join(known, "slug", "left_anti")
+        if not fresh.isEmpty():
+            engine.ingest_rows(fresh.select(F.col("slug").alias("ord"), F.coalesce("title", "slug").alias("title"), F.col("body").alias("text")))
+        changed = last.where("body IS NOT NULL").join(known, "slug", "left_semi")
+        if not changed.isEmpty():
+            engine.update(changed.select("slug", "body"))
+        gone = last.where("body IS NULL").join(known, "slug", "left_semi").select("slug")
+        engine.tables.commit(gone=materialise(gone, "gone"), values={key: number})
+
+    return maintain(changes, apply, checkpoint)

@@ -41,3 +41,26 @@ def test_batches_reach_the_callback(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(c for _, c in seen) == 5
+
+
+def test_a_stream_keeps_the_index(spark, tmp_path):
+    from tessera.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "store"))
+    schema = "slug string, title string, body string"
+    source, check = tmp_path / "in", str(tmp_path / "check")
+
+    def send(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        q = stateful.keep(e, spark.readStream.schema(schema).parquet(str(source)), check).start()
+        q.processAllAvailable()
+        q.stop()
+
+    send([("cats", "Cats", "Cats purr."), ("dogs", "Dogs", "Dogs bark.")])
+    assert {r.slug for r in e.search("purrs").collect()} == {"cats"}
+    send([("cats", None, "Cats climb."), ("dogs", None, None), ("birds", "Birds", "Birds sing.")])
+    assert {r.slug for r in e.table("documents").collect()} == {"cats", "birds"}
+    assert e.search("purrs").count() == 0 and {r.slug for r in e.search("climbs").collect()} == {"cats"}
+    before = e.tables.now.number
+    stateful.keep(e, spark.readStream.schema(schema).parquet(str(source)), str(tmp_path / "other")).trigger(availableNow=True).start().awaitTermination()
+    assert e.tables.now.number == before  # batch 0 has been applied
