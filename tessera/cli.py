@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import server
+from .durable import clear
 from .engine import Engine
 from .sources import urls
 
@@ -113,6 +114,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(e.reindex(not a.full).count(), "documents")
     elif a.command == "export":
         show(e.export(a.output_path, not a.no_embeddings))
+    clear()
     return 0
 
 

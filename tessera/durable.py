@@ -35,9 +35,22 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark, tag)
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def clear() -> None:
+    """Remove what this process has materialised, once no frame made from it is
+    read any more."""
+    while _written:
+        spark, path = _written.pop()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def size_of(df: DataFrame) -> int:
     """Catalyst's size of a plan: file sizes for a written table."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -22,6 +22,7 @@ from urllib.parse import parse_qs, unquote
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .durable import clear
 from .engine import Engine, tenant
 from .operators import tenancy
 from .sources import files
@@ -310,6 +311,7 @@ class App:
             status, out = x.status, {"detail": x.detail}
         except Exception as x:  # noqa: BLE001  a failed call is an answer
             status, out = 500, {"detail": f"{type(x).__name__}: {x}"}
+        clear()  # the answer has been read: what was written for it can go
         body = b"" if out is None else json.dumps(out, default=str, ensure_ascii=False).encode()
         headers = [("Content-Type", "application/json; charset=utf-8"), ("Content-Length", str(len(body)))]
         headers += [("Access-Control-Allow-Origin", self.settings.origins), ("Access-Control-Allow-Methods", "*"), ("Access-Control-Allow-Headers", "*")]

@@ -301,3 +301,25 @@ def test_sections_have_synopses(spark, tmp_path):
     assert [s.slug for s in parent.section_map] == parent.children and all("explained" in s.synopsis and len(s.synopsis) <= 153 for s in parent.section_map)
     found = e.query("explained brandy of fruit").collect()
     assert any(r.tier == 2 and r.slug == "fruit-plums" and r.title == "Plums" for r in found), found
+
+
+def test_parts_are_merged(spark, tmp_path):
+    t = tables.Tables(spark, str(tmp_path / "store"))
+    row = lambda k: spark.createDataFrame([(f"s{k}", f"body {k}")], "slug string, body string")
+    for k in range(40):
+        t.commit(append={"documents": row(k), "query_log": row(k)}, gone=row(k - 3).select("slug") if k % 4 == 3 else None)
+    assert len(t.now.parts["documents"]) <= tables.MOST_PARTS and max(p[2] for p in t.now.parts["documents"]) >= 1
+    gone = {f"s{k}" for k in range(0, 40, 4)}
+    again = tables.Tables(spark, str(tmp_path / "store"))
+    assert {r.slug for r in again.read("documents").collect()} == {f"s{k}" for k in range(40)} - gone and again.read("query_log").count() == 40
+    kept = {p.name for p in (tmp_path / "store" / "parts").iterdir()}
+    assert len(kept) < 120 and len(list((tmp_path / "store" / "manifests").glob("*.json"))) <= tables.KEPT + 1 + tables.MOST_PARTS
+    again.compact()
+    assert not again.has("tombstones") and again.read("documents").count() == 30
+
+
+def test_a_parser_follows_what_patterns_cannot(spark):
+    from tessera.sources import html
+
+    page = "<h2 class='a>b'>One</h2><p>x &lt; y<br>z</p><ul><li>k<li>l</ul><script>no</script>"
+    assert one(spark, html.parsed_markdown(F.col("t")), t=page) == "## One\n\nx < y\nz\n\n- k\n- l"
