@@ -141,6 +141,12 @@ def bucket_count(df: DataFrame, per_bucket: int = 8 << 20) -> int:
     return max(2 * parallelism(df.sparkSession), -(-size // per_bucket))
 
 
+def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` dealt out by its bucket, about one to a task, but to no more than
+    four times the session's partitions."""
+    return df.repartition(min(buckets, 4 * parallelism(df.sparkSession)), "bucket")
+
+
 def text_slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose byte lengths add up to about ``limit``."""
     if not len(lengths):

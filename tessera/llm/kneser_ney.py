@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_rows, bounded_batches, bucket_count, fresh_path, keeps, materialise, release, remove, text_slices
+from ._common import binary_rows, bounded_batches, bucket_count, by_bucket, fresh_path, keeps, materialise, release, remove, text_slices
 from .simhash import free_shuffles
 from .substring_dedup import mix, word_hashes, words_of
 
@@ -539,7 +539,8 @@ def train(docs: DataFrame, learn: Column, text: str = "text", part: int = PART)
         write_table(folder, f"stats-{b}", None, columns, WORD)
         return _rows([], files=1, **dict(zip(SUMS[12:16], _four(left), strict=True)))
 
-    grams = materialise(texts_.mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(merge, BLOBS), "trigram-sums")
+    counted = by_bucket(texts_.mapInArrow(count, "bucket int, blob binary"), buckets)
+    grams = materialise(counted.groupBy("bucket").applyInArrow(merge, BLOBS), "trigram-sums")
     free_shuffles(spark)
     hot = materialise(grams.where("kind = 0").select("bucket", "blob").groupBy("bucket").applyInArrow(merge_pairs, BLOBS), "pair-sums")
     both = grams.unionByName(hot)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import binary_rows, bounded_batches, bucket_count, free_name, numbered, release, text_slices
+from ._common import binary_rows, bounded_batches, bucket_count, by_bucket, free_name, numbered, release, text_slices
 
 WINDOW = 20
 MINIMISER = 4
@@ -313,7 +313,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, m: int = MINIMISER, buckets:
         return pa.table([pa.array(x) for x in found], names=["_key", "_tag", "start", "windows"])
 
     packed = rows.select("_key", "_tag", "_text").mapInArrow(cut, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(count_windows, "_key long, _tag long, start int, windows int")
+    return by_bucket(packed, buckets).groupBy("bucket").applyInArrow(count_windows, "_key long, _tag long, start int, windows int")
 
 
 def keep_words(text: bytes, runs: list[tuple[int, int]], window: int) -> tuple[int, int, bytes]:
