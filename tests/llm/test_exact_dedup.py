@@ -49,3 +49,20 @@ def test_text_ids_and_clashing_columns(spark):
     assert got == {"a": ("a", True), "b": ("a", False), None: ("a", False), "c": ("d", False), "d": ("d", True)}
     kept = X.drop_copies(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {"a", "d"}
+
+
+def test_marks_are_drawn_again_where_blocks_share_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b", "ab", "c" * 9000, "c" * 9000, "c" * 9001, None])], "doc_id long, text string")
+    want = sorted(X.exact_groups(docs).collect())
+    real, seeds = X._block_names, []
+
+    def shared_once(normal, size, seed):
+        seeds.append(seed)
+        return None if seed == 0 else real(normal, size, seed)
+
+    monkeypatch.setattr(X, "_block_names", shared_once)
+    assert sorted(X.exact_groups(docs).collect()) == want and seeds == [0, 1]
+    # the check itself: two blocks, one mark
+    rows = docs.selectExpr("text AS _t").where("_t IS NOT NULL")
+    monkeypatch.setattr(X.F, "xxhash64", lambda *_: X.F.lit(7).cast("long"))
+    assert real(rows, 4096, 0) is None

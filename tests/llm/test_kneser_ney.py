@@ -101,3 +101,27 @@ def test_empty_tables(spark):
     row = K.score(docs, nothing, F.lit(True)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
     assert K.score(docs.limit(0), nothing, F.lit(True)).collect() == []
+
+
+def test_files_of_a_store_that_is_no_path(tmp_path, monkeypatch):
+    import pyarrow.fs
+
+    keys = np.arange(1, 2000, dtype=np.uint64) << np.uint64(40)
+    for k in range(5):
+        K.write_table(f"file://{tmp_path}", f"t-{k}", keys, [np.full(len(keys), k)], (20,))
+    local = pyarrow.fs.SubTreeFileSystem("/", pyarrow.fs.LocalFileSystem())
+    size = sum(f.stat().st_size for f in tmp_path.iterdir()) // 5
+
+    class Remote:
+        FileSystem = type("FileSystem", (), {"from_uri": staticmethod(lambda uri: (local, uri.removeprefix("other://")))})
+        LocalFileSystem, FileType = pyarrow.fs.LocalFileSystem, pyarrow.fs.FileType
+
+    monkeypatch.setattr(K.pyarrow, "fs", Remote)
+    monkeypatch.setattr(K, "CACHE_BYTES", 2 * size)
+    K._tables.clear()
+    for k in (0, 1, 2, 3, 4, 0):
+        table = K._table(f"other://{tmp_path}", f"t-{k}")
+        assert (table.rows(table.find(keys))[:, 0] == k).all()
+        assert len(K._tables) <= 2
+    assert K._table(f"other://{tmp_path}", "none").n == 0
+    K._tables.clear()

@@ -98,3 +98,15 @@ def test_marks_do_not_show(spark):
             own = json.loads(r.canonical_json)
             assert own["arguments"] == json.loads(t) and own["id"] == f"c{k}" and own["name"] == "f"
             assert r.canonical_json == json.dumps(own, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_deep_and_large_arguments(spark):
+    deep = "1.0"
+    for k in range(60):
+        deep = f'{{"k{k}": [{deep}, {k}e0]}}'
+    large = json.dumps({f"key{k:05}": {"n": k, "s": "x\\y\n" * 5} for k in range(20_000)}, indent=1)
+    rows = [(1, "deep", 0, "f", deep, None), (1, "large", 1, "g", large, None)]
+    schemas = {"f": {"k59": ("array", True)}, "g": {f"key{k:05}": ("object", True) for k in range(3)}}
+    got = {r.call_id: r for r in T.link(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), schemas).collect()}
+    assert got["deep"].valid and json.loads(got["deep"].canonical_json)["arguments"] == json.loads(deep)
+    assert len(got["large"].errors) == 20_000 - 3 and json.loads(got["large"].canonical_json)["arguments"] == json.loads(large)

@@ -225,3 +225,11 @@ def test_decode_media_reads_a_value_whole(spark):
     assert np.frombuffer(got[0].media_pixels, np.uint8)[1::4].tobytes() == data
     assert got[3].media_height == 2 and got[3].media_error is None
     assert all(got[k].media_pixels is None and got[k].media_error for k in (1, 2))
+
+
+def test_long_texts_through_spark(spark):
+    docs = spark.range(1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 150000), k -> concat('word', k * 7919 % 5003))) AS text")
+    text = docs.first().text
+    (r,) = W.read_payloads(W.store_payloads(docs)).collect()
+    payload = text.encode() + b"\xff" * (-len(text) % 576)
+    assert len(text) > 1_000_000 and r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_bytes < r.n_bytes
