@@ -31,7 +31,17 @@ def extract_formats(spark, sf_dir):
     k = F.col("c_custkey")
     bodies = {
         "json": F.to_json(F.struct(F.col("c_name").alias("name"), F.lit("a customer").alias("description"), F.col("c_nationkey").alias("nation"))),
-        "md": F.concat(F.lit("---\ntitle: "), "c_name", F.lit("\ntags: ["), "c_mktsegment", F.lit(", other]\n---\n\n# "), "c_name", F.lit("\n\n\n\nin "), "c_mktsegment", F.lit("  \n")),
+        "md": F.concat(
+            F.lit("---\ntitle: "),
+            "c_name",
+            F.lit("\ntags: ["),
+            "c_mktsegment",
+            F.lit(", other]\n---\n\n# "),
+            "c_name",
+            F.lit("\n\n\n\nin "),
+            "c_mktsegment",
+            F.lit("  \n"),
+        ),
         "txt": F.concat(F.lit("# Customer "), "c_name", F.lit("\r\n\r\nsegment "), "c_mktsegment"),
         "py": F.concat(F.lit('"""About '), "c_name", F.lit('."""\n\nx = '), k.cast("string"), F.lit("\n")),
         "csv": F.concat(F.lit('key,name\n'), k.cast("string"), F.lit(',"'), "c_name", F.lit(', Inc"\n7\n')),
@@ -42,7 +52,20 @@ def extract_formats(spark, sf_dir):
     content = F.coalesce(*[F.when(chosen == x, b) for x, b in bodies.items()])
     rows = c.select(F.concat(F.lit("/in/"), k.cast("string"), F.lit("."), chosen).alias("path"), content.cast("binary").alias("content"))
     made = files.extract(materialise(rows, "files"))
-    return made.select("path", "extension", "title", _md5("text").alias("text_md5"), F.coalesce(F.try_element_at("metadata", F.lit("summary")), F.try_element_at("metadata", F.lit("description")), F.try_element_at("metadata", F.lit("tags")), F.try_element_at("metadata", F.lit("row_count"))).alias("about"), "status", "error")
+    return made.select(
+        "path",
+        "extension",
+        "title",
+        _md5("text").alias("text_md5"),
+        F.coalesce(
+            F.try_element_at("metadata", F.lit("summary")),
+            F.try_element_at("metadata", F.lit("description")),
+            F.try_element_at("metadata", F.lit("tags")),
+            F.try_element_at("metadata", F.lit("row_count")),
+        ).alias("about"),
+        "status",
+        "error",
+    )
 
 
 SQL_FORMATS = """WITH c AS (SELECT *, ['json', 'md', 'txt', 'py', 'csv', 'xyz'][(c_custkey % 6 + 1)::INT] AS extension FROM customer),
@@ -59,10 +82,27 @@ SELECT '/in/' || c_custkey || '.' || extension AS path, extension, CASE WHEN ext
 
 def page_metadata(spark, sf_dir):
     """Pages with a head of our own before them."""
-    head = F.concat(F.lit('<head><META content="About page '), F.col("page_id").cast("string"), F.lit('" property="og:description"><link href="/x" rel="canonical"><link rel=\'canonical\' href=\'https://e.org/'), F.col("page_id").cast("string"), F.lit("'><time datetime=\"2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit('">'))
-    named = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<meta name="description" content="First '), F.col("page_id").cast("string"), F.lit('">'))).otherwise("")
+    head = F.concat(
+        F.lit('<head><META content="About page '),
+        F.col("page_id").cast("string"),
+        F.lit('" property="og:description"><link href="/x" rel="canonical"><link rel=\'canonical\' href=\'https://e.org/'),
+        F.col("page_id").cast("string"),
+        F.lit("'><time datetime=\"2024-01-0"),
+        (F.col("page_id") % 9 + 1).cast("string"),
+        F.lit('">'),
+    )
+    named = F.when(
+        F.col("page_id") % 3 == 0,
+        F.concat(F.lit('<meta name="description" content="First '), F.col("page_id").cast("string"), F.lit('">')),
+    ).otherwise("")
     m = html.page_metadata(F.concat(head, named, "html"))
-    return table(spark, sf_dir, "pages").select("page_id", m.alias("m")).select("page_id", "m.title", "m.description", "m.canonical_url", "m.publish_date")
+    return table(spark, sf_dir, "pages").select("page_id", m.alias("m")).select(
+        "page_id",
+        "m.title",
+        "m.description",
+        "m.canonical_url",
+        "m.publish_date",
+    )
 
 
 SQL_PAGE_METADATA = r"""SELECT page_id, nullif(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\s+|\s+$', '', 'g'), '') AS title,
@@ -85,7 +125,10 @@ def model_keywords(spark, sf_dir):
     """What a language model might answer, read as keywords."""
     k = F.col("s_suppkey")
     listed = F.concat(F.lit('["B '), k.cast("string"), F.lit('", " a ", "a", "Name '), "s_name", F.lit('", "c", "d", "e", "f", "g", "h", "i", "j"]'))
-    answer = F.when(k % 4 == 0, F.concat(F.lit("```json\n"), listed, F.lit("\n```"))).when(k % 4 == 1, listed).when(k % 4 == 2, '["a", "b", "A"]').otherwise("no list")
+    answer = F.when(
+        k % 4 == 0,
+        F.concat(F.lit("```json\n"), listed, F.lit("\n```")),
+    ).when(k % 4 == 1, listed).when(k % 4 == 2, '["a", "b", "A"]').otherwise("no list")
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(T.parse_keywords(answer), ",").alias("keywords"))
 
 
@@ -106,7 +149,16 @@ SQL_EMBEDDING_TEXTS = f"SELECT doc_id, md5(array_to_string({Q.words('''coalesce(
 def note_render(spark, sf_dir):
     """Documents as notes: a header in fixed order, quoted where needed."""
     c = table(spark, sf_dir, "customer")
-    docs = c.select(F.col("c_custkey").alias("slug"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('He said: "'), "c_name", F.lit('"'))).when(F.col("c_custkey") % 3 == 1, F.col("c_custkey").cast("string")).otherwise(F.col("c_mktsegment")).alias("title"), F.when(F.col("c_custkey") % 2 == 0, F.lit("no")).alias("summary"), F.when(F.col("c_custkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("c_mktsegment", F.lit("x: y"))).alias("categories"), F.lit("text\n").alias("body"))
+    docs = c.select(
+        F.col("c_custkey").alias("slug"),
+        F.when(
+            F.col("c_custkey") % 3 == 0,
+            F.concat(F.lit('He said: "'), "c_name", F.lit('"')),
+        ).when(F.col("c_custkey") % 3 == 1, F.col("c_custkey").cast("string")).otherwise(F.col("c_mktsegment")).alias("title"),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("no")).alias("summary"),
+        F.when(F.col("c_custkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("c_mktsegment", F.lit("x: y"))).alias("categories"),
+        F.lit("text\n").alias("body"),
+    )
     return notes.render(docs)
 
 
@@ -116,7 +168,13 @@ SQL_NOTES = """SELECT c_custkey AS slug, '---' || chr(10) || 'title: ' || CASE c
 
 def index_lines(spark, sf_dir):
     """The index as lines, written and read again."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("slug"), F.concat("p_brand", F.lit(" | "), "p_type").alias("title"), F.array("p_brand", "p_type").alias("categories"), F.concat("p_name", F.lit("\nline")).alias("synopsis"), F.when(F.col("p_size") % 2 == 0, F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("fingerprint"))
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("slug"),
+        F.concat("p_brand", F.lit(" | "), "p_type").alias("title"),
+        F.array("p_brand", "p_type").alias("categories"),
+        F.concat("p_name", F.lit("\nline")).alias("synopsis"),
+        F.when(F.col("p_size") % 2 == 0, F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("fingerprint"),
+    )
     back = notes.read_index(notes.index_rows(p))
     return back.select("slug", "title", F.array_join("categories", ";").alias("categories"), "synopsis", F.size("fingerprint").alias("n_fingerprint"))
 
@@ -127,10 +185,19 @@ SQL_INDEX_LINES = "SELECT p_partkey::VARCHAR AS slug, p_brand || ' | ' || p_type
 def metadata_merge(spark, sf_dir):
     """Headers of parts, two fields changed for some; the update wins."""
     p = table(spark, sf_dir, "part")
-    old = p.select(F.col("p_partkey").alias("slug"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")).alias("extra"))
-    new = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("slug"), F.create_map(F.lit("size"), F.lit("new"), F.lit("type"), F.col("p_type")).alias("extra"))
+    old = p.select(
+        F.col("p_partkey").alias("slug"),
+        F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")).alias("extra"),
+    )
+    new = p.where("p_partkey % 3 = 0").select(
+        F.col("p_partkey").alias("slug"),
+        F.create_map(F.lit("size"), F.lit("new"), F.lit("type"), F.col("p_type")).alias("extra"),
+    )
     out = store.merge_metadata(old, new)
-    return out.select("slug", F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("extra"))
+    return out.select(
+        "slug",
+        F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("extra"),
+    )
 
 
 SQL_METADATA_MERGE = "SELECT p_partkey AS slug, 'brand=' || p_brand || ';size=' || CASE WHEN p_partkey % 3 = 0 THEN 'new;type=' || p_type ELSE p_size::VARCHAR END AS extra FROM part"
@@ -144,7 +211,18 @@ def linked_notes(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     link = lambda x, label="": F.concat(F.lit("[["), x.cast("string"), F.lit(f"{label}]]"))
-    body = F.concat(F.lit("see "), link(k + 1), F.lit(" and "), link(k * 2, "|twice"), F.lit(" ```"), link(k + 5), F.lit("``` "), link(k + 1, "|again"), F.lit(" [[ ]] "), link(k % 7))
+    body = F.concat(
+        F.lit("see "),
+        link(k + 1),
+        F.lit(" and "),
+        link(k * 2, "|twice"),
+        F.lit(" ```"),
+        link(k + 5),
+        F.lit("``` "),
+        link(k + 1, "|again"),
+        F.lit(" [[ ]] "),
+        link(k % 7),
+    )
     return o.select(k.cast("string").alias("slug"), "o_custkey", body.alias("body"))
 
 
@@ -278,10 +356,23 @@ def tuning_gate(spark, sf_dir):
 def key_verification(spark, sf_dir):
     """Orders as calls with their customer's secret."""
     c = table(spark, sf_dir, "customer")
-    keys = c.select(F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("tenant_id"), F.sha2(F.concat(F.lit("secret-"), F.col("c_custkey").cast("string")), 256).alias("key_hash"), F.col("c_custkey").cast("string").alias("key_id"), (F.col("c_custkey") % 2 == 0).alias("read_only"), (F.col("c_custkey") % 5 == 0).alias("revoked"))
+    keys = c.select(
+        F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("tenant_id"),
+        F.sha2(F.concat(F.lit("secret-"), F.col("c_custkey").cast("string")), 256).alias("key_hash"),
+        F.col("c_custkey").cast("string").alias("key_id"),
+        (F.col("c_custkey") % 2 == 0).alias("read_only"),
+        (F.col("c_custkey") % 5 == 0).alias("revoked"),
+    )
     o = table(spark, sf_dir, "orders")
     method = F.element_at(F.array(F.lit("get"), F.lit("POST"), F.lit("Head"), F.lit("DELETE")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    calls = o.select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("secret-"), F.when(F.col("o_orderkey") % 10 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).cast("string")).alias("secret"), method.alias("method"))
+    calls = o.select(
+        F.col("o_orderkey").alias("request_id"),
+        F.concat(
+            F.lit("secret-"),
+            F.when(F.col("o_orderkey") % 10 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).cast("string"),
+        ).alias("secret"),
+        method.alias("method"),
+    )
     return control.verify(calls, keys)
 
 
@@ -293,10 +384,20 @@ def webhook_fanout(spark, sf_dir):
     """Orders as events, to the hooks of their customers' nations."""
     n = table(spark, sf_dir, "nation")
     events = F.array(*[F.lit(e) for e in control.EVENTS])
-    hooks = n.select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("tenant_id"), F.col("n_name").alias("id"), F.lit("http://x").alias("url"), F.slice(events, 1, F.col("n_nationkey").cast("int") % 4 + 1).alias("events"), F.lit("s").alias("secret"))
+    hooks = n.select(
+        F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("tenant_id"),
+        F.col("n_name").alias("id"),
+        F.lit("http://x").alias("url"),
+        F.slice(events, 1, F.col("n_nationkey").cast("int") % 4 + 1).alias("events"),
+        F.lit("s").alias("secret"),
+    )
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    fired = o.select(F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("tenant_id"), F.element_at(events, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("event"), F.col("o_orderkey").cast("string").alias("payload"))
+    fired = o.select(
+        F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("tenant_id"),
+        F.element_at(events, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("event"),
+        F.col("o_orderkey").cast("string").alias("payload"),
+    )
     wrong = F.array_join(control.invalid_events(F.array(F.col("event"), F.concat("event", F.lit("x")))), ",")
     return control.deliveries(fired, hooks, sign=False).select("tenant_id", "event", "payload", "id", wrong.alias("invalid"))
 
@@ -308,7 +409,12 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 
 def webhook_retries(spark, sf_dir):
     """Line items as failed attempts; when each is tried again."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("int").alias("attempt"), F.col("l_shipdate").cast("timestamp").alias("failed_at"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_linenumber").cast("int").alias("attempt"),
+        F.col("l_shipdate").cast("timestamp").alias("failed_at"),
+    )
     return control.due(li).select("l_orderkey", "l_linenumber", F.col("next_at").cast("string").alias("next_at"))
 
 
@@ -318,7 +424,12 @@ SQL_RETRIES = "SELECT l_orderkey, l_linenumber, strftime(l_shipdate::TIMESTAMP +
 def custom_fields(spark, sf_dir):
     """Fields of nations' tenants, some replaced, one tenant's dropped."""
     n = table(spark, sf_dir, "nation")
-    of = lambda rows, kind, required: rows.select(F.concat(F.lit("t"), F.col("n_regionkey").cast("string")).alias("tenant_id"), F.col("n_name").alias("field_name"), F.lit(kind).alias("field_type"), F.lit(required).alias("required"))
+    of = lambda rows, kind, required: rows.select(
+        F.concat(F.lit("t"), F.col("n_regionkey").cast("string")).alias("tenant_id"),
+        F.col("n_name").alias("field_name"),
+        F.lit(kind).alias("field_type"),
+        F.lit(required).alias("required"),
+    )
     fields = control.put_field(of(n, "string", False), of(n.where("n_nationkey % 3 = 0"), "int", True))
     one = control.drop_field(fields, "t1", "BRAZIL")
     return tenancy.scoped(one, "t1").unionByName(tenancy.scoped(one, "t2"))

@@ -66,7 +66,16 @@ class Config:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, fetch: Fetcher | None = None, embed: Embedder | None = None, summarise: Callable | None = None, taxonomy: dict | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        config: Config | None = None,
+        fetch: Fetcher | None = None,
+        embed: Embedder | None = None,
+        summarise: Callable | None = None,
+        taxonomy: dict | None = None,
+    ):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.config = config or Config.read(spark, self.folder)
         self.fetch, self.embed, self.taxonomy = fetch, embed, taxonomy
@@ -93,7 +102,11 @@ class Engine:
     def _extracted(self, found: DataFrame) -> DataFrame:
         rows = found.where("status = 'extracted'").select(F.col("path").alias("ord"), "title", "text", "metadata")
         done = self.ingest_rows(rows)
-        return found.select(F.col("path").alias("ord"), F.when(F.col("status") == "failed", "failed").alias("_f"), "error").join(done, "ord", "left").select("ord", "slug", F.coalesce("_f", "status").alias("status"), "error")
+        return found.select(
+            F.col("path").alias("ord"),
+            F.when(F.col("status") == "failed", "failed").alias("_f"),
+            "error",
+        ).join(done, "ord", "left").select("ord", "slug", F.coalesce("_f", "status").alias("status"), "error")
 
     def ingest_text(self, text: str, title: str | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
         row = (uuid.uuid4().hex, title, text, metadata or {})
@@ -109,18 +122,36 @@ class Engine:
         try:
             kind, body = self.fetch(url)
         except Exception as e:  # noqa: BLE001  a page that can't be fetched is a failed row
-            return self.spark.createDataFrame([(url, None, "failed", f"{type(e).__name__}: {e}")], "ord string, slug string, status string, error string")
+            return self.spark.createDataFrame(
+                [(url, None, "failed", f"{type(e).__name__}: {e}")],
+                "ord string, slug string, status string, error string",
+            )
         kinds = {"application/pdf": "pdf", "text/html": "html", "application/xhtml+xml": "html"}
         extension = kinds.get(kind.partition(";")[0].strip().lower(), "txt" if kind.startswith("text/") else None)
         if extension is None:
-            return self.spark.createDataFrame([(url, None, "failed", f"unsupported content type: {kind}")], "ord string, slug string, status string, error string")
+            return self.spark.createDataFrame(
+                [(url, None, "failed", f"unsupported content type: {kind}")],
+                "ord string, slug string, status string, error string",
+            )
         page = self.spark.createDataFrame([(f"{url}#.{extension}", bytearray(body))], "path string, content binary")
         found = files.extract(page).withColumn("path", F.lit(url))
         if extension == "html":
             more = html.page_metadata(F.col("_raw"))
             raw = self.spark.createDataFrame([(bytes(body).decode("utf-8", "replace"),)], "_raw string")
             found = found.crossJoin(F.broadcast(raw)).withColumn("_m", more)  # one row each
-            described = F.map_filter(F.create_map(F.lit("source"), F.lit(url), F.lit("description"), F.col("_m.description"), F.lit("canonical_url"), F.col("_m.canonical_url"), F.lit("created"), F.col("_m.publish_date")), lambda _, v: v.isNotNull())
+            described = F.map_filter(
+                F.create_map(
+                    F.lit("source"),
+                    F.lit(url),
+                    F.lit("description"),
+                    F.col("_m.description"),
+                    F.lit("canonical_url"),
+                    F.col("_m.canonical_url"),
+                    F.lit("created"),
+                    F.col("_m.publish_date"),
+                ),
+                lambda _, v: v.isNotNull(),
+            )
             found = found.withColumn("metadata", described).drop("_raw", "_m")
         return self._extracted(materialise(found, "page"))
 
@@ -140,7 +171,10 @@ class Engine:
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         results = materialise(results, "results")
         given = results.where("slug IS NOT NULL").select("ord", "slug").join(rows.select("ord", "metadata"), "ord").select("slug", "metadata")
-        documents = documents.join(given, "slug", "left").withColumn("created", F.coalesce(F.try_element_at("metadata", F.lit("created")), now)).withColumn("updated", now)
+        documents = documents.join(given, "slug", "left").withColumn(
+            "created",
+            F.coalesce(F.try_element_at("metadata", F.lit("created")), now),
+        ).withColumn("updated", now)
         documents = materialise(documents, "documents")
         first = results.where("status <> 'duplicate'").select("ord", "slug")
         hashed = rows.select("ord", T.content_hash(F.col("text")).alias("content_hash")).join(first, "ord").select("content_hash", "slug")
@@ -174,7 +208,10 @@ class Engine:
         old = self.table("documents").join(changed.select("slug", F.col("body").alias("_body")), "slug")
         fresh = old.withColumn("text", F.coalesce("_body", F.lit(""))).withColumn("existing_categories", F.col("categories"))
         fresh = ingest.describe(fresh.drop("body", "_body", "fingerprint", "concepts", "summary", "categories"), self.taxonomy, self.summarise)
-        fresh = fresh.withColumn("word_count", T.word_count(F.col("text"))).withColumnRenamed("text", "body").withColumn("updated", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        fresh = fresh.withColumn("word_count", T.word_count(F.col("text"))).withColumnRenamed("text", "body").withColumn(
+            "updated",
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        )
         fresh = materialise(fresh, "updated")
         hashed = fresh.select(T.content_hash(F.col("body")).alias("content_hash"), "slug")
         vectors = self.table("vectors")
@@ -205,7 +242,10 @@ class Engine:
         if not diff.isEmpty():
             touched = materialise(docs.join(diff.select("slug"), "slug", "left_semi"), "reindexed")
             hashes, vectors = self.table("hashes"), self.table("vectors")
-            same = {name: materialise(t.join(diff.select("slug"), "slug", "left_semi"), name) for name, t in (("hashes", hashes), ("vectors", vectors)) if t is not None}
+            same = {
+                name: materialise(t.join(diff.select("slug"), "slug", "left_semi"), name) for name,
+                t in (("hashes", hashes), ("vectors", vectors)) if t is not None
+            }
             self.tables.commit(append={**same, "documents": touched, **{k: v for k, v in self._derived(touched).items()}}, gone=diff.select("slug"))
         return diff
 
@@ -223,7 +263,10 @@ class Engine:
         if not self.tables.has("documents"):
             return retrieve.nothing(self.spark)
         k = store.bounded_k(k, self.config.max_results)
-        found = materialise(retrieve.retrieve(questions, self.table("documents"), self.table("links"), self._ranked(questions, k, vectors), k, self.weights), "answers")
+        found = materialise(
+            retrieve.retrieve(questions, self.table("documents"), self.table("links"), self._ranked(questions, k, vectors), k, self.weights),
+            "answers",
+        )
         if self.config.feedback:
             self._logged(questions, found, session)
         return found
@@ -231,7 +274,10 @@ class Engine:
     def _ranked(self, questions: DataFrame, k: int, vectors: DataFrame | None) -> DataFrame:
         near, known = None, self.table("vectors") if self.config.embeddings else None
         if known is not None and vectors is None and self.embed is not None:
-            vectors = self.embed(questions.select("query_id", F.col("question").alias("text")), "query_id").select("query_id", F.col("embedding").alias("query"))
+            vectors = self.embed(
+                questions.select("query_id", F.col("question").alias("text")),
+                "query_id",
+            ).select("query_id", F.col("embedding").alias("query"))
         if known is not None and vectors is not None:
             numbers = materialise(known.withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
             near = rank.cosine(vectors, numbers.select("vec_id", "embedding"), k).join(numbers.select("vec_id", "slug"), "vec_id").where("score > 0").select("query_id", "slug", "score")
@@ -254,7 +300,11 @@ class Engine:
         """Search with the words around the hits."""
         hits = materialise(self.search(text, k=k).select("slug", "score"), "hits")
         terms = F.array(*[F.lit(t) for t in self._terms(text)]) if self._terms(text) else F.array().cast("array<string>")
-        return self.table("documents").join(F.broadcast(hits), "slug").select("slug", "score", T.snippet(F.col("body"), terms).alias("snippet"))  # k rows
+        return self.table("documents").join(F.broadcast(hits), "slug").select(
+            "slug",
+            "score",
+            T.snippet(F.col("body"), terms).alias("snippet"),
+        )  # k rows
 
     def _terms(self, text: str) -> list[str]:
         row = self.spark.createDataFrame([(text,)], "q string")
@@ -277,7 +327,10 @@ class Engine:
 
     def _logged(self, questions: DataFrame, found: DataFrame, session: str) -> None:
         reads = retrieve.bytes_read(found)
-        sources = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source", "slug"))), lambda x: x["source"]).alias("result_sources"))  # k rows each
+        sources = found.groupBy("query_id").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "source", "slug"))),
+            lambda x: x["source"],
+        ).alias("result_sources"))  # k rows each
         text = T.query_hash(F.col("question")) if self.config.feedback_anonymize else F.col("question")
         none = F.array().cast("array<string>")
         log = questions.join(reads, "query_id", "left").join(sources, "query_id", "left").select(
@@ -308,7 +361,13 @@ class Engine:
 
     def record_feedback(self, query_id: int, score: float) -> None:
         """A reader's own score of a query; the latest word on it stands."""
-        row = self.spark.range(1).select(F.lit(query_id).cast("long").alias("query_id"), F.lit(float(score)).alias("score"), F.lit("explicit").alias("signal_type"), F.current_timestamp().alias("at"), F.lit(query_id).cast("long").alias("by_query_id"))
+        row = self.spark.range(1).select(
+            F.lit(query_id).cast("long").alias("query_id"),
+            F.lit(float(score)).alias("score"),
+            F.lit("explicit").alias("signal_type"),
+            F.current_timestamp().alias("at"),
+            F.lit(query_id).cast("long").alias("by_query_id"),
+        )
         self.tables.commit(append={"feedback": row})
 
     def log(self) -> DataFrame | None:
@@ -341,7 +400,11 @@ class Engine:
 
     def stats(self) -> DataFrame:
         docs = self.table("documents")
-        return docs.agg(F.count(F.lit(1)).alias("documents"), F.size(F.array_distinct(F.flatten(F.collect_set("categories")))).alias("categories"), F.sum(F.octet_length("body")).alias("bytes"))
+        return docs.agg(
+            F.count(F.lit(1)).alias("documents"),
+            F.size(F.array_distinct(F.flatten(F.collect_set("categories")))).alias("categories"),
+            F.sum(F.octet_length("body")).alias("bytes"),
+        )
 
     # -- control plane
 

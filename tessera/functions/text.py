@@ -18,7 +18,16 @@ SPACE = r"(?U)\s+"
 TOKEN = r"[a-z][a-z0-9\-]*[a-z0-9]|[a-z]"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z])"
 #: Phrases that ask for metadata rather than content (fixed values).
-STRUCTURED = (r"\bwhich files?\b", r"\bhow many\b", r"\blist all\b", r"\bwhat categor", r"\bwhat type", r"\bcount\b", r"\bshow all\b", r"\bwhat are the\b")
+STRUCTURED = (
+    r"\bwhich files?\b",
+    r"\bhow many\b",
+    r"\blist all\b",
+    r"\bwhat categor",
+    r"\bwhat type",
+    r"\bcount\b",
+    r"\bshow all\b",
+    r"\bwhat are the\b",
+)
 
 #: Latin letters with marks, and the letters below the marks.
 _MARKED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
@@ -113,7 +122,10 @@ def static_idf(token: Column, stop: tuple[str, ...] = STOP_WORDS, common: tuple[
 def _cut_at_hyphen(slug: Column, most: int) -> Column:
     head = F.substring(slug, 1, most)
     tail = F.locate("-", F.reverse(head))
-    return F.when(F.length(slug) <= most, slug).otherwise(F.when((tail > 0) & (F.lit(most) - tail > 0), F.substring(head, F.lit(1), F.lit(most) - tail)).otherwise(head))
+    return F.when(F.length(slug) <= most, slug).otherwise(F.when(
+        (tail > 0) & (F.lit(most) - tail > 0),
+        F.substring(head, F.lit(1), F.lit(most) - tail),
+    ).otherwise(head))
 
 
 def slug(title: Column) -> Column:
@@ -162,12 +174,42 @@ def first_words(t: Column, n: int) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.1f KB", F.bround(n / 1024.0, 1))).otherwise(F.format_string("%.1f MB", F.bround(n / float(1 << 20), 1)))
+    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(
+        n < 1 << 20,
+        F.format_string("%.1f KB", F.bround(n / 1024.0, 1)),
+    ).otherwise(F.format_string("%.1f MB", F.bround(n / float(1 << 20), 1)))
 
 
 def language_of(path: Column) -> Column:
     """Source language by extension."""
-    names = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "bash", "sql": "sql", "r": "r", "html": "html", "css": "css", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "xml": "xml"}
+    names = {
+        "py": "python",
+        "js": "javascript",
+        "ts": "typescript",
+        "java": "java",
+        "go": "go",
+        "rs": "rust",
+        "rb": "ruby",
+        "c": "c",
+        "h": "c",
+        "cpp": "cpp",
+        "cs": "csharp",
+        "php": "php",
+        "swift": "swift",
+        "kt": "kotlin",
+        "scala": "scala",
+        "sh": "bash",
+        "sql": "sql",
+        "r": "r",
+        "html": "html",
+        "css": "css",
+        "json": "json",
+        "yaml": "yaml",
+        "yml": "yaml",
+        "toml": "toml",
+        "md": "markdown",
+        "xml": "xml",
+    }
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("text"))
 
@@ -196,5 +238,8 @@ def parse_keywords(answer: Column, least: int = 5, most: int = 10) -> Column:
     """Keywords of a language model's answer: a JSON list, fenced or not,
     lower-cased, distinct; null if there are fewer than ``least``."""
     plain = strip(F.regexp_replace(answer, r"^\s*```[a-z]*|```\s*$", ""))
-    found = F.array_distinct(F.filter(F.transform(F.from_json(plain, "array<string>"), lambda x: strip(F.lower(x))), lambda x: x.isNotNull() & (x != "")))
+    found = F.array_distinct(F.filter(
+        F.transform(F.from_json(plain, "array<string>"), lambda x: strip(F.lower(x))),
+        lambda x: x.isNotNull() & (x != ""),
+    ))
     return F.when(F.size(found) >= least, F.slice(found, 1, most))

@@ -38,7 +38,11 @@ def verify(requests: DataFrame, keys: DataFrame) -> DataFrame:
 
     known = keys.where("NOT revoked").select("tenant_id", "key_hash", "read_only")
     both = requests.withColumn("key_hash", F.sha2("secret", 256)).join(known, "key_hash", "left")
-    return both.select("request_id", "tenant_id", (F.col("read_only").isNotNull() & F.coalesce(permitted(F.col("method"), F.col("read_only")), F.lit(False))).alias("allowed"))
+    return both.select(
+        "request_id",
+        "tenant_id",
+        (F.col("read_only").isNotNull() & F.coalesce(permitted(F.col("method"), F.col("read_only")), F.lit(False))).alias("allowed"),
+    )
 
 
 @F.pandas_udf(StringType())
@@ -61,7 +65,10 @@ def deliveries(events: DataFrame, webhooks: DataFrame, sign: bool = True) -> Dat
 def due(attempts: DataFrame) -> DataFrame:
     """Failed attempts (id, attempt, failed_at) that are tried again, and when."""
     waits = F.array(*[F.lit(s) for s in ATTEMPTS])
-    return attempts.where(F.col("attempt") < len(ATTEMPTS)).withColumn("next_at", F.timestamp_seconds(F.unix_timestamp("failed_at") + F.get(waits, F.col("attempt"))))
+    return attempts.where(F.col("attempt") < len(ATTEMPTS)).withColumn(
+        "next_at",
+        F.timestamp_seconds(F.unix_timestamp("failed_at") + F.get(waits, F.col("attempt"))),
+    )
 
 
 def put_field(fields: DataFrame, new: DataFrame) -> DataFrame:

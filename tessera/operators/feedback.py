@@ -20,7 +20,11 @@ MEMORY = 20
 
 
 def statistics(log: DataFrame) -> DataFrame:
-    return log.agg(F.count(F.lit(1)).alias("total"), F.count("feedback_score").alias("with_feedback"), F.round(F.avg("feedback_score"), 6).alias("avg_score"))
+    return log.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count("feedback_score").alias("with_feedback"),
+        F.round(F.avg("feedback_score"), 6).alias("avg_score"),
+    )
 
 
 def win_rates(log: DataFrame, least: float = 0.7) -> DataFrame:
@@ -48,7 +52,14 @@ def signals(log: DataFrame, scale: int = 1, memory: int = MEMORY) -> DataFrame:
         F.array_distinct(T.tokenize_query(F.col("question"))).alias("kw"),
     )
     rows = number_within(rows, "session", ["ts", "query_id"], "n")
-    prev = rows.select("session", F.col("query_id").alias("p_id"), F.col("ts").alias("p_ts"), F.col("h").alias("p_h"), F.col("kw").alias("p_kw"), F.col("n").alias("p_n"))
+    prev = rows.select(
+        "session",
+        F.col("query_id").alias("p_id"),
+        F.col("ts").alias("p_ts"),
+        F.col("h").alias("p_h"),
+        F.col("kw").alias("p_kw"),
+        F.col("n").alias("p_n"),
+    )
     wide = rows.withColumn("p_n", F.explode(F.sequence(F.col("n") - 1, F.col("n") - memory, F.lit(-1)))).where("p_n >= 1")
     both = wide.join(prev, ["session", "p_n"])
     gap = F.col("ts").cast("timestamp").cast("double") - F.col("p_ts").cast("timestamp").cast("double")
@@ -62,12 +73,21 @@ def signals(log: DataFrame, scale: int = 1, memory: int = MEMORY) -> DataFrame:
     found = both.withColumn("signal_type", kind).where("signal_type IS NOT NULL")
     latest = found.groupBy("session", "query_id", "ts").agg(F.max_by(F.struct("p_id", "signal_type"), "p_n").alias("s"))
     score = F.when(F.col("s.signal_type") == "repeat_query", REPEAT[0]).when(F.col("s.signal_type") == "refinement", REFINEMENT[0]).otherwise(TOPIC_SWITCH[0])
-    return latest.select(F.col("s.p_id").alias("query_id"), F.col("query_id").alias("by_query_id"), score.alias("score"), F.col("s.signal_type").alias("signal_type"), F.col("ts").alias("feedback_at"))
+    return latest.select(
+        F.col("s.p_id").alias("query_id"),
+        F.col("query_id").alias("by_query_id"),
+        score.alias("score"),
+        F.col("s.signal_type").alias("signal_type"),
+        F.col("ts").alias("feedback_at"),
+    )
 
 
 def apply_signals(log: DataFrame, found: DataFrame) -> DataFrame:
     """The latest signal on a query overwrites its score."""
-    last = found.groupBy("query_id").agg(F.max_by(F.struct("score", "signal_type", "feedback_at"), F.struct("feedback_at", "by_query_id")).alias("_s"))
+    last = found.groupBy("query_id").agg(F.max_by(
+        F.struct("score", "signal_type", "feedback_at"),
+        F.struct("feedback_at", "by_query_id"),
+    ).alias("_s"))
     return log.join(last, "query_id", "left").withColumn("feedback_score", F.coalesce("_s.score", "feedback_score")).withColumn("signal_type", F.coalesce("_s.signal_type", "signal_type")).drop("_s")
 
 
@@ -94,7 +114,10 @@ def tune(rates: DataFrame, previous: dict[str, float] | None = None, base: dict[
 
 
 def tuning_gate(log: DataFrame, least: int = 50, score: float = 0.7) -> DataFrame:
-    return log.agg(F.count_if(F.col("feedback_score") >= score).alias("data_points"), (F.count_if(F.col("feedback_score") >= score) >= least).alias("enough"))
+    return log.agg(
+        F.count_if(F.col("feedback_score") >= score).alias("data_points"),
+        (F.count_if(F.col("feedback_score") >= score) >= least).alias("enough"),
+    )
 
 
 def rate_limit(calls: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:

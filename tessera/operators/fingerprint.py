@@ -52,7 +52,10 @@ def frequencies(text: Column, stop=STOP_WORDS) -> Column:
     def with_tf(rows: Column) -> Column:
         return let(
             F.array_max(F.transform(rows, lambda r: r["n"])),
-            lambda most: F.transform(rows, lambda r: F.struct(r["token"].alias("token"), r["n"].alias("n"), r["first"].alias("first"), (0.5 + 0.5 * r["n"] / most).alias("tf"))),
+            lambda most: F.transform(
+                rows,
+                lambda r: F.struct(r["token"].alias("token"), r["n"].alias("n"), r["first"].alias("first"), (0.5 + 0.5 * r["n"] / most).alias("tf")),
+            ),
         )
 
     return let(found, with_tf)
@@ -70,7 +73,11 @@ def keyword_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS, com
     entry = lambda token, kind, pos: F.struct(token.alias("token"), F.lit(kind).alias("kind"), pos.cast("int").alias("pos"))
     marked = lambda kind: lambda x: entry(x, kind, F.lit(0))
     of_kind = lambda kind: lambda x: x["kind"] == kind
-    where = [T.tokenize(F.coalesce(title, F.lit("")), stop), T.tokenize(T.first_paragraph(text), stop), T.tokenize(F.array_join(T.headings(text), "\n"), stop)]
+    where = [
+        T.tokenize(F.coalesce(title, F.lit("")), stop),
+        T.tokenize(T.first_paragraph(text), stop),
+        T.tokenize(F.array_join(T.headings(text), "\n"), stop),
+    ]
     everything = F.concat(
         F.transform(T.tokenize(text, stop), lambda x, i: entry(x, 0, i)),
         *[F.transform(F.array_distinct(w), marked(kind + 1)) for kind, w in enumerate(where)],
@@ -113,7 +120,10 @@ def keywords(docs: DataFrame, k: int = 10, stop=STOP_WORDS, common=COMMON_WORDS)
 def category_array(tokens: Column, taxonomy=None, k: int = 5) -> Column:
     """category, score by a document's keywords: 1 for an exact taxonomy word, 0.5
     for one that contains or is contained; scores of 1 or more."""
-    table = F.array(*[F.struct(F.lit(c).alias("category"), F.array(*[F.lit(w) for w in ws]).alias("words")) for c, ws in (taxonomy or TAXONOMY).items()])
+    table = F.array(*[
+        F.struct(F.lit(c).alias("category"), F.array(*[F.lit(w) for w in ws]).alias("words")) for c,
+        ws in (taxonomy or TAXONOMY).items()
+    ])
     hit = lambda token, w: F.when(token == w, 1.0).when(token.contains(w) | w.contains(token), 0.5).otherwise(0.0)
     total = lambda words, token: F.aggregate(words, F.lit(0.0), lambda s, w: s + hit(token, w))
 
@@ -145,7 +155,13 @@ def synopsis(text: Column, title: Column, most: int = 200, stop=STOP_WORDS) -> C
 
     def of(p: Column) -> Column:
         flat = T.strip(F.regexp_replace(p, T.SPACE, " "))
-        scored = let(own, lambda tokens: F.transform(T.sentences(T.first_words(p, 500)), lambda s, i: F.struct(T.sentence_score(s, i, tokens, stop).alias("score"), (-i).alias("at"), s.alias("s"))))
+        scored = let(
+            own,
+            lambda tokens: F.transform(
+                T.sentences(T.first_words(p, 500)),
+                lambda s, i: F.struct(T.sentence_score(s, i, tokens, stop).alias("score"), (-i).alias("at"), s.alias("s")),
+            ),
+        )
         best = F.array_max(scored)["s"]
         return F.when(T.word_count(p) < 50, T.truncate(flat, most)).otherwise(T.truncate(F.coalesce(best, flat), most))
 
@@ -164,7 +180,11 @@ def bigram_array(text: Column, stop=STOP_WORDS) -> Column:
 
 def bigrams(docs: DataFrame, stop=STOP_WORDS) -> DataFrame:
     """(slug, bigram, n) of adjacent tokens."""
-    return docs.select("slug", F.explode(bigram_array(F.col("text"), stop)).alias("r")).select("slug", F.col("r.value").alias("bigram"), F.col("r.n").cast("long").alias("n"))
+    return docs.select("slug", F.explode(bigram_array(F.col("text"), stop)).alias("r")).select(
+        "slug",
+        F.col("r.value").alias("bigram"),
+        F.col("r.n").cast("long").alias("n"),
+    )
 
 
 def concept_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS) -> Column:
@@ -183,11 +203,17 @@ def concept_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS) ->
 
     def of_heading(h: Column) -> Column:
         ws = T.words(h)
-        windows = lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: said(F.array_join(F.slice(ws, i, F.lit(n)), " "), F.lit(LONG_HEADING)))
+        windows = lambda n: F.transform(
+            F.sequence(F.lit(1), F.size(ws) - n + 1),
+            lambda i: said(F.array_join(F.slice(ws, i, F.lit(n)), " "), F.lit(LONG_HEADING)),
+        )
         return F.when(h == "", none).when(F.size(ws) <= 3, F.array(said(h, F.lit(SHORT_HEADING)))).otherwise(F.concat(windows(3), windows(2)))
 
     headed = F.flatten(F.transform(F.transform(T.headings(text), plain), of_heading))
-    phrases = F.transform(F.regexp_extract_all(text, F.lit(EMPHASISED), F.lit(0)), lambda m: T.strip(F.regexp_replace(m, r"^[*_]{1,3}|[*_]{1,3}$", "")))
+    phrases = F.transform(
+        F.regexp_extract_all(text, F.lit(EMPHASISED), F.lit(0)),
+        lambda m: T.strip(F.regexp_replace(m, r"^[*_]{1,3}|[*_]{1,3}$", "")),
+    )
     bold = F.filter(phrases, lambda p: T.word_count(p).between(1, 3) & (F.length(p) <= 50))
     pairs = F.filter(bigram_array(text, stop), lambda r: r["n"] >= 2)
     titled = F.filter(F.array(plain(F.coalesce(title, F.lit("")))), lambda t: T.word_count(t).between(1, 3))
@@ -201,9 +227,15 @@ def concept_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS) ->
     added = runs(
         F.sort_array(everything),
         lambda x, y: x["concept"] == y["concept"],
-        lambda a, lo, hi: F.struct((-F.aggregate(F.slice(a, lo + 1, hi - lo), F.lit(0.0), lambda s, x: s + x["w"])).alias("minus"), F.get(a, lo)["concept"].alias("concept")),
+        lambda a, lo, hi: F.struct(
+            (-F.aggregate(F.slice(a, lo + 1, hi - lo), F.lit(0.0), lambda s, x: s + x["w"])).alias("minus"),
+            F.get(a, lo)["concept"].alias("concept"),
+        ),
+    )
+    kept = F.filter(
+        added,
+        lambda r: (F.length(r["concept"]) > 1) & ~F.regexp_replace(r["concept"], "[ -]", "").rlike("^[0-9]+$") & ~F.lower(r["concept"]).isin(*stop),
     )
-    kept = F.filter(added, lambda r: (F.length(r["concept"]) > 1) & ~F.regexp_replace(r["concept"], "[ -]", "").rlike("^[0-9]+$") & ~F.lower(r["concept"]).isin(*stop))
     return F.transform(F.slice(F.sort_array(kept), 1, k), lambda r: F.struct(r["concept"].alias("concept"), (-r["minus"]).alias("score")))
 
 

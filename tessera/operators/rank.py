@@ -63,7 +63,10 @@ def tier0(questions: DataFrame, weights: DataFrame, id_: str = "slug", k: int =
     if "bucket" in weights.columns:
         asked = with_bucket(asked, "token")
     asked = small(materialise(asked, "asked-tokens"))
-    found = weights.join(asked, ["bucket", "token"] if "bucket" in weights.columns else "token").groupBy("query_id", id_).agg(F.sum(F.col("n") * F.col("weight")).alias("score")).where("score > 0")
+    found = weights.join(
+        asked,
+        ["bucket", "token"] if "bucket" in weights.columns else "token",
+    ).groupBy("query_id", id_).agg(F.sum(F.col("n") * F.col("weight")).alias("score")).where("score > 0")
     return top_k(found, k, ["query_id"], [F.desc("score"), F.col(id_)])
 
 
@@ -81,7 +84,10 @@ def _blocks(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
                 rows = [np.asarray(x, np.float64) for x in part.column(1).to_pylist()]
                 unit = [x / n if (n := np.sqrt(x @ x)) else x for x in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.concatenate(unit).tobytes()], pa.binary())], names=["ids", "rows"]
+                    [
+                        pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
+                        pa.array([np.concatenate(unit).tobytes()], pa.binary()),
+                    ], names=["ids", "rows"]
                 )
 
     known = vectors.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long"), vector)
@@ -130,4 +136,9 @@ def fuse(ranked: DataFrame, weights: dict[str, float] | None = None, k: int = 10
 def embedding_gate(questions: DataFrame, full_text: DataFrame, least: float = 5.0, hits: int = 3) -> DataFrame:
     """Which questions also need vectors: weak or few full-text hits."""
     best = full_text.groupBy("query_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n_hits"))
-    return questions.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), (F.coalesce("best", F.lit(0.0)).__lt__(least) | (F.coalesce("n_hits", F.lit(0)) < hits)).alias("use_embeddings"))
+    return questions.select("query_id").join(best, "query_id", "left").select(
+        "query_id",
+        F.coalesce("best", F.lit(0.0)).alias("best"),
+        F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
+        (F.coalesce("best", F.lit(0.0)).__lt__(least) | (F.coalesce("n_hits", F.lit(0)) < hits)).alias("use_embeddings"),
+    )

@@ -15,9 +15,18 @@ def _level_sections(text: Column, level: int) -> Column:
     """Sections at headings of exactly one level; the first is the preamble."""
     mark = "#" * level
     parts = F.split(text, rf"(?dm)(?=^{mark}\s+.+$)")
-    first = F.array(F.struct(F.lit("").alias("heading"), F.when(F.get(parts, 0).rlike(rf"^{mark}\s+.+"), "").otherwise(T.strip(F.get(parts, 0))).alias("body")))
+    first = F.array(F.struct(
+        F.lit("").alias("heading"),
+        F.when(F.get(parts, 0).rlike(rf"^{mark}\s+.+"), "").otherwise(T.strip(F.get(parts, 0))).alias("body"),
+    ))
     headed = F.filter(parts, lambda p: p.rlike(rf"^{mark}\s+[^\n]+"))
-    made = F.transform(headed, lambda p: F.struct(T.strip(F.substring_index(p, "\n", 1)).alias("heading"), T.strip(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 1, F.length(p))).alias("body")))
+    made = F.transform(
+        headed,
+        lambda p: F.struct(
+            T.strip(F.substring_index(p, "\n", 1)).alias("heading"),
+            T.strip(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 1, F.length(p))).alias("body"),
+        ),
+    )
     return F.concat(first, made).cast(f"array<{SECTION}>")
 
 
@@ -53,7 +62,10 @@ def merge_short(sections: Column, least: int = 50) -> Column:
         body = F.when(c.isNull(), s["body"]).otherwise(T.strip(_joined(c["heading"], c["body"], s["body"])))
         now = F.struct(s["heading"].alias("heading"), body.alias("body"))
         short = T.word_count(F.concat_ws(" ", s["heading"], body)) < least
-        return F.struct(F.when(short, acc["done"]).otherwise(F.concat(acc["done"], F.array(now))).alias("done"), F.when(short, now).otherwise(none).alias("carry"))
+        return F.struct(
+            F.when(short, acc["done"]).otherwise(F.concat(acc["done"], F.array(now))).alias("done"),
+            F.when(short, now).otherwise(none).alias("carry"),
+        )
 
     def finish(acc: Column) -> Column:
         done, c = acc["done"], acc["carry"]
@@ -68,7 +80,10 @@ def sections(docs: DataFrame, threshold: int = 2000, least: int = 50) -> DataFra
     """``docs`` (slug, text) plus strategy (h2, h3, paragraphs, single), preamble
     and merged sections; texts up to ``threshold`` words are single."""
     h2, h3 = _level_sections(F.col("text"), 2), _level_sections(F.col("text"), 3)
-    packed = F.transform(pack_paragraphs(F.col("text"), threshold), lambda p: F.struct(F.lit("").alias("heading"), p.alias("body"))).cast(f"array<{SECTION}>")
+    packed = F.transform(
+        pack_paragraphs(F.col("text"), threshold),
+        lambda p: F.struct(F.lit("").alias("heading"), p.alias("body")),
+    ).cast(f"array<{SECTION}>")
     rows = docs.withColumn("_h2", h2).withColumn("_h3", h3).withColumn("_p", packed)
     strategy = F.when(T.word_count(F.col("text")) <= threshold, "single").when(F.size("_h2") > 2, "h2").when(F.size("_h3") > 2, "h3").when(F.size("_p") > 1, "paragraphs").otherwise("single")
     rows = rows.withColumn("strategy", strategy)
@@ -86,10 +101,23 @@ def split(docs: DataFrame, threshold: int = 2000, least: int = 50) -> tuple[Data
     rows = sections(docs, threshold, least).where("strategy <> 'single'")
     each = rows.select("slug", "preamble", F.posexplode("sections").alias("i", "s"))
     own = T.heading_slug(F.col("s.heading"))
-    child = F.when((F.col("s.heading") != "") & (own != ""), F.concat_ws("-", "slug", own)).otherwise(F.concat(F.col("slug"), F.lit("-section-"), F.col("i")))
+    child = F.when(
+        (F.col("s.heading") != "") & (own != ""),
+        F.concat_ws("-", "slug", own),
+    ).otherwise(F.concat(F.col("slug"), F.lit("-section-"), F.col("i")))
     line = F.substring(T.strip(F.substring_index("s.body", "\n", 1)), 1, 60)
-    title = F.when(F.col("s.heading") != "", T.strip(F.regexp_replace("s.heading", r"^#+\s*", ""))).when(line != "", line).otherwise(F.concat(F.lit("Section "), F.col("i") + 1))
-    each = each.select(F.col("slug").alias("parent"), "preamble", F.col("i").alias("section_index"), child.alias("base"), title.alias("title"), _joined(F.col("s.heading"), F.col("s.body")).alias("body"))
+    title = F.when(
+        F.col("s.heading") != "",
+        T.strip(F.regexp_replace("s.heading", r"^#+\s*", "")),
+    ).when(line != "", line).otherwise(F.concat(F.lit("Section "), F.col("i") + 1))
+    each = each.select(
+        F.col("slug").alias("parent"),
+        "preamble",
+        F.col("i").alias("section_index"),
+        child.alias("base"),
+        title.alias("title"),
+        _joined(F.col("s.heading"), F.col("s.body")).alias("body"),
+    )
     # a document's sections are as many as its headings
     twin = F.row_number().over(Window.partitionBy("parent", "base").orderBy("section_index"))
     each = each.withColumn("slug", F.when(twin == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), twin)))
@@ -98,5 +126,13 @@ def split(docs: DataFrame, threshold: int = 2000, least: int = 50) -> tuple[Data
     each = each.withColumn("synopsis", fingerprint.synopsis(F.col("body"), F.col("title"), 150))
     listed = each.groupBy("parent", "preamble").agg(F.array_sort(F.collect_list(F.struct("section_index", "slug", "title", "synopsis"))).alias("m"))
     links = F.array_join(F.transform("m", lambda x: F.concat(F.lit("- [["), x["slug"], F.lit("]]"))), "\n")
-    parents = listed.select(F.col("parent").alias("slug"), T.strip(_joined(F.col("preamble"), F.lit("## Sections\n"), links)).alias("body"), F.transform("m", lambda x: x["slug"]).alias("children"), F.transform("m", lambda x: F.struct(x["slug"].alias("slug"), x["title"].alias("title"), x["synopsis"].alias("synopsis"))).alias("section_map"))
+    parents = listed.select(
+        F.col("parent").alias("slug"),
+        T.strip(_joined(F.col("preamble"), F.lit("## Sections\n"), links)).alias("body"),
+        F.transform("m", lambda x: x["slug"]).alias("children"),
+        F.transform(
+            "m",
+            lambda x: F.struct(x["slug"].alias("slug"), x["title"].alias("title"), x["synopsis"].alias("synopsis")),
+        ).alias("section_map"),
+    )
     return parents, children

@@ -33,7 +33,10 @@ def number_slugs(titles: DataFrame, existing: DataFrame | None = None, order: st
     rows = number_within(titles.withColumn("_base", T.slug(F.col("title"))), "_base", [order], "_place")
     n = F.col("_place")
     if existing is not None:
-        taken = existing.select(F.regexp_replace("slug", r"-[0-9]+$", "").alias("_base"), F.coalesce(F.expr("try_cast(regexp_extract(slug, '-([0-9]+)$', 1) AS int)"), F.lit(1)).alias("_k")).groupBy("_base").agg(F.max("_k").alias("_taken"))
+        taken = existing.select(
+            F.regexp_replace("slug", r"-[0-9]+$", "").alias("_base"),
+            F.coalesce(F.expr("try_cast(regexp_extract(slug, '-([0-9]+)$', 1) AS int)"), F.lit(1)).alias("_k"),
+        ).groupBy("_base").agg(F.max("_k").alias("_taken"))
         rows = rows.join(taken, "_base", "left")
         n = n + F.coalesce("_taken", F.lit(0))
     return rows.withColumn("slug", F.when(n == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), n))).drop("_base", "_taken", "_place")

@@ -30,7 +30,13 @@ def describe(docs: DataFrame, taxonomy=None, summarise=fingerprint.synopsis) ->
     return out.drop("existing_categories")
 
 
-def ingest(extracted: DataFrame, threshold: int = 2000, existing: DataFrame | None = None, taxonomy=None, summarise=fingerprint.synopsis) -> tuple[DataFrame, DataFrame]:
+def ingest(
+    extracted: DataFrame,
+    threshold: int = 2000,
+    existing: DataFrame | None = None,
+    taxonomy=None,
+    summarise=fingerprint.synopsis,
+) -> tuple[DataFrame, DataFrame]:
     """(documents, results) of rows (ord, title, text): duplicates, slugs, split
     sections, fingerprints.  results: ord, slug, status; a duplicate has the slug
     of the document that it repeats."""
@@ -42,12 +48,27 @@ def ingest(extracted: DataFrame, threshold: int = 2000, existing: DataFrame | No
     whole = fresh.join(parents.select("slug", F.col("body").alias("_body"), "children", "section_map"), "slug", "left")
     empty = F.array().cast("array<string>")
     maps = F.array().cast("array<struct<slug:string,title:string,synopsis:string>>")
-    top = whole.select("slug", "title", F.coalesce("_body", "text").alias("text"), F.lit(None).cast("string").alias("parent"), F.coalesce("children", empty).alias("children"), F.coalesce("section_map", maps).alias("section_map"))
+    top = whole.select(
+        "slug",
+        "title",
+        F.coalesce("_body", "text").alias("text"),
+        F.lit(None).cast("string").alias("parent"),
+        F.coalesce("children", empty).alias("children"),
+        F.coalesce("section_map", maps).alias("section_map"),
+    )
     below = children.select("slug", "title", F.col("body").alias("text"), "parent", empty.alias("children"), maps.alias("section_map"))
     # the pieces are read by every part of the fingerprint
-    documents = describe(materialise(top.unionByName(below), "ingested"), taxonomy, summarise).withColumn("word_count", T.word_count(F.col("text"))).withColumnRenamed("text", "body")
+    documents = describe(
+        materialise(top.unionByName(below), "ingested"),
+        taxonomy,
+        summarise,
+    ).withColumn("word_count", T.word_count(F.col("text"))).withColumnRenamed("text", "body")
     slugs = fresh.select("ord", "slug").join(parents.select("slug", F.lit(True).alias("_split")), "slug", "left")
-    results = marked.join(slugs.withColumnRenamed("ord", "original"), "original", "left").select("ord", "slug", F.when(F.col("status") == "duplicate", "duplicate").when(F.col("_split"), "split").otherwise(F.col("status")).alias("status"))
+    results = marked.join(slugs.withColumnRenamed("ord", "original"), "original", "left").select(
+        "ord",
+        "slug",
+        F.when(F.col("status") == "duplicate", "duplicate").when(F.col("_split"), "split").otherwise(F.col("status")).alias("status"),
+    )
     return documents, results
 
 
@@ -57,6 +78,14 @@ def derive_indexes(documents: DataFrame) -> dict[str, DataFrame]:
 
     return tables_of(documents) | {
         "links": index.links(documents),
-        "entries": documents.select("slug", "title", "categories", "summary", "fingerprint", (F.size("children") > 0).alias("has_children"), "parent"),
+        "entries": documents.select(
+            "slug",
+            "title",
+            "categories",
+            "summary",
+            "fingerprint",
+            (F.size("children") > 0).alias("has_children"),
+            "parent",
+        ),
         "index_state": index.index_state(documents, "slug", "title", "body"),
     }

@@ -17,7 +17,14 @@ from ..operators import rank
 from .indexes import Index
 
 
-def ranked_sources(questions: DataFrame, tables: Index, k: int = 10, stemmed: bool = True, vectors: DataFrame | None = None, gate: float = 5.0) -> DataFrame:
+def ranked_sources(
+    questions: DataFrame,
+    tables: Index,
+    k: int = 10,
+    stemmed: bool = True,
+    vectors: DataFrame | None = None,
+    gate: float = 5.0,
+) -> DataFrame:
     """(query_id, source, slug, rank) of every retriever that answers.  ``vectors``
     are (query_id, slug, score) of the vector source, which questions with few
     full-text answers, or none of a score of ``gate``, have besides."""
@@ -25,7 +32,12 @@ def ranked_sources(questions: DataFrame, tables: Index, k: int = 10, stemmed: bo
     full_text = rank.bm25(questions, tables.postings, tables.stats(), "slug", k, stemmed)
     if vectors is not None:
         full_text = materialise(full_text, "full-text")
-    out = tier0.select("query_id", F.lit("master_index").alias("source"), "slug", "rank").unionByName(full_text.select("query_id", F.lit("fts5").alias("source"), "slug", "rank"))
+    out = tier0.select(
+        "query_id",
+        F.lit("master_index").alias("source"),
+        "slug",
+        "rank",
+    ).unionByName(full_text.select("query_id", F.lit("fts5").alias("source"), "slug", "rank"))
     if vectors is not None:
         gated = rank.embedding_gate(questions, full_text, least=gate).where("use_embeddings").select("query_id")
         near = rank.top_k(vectors.join(gated, "query_id", "left_semi"), k, ["query_id"], [F.desc("score"), F.col("slug")])
@@ -33,12 +45,23 @@ def ranked_sources(questions: DataFrame, tables: Index, k: int = 10, stemmed: bo
     return out
 
 
-def retrieve(questions: DataFrame, documents: DataFrame, links: DataFrame, ranked: DataFrame, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
+def retrieve(
+    questions: DataFrame,
+    documents: DataFrame,
+    links: DataFrame,
+    ranked: DataFrame,
+    k: int = 10,
+    weights: dict[str, float] | None = None,
+) -> DataFrame:
     """(query_id, rank, slug, title, snippet, score, tier, categories, source,
     n_bytes) of questions whose retrievers have given ``ranked``."""
     # k rows a question: what the rest of the program reads again and again
     fused = materialise(rank.fuse(ranked, weights, k), "fused")
-    asked = questions.select("query_id", F.array_distinct(T.tokenize_query(F.col("question"))).alias("kw"), T.classify(F.col("question")).alias("kind")).where(F.size("kw") > 0)  # no keywords, no answer
+    asked = questions.select(
+        "query_id",
+        F.array_distinct(T.tokenize_query(F.col("question"))).alias("kw"),
+        T.classify(F.col("question")).alias("kind"),
+    ).where(F.size("kw") > 0)  # no keywords, no answer
     rows = documents.join(small(fused), "slug").join(asked, "query_id")
 
     # what reading a document's header reads: its fields as text
@@ -46,7 +69,15 @@ def retrieve(questions: DataFrame, documents: DataFrame, links: DataFrame, ranke
     # tier 1: metadata of the first five
     first = rows.where("rank <= 5").withColumn("t1", F.col("score") + 2.0 * S.jaccard(F.col("kw"), F.transform("concepts", F.lower)))
     # tier 2: the best section of a split document, if it matches and exists
-    scored = F.transform("section_map", lambda s, i: F.struct(S.jaccard(F.col("kw"), T.tokenize_query(F.concat_ws(" ", s["title"], s["synopsis"]))).alias("score"), (-i).alias("at"), s["slug"].alias("slug"), s["title"].alias("title")))
+    scored = F.transform(
+        "section_map",
+        lambda s, i: F.struct(
+            S.jaccard(F.col("kw"), T.tokenize_query(F.concat_ws(" ", s["title"], s["synopsis"]))).alias("score"),
+            (-i).alias("at"),
+            s["slug"].alias("slug"),
+            s["title"].alias("title"),
+        ),
+    )
     first = first.withColumn("sec", F.array_max(scored))
     wanted = F.when((F.col("kind") == "semantic") & (F.col("sec.score") > 0), F.col("sec.slug"))
     first = materialise(first.withColumn("want", wanted), "first-five")
@@ -69,17 +100,48 @@ def retrieve(questions: DataFrame, documents: DataFrame, links: DataFrame, ranke
     )
     answered = materialise(answered, "answered")
     # tier 0: the rest, from the index entry alone, but for sections given already
-    rest = rows.where("rank > 5").select("query_id", "slug", "title", F.col("summary").alias("snippet"), (0.5 * F.col("score")).alias("score"), F.lit(0).alias("tier"), "categories", "source", F.col("score").alias("fused"), F.lit(0).alias("n_bytes"))
+    rest = rows.where("rank > 5").select(
+        "query_id",
+        "slug",
+        "title",
+        F.col("summary").alias("snippet"),
+        (0.5 * F.col("score")).alias("score"),
+        F.lit(0).alias("tier"),
+        "categories",
+        "source",
+        F.col("score").alias("fused"),
+        F.lit(0).alias("n_bytes"),
+    )
     rest = rest.join(answered.select("query_id", "slug").distinct(), ["query_id", "slug"], "left_anti")
     found = materialise(answered.unionByName(rest), "found")
 
     # what links to the best three, two each, unless it is there already
-    best = rank.top_k(found, 3, ["query_id"], [F.desc("score"), F.col("slug")], "_r").select("query_id", F.col("slug").alias("dst"), F.coalesce("fused", F.lit(0.1)).alias("near"), "_r")
+    best = rank.top_k(found, 3, ["query_id"], [F.desc("score"), F.col("slug")], "_r").select(
+        "query_id",
+        F.col("slug").alias("dst"),
+        F.coalesce("fused", F.lit(0.1)).alias("near"),
+        "_r",
+    )
     sources = links.select("src", "dst").distinct().join(best, "dst")
     sources = rank.top_k(sources, 2, ["query_id", "dst"], [F.col("src")], "_n")
-    sources = sources.groupBy("query_id", F.col("src").alias("slug")).agg(F.max_by("near", -F.col("_r")).alias("near")).join(found.select("query_id", "slug").distinct(), ["query_id", "slug"], "left_anti")
+    sources = sources.groupBy("query_id", F.col("src").alias("slug")).agg(F.max_by("near", -F.col("_r")).alias("near")).join(
+        found.select("query_id", "slug").distinct(),
+        ["query_id", "slug"],
+        "left_anti",
+    )
     sources = materialise(sources, "backlinked")
-    more = documents.join(small(sources), "slug").select("query_id", "slug", "title", F.col("summary").alias("snippet"), (0.5 * F.col("near")).alias("score"), F.lit(1).alias("tier"), "categories", F.lit("backlinks").alias("source"), F.lit(None).cast("double").alias("fused"), header.alias("n_bytes"))
+    more = documents.join(small(sources), "slug").select(
+        "query_id",
+        "slug",
+        "title",
+        F.col("summary").alias("snippet"),
+        (0.5 * F.col("near")).alias("score"),
+        F.lit(1).alias("tier"),
+        "categories",
+        F.lit("backlinks").alias("source"),
+        F.lit(None).cast("double").alias("fused"),
+        header.alias("n_bytes"),
+    )
 
     out = found.unionByName(more).withColumn("score", F.round("score", 6))
     return rank.top_k(out, k, ["query_id"], [F.desc("score"), F.col("slug"), F.col("tier")]).drop("fused")

@@ -41,7 +41,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        F.col("text").alias("question"),
+    )
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +52,22 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     the next one as its section."""
     docs = ingest.describe(corpus(spark, sf_dir))
     nxt = F.concat(F.lit("doc-"), F.col("doc_id") + 1)
-    maps = F.when(T.word_count(F.col("text")) > 300, F.array(F.struct(nxt.alias("slug"), F.col("title").alias("title"), F.col("summary").alias("synopsis"))))
+    maps = F.when(
+        T.word_count(F.col("text")) > 300,
+        F.array(F.struct(nxt.alias("slug"), F.col("title").alias("title"), F.col("summary").alias("synopsis"))),
+    )
     maps = F.coalesce(maps, F.array().cast("array<struct<slug:string,title:string,synopsis:string>>"))
-    return docs.select("slug", "doc_id", "title", F.col("text").alias("body"), "summary", "categories", "concepts", "fingerprint", maps.alias("section_map"))
+    return docs.select(
+        "slug",
+        "doc_id",
+        "title",
+        F.col("text").alias("body"),
+        "summary",
+        "categories",
+        "concepts",
+        "fingerprint",
+        maps.alias("section_map"),
+    )
 
 
 @dataclass(frozen=True)
@@ -93,7 +109,14 @@ def index_build(spark, sf_dir):
     terms = made.index.postings.groupBy("slug").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
     weights = made.index.weights.groupBy("slug").agg(F.count(F.lit(1)).alias("n_keywords"), F.sum("weight").alias("weight"))
     none = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind)).alias(c)
-    return made.index.lengths.join(terms, "slug", "left").join(weights, "slug", "left").select("slug", "dl", none("n_terms", "long"), none("n_tokens", "long"), none("n_keywords", "long"), none("weight", "double"))
+    return made.index.lengths.join(terms, "slug", "left").join(weights, "slug", "left").select(
+        "slug",
+        "dl",
+        none("n_terms", "long"),
+        none("n_tokens", "long"),
+        none("n_keywords", "long"),
+        none("weight", "double"),
+    )
 
 
 SQL_POOLED = "title || ' ' || summary || ' ' || text || ' ' || array_to_string(categories, ' ') || ' ' || array_to_string(concepts, ' ') || ' ' || array_to_string(fingerprint, ' ')"
@@ -181,7 +204,10 @@ def link_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     n = docs.agg((F.max("doc_id") + 1).alias("n"))
     to = lambda a, b: F.concat(F.lit("doc-"), (F.col("doc_id") * a + b) % F.col("n"))
-    return docs.crossJoin(F.broadcast(n)).select(F.concat(F.lit("doc-"), "doc_id").alias("src"), F.explode(F.array(to(7, 1), to(13, 5))).alias("dst"))  # n is one row
+    return docs.crossJoin(F.broadcast(n)).select(
+        F.concat(F.lit("doc-"), "doc_id").alias("src"),
+        F.explode(F.array(to(7, 1), to(13, 5))).alias("dst"),
+    )  # n is one row
 
 
 SQL_LINKS = """links AS (SELECT 'doc-' || doc_id AS src, 'doc-' || unnest([(doc_id * 7 + 1) % n, (doc_id * 13 + 5) % n]) AS dst FROM documents, (SELECT max(doc_id) + 1 AS n FROM documents))"""
@@ -192,7 +218,17 @@ def answers(spark, sf_dir):
 
 
 def tiered_retrieve(spark, sf_dir):
-    return answers(spark, sf_dir).select("query_id", "rank", "slug", "title", "score", "tier", "source", F.array_join("categories", ",").alias("categories"), F.md5(F.coalesce("snippet", F.lit("")).cast("binary")).alias("snippet_md5"))
+    return answers(spark, sf_dir).select(
+        "query_id",
+        "rank",
+        "slug",
+        "title",
+        "score",
+        "tier",
+        "source",
+        F.array_join("categories", ",").alias("categories"),
+        F.md5(F.coalesce("snippet", F.lit("")).cast("binary")).alias("snippet_md5"),
+    )
 
 
 def retrieval_reads(spark, sf_dir):
@@ -261,7 +297,13 @@ FROM b"""
 
 
 def query_classify(spark, sf_dir):
-    q = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Which file has ", "How many ", "Explain ", "What are the ", "Discount ")]), (F.col("query_id") % 5 + 1).cast("int")), "question")
+    q = F.concat(
+        F.element_at(
+            F.array(*[F.lit(x) for x in ("Which file has ", "How many ", "Explain ", "What are the ", "Discount ")]),
+            (F.col("query_id") % 5 + 1).cast("int"),
+        ),
+        "question",
+    )
     return user_turns(spark, sf_dir).select("query_id", T.classify(q).alias("kind"), T.query_hash(q).alias("query_hash"))
 
 
@@ -275,7 +317,12 @@ def jaccard_turns(spark, sf_dir):
     n = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n"))
     turns = user_turns(spark, sf_dir).crossJoin(F.broadcast(n))  # one row
     rows = turns.withColumn("item_id", F.col("query_id") % F.col("n")).join(b, "item_id").withColumn("a", T.tokenize_query(F.col("question")))
-    return rows.select("query_id", "item_id", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(S.partial_match(F.array_distinct("a"), F.array_distinct("b")), 6).alias("partial"))
+    return rows.select(
+        "query_id",
+        "item_id",
+        F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"),
+        F.round(S.partial_match(F.array_distinct("a"), F.array_distinct("b")), 6).alias("partial"),
+    )
 
 
 SQL_JACCARD = f"""WITH b AS (SELECT item_id, list_distinct({Q.query_tokens('text')}) AS b FROM benchmark),
@@ -334,7 +381,11 @@ SELECT title, ord, s || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || ro
 def upsert_merge(spark, sf_dir):
     """Orders of one in three customers updated, and a copy of each added."""
     old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slug"), "o_orderstatus", "o_totalprice")
-    third = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("slug"), F.lit("U").alias("o_orderstatus"), "o_totalprice")
+    third = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(
+        F.col("o_orderkey").alias("slug"),
+        F.lit("U").alias("o_orderstatus"),
+        "o_totalprice",
+    )
     return store.upsert(old, third.unionByName(third.withColumn("slug", -F.col("slug"))))
 
 
@@ -344,7 +395,14 @@ UNION ALL SELECT -o_orderkey, 'U', o_totalprice FROM orders WHERE o_custkey % 3
 
 def delete_cascade(spark, sf_dir):
     """Each order that is divisible by 5 lists the next two as its children."""
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slug"), F.when(F.col("o_orderkey") % 5 == 0, F.array(F.col("o_orderkey") + 1, F.col("o_orderkey") + 2)).otherwise(F.array().cast("array<bigint>")).alias("children"), "o_custkey")
+    docs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("slug"),
+        F.when(
+            F.col("o_orderkey") % 5 == 0,
+            F.array(F.col("o_orderkey") + 1, F.col("o_orderkey") + 2),
+        ).otherwise(F.array().cast("array<bigint>")).alias("children"),
+        "o_custkey",
+    )
     return store.delete(docs, docs.where("o_custkey % 7 = 0").select("slug")).select("slug", "o_custkey")
 
 
@@ -353,7 +411,10 @@ SELECT o_orderkey AS slug, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT
 
 
 def incremental_reindex(spark, sf_dir):
-    now = table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("slug"), F.when(F.col("o_custkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("v"))
+    now = table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0").select(
+        F.col("o_orderkey").alias("slug"),
+        F.when(F.col("o_custkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("v"),
+    )
     before = table(spark, sf_dir, "orders").where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("slug"), F.col("o_orderstatus").alias("v"))
     return index.changed(index.index_state(now, "slug", "v"), index.index_state(before, "slug", "v"))
 
@@ -363,7 +424,13 @@ SELECT coalesce(n.slug, b.slug) AS slug, CASE WHEN b.slug IS NULL THEN 'created'
 
 
 def structured_search(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"), F.array("lang", "source").alias("categories"), (F.col("doc_id") % 2 == 0).alias("has_children"), T.word_count(F.col("text")).alias("word_count"), F.timestamp_seconds(F.col("doc_id") * 7919 % 100003).alias("updated"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("slug"),
+        F.array("lang", "source").alias("categories"),
+        (F.col("doc_id") % 2 == 0).alias("has_children"),
+        T.word_count(F.col("text")).alias("word_count"),
+        F.timestamp_seconds(F.col("doc_id") * 7919 % 100003).alias("updated"),
+    )
     return store.search(docs, {"category": "fr", "has_children": True, "min_word_count": 100, "unknown": 1}, 20).select("slug", "word_count")
 
 
@@ -388,7 +455,12 @@ def store_stats(spark, sf_dir):
 
 def html_to_markdown(spark, sf_dir):
     h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), F.md5(html.to_markdown(h).cast("binary")).alias("body_md5"), F.size(html.links(h)).alias("n_links"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        html.title(h).alias("title"),
+        F.md5(html.to_markdown(h).cast("binary")).alias("body_md5"),
+        F.size(html.links(h)).alias("n_links"),
+    )
 
 
 def _sql_html() -> str:
@@ -415,7 +487,11 @@ def sectioned(spark, sf_dir):
     text = html.to_markdown(F.col("html"))
     headed = lambda mark: F.replace(text, F.lit("\n\n"), F.lit(f"\n\n{mark} Part One\n\n"))
     kind = F.col("page_id") % 3
-    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"), F.when(kind == 1, headed("##")).when(kind == 2, headed("###")).otherwise(text).alias("text"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        html.title(F.col("html")).alias("title"),
+        F.when(kind == 1, headed("##")).when(kind == 2, headed("###")).otherwise(text).alias("text"),
+    )
 
 
 _PARTED = "replace(md, chr(10) || chr(10), chr(10) || chr(10) || '{} Part One' || chr(10) || chr(10))"
@@ -426,7 +502,14 @@ pt AS (SELECT page_id, title, CASE page_id % 3 WHEN 1 THEN {_PARTED.format('##')
 def page_sections(spark, sf_dir):
     docs = materialise(sectioned(spark, sf_dir).select(F.concat(F.lit("page-"), "page_id").alias("slug"), "text"), "pages")
     _, children = split.split(docs, threshold=60, least=20)
-    return children.select("slug", "parent", F.col("section_index").cast("long").alias("section_index"), "title", T.word_count(F.col("body")).alias("n_words"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    return children.select(
+        "slug",
+        "parent",
+        F.col("section_index").cast("long").alias("section_index"),
+        "title",
+        T.word_count(F.col("body")).alias("n_words"),
+        F.md5(F.col("body").cast("binary")).alias("body_md5"),
+    )
 
 
 SQL_SECTIONS = f"WITH {SQL_SECTIONED}, ps AS (SELECT 'page-' || page_id AS slug, text FROM pt),\n{Q.sections('ps', 60, 20)}\nSELECT slug, parent, section_index, title, len({Q.words('body')})::INT AS n_words, md5(body) AS body_md5 FROM kids"
@@ -464,7 +547,13 @@ def query_log(spark, sf_dir) -> DataFrame:
     return e.select(
         F.col("event_id").alias("query_id"),
         F.col("user_id").alias("session"),
-        F.concat_ws(" ", F.lit("please report"), "event_type", F.concat(F.lit("batch"), (F.col("event_id") % 3).cast("string")), F.concat(F.lit("day"), F.dayofmonth("ts").cast("string"))).alias("question"),
+        F.concat_ws(
+            " ",
+            F.lit("please report"),
+            "event_type",
+            F.concat(F.lit("batch"), (F.col("event_id") % 3).cast("string")),
+            F.concat(F.lit("day"), F.dayofmonth("ts").cast("string")),
+        ).alias("question"),
         "ts",
         (F.col("event_id") % 4).cast("int").alias("tier_max"),
         F.array(F.get(sources, (F.col("event_id") % 4).cast("int")), F.lit("fts5")).alias("result_sources"),
@@ -529,8 +618,24 @@ SQL_RATE_LIMIT = "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w <=
 
 
 def url_safety(spark, sf_dir):
-    hosts = F.array(*[F.lit(h) for h in ("10.1.2.3", "8.8.8.8", "172.31.255.255", "172.32.0.0", "192.168.0.1", "example.org", "localhost", "127.0.0.1")])
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.element_at(F.array(F.lit("http://"), F.lit("ftp://"), F.lit("https://")), (F.col("s_suppkey") % 3 + 1).cast("int")), F.element_at(hosts, (F.col("s_suppkey") % 8 + 1).cast("int")), F.lit("/a?b=c")).alias("url"))
+    hosts = F.array(*[F.lit(h) for h in (
+        "10.1.2.3",
+        "8.8.8.8",
+        "172.31.255.255",
+        "172.32.0.0",
+        "192.168.0.1",
+        "example.org",
+        "localhost",
+        "127.0.0.1",
+    )])
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.concat(
+            F.element_at(F.array(F.lit("http://"), F.lit("ftp://"), F.lit("https://")), (F.col("s_suppkey") % 3 + 1).cast("int")),
+            F.element_at(hosts, (F.col("s_suppkey") % 8 + 1).cast("int")),
+            F.lit("/a?b=c"),
+        ).alias("url"),
+    )
     return urls.safe(rows).select("s_suppkey", "host", "ip", "safe")
 
 
@@ -542,7 +647,19 @@ SELECT s_suppkey, host, ip, scheme <> 'ftp://' AND host <> 'localhost' AND NOT c
 def schema_validation(spark, sf_dir):
     fields = spark.sql("SELECT * FROM VALUES ('name', 'string', true), ('size', 'int', true), ('price', 'float', false), ('tags', 'list', true) AS t(field_name, field_type, required)")
     p = table(spark, sf_dir, "part")
-    extra = F.map_filter(F.create_map(F.lit("name"), F.concat(F.lit('"'), "p_name", F.lit('"')), F.lit("size"), F.when(F.col("p_size") % 7 == 0, F.lit('"big"')).otherwise(F.col("p_size").cast("string")), F.lit("price"), F.when(F.col("p_size") % 5 == 0, F.lit("[1]")).otherwise(F.lit("1.5")), F.lit("tags"), F.when(F.col("p_size") % 3 != 0, F.lit("[]"))), lambda _, v: v.isNotNull())
+    extra = F.map_filter(
+        F.create_map(
+            F.lit("name"),
+            F.concat(F.lit('"'), "p_name", F.lit('"')),
+            F.lit("size"),
+            F.when(F.col("p_size") % 7 == 0, F.lit('"big"')).otherwise(F.col("p_size").cast("string")),
+            F.lit("price"),
+            F.when(F.col("p_size") % 5 == 0, F.lit("[1]")).otherwise(F.lit("1.5")),
+            F.lit("tags"),
+            F.when(F.col("p_size") % 3 != 0, F.lit("[]")),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
     return tenancy.validate(p.select(F.col("p_partkey").alias("slug"), extra.alias("extra")), fields)
 
 
@@ -550,7 +667,10 @@ SQL_VALIDATION = """SELECT p_partkey AS slug, array_to_string(list_sort(list_fil
 
 
 def tenant_isolation(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") < 20, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("tenant_id"))
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_nationkey") < 20, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("tenant_id"),
+    )
     return tenancy.scoped(rows, "n7").unionByName(tenancy.scoped(rows, None)).groupBy(F.coalesce("tenant_id", F.lit("global")).alias("tenant")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -561,7 +681,18 @@ def full_ingest(spark, sf_dir):
     pages = materialise(pages.unionByName(again), "pages")
     documents, _ = ingest.ingest(pages, threshold=150)
     listed = lambda c: F.array_join(c, ",").alias(c)
-    return documents.select("slug", "title", "parent", "word_count", listed("categories"), listed("concepts"), listed("fingerprint"), "summary", listed("children"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    return documents.select(
+        "slug",
+        "title",
+        "parent",
+        "word_count",
+        listed("categories"),
+        listed("concepts"),
+        listed("fingerprint"),
+        "summary",
+        listed("children"),
+        F.md5(F.col("body").cast("binary")).alias("body_md5"),
+    )
 
 
 SQL_INGEST = f"""WITH {SQL_SECTIONED},

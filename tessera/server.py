@@ -57,7 +57,18 @@ class Refused(Exception):
         self.status, self.detail = status, detail
 
 
-STATUS = {200: "OK", 201: "Created", 204: "No Content", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 422: "Unprocessable Entity", 429: "Too Many Requests", 500: "Internal Server Error"}
+STATUS = {
+    200: "OK",
+    201: "Created",
+    204: "No Content",
+    400: "Bad Request",
+    401: "Unauthorized",
+    403: "Forbidden",
+    404: "Not Found",
+    422: "Unprocessable Entity",
+    429: "Too Many Requests",
+    500: "Internal Server Error",
+}
 
 
 class Limiter:
@@ -176,9 +187,22 @@ class App:
         began = time.perf_counter()
         found = e.query(question, _k(body)).orderBy("rank")
         rows = _rows(found)
-        names = {"slug": "slug", "title": "title", "snippet": "snippet", "score": "score", "tier": "tier_resolved", "categories": "categories", "source": "source"}
+        names = {
+            "slug": "slug",
+            "title": "title",
+            "snippet": "snippet",
+            "score": "score",
+            "tier": "tier_resolved",
+            "categories": "categories",
+            "source": "source",
+        }
         results = [{new: r[old] for old, new in names.items()} | {"source_file": f"documents/{r['slug']}.md"} for r in rows]
-        return 200, {"results": results, "query": question, "total_ms": (time.perf_counter() - began) * 1000, "total_bytes_read": sum(r["n_bytes"] or 0 for r in rows)}
+        return 200, {
+            "results": results,
+            "query": question,
+            "total_ms": (time.perf_counter() - began) * 1000,
+            "total_bytes_read": sum(r["n_bytes"] or 0 for r in rows),
+        }
 
     def search(self, e: Engine, body: dict, _):
         (text,) = _need(body, "query")
@@ -200,7 +224,10 @@ class App:
     def document(self, e: Engine, _, __, slug: str):
         row = self._held(e, slug)
         kept = ("slug", "title", "body", "word_count")
-        return 200, {k: row[k] for k in kept} | {"has_children": bool(row["children"]), "frontmatter": {k: v for k, v in row.items() if k not in kept and v not in (None, "", [], {})}}
+        return 200, {k: row[k] for k in kept} | {
+            "has_children": bool(row["children"]),
+            "frontmatter": {k: v for k, v in row.items() if k not in kept and v not in (None, "", [], {})},
+        }
 
     def remove(self, e: Engine, _, __, slug: str):
         self._held(e, slug)
@@ -213,7 +240,11 @@ class App:
             return 200, {"document_count": 0, "index_size_bytes": 0, "categories": []}
         row = e.stats().first()
         categories = e.table("documents").select(F.explode("categories").alias("c")).distinct().orderBy("c")
-        return 200, {"document_count": row["documents"], "index_size_bytes": row["bytes"] or 0, "categories": [r["c"] for r in _rows(categories, 1000)]}
+        return 200, {
+            "document_count": row["documents"],
+            "index_size_bytes": row["bytes"] or 0,
+            "categories": [r["c"] for r in _rows(categories, 1000)],
+        }
 
     def feedback(self, e: Engine, body: dict, _):
         query_id, score = _need(body, "query_id", "score")
@@ -314,7 +345,11 @@ class App:
         clear()  # the answer has been read: what was written for it can go
         body = b"" if out is None else json.dumps(out, default=str, ensure_ascii=False).encode()
         headers = [("Content-Type", "application/json; charset=utf-8"), ("Content-Length", str(len(body)))]
-        headers += [("Access-Control-Allow-Origin", self.settings.origins), ("Access-Control-Allow-Methods", "*"), ("Access-Control-Allow-Headers", "*")]
+        headers += [
+            ("Access-Control-Allow-Origin", self.settings.origins),
+            ("Access-Control-Allow-Methods", "*"),
+            ("Access-Control-Allow-Headers", "*"),
+        ]
         start(f"{status} {STATUS[status]}", headers)
         return [body]
 

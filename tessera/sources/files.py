@@ -27,7 +27,11 @@ CODE = ("py", "js", "ts", "java", "go", "rs", "rb", "c", "h", "cpp", "cs", "php"
 
 def _extracted(text: Column, title: Column | None = None, metadata: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
-    return F.struct(text.alias("text"), (none if title is None else title).alias("title"), (_no_metadata() if metadata is None else metadata).alias("metadata"))
+    return F.struct(
+        text.alias("text"),
+        (none if title is None else title).alias("title"),
+        (_no_metadata() if metadata is None else metadata).alias("metadata"),
+    )
 
 
 def _no_metadata() -> Column:
@@ -287,13 +291,37 @@ def extract(files: DataFrame) -> DataFrame:
     ok = F.col("t").isNotNull()
 
     def shown(rows: DataFrame) -> DataFrame:
-        return rows.select("path", "extension", F.when(ok, F.col("x.text")).alias("text"), F.when(ok, F.col("x.title")).alias("title"), F.when(ok, F.col("x.metadata")).alias("metadata"), F.when(ok, "extracted").otherwise("failed").alias("status"), F.when(~ok, "not UTF-8").alias("error"))
+        return rows.select(
+            "path",
+            "extension",
+            F.when(ok, F.col("x.text")).alias("text"),
+            F.when(ok, F.col("x.title")).alias("title"),
+            F.when(ok, F.col("x.metadata")).alias("metadata"),
+            F.when(ok, "extracted").otherwise("failed").alias("status"),
+            F.when(~ok, "not UTF-8").alias("error"),
+        )
 
     native = shown(files.where(of_native).withColumn("t", utf8).withColumn("x", by_column))
     headed = files.where(ext.isin("md", "markdown")).withColumn("t", utf8).withColumn("h", front_matter(F.col("t")))
     headed = shown(headed.withColumn("x", markdown(F.col("t"), F.col("h"))))
-    other = files.where(ext.isin(*PARSERS)).withColumn("x", _parsed(dict(PARSERS))("extension", "content")).select("path", "extension", "x.text", "x.title", "x.metadata", F.when(F.col("x.error").isNull(), "extracted").otherwise("failed").alias("status"), "x.error")
-    missing = files.where(~ext.isin(*SUPPORTED)).select("path", "extension", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("map<string,string>").alias("metadata"), F.lit("failed").alias("status"), F.concat(F.lit("unsupported format: "), ext).alias("error"))
+    other = files.where(ext.isin(*PARSERS)).withColumn("x", _parsed(dict(PARSERS))("extension", "content")).select(
+        "path",
+        "extension",
+        "x.text",
+        "x.title",
+        "x.metadata",
+        F.when(F.col("x.error").isNull(), "extracted").otherwise("failed").alias("status"),
+        "x.error",
+    )
+    missing = files.where(~ext.isin(*SUPPORTED)).select(
+        "path",
+        "extension",
+        F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("map<string,string>").alias("metadata"),
+        F.lit("failed").alias("status"),
+        F.concat(F.lit("unsupported format: "), ext).alias("error"),
+    )
     return native.unionByName(headed).unionByName(other).unionByName(missing)
 
 

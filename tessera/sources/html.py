@@ -47,7 +47,12 @@ def page_metadata(html: Column) -> Column:
     canonical = F.nullif(F.regexp_extract(html, r"""(?is)<link\s[^>]*rel=["']canonical["'][^>]*href=["']([^"']+)""", 1), F.lit(""))
     time = F.nullif(F.regexp_extract(html, r"""(?is)<time\s[^>]*datetime=["']([^"']+)""", 1), F.lit(""))
     dates = [meta(html, n) for n in ("article:published_time", "date", "pubdate")]
-    return F.struct(title(html).alias("title"), F.coalesce(meta(html, "description"), meta(html, "og:description")).alias("description"), canonical.alias("canonical_url"), F.coalesce(*dates, time).alias("publish_date"))
+    return F.struct(
+        title(html).alias("title"),
+        F.coalesce(meta(html, "description"), meta(html, "og:description")).alias("description"),
+        canonical.alias("canonical_url"),
+        F.coalesce(*dates, time).alias("publish_date"),
+    )
 
 
 class _Text(HTMLParser):

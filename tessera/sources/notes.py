@@ -8,7 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 #: Header keys in their order; others follow by name.
-ORDER = ("title", "type", "summary", "categories", "concepts", "fingerprint", "parent", "children", "split_from", "section_index", "source", "created", "updated")
+ORDER = (
+    "title",
+    "type",
+    "summary",
+    "categories",
+    "concepts",
+    "fingerprint",
+    "parent",
+    "children",
+    "split_from",
+    "section_index",
+    "source",
+    "created",
+    "updated",
+)
 
 
 def scalar(value: Column) -> Column:
@@ -44,7 +58,13 @@ def _cell(c: Column) -> Column:
 def index_rows(entries: DataFrame) -> DataFrame:
     """Lines of the index table of entries (slug, title, categories, synopsis,
     fingerprint)."""
-    cells = [F.concat(F.lit("[["), "slug", F.lit("]]")), _cell(F.col("title")), _cell(F.array_join("categories", ", ")), _cell(F.col("synopsis")), _cell(F.array_join("fingerprint", ", "))]
+    cells = [
+        F.concat(F.lit("[["), "slug", F.lit("]]")),
+        _cell(F.col("title")),
+        _cell(F.array_join("categories", ", ")),
+        _cell(F.col("synopsis")),
+        _cell(F.array_join("fingerprint", ", ")),
+    ]
     return entries.select("slug", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
@@ -55,7 +75,13 @@ def read_index(lines: DataFrame) -> DataFrame:
     cells = F.transform(F.split(line, r"(?<!\\)\|"), lambda x: F.replace(T.strip(x), F.lit(r"\|"), F.lit("|")))
     listed = lambda i: F.filter(F.split(F.get("_c", F.lit(i)), r",\s*"), lambda x: x != "")
     rows = lines.where(line.rlike(r"^\| \[\[.+\]\] \|")).select(cells.alias("_c"))
-    return rows.select(F.regexp_replace(F.get("_c", F.lit(1)), r"^\[\[|\]\]$", "").alias("slug"), F.get("_c", F.lit(2)).alias("title"), listed(3).alias("categories"), F.get("_c", F.lit(4)).alias("synopsis"), listed(5).alias("fingerprint"))
+    return rows.select(
+        F.regexp_replace(F.get("_c", F.lit(1)), r"^\[\[|\]\]$", "").alias("slug"),
+        F.get("_c", F.lit(2)).alias("title"),
+        listed(3).alias("categories"),
+        F.get("_c", F.lit(4)).alias("synopsis"),
+        listed(5).alias("fingerprint"),
+    )
 
 
 def read_index_file(spark: SparkSession, path: str) -> DataFrame:

@@ -48,7 +48,12 @@ def signals(queries: DataFrame, scale: int = 1) -> DataFrame:
         out = []
         rows = pd.concat(list(batches)).sort_values(["ts", "query_id"])
         for row in rows.itertuples():
-            now = {"id": int(row.query_id), "ts": row.ts.timestamp(), "h": hashlib.sha256((row.question or "").encode()).hexdigest(), "kw": keywords(row.question)}
+            now = {
+                "id": int(row.query_id),
+                "ts": row.ts.timestamp(),
+                "h": hashlib.sha256((row.question or "").encode()).hexdigest(),
+                "kw": keywords(row.question),
+            }
             for prev in reversed(memory):
                 if found := signal(now, prev, scale):
                     out.append((key[0], prev["id"], now["id"], *found))
@@ -57,7 +62,13 @@ def signals(queries: DataFrame, scale: int = 1) -> DataFrame:
         state.update((json.dumps(memory),))
         yield pd.DataFrame(out, columns=["session", "query_id", "by_query_id", "score", "signal_type"])
 
-    return queries.groupBy("session").applyInPandasWithState(run, "session string, query_id long, by_query_id long, score double, signal_type string", "memory string", "append", GroupStateTimeout.NoTimeout)
+    return queries.groupBy("session").applyInPandasWithState(
+        run,
+        "session string, query_id long, by_query_id long, score double, signal_type string",
+        "memory string",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def rate_limiter(calls: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
@@ -77,7 +88,13 @@ def rate_limiter(calls: DataFrame, most: int = 100, seconds: int = 60) -> DataFr
         state.update((json.dumps(recent),))
         yield pd.DataFrame(out, columns=["key", "call_id", "ts", "allowed"])
 
-    return calls.groupBy("key").applyInPandasWithState(run, "key string, call_id long, ts timestamp, allowed boolean", "recent string", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("key").applyInPandasWithState(
+        run,
+        "key string, call_id long, ts timestamp, allowed boolean",
+        "recent string",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def maintain(changes: DataFrame, apply, checkpoint: str):
@@ -97,7 +114,13 @@ def keep(engine, changes: DataFrame, checkpoint: str, name: str = "changes"):
         if engine.tables.now.values.get(key, -1) >= number:
             return
         # of several changes to one slug within a batch any may be the last
-        last = materialise(batch.groupBy("slug").agg(F.max_by(F.struct("title", "body"), F.struct(F.col("body").isNotNull(), "body")).alias("c")).select("slug", "c.title", "c.body"), "batch")
+        last = materialise(
+            batch.groupBy("slug").agg(F.max_by(
+                F.struct("title", "body"),
+                F.struct(F.col("body").isNotNull(), "body"),
+            ).alias("c")).select("slug", "c.title", "c.body"),
+            "batch",
+        )
         known = last.limit(0).select("slug") if not engine.tables.has("documents") else engine.table("documents").select("slug").join(last.select("slug"), "slug", "left_semi")
         known = materialise(known, "known")
         fresh = last.where("body IS NOT NULL").join(known, "slug", "left_anti")
