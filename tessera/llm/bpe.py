@@ -255,7 +255,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
                 counts.append(len(found))
                 coded.append(sha(",".join(map(digits, found)).encode()).hexdigest())
                 decoded.append(sha(own.decode(found)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(key), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
+                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -283,7 +286,10 @@ def refuse(spec: dict) -> None:
         (model.get("byte_fallback"), "byte fallback"),
         (model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"), "affixes of subwords"),
         (spec.get("normalizer"), "a normaliser"),
-        (before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True), "another pre-tokeniser than plain byte level"),
+        (
+            before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True),
+            "another pre-tokeniser than plain byte level",
+        ),
         (any(t.get(f) for t in spec.get("added_tokens", ()) for f in ("lstrip", "rstrip", "single_word")), "added tokens with flags"),
     ]
     for wrong, what in unfit:

@@ -76,7 +76,11 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
         "block-marks",
     )
     spent += [names, rows]
-    first = rows.select("_row", F.size("marks").alias("n"), F.posexplode("marks").alias("pos", "mark")).join(names, "mark").select("_row", "n", F.col("pos").cast("long").alias("pos"), "name")
+    first = rows.select(
+        "_row",
+        F.size("marks").alias("n"),
+        F.posexplode("marks").alias("pos", "mark"),
+    ).join(names, "mark").select("_row", "n", F.col("pos").cast("long").alias("pos"), "name")
     done = first.where("n = 1").select("_row", F.lit(0).alias("level"), "name")
     current, level = materialise(first.where("n > 1"), "names-0"), 0
     spent.append(current)
@@ -124,7 +128,10 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
     """The rows of ``docs`` that stay, with their columns unchanged."""
     own, tag, mark, copies = (free_name(n, docs) for n in ("_own", "_stay", "_mark", "_copies"))
     groups = exact_groups(docs.select(F.col(f"`{key}`").alias("_own"), F.col(f"`{text}`").alias("_text")), "_own", "_text", block)
-    stay = groups.groupBy(F.col("_own").alias(own), F.col("tag").alias(tag)).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias(copies)).where("_kept").drop("_kept")
+    stay = groups.groupBy(F.col("_own").alias(own), F.col("tag").alias(tag)).agg(
+        F.max("kept").alias("_kept"),
+        F.count(F.lit(1)).alias(copies),
+    ).where("_kept").drop("_kept")
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     found = marked.join(stay, F.col(f"`{key}`").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(tag)))
     columns = [F.col(f"`{c}`") for c in docs.columns]

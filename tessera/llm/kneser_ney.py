@@ -185,7 +185,15 @@ def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     fs.move(part, f"{path}/{name}")
 
 
-def write_table(folder: str, name: str, keys: np.ndarray | None, columns: list[np.ndarray], bits: tuple[int, ...], extra: np.ndarray | None = None, whole: bool = False) -> None:
+def write_table(
+    folder: str,
+    name: str,
+    keys: np.ndarray | None,
+    columns: list[np.ndarray],
+    bits: tuple[int, ...],
+    extra: np.ndarray | None = None,
+    whole: bool = False,
+) -> None:
     """Sorted distinct ``keys`` (none: rows are found by number) and counts."""
     n = len(columns[0])
     code, fits, shift = np.zeros(n, np.int64), np.ones(n, dtype=bool), 0
@@ -211,7 +219,13 @@ def write_table(folder: str, name: str, keys: np.ndarray | None, columns: list[n
     if keys is not None and whole:
         arrays.append(keys)
     elif keys is not None:
-        arrays += [np.searchsorted(keys, np.arange(1 << lead, dtype=np.uint64) << np.uint64(64 - lead)).astype(np.uint32) if lead else np.zeros(1, np.uint32), low]
+        arrays += [
+            np.searchsorted(
+                keys,
+                np.arange(1 << lead, dtype=np.uint64) << np.uint64(64 - lead),
+            ).astype(np.uint32) if lead else np.zeros(1, np.uint32),
+            low,
+        ]
     arrays += [over.astype(np.uint32)] + ([extra.astype(np.uint32)] if extra is not None else []) + [codes]
     _write(folder, name, arrays)
 
@@ -404,7 +418,11 @@ def _classes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _rows(found: list[tuple[int, int, bytes]], **sums: int) -> pa.Table:
     """Blobs, and one row of sums."""
     n = len(found)
-    made = {"kind": pa.array([x[0] for x in found] + [2], pa.int32()), "bucket": pa.array([x[1] for x in found] + [0], pa.int32()), "blob": pa.array([x[2] for x in found] + [b""], pa.binary())}
+    made = {
+        "kind": pa.array([x[0] for x in found] + [2], pa.int32()),
+        "bucket": pa.array([x[1] for x in found] + [0], pa.int32()),
+        "blob": pa.array([x[2] for x in found] + [b""], pa.binary()),
+    }
     return pa.table(made | {s: pa.array([0] * n + [int(sums.get(s, 0))], pa.int64()) for s in SUMS})
 
 
@@ -448,7 +466,10 @@ def train(docs: DataFrame, learn: Column, text: str = "text", part: int = PART)
                 parts.append((np.array([START]), np.array([b.num_rows])))
                 word, _, n = _sum(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 found = [(g, _zip(word[some], n[some])) for g, some in _by(word_bucket(word, word_buckets))]
-                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g for g, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())],
+                    names=["bucket", "blob"],
+                )
 
     def merge_words(group: pa.Table) -> pa.Table:
         word, _, raw = _sum(*_all(group.column("blob").to_pylist(), 2))
@@ -514,7 +535,13 @@ def train(docs: DataFrame, learn: Column, text: str = "text", part: int = PART)
         for g in sorted({*lefts, *contexts}):
             i, j = contexts.get(g, none), lefts.get(g, none)
             found.append((0, g, _zip(pair[i], *(x[i] for x in classes), of[j], to[j], some_left[j])))
-        return _rows(found, files=3, pairs=bigrams, **dict(zip(SUMS[4:8], _four(c), strict=True)), **dict(zip(SUMS[8:12], _four(left[plain]), strict=True)))
+        return _rows(
+            found,
+            files=3,
+            pairs=bigrams,
+            **dict(zip(SUMS[4:8], _four(c), strict=True)),
+            **dict(zip(SUMS[8:12], _four(left[plain]), strict=True)),
+        )
 
     def merge_pairs(group: pa.Table) -> pa.Table:
         b = group.column("bucket")[0].as_py()
@@ -530,7 +557,11 @@ def train(docs: DataFrame, learn: Column, text: str = "text", part: int = PART)
         b = group.column("bucket")[0].as_py()
         w, n, v, total, one, two, more = _all(group.column("blob").to_pylist(), 7)
         zero_w, zero_v = np.zeros(len(w), np.int64), np.zeros(len(v), np.int64)
-        rank, _, left, *classes = _sum(np.concatenate([w, v]), np.concatenate([n.astype(np.int64), zero_v]), *(np.concatenate([zero_w, x.astype(np.int64)]) for x in (total, one, two, more)))
+        rank, _, left, *classes = _sum(
+            np.concatenate([w, v]),
+            np.concatenate([n.astype(np.int64), zero_v]),
+            *(np.concatenate([zero_w, x.astype(np.int64)]) for x in (total, one, two, more)),
+        )
         size = int(rank[-1]) + 1
         columns = []
         for x in (left, *classes):
@@ -575,7 +606,15 @@ def score(docs: DataFrame, model: Model, held_out: Column, key: str = "doc_id",
                 raw, logs = model.log10(tokens, begin)
                 base = np.log10((raw + 1) / (model.tokens + model.words + 1))
                 each = [np.add.reduceat(x, begin[:-1]) for x in ((raw > 0).astype(np.int64), base, logs)]
-                rows = [b.column("k").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array(np.diff(begin).astype(np.int64)), pa.array(each[0]), pa.array(np.full(hi - lo, model.tokens, np.int64)), pa.array(each[1]), pa.array(each[2])]
+                rows = [
+                    b.column("k").slice(lo, hi - lo),
+                    b.column("h").slice(lo, hi - lo),
+                    pa.array(np.diff(begin).astype(np.int64)),
+                    pa.array(each[0]),
+                    pa.array(np.full(hi - lo, model.tokens, np.int64)),
+                    pa.array(each[1]),
+                    pa.array(each[2]),
+                ]
                 yield pa.RecordBatch.from_arrays(rows, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[key].dataType.simpleString()

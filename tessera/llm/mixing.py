@@ -95,7 +95,16 @@ def tempered(sizes: Mapping[str, int], power: float = 0.5) -> dict[str, float]:
     return {s: max(1, n) ** power for s, n in sizes.items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", slots: int = SLOTS, block_chars: int = BLOCK_CHARS, default: float = 1.0) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: Mapping[str | None, float] | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    slots: int = SLOTS,
+    block_chars: int = BLOCK_CHARS,
+    default: float = 1.0,
+) -> DataFrame:
     """``docs`` with the schedule: mix_block (number within the source),
     mix_release, mix_deadline, mix_slot, mix_start (offset within the source).
     Without ``weights``, sources are tempered by the square root of their size."""
@@ -134,7 +143,10 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, key:
     parts = parts.select("_s", "_p", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inner = Window.partitionBy("_s", "_p").orderBy("_h", "_t").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(parts, ["_s", "_p"])
-    placed = placed.withColumn("mix_start", F.col("_offset") + F.col("_inner")).withColumn("mix_block", F.floor(F.col("mix_start") / F.lit(block_chars)).cast("long"))
+    placed = placed.withColumn("mix_start", F.col("_offset") + F.col("_inner")).withColumn(
+        "mix_block",
+        F.floor(F.col("mix_start") / F.lit(block_chars)).cast("long"),
+    )
 
     schedule = _table(spark, [(s, k, r, d, t) for s, _, k, r, d, t in plan], "_s string, _k long, _release long, _deadline long, _slot long")
     placed = placed.withColumn("_k", F.col("mix_block") % F.col("_q")).join(send(schedule), ["_s", "_k"])

@@ -187,11 +187,22 @@ def crc_of(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    learn: Column,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    per_class: int = PER_CLASS,
+) -> Model:
     """Fit on a bounded, hash-chosen sample of the labelled rows for which
     ``learn`` (a column of the key) holds."""
     bounded_batches(docs.sparkSession)
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).groupBy("_k").agg(F.max("_y").alias("_y"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).alias("_k"),
+        F.col(label).cast("int").alias("_y"),
+    ).groupBy("_k").agg(F.max("_y").alias("_y"))
     known = known.withColumnRenamed("_k", key).where(learn).withColumnRenamed(key, "_k")
     chosen = None
     for y in (0, 1):

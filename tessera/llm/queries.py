@@ -46,7 +46,12 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
 def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality_model(spark, sf_dir), columns=["doc_id"])
-    return scored.select("doc_id", (quality.crc_of(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id",
+        (quality.crc_of(F.col("doc_id")) % 3 == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,17 @@ def op1_webp_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.from_turns(table(spark, sf_dir, "conversations"))
     linked = tool_calls.link(calls, results, {"reply": tool_calls.REPLY})
-    return linked.select("conv_id", "call_id", "status", "level", "n_calls", "n_results", "valid", F.array_join("errors", "; ").alias("errors"), F.sha2("canonical_json", 256).alias("canonical_sha256"))
+    return linked.select(
+        "conv_id",
+        "call_id",
+        "status",
+        "level",
+        "n_calls",
+        "n_results",
+        "valid",
+        F.array_join("errors", "; ").alias("errors"),
+        F.sha2("canonical_json", 256).alias("canonical_sha256"),
+    )
 
 
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

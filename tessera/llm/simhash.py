@@ -209,7 +209,10 @@ def edges(nodes: DataFrame) -> DataFrame:
             fps, own = b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy()
             for lo in range(0, len(fps), 1 << 14):
                 row, key, side = keys(fps[lo : lo + (1 << 14)])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(fps[lo:][row].view(np.int64)), pa.array(own[lo:][row])], names=["key", "side", "fp", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(side), pa.array(fps[lo:][row].view(np.int64)), pa.array(own[lo:][row])],
+                    names=["key", "side", "fp", "node"],
+                )
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -246,7 +249,12 @@ def edges(nodes: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.when(F.col("side"), F.col("r_parts")).otherwise(F.col("l_parts"))).cast("int")
     cells = F.expr("transform(sequence(0, if(side, l_parts, r_parts) - 1), o -> xxhash64(key, if(side, o, _own), if(side, _own, o)))")
     dealt = keyed.join(small(large), "key", "left").withColumn("_own", own)
-    dealt = dealt.select(F.explode(F.when(F.col("l_parts").isNull(), F.array(F.col("key").cast("long"))).otherwise(cells)).alias("key"), "side", "fp", "node")
+    dealt = dealt.select(
+        F.explode(F.when(F.col("l_parts").isNull(), F.array(F.col("key").cast("long"))).otherwise(cells)).alias("key"),
+        "side",
+        "fp",
+        "node",
+    )
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(match, "a long, b long")
 
 
@@ -353,7 +361,10 @@ def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
         step, width = max(1, SIGNATURE_BYTES // int(pair.max())), int(pair.min()) // 8
         for lo in range(0, len(some), step):
             part = some[lo : lo + step].tolist()
-            both = [np.bitwise_xor.reduce(np.frombuffer(b"".join([of[k] for k in part]), np.uint64).reshape(len(part), -1, width), axis=1) for of in (x, y)]
+            both = [np.bitwise_xor.reduce(
+                np.frombuffer(b"".join([of[k] for k in part]), np.uint64).reshape(len(part), -1, width),
+                axis=1,
+            ) for of in (x, y)]
             out[part] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
     return out
 
@@ -379,7 +390,15 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _meetings(group: np.ndarray, component: np.ndarray, chunk: np.ndarray, inner: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(
+    group: np.ndarray,
+    component: np.ndarray,
+    chunk: np.ndarray,
+    inner: np.ndarray,
+    n: np.ndarray,
+    place: np.ndarray,
+    least: float,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one cell and two components whose sizes, and the places of
     the shingle in their order if it is the first that they share, allow a
     similarity of ``least``.  Pairs of one chunk belong to its ``inner`` cell."""
@@ -438,7 +457,10 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for x in texts(b, "_text"):
                 if parts := shingles(x, shingle):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashes(parts).view(">u8").ravel().astype(np.uint64)).view(np.int64))], names=["token"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.unique(_hashes(parts).view(">u8").ravel().astype(np.uint64)).view(np.int64))],
+                        names=["token"],
+                    )
 
     every = max(1, rows.count() // SAMPLE_ROWS)
     some = rows.where(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0).mapInArrow(run, "token long")
@@ -460,7 +482,10 @@ def _close(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
     left = sketches.select(F.col("_id").alias("a"), F.col("n").alias("x"), F.col("parity").alias("p"))
     right = sketches.select(F.col("_id").alias("b"), F.col("n").alias("y"), F.col("parity").alias("q"))
-    return materialise(left.join(small(pairs), "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(settle, "a long, b long"), "close-pairs")
+    return materialise(
+        left.join(small(pairs), "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(settle, "a long, b long"),
+        "close-pairs",
+    )
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -476,7 +501,10 @@ def _similar(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> D
     named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "named-texts")
     needed = rows.join(small(named), "_id", "left_semi")
     one, other = needed.select(F.col("_id").alias("a"), F.col("_text").alias("x")), needed.select(F.col("_id").alias("b"), F.col("_text").alias("y"))
-    found = materialise(one.join(small(pairs), "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct(), "similar-pairs")
+    found = materialise(
+        one.join(small(pairs), "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct(),
+        "similar-pairs",
+    )
     remove(named, pairs)
     free_shuffles(rows.sparkSession)
     return found
@@ -508,7 +536,10 @@ def similar_groups(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
                 fp, bands, distinct = sketch(x, shingle)
                 made.append((bands, len(distinct), parity(distinct), prefix(distinct, least, frequent).view(np.int64), fp))
             columns = [b.column("_id"), pa.array(np.array([m[4] for m in made], np.uint64).view(np.int64))]
-            columns += [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            columns += [
+                pa.array([m[k] for m in made], kind) for k,
+                kind in enumerate((pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int64())))
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "fp", "bands", "n", "parity", "prefix"])
 
     sketches = materialise(rows.mapInArrow(run, "_id long, fp long, bands array<long>, n long, parity binary, prefix array<long>"), "sketches")
@@ -518,25 +549,53 @@ def similar_groups(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
     empty = sketches.where("n = 0").select(F.col("_id").alias("a")).crossJoin(F.broadcast(sketches.where("n = 0").agg(F.min("_id").alias("b"))))  # one row
     banded = sketches.select("_id", F.explode("bands").alias("band"))
     order = F.xxhash64("_id")
-    stars = banded.groupBy("band").agg(F.min("_id").alias("r0"), F.min_by("_id", order).alias("r1"), F.max_by("_id", order).alias("r2"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = banded.groupBy("band").agg(
+        F.min("_id").alias("r0"),
+        F.min_by("_id", order).alias("r1"),
+        F.max_by("_id", order).alias("r2"),
+        F.count(F.lit(1)).alias("n"),
+    ).where("n > 1")
     starred = banded.join(stars, "band").select(F.col("_id").alias("a"), F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("b"))
-    pairs = edges(nodes).unionByName(same).unionByName(starred).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = edges(nodes).unionByName(same).unionByName(starred).where("a <> b").select(
+        F.greatest("a", "b").alias("a"),
+        F.least("a", "b").alias("b"),
+    ).distinct()
     pairs = materialise(pairs, "candidate-pairs")
     close = _close(pairs, sketches, least)
-    some = materialise(close.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b")), "first-pairs")
+    some = materialise(
+        close.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b")),
+        "first-pairs",
+    )
     linked = _similar(some, rows, shingle, least)
     first = components(linked.unionByName(empty.where("a <> b"))).withColumnRenamed("node", "_id")
     remove(pairs, close)
 
-    named = sketches.select("_id", "n", "prefix").join(small(first), "_id", "left").select("_id", "n", F.coalesce("component", "_id").alias("component"), F.posexplode("prefix").alias("place", "token"))
+    named = sketches.select("_id", "n", "prefix").join(small(first), "_id", "left").select(
+        "_id",
+        "n",
+        F.coalesce("component", "_id").alias("component"),
+        F.posexplode("prefix").alias("place", "token"),
+    )
     shared = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     shared = materialise(shared.select("token", F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("chunks")), "shared-shingles")
     free_shuffles(spark)
-    met = materialise(named.select("token", "_id", "component", F.col("place").cast("long").alias("place")).join(small(shared), "token"), "meeting-texts")
+    met = materialise(
+        named.select("token", "_id", "component", F.col("place").cast("long").alias("place")).join(small(shared), "token"),
+        "meeting-texts",
+    )
     free_shuffles(spark)
     dealt = sketches.select("_id", "n", "parity").join(small(met), "_id").withColumn("chunk", F.pmod(F.xxhash64("_id"), F.col("chunks")).cast("int"))
     cells = F.expr("transform(sequence(0, chunks - 1), c -> named_struct('cell', xxhash64(token, least(c, chunk), greatest(c, chunk)), 'inner', c = chunk))")
-    dealt = dealt.withColumn("_cell", F.explode(cells)).select(F.col("_cell.cell").alias("cell"), "_id", "component", "chunk", F.col("_cell.inner").alias("inner"), "place", "n", "parity")
+    dealt = dealt.withColumn("_cell", F.explode(cells)).select(
+        F.col("_cell.cell").alias("cell"),
+        "_id",
+        "component",
+        "chunk",
+        F.col("_cell.inner").alias("inner"),
+        "place",
+        "n",
+        "parity",
+    )
     rest = materialise(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_apart(least), "a long, b long").distinct(), "rest-pairs")
     linked = _similar(rest, rows, shingle, least)
     done = components(first.select(F.col("_id").alias("a"), F.col("component").alias("b")).unionByName(linked)).withColumnRenamed("node", "_id")
@@ -551,4 +610,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     number, gone = free_name("_number", docs), free_name("_gone", docs)
     rows, _ = numbered(docs, key, number)
     dropped = similar_groups(rows.select(F.col(number).alias("_id"), F.col(text).alias("_text")), shingle, least)
-    return rows.join(small(dropped.select(F.col("_id").alias(gone))), F.col(number) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(
+        small(dropped.select(F.col("_id").alias(gone))),
+        F.col(number) == F.col(gone),
+        "left_anti",
+    ).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -157,7 +157,12 @@ def _pack(skm: dict[str, list], known: list[tuple[int, int, int, int]]) -> bytes
     arrays = [np.array(skm["key"], np.int64), np.array(skm["tag"], np.int64), np.array(skm["start"], np.int32), np.array(skm["windows"], np.int32)]
     runs = [np.array([r[k] for r in known], t) for k, t in enumerate(_KINDS)]
     head = np.array([len(skm["key"]), len(known)], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays), *(a.tobytes() for a in runs), b" ".join(skm["text"])]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([
+        head.tobytes(),
+        *(a.tobytes() for a in arrays),
+        *(a.tobytes() for a in runs),
+        b" ".join(skm["text"]),
+    ]))
 
 
 def _unpack(blob: bytes):
@@ -279,7 +284,17 @@ def repeats(rows: DataFrame, window: int = WINDOW, m: int = MINIMISER, buckets:
                     continue
                 of, start, windows, low, second, a, z, string = made
                 bucket = (np.where(second > 0, mix(low + second * _ODD), low) % np.uint64(buckets)).tolist()
-                for k, t, s, n, g, h, i, j in zip(keys[lo + of].tolist(), tags[lo + of].tolist(), start.tolist(), windows.tolist(), bucket, second.tolist(), a.tolist(), z.tolist(), strict=True):
+                for k, t, s, n, g, h, i, j in zip(
+                    keys[lo + of].tolist(),
+                    tags[lo + of].tolist(),
+                    start.tolist(),
+                    windows.tolist(),
+                    bucket,
+                    second.tolist(),
+                    a.tolist(),
+                    z.tolist(),
+                    strict=True,
+                ):
                     piece = string[i:j]
                     if piece in seen:
                         known.append((k, t, s, n))
@@ -329,23 +344,47 @@ def keep_words(text: bytes, runs: list[tuple[int, int]], window: int) -> tuple[i
     return len(words), int(len(words) - kept.sum()), b" ".join([words[k] for k in np.flatnonzero(kept)])
 
 
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, m: int = MINIMISER, columns: list[str] | None = None, digest: bool = False) -> DataFrame:
+def drop_repeats(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    window: int = WINDOW,
+    m: int = MINIMISER,
+    columns: list[str] | None = None,
+    digest: bool = False,
+) -> DataFrame:
     """``columns`` of ``docs`` (default: all but the results' names) and
     n_words, n_removed, and kept_text or, if ``digest``, kept_sha256."""
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("n_words", "n_removed", "kept_text", "kept_sha256")]
     place = free_name("_place", docs)
     ordered, _ = numbered(docs, key, place)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = ordered.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], whole.alias("_text"), F.col(place).alias("_key"), F.xxhash64(whole).alias("_tag"))
+    rows = ordered.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+        whole.alias("_text"),
+        F.col(place).alias("_key"),
+        F.xxhash64(whole).alias("_tag"),
+    )
     found = repeats(rows, window, m, bucket_count(docs)).groupBy("_key", "_tag").agg(F.collect_list(F.struct("start", "windows")).alias("_runs"))
     both = rows.join(found.hint("shuffle_hash"), ["_key", "_tag"], "left").drop("_key", "_tag")
     last = "kept_sha256" if digest else "kept_text"
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [keep_words(t.encode(), [(r["start"], r["windows"]) for r in runs or ()], window) for t, runs in zip(b.column("_text").to_pylist(), b.column("_runs").to_pylist(), strict=True)]
+            done = [
+                keep_words(t.encode(), [(r["start"], r["windows"]) for r in runs or ()], window) for t,
+                runs in zip(b.column("_text").to_pylist(), b.column("_runs").to_pylist(), strict=True)
+            ]
             made = [hashlib.sha256(x[2]).hexdigest() if digest else x[2].decode() for x in done]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array(made, pa.string())], names=[*b.schema.names[: len(names)], "n_words", "n_removed", last])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *b.columns[: len(names)],
+                    pa.array([x[0] for x in done], pa.int64()),
+                    pa.array([x[1] for x in done], pa.int64()),
+                    pa.array(made, pa.string()),
+                ],
+                names=[*b.schema.names[: len(names)], "n_words", "n_removed", last],
+            )
 
     schema = StructType(both.schema.fields[: len(names)]).add("n_words", "long").add("n_removed", "long").add(last, "string")
     return both.mapInArrow(drop, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(names)})

@@ -68,7 +68,16 @@ def canonical_number(token: Column) -> Column:
     many = F.length(digits).cast("long")
     at = point.cast("int")
     plain = (
-        F.when((point > 21) | (point < -5), F.concat(F.substring(digits, 1, 1), F.when(many > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), F.when(point > 0, "+").otherwise(""), (point - 1).cast("string")))
+        F.when(
+            (point > 21) | (point < -5),
+            F.concat(
+                F.substring(digits, 1, 1),
+                F.when(many > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
+                F.lit("e"),
+                F.when(point > 0, "+").otherwise(""),
+                (point - 1).cast("string"),
+            ),
+        )
         .when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
         .when(many <= point, F.rpad(digits, at, "0"))
         .otherwise(F.concat(F.substr(digits, F.lit(1), at), F.lit("."), F.substr(digits, at + 1)))
@@ -102,16 +111,32 @@ def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, known_parent) of calls with distinct
     identifiers and a parent_id."""
     ids = calls.select("conv_id", F.col("call_id").alias("_id"))
-    start = calls.select("conv_id", "call_id", "parent_id").join(ids.withColumnRenamed("_id", "parent_id").withColumn("_known", F.lit(True)).hint("shuffle_hash"), ["conv_id", "parent_id"], "left")
+    start = calls.select("conv_id", "call_id", "parent_id").join(
+        ids.withColumnRenamed("_id", "parent_id").withColumn("_known", F.lit(True)).hint("shuffle_hash"),
+        ["conv_id", "parent_id"],
+        "left",
+    )
     state = materialise(
-        start.select("conv_id", "call_id", F.when(F.col("_known"), F.col("parent_id")).alias("up"), F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("level"), (F.col("parent_id").isNull() | F.coalesce("_known", F.lit(False))).alias("known_parent")),
+        start.select(
+            "conv_id",
+            "call_id",
+            F.when(F.col("_known"), F.col("parent_id")).alias("up"),
+            F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("level"),
+            (F.col("parent_id").isNull() | F.coalesce("_known", F.lit(False))).alias("known_parent"),
+        ),
         "levels-0",
     )
     bound = max(1, state.where("up IS NOT NULL").count())
     reach, number = 1, 0
     while reach <= 2 * bound and not (open_ := state.where("up IS NOT NULL")).isEmpty():
         there = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("_up"), F.col("level").alias("_level"))
-        moved = open_.join(there.hint("shuffle_hash"), ["conv_id", "up"]).select("conv_id", "call_id", F.col("_up").alias("up"), (F.col("level") + F.col("_level")).alias("level"), "known_parent")
+        moved = open_.join(there.hint("shuffle_hash"), ["conv_id", "up"]).select(
+            "conv_id",
+            "call_id",
+            F.col("_up").alias("up"),
+            (F.col("level") + F.col("_level")).alias("level"),
+            "known_parent",
+        )
         number += 1
         state = materialise(state.where("up IS NULL").unionByName(moved), f"levels-{number}")
         reach *= 2
@@ -122,7 +147,13 @@ def argument_errors(name: Column, arguments: Column, schemas: Mapping[str, Schem
     """Sorted array of what is wrong with a call's arguments (a marked variant)."""
     kinds = F.create_map(*[x for k, (v, p) in KINDS.items() for x in (F.lit(k), F.struct(F.lit(v).alias("type"), F.lit(p).alias("pattern")))])
     shape = "array<struct<field:string,kind:string,required:boolean>>"
-    fields = {t: F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.lit(r).alias("required")) for f, (k, r) in sorted(s.items())]).cast(shape) for t, s in schemas.items()}
+    fields = {
+        t: F.array(*[
+            F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.lit(r).alias("required")) for f,
+            (k, r) in sorted(s.items())
+        ]).cast(shape) for t,
+        s in schemas.items()
+    }
     table = F.create_map(*[x for t, v in fields.items() for x in (F.lit(t), v)]).cast(f"map<string,{shape}>")
     own = F.try_element_at(table, name)
     values = F.try_variant_get(arguments, "$", "map<string,variant>")
@@ -132,14 +163,20 @@ def argument_errors(name: Column, arguments: Column, schemas: Mapping[str, Schem
         kind = F.element_at(kinds, f["kind"])
         string = F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
         # no more digits after the point than its exponent takes
-        whole = F.length(F.regexp_extract(string, r"\.([0-9]+)", 1)) <= F.coalesce(F.try_to_number(F.regexp_extract(string, r"e\+([0-9]+)$", 1), F.lit("9999999999")), F.lit(0))
+        whole = F.length(F.regexp_extract(string, r"\.([0-9]+)", 1)) <= F.coalesce(
+            F.try_to_number(F.regexp_extract(string, r"e\+([0-9]+)$", 1), F.lit("9999999999")),
+            F.lit(0),
+        )
         fits = F.startswith(F.schema_of_variant(value), kind["type"]) & ((kind["pattern"] == "") | F.regexp_like(string, kind["pattern"])) & ((f["kind"] != "integer") | whole)
         return (
             F.when(value.isNull() & f["required"], F.concat(F.lit("missing "), f["field"]))
             .when(value.isNotNull() & ~F.coalesce(fits, F.lit(False)), F.concat(F.lit("not "), f["kind"], F.lit(": "), f["field"]))
         )
 
-    stray = F.transform(F.array_except(F.transform(F.map_keys(values), lambda k: F.substr(k, F.lit(2))), F.transform(own, lambda f: f["field"])), lambda k: F.concat(F.lit("unexpected "), k))
+    stray = F.transform(
+        F.array_except(F.transform(F.map_keys(values), lambda k: F.substr(k, F.lit(2))), F.transform(own, lambda f: f["field"])),
+        lambda k: F.concat(F.lit("unexpected "), k),
+    )
     errors = F.concat(F.filter(F.transform(own, check), lambda e: e.isNotNull()), stray)
     return (
         F.when(values.isNull(), F.array(F.lit("arguments are no object")))
@@ -156,7 +193,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Schema]) ->
     identified = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     call = F.struct("position", "name", "arguments", "parent_id")
     answer = F.struct("position", "content")
-    own = materialise(calls.where(identified).groupBy("conv_id", "call_id").agg(F.min(call).alias("call"), F.count(F.lit(1)).alias("n_calls")), "calls")
+    own = materialise(
+        calls.where(identified).groupBy("conv_id", "call_id").agg(F.min(call).alias("call"), F.count(F.lit(1)).alias("n_calls")),
+        "calls",
+    )
     answers = results.where(identified).groupBy("conv_id", "call_id").agg(F.min(answer).alias("answer"), F.count(F.lit(1)).alias("n_results"))
     ordered = levels(own.select("conv_id", "call_id", F.col("call.parent_id").alias("parent_id")))
     both = own.join(ordered.hint("shuffle_hash"), ["conv_id", "call_id"]).join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
@@ -164,15 +204,36 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Schema]) ->
     linked = both.withColumn("status", status)
     nameless = F.lit("unidentified").alias("status")
     none = [F.lit(None).cast("long").alias("level"), F.lit(True).alias("known_parent")]
-    loose = calls.where(~identified).select("conv_id", "call_id", call.alias("call"), F.lit(1).cast("long").alias("n_calls"), *none, F.lit(None).cast(answers.schema["answer"].dataType).alias("answer"), F.lit(0).cast("long").alias("n_results"), nameless)
-    lost = results.where(~identified).select("conv_id", "call_id", F.lit(None).cast(own.schema["call"].dataType).alias("call"), F.lit(0).cast("long").alias("n_calls"), *none, answer.alias("answer"), F.lit(1).cast("long").alias("n_results"), nameless)
+    loose = calls.where(~identified).select(
+        "conv_id",
+        "call_id",
+        call.alias("call"),
+        F.lit(1).cast("long").alias("n_calls"),
+        *none,
+        F.lit(None).cast(answers.schema["answer"].dataType).alias("answer"),
+        F.lit(0).cast("long").alias("n_results"),
+        nameless,
+    )
+    lost = results.where(~identified).select(
+        "conv_id",
+        "call_id",
+        F.lit(None).cast(own.schema["call"].dataType).alias("call"),
+        F.lit(0).cast("long").alias("n_calls"),
+        *none,
+        answer.alias("answer"),
+        F.lit(1).cast("long").alias("n_results"),
+        nameless,
+    )
     rows = linked.select(*loose.columns).unionByName(loose).unionByName(lost)
     rows = rows.withColumn("_v", marked(F.col("call.arguments")))
     wrong = F.when(F.col("call").isNull(), F.array().cast("array<string>")).otherwise(
         F.concat(
             argument_errors(F.col("call.name"), F.col("_v"), schemas),
             F.when(~F.coalesce("known_parent", F.lit(True)), F.array(F.lit("unknown parent"))).otherwise(F.array().cast("array<string>")),
-            F.when(F.col("level").isNull() & (F.col("status") != "unidentified"), F.array(F.lit("cyclic parents"))).otherwise(F.array().cast("array<string>")),
+            F.when(
+                F.col("level").isNull() & (F.col("status") != "unidentified"),
+                F.array(F.lit("cyclic parents")),
+            ).otherwise(F.array().cast("array<string>")),
         )
     )
     rows = rows.withColumn("errors", wrong)
@@ -224,7 +285,12 @@ def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = asked.select("conv_id", name(turn).alias("call_id"), turn.alias("position"), F.lit("reply").alias("name"), arguments.alias("arguments"))
     before = asked.select("conv_id", (turn + 2).alias("position"), name(turn).alias("parent_id")).distinct()
     calls = calls.join(before, ["conv_id", "position"], "left")
-    results = conversations.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
+    results = conversations.where("role = 'assistant'").select(
+        "conv_id",
+        name(turn - 1).alias("call_id"),
+        turn.alias("position"),
+        F.col("text").alias("content"),
+    )
     return calls, results
 
 

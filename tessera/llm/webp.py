@@ -891,7 +891,11 @@ def choose(samples: np.ndarray) -> tuple:
     if min(_entropy(left[m]) for m in MODES[1:]) > 0.9 * _entropy(samples):
         return ()
     rows, columns = np.arange(0, height, side), np.arange(0, width, side)
-    small = np.stack([np.add.reduceat(np.add.reduceat(np.minimum(x, -x).astype(np.int64), rows[:1].tolist() + (rows[1:] - 1).tolist(), axis=0), columns, axis=1) for x in left.values()])
+    small = np.stack([np.add.reduceat(
+        np.add.reduceat(np.minimum(x, -x).astype(np.int64), rows[:1].tolist() + (rows[1:] - 1).tolist(), axis=0),
+        columns,
+        axis=1,
+    ) for x in left.values()])
     modes = np.array(MODES, np.uint32)[np.argmin(small, axis=0)]
     return (("predictor", modes << np.uint32(8), TILE),)
 
@@ -933,7 +937,10 @@ def store_payloads(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = texts(b, text)
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([len(x) for x in rows], pa.int64()), pa.array([to_media(x) for x in rows], pa.binary())], names=[key, "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(key), pa.array([len(x) for x in rows], pa.int64()), pa.array([to_media(x) for x in rows], pa.binary())],
+                names=[key, "n_bytes", "media"],
+            )
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
@@ -950,13 +957,26 @@ def read_payloads(stored: DataFrame, key: str = "doc_id", media: str = "media")
             for x in b.column(media).to_pylist():
                 samples = from_media(x)
                 raw = samples.tobytes()
-                out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(x), hashlib.sha256(x).hexdigest(), describe(samples)))
+                out.append((
+                    len(raw),
+                    hashlib.sha256(raw).hexdigest(),
+                    zlib.crc32(raw[-32:]),
+                    len(x),
+                    hashlib.sha256(x).hexdigest(),
+                    describe(samples),
+                ))
             columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, "n_bytes", *names])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(key), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=[key, "n_bytes", *names],
+            )
 
     kind = stored.schema[key].dataType.simpleString()
-    return stored.select(key, "n_bytes", media).mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select(key, "n_bytes", media).mapInArrow(
+        run,
+        f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+    )
 
 
 def decode_media(table: DataFrame, media: str = "media") -> DataFrame:
@@ -980,7 +1000,10 @@ def decode_media(table: DataFrame, media: str = "media") -> DataFrame:
                     out.append((None, None, None, str(e)))
             columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 4
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*b.schema.names, *added])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=[*b.schema.names, *added],
+            )
 
     schema = StructType([*table.schema.fields]).add("media_height", "integer").add("media_width", "integer").add("media_pixels", "binary").add("media_error", "string")
     return table.mapInArrow(run, schema)
