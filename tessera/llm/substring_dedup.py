@@ -44,15 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import binary_rows, bounded_batches, bucket_count, by_bucket, free_name, numbered, release, text_slices
+from ._common import binary_rows, bounded_batches, bucket_count, by_bucket, free_name, materialise, numbered, release, remove, text_slices
 
 WINDOW = 20
 MINIMISER = 4
 SLICE = 1 << 20
-#: Documents, about, of the sample that tells hot minimisers; super-k-mers of it
-#: that make one hot; how many are told at most; and strings of hot ones that a
-#: task remembers.  They only steer the work, not its results.
-SAMPLE_ROWS, HOT, MOST_HOT, REMEMBERED = 8192, 16, 1 << 15, 1 << 16
+#: Documents, about, of the sample that tells hot minimisers; a minimiser is hot
+#: if it has so many super-k-mers of the sample, and a quarter (``HOT_SHARE``) of
+#: what a bucket has of it on average; how many are told at most; and strings of
+#: hot ones that a task remembers.  They only steer the work, not its results.
+SAMPLE_ROWS, HOT, HOT_SHARE, MOST_HOT, REMEMBERED = 8192, 16, 4, 1 << 15, 1 << 16
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -236,7 +237,7 @@ def bucket_repeats(blobs: list[bytes], window: int = WINDOW):
     return [np.concatenate([o[i] for o in out]) for i in range(4)]
 
 
-def hot_minimisers(rows: DataFrame, window: int, m: int) -> np.ndarray:
+def hot_minimisers(rows: DataFrame, window: int, m: int, buckets: int) -> np.ndarray:
     """Minimisers (sorted) of many super-k-mers of a sample of ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +250,11 @@ def hot_minimisers(rows: DataFrame, window: int, m: int) -> np.ndarray:
 
     every = max(1, rows.count() // SAMPLE_ROWS)
     some = rows.where(F.pmod(F.xxhash64("_tag"), F.lit(every)) == 0).select("_text").mapInArrow(run, "low long")
-    found = some.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "low").limit(MOST_HOT).collect()
+    counts = materialise(some.groupBy("low").agg(F.count(F.lit(1)).alias("n")), "minimisers")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(HOT, total // (HOT_SHARE * buckets))
+    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "low").limit(MOST_HOT).collect()
+    remove(counts)
     return np.sort(np.array([r.low for r in found], np.int64).view(np.uint64))
 
 
@@ -259,7 +264,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, m: int = MINIMISER, buckets:
     its text, _tag, and its _text."""
     bounded_batches(rows.sparkSession)
     buckets = buckets or bucket_count(rows)
-    hot = hot_minimisers(rows, window, m)
+    hot = hot_minimisers(rows, window, m, buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("substrings")
