@@ -31,6 +31,12 @@ def with_bucket(terms: DataFrame, term: str) -> DataFrame:
     return terms.withColumn("bucket", F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
 
 
+def _pruning(terms: DataFrame) -> DataFrame:
+    """The optimiser skips buckets of the index by a join's other side only where
+    that side is filtered; this filter leaves all of it."""
+    return terms.where("bucket >= 0")
+
+
 def bm25(questions: DataFrame, postings: DataFrame, stats: DataFrame, id_: str, k: int = 10, stemmed: bool = False) -> DataFrame:
     """(query_id, id, score, rank).  ``stats`` is one row: n documents, avgdl."""
     terms = T.full_text_tokens(F.array_join(T.sanitize(F.col("question")), " "))
@@ -42,7 +48,7 @@ def bm25(questions: DataFrame, postings: DataFrame, stats: DataFrame, id_: str,
     asked = materialise(asked, "asked-terms")
     named = asked.select("term").distinct()
     if "bucket" in postings.columns:
-        used = postings.join(small(materialise(with_bucket(named, "term"), "named-terms")), ["bucket", "term"])
+        used = postings.join(small(_pruning(materialise(with_bucket(named, "term"), "named-terms"))), ["bucket", "term"])
     else:
         used = postings.join(small(materialise(named, "named-terms")), "term")
     used = materialise(used, "used-postings")  # read twice: for document frequencies and for scores
@@ -62,7 +68,8 @@ def tier0(questions: DataFrame, weights: DataFrame, id_: str = "slug", k: int =
     asked = question_terms(questions, T.tokenize_query(F.col("question"))).withColumnRenamed("term", "token")
     if "bucket" in weights.columns:
         asked = with_bucket(asked, "token")
-    asked = small(materialise(asked, "asked-tokens"))
+    asked = materialise(asked, "asked-tokens")
+    asked = small(_pruning(asked) if "bucket" in weights.columns else asked)
     found = weights.join(
         asked,
         ["bucket", "token"] if "bucket" in weights.columns else "token",

@@ -323,3 +323,12 @@ def test_a_parser_follows_what_patterns_cannot(spark):
 
     page = "<h2 class='a>b'>One</h2><p>x &lt; y<br>z</p><ul><li>k<li>l</ul><script>no</script>"
     assert one(spark, html.parsed_markdown(F.col("t")), t=page) == "## One\n\nx < y\nz\n\n- k\n- l"
+
+
+def test_questions_read_the_buckets_of_their_terms(spark):
+    from tessera import queries
+
+    tables = queries.kept(spark, "/root/testdata/sf0.001").index
+    asked = spark.createDataFrame([(0, "market")], "query_id long, question string")
+    plan = rank.tier0(asked, tables.weights)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
