@@ -116,7 +116,10 @@ def sentence_score(s: Column, position: Column, title_tokens: Column, stop: tupl
 
 
 def static_idf(token: Column, stop: tuple[str, ...] = STOP_WORDS, common: tuple[str, ...] = COMMON_WORDS) -> Column:
-    return F.when(token.isin(*stop), 0.0).when(token.isin(*common), 1.0).when(F.length(token) <= 3, 2.45).otherwise(3.5)
+    """0 for stop words (none, where they have been left out before), 1 for common
+    ones, more for others."""
+    known = F.when(token.isin(*common), 1.0).when(F.length(token) <= 3, 2.45).otherwise(3.5)
+    return F.when(token.isin(*stop), 0.0).otherwise(known) if stop else known
 
 
 def _cut_at_hyphen(slug: Column, most: int) -> Column:

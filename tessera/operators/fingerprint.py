@@ -2,14 +2,21 @@
 
 All of it is local to a document, so it is computed in the row, without a
 shuffle: a document's tokens are sorted, and the runs of equal ones counted.
+Keywords, where array functions are slow, are counted in Arrow batches.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+import re
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from ..functions import text as T
 from ..functions.lexicon import COMMON_WORDS, STOP_WORDS, TAXONOMY
@@ -29,7 +36,8 @@ def runs(ordered: Column, same: Callable[[Column, Column], Column], make: Callab
     def of(a: Column) -> Column:
         places = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
         first = F.filter(places, lambda i: (i == 0) | ~same(F.get(a, i), F.get(a, i - 1)))
-        return let(first, lambda s: F.transform(s, lambda lo, k: make(a, lo, F.coalesce(F.get(s, k + 1), F.size(a)))))
+        end = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(a))
+        return let(first, lambda s: F.transform(s, lambda lo, k: let(end(s, k), lambda hi: make(a, lo, hi))))
 
     return let(ordered, of)
 
@@ -66,44 +74,46 @@ def term_frequencies(docs: DataFrame, stop=STOP_WORDS) -> DataFrame:
     return docs.select("slug", F.explode(frequencies(F.col("text"), stop)).alias("r")).select("slug", "r.token", "r.n", "r.first", "r.tf")
 
 
-def keyword_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS, common=COMMON_WORDS) -> Column:
-    """token, score of a text's best tokens: TF x static IDF with boosts for the
-    title, the first paragraph and headings."""
-    text = F.coalesce(text, F.lit(""))
-    entry = lambda token, kind, pos: F.struct(token.alias("token"), F.lit(kind).alias("kind"), pos.cast("int").alias("pos"))
-    marked = lambda kind: lambda x: entry(x, kind, F.lit(0))
-    of_kind = lambda kind: lambda x: x["kind"] == kind
-    where = [
-        T.tokenize(F.coalesce(title, F.lit("")), stop),
-        T.tokenize(T.first_paragraph(text), stop),
-        T.tokenize(F.array_join(T.headings(text), "\n"), stop),
-    ]
-    everything = F.concat(
-        F.transform(T.tokenize(text, stop), lambda x, i: entry(x, 0, i)),
-        *[F.transform(F.array_distinct(w), marked(kind + 1)) for kind, w in enumerate(where)],
-    )
+_WORD = re.compile(T.TOKEN)
+#: White space of ASCII, as the first paragraph and headings see it.
+_GAP = re.compile(r"\n[ \t\n\x0b\f\r]*\n")
+_HEADING = re.compile(r"^#{1,6}[ \t\n\x0b\f\r]+(.+)$", re.MULTILINE)
+SCORED = ArrayType(StructType().add("token", StringType()).add("score", DoubleType()))
 
-    def summary(a: Column, lo: Column, hi: Column) -> Column:
-        # a run is sorted by kind: its places in the text, then at most three others
-        last = F.slice(a, F.greatest(lo, hi - len(BOOSTS)) + 1, F.least(hi - lo, F.lit(len(BOOSTS))))
-        others = F.size(F.filter(last, lambda x: x["kind"] > 0))
-        boost = F.lit(1.0)
-        for kind, factor in enumerate(BOOSTS):
-            boost = boost * F.when(F.exists(last, of_kind(kind + 1)), factor).otherwise(1.0)
-        first = F.get(a, lo)
-        return F.struct(first["token"].alias("token"), (hi - lo - others).alias("n"), first["pos"].alias("first"), boost.alias("boost"))
 
-    found = F.filter(runs(F.sort_array(everything), lambda x, y: x["token"] == y["token"], summary), lambda r: r["n"] > 0)
+def best_tokens(title: str, text: str, k: int, stop: frozenset, common: frozenset) -> list[tuple[str, float]]:
+    """The ``k`` best of a text's tokens, first ones first among equals: TF x
+    static IDF with boosts for the title, the first paragraph and headings."""
+    tokens = lambda t: [w for w in _WORD.findall(t.lower()) if 2 <= len(w) <= 30 and w not in stop]
+    counts = Counter(tokens(text))  # in the order of first places
+    if not counts:
+        return []
+    most = max(counts.values())
+    parts = _GAP.split(text, 1)
+    where = [set(tokens(title)), counts if len(parts) == 1 else set(tokens(parts[0])), set(tokens("\n".join(_HEADING.findall(text))))]
 
-    def scored(rows: Column) -> Column:
-        def each(most: Column) -> Column:
-            score = lambda r: F.round((0.5 + 0.5 * r["n"] / most) * T.static_idf(r["token"], stop, common) * r["boost"], 6)
-            return F.transform(rows, lambda r: F.struct((-score(r)).alias("minus"), r["first"].alias("first"), r["token"].alias("token")))
+    def score(w: str, n: int) -> float:
+        boost = 1.0
+        for factor, held in zip(BOOSTS, where, strict=True):
+            if w in held:
+                boost *= factor
+        known = 1.0 if w in common else 2.45 if len(w) <= 3 else 3.5
+        return math.floor((0.5 + 0.5 * n / most) * known * boost * 1e6 + 0.5) / 1e6  # half up, as SQL rounds
+
+    ranked = heapq.nsmallest(k, ((-score(w, n), i, w) for i, (w, n) in enumerate(counts.items())))
+    return [(w, -minus) for minus, _, w in ranked]
+
+
+def keyword_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS, common=COMMON_WORDS) -> Column:
+    """token, score of a text's best tokens, in Arrow batches: the same as array
+    functions took 13 seconds for 10,000 documents (25 MB) on 8 cores."""
+    stop, common = frozenset(stop), frozenset(common)
 
-        return let(F.array_max(F.transform(rows, lambda r: r["n"])), each)
+    @F.pandas_udf(SCORED)
+    def best(titles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([best_tokens(a or "", b or "", k, stop, common) for a, b in zip(titles, texts, strict=True)])
 
-    best = F.slice(F.sort_array(F.filter(let(found, scored), lambda r: r["minus"] < 0)), 1, k)
-    return F.transform(best, lambda r: F.struct(r["token"].alias("token"), (-r["minus"]).alias("score")))
+    return best(F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
 
 
 def _listed(docs: DataFrame, rows: Column, *names: str) -> DataFrame:
