@@ -115,10 +115,14 @@ def sentence_score(s: Column, position: Column, title_tokens: Column, stop: tupl
     return size * place * (1.0 + overlap * 2.0)
 
 
+#: Static IDF of common words, short tokens and all others (fixed values).
+IDF_COMMON, IDF_SHORT, IDF_OTHER = 1.0, 2.45, 3.5
+
+
 def static_idf(token: Column, stop: tuple[str, ...] = STOP_WORDS, common: tuple[str, ...] = COMMON_WORDS) -> Column:
     """0 for stop words (none, where they have been left out before), 1 for common
     ones, more for others."""
-    known = F.when(token.isin(*common), 1.0).when(F.length(token) <= 3, 2.45).otherwise(3.5)
+    known = F.when(token.isin(*common), IDF_COMMON).when(F.length(token) <= 3, IDF_SHORT).otherwise(IDF_OTHER)
     return F.when(token.isin(*stop), 0.0).otherwise(known) if stop else known
 
 

@@ -97,7 +97,7 @@ def best_tokens(title: str, text: str, k: int, stop: frozenset, common: frozense
         for factor, held in zip(BOOSTS, where, strict=True):
             if w in held:
                 boost *= factor
-        known = 1.0 if w in common else 2.45 if len(w) <= 3 else 3.5
+        known = T.IDF_COMMON if w in common else T.IDF_SHORT if len(w) <= 3 else T.IDF_OTHER
         return math.floor((0.5 + 0.5 * n / most) * known * boost * 1e6 + 0.5) / 1e6  # half up, as SQL rounds
 
     ranked = heapq.nsmallest(k, ((-score(w, n), i, w) for i, (w, n) in enumerate(counts.items())))

@@ -59,6 +59,7 @@ def test_scalars(spark):
     assert one(spark, T.classify(t), t="How many docs?") == "structured" and one(spark, T.classify(t), t="discounts") == "semantic"
     assert one(spark, T.human_size(F.lit(1280))) == "1.2 KB"
     assert one(spark, T.language_of(t), t="a/b.PY") == "python"
+    assert [one(spark, T.static_idf(t), t=w) for w in ("the", "people", "cat", "cats")] == [0.0, 1.0, 2.45, 3.5]
     assert one(spark, S.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
     assert one(spark, S.jaccard(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b")))) == 0.5
 
