@@ -34,7 +34,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = fresh_folder(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

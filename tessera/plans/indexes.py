@@ -1,8 +1,10 @@
 """The index of documents as tables: postings, keyword weights, lengths.
 
 Terms and tokens are dealt to buckets by hash, and the tables are partitioned by
-bucket and sorted within it: a batch of questions joins the buckets that its
-terms are in (dynamic partition pruning skips the others) and reads no text.
+bucket: a batch of questions joins the buckets that its terms are in (dynamic
+partition pruning skips the others) and reads no text.  Each task writes its own
+documents' rows, document by document, to all buckets: nothing is shuffled, and
+ids are stored as runs.
 """
 
 from __future__ import annotations
@@ -27,7 +29,12 @@ class Index:
 
     def stats(self) -> DataFrame:
         """One row: n_docs, avgdl."""
-        return self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+        return stats(self.lengths)
+
+
+def stats(lengths: DataFrame) -> DataFrame:
+    """One row: n_docs, avgdl."""
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def tables_of(documents: DataFrame, entries: DataFrame | None = None, stemmed: bool = True) -> dict[str, DataFrame]:
@@ -51,10 +58,9 @@ def write(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
         if name in ("postings", "weights"):
             term = "term" if name == "postings" else "token"
             df = df.withColumn("bucket", F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
-            # by term within a bucket, so that a bucket of any size has many files
-            df.repartitionByRange("bucket", term).sortWithinPartitions("bucket", term).write.partitionBy("bucket").parquet(paths[name])
+            df.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(paths[name], compression="zstd")
         else:
-            df.write.parquet(paths[name])
+            df.write.parquet(paths[name], compression="zstd")
     return paths
 
 
@@ -62,6 +68,12 @@ def read(spark: SparkSession, folder: str) -> Index:
     return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "weights", "lengths")))
 
 
+def build_one(name: str, tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """One of the tables, written and read."""
+    (path,) = write({name: tables[name]}, folder).values()
+    return tables[name].sparkSession.read.parquet(path)
+
+
 def build(documents: DataFrame, folder: str, entries: DataFrame | None = None, stemmed: bool = True) -> Index:
     write(tables_of(documents, entries, stemmed), folder)
     return read(documents.sparkSession, folder)

@@ -8,7 +8,7 @@ index that is built once for each session and folder, as an engine keeps it:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    first = F.coalesce(F.substring(F.get(T.sentences(F.col("text")), 0), 1, 60), F.lit(""))
+    # its first 80 characters, runs of white space counted as one, tell where the first 60 of a sentence end
+    head = F.regexp_extract("text", r"(?U)^\s*((?:\s++|\S){0,80})", 1)
+    first = F.coalesce(F.substring(F.get(T.sentences(head), 0), 1, 60), F.lit(""))
     return docs.select(F.concat(F.lit("doc-"), "doc_id").alias("slug"), "doc_id", first.alias("title"), "text", "lang", "source")
 
 
@@ -70,32 +72,55 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class Store:
     """What an engine keeps: documents, their index, and a plain full-text index
-    of titles and texts."""
+    of titles and texts.  Each table is made when it is first asked for, so that a
+    query that reads one of them doesn't wait for the others."""
 
-    documents: DataFrame
-    index: indexes.Index
-    plain: indexes.Index
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return materialise(described(self.spark, self.sf_dir), "documents")
 
-_stores: dict[tuple[str, str], Store] = {}
+    def _table(self, name: str) -> DataFrame:
+        return indexes.build_one(name, indexes.tables_of(self.documents), fresh_folder(self.spark, "index"))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self._table("postings")
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return self._table("weights")
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return self._table("lengths")
 
+    @property
+    def index(self) -> indexes.Index:
+        return indexes.Index(self.postings, self.weights, self.lengths)
 
-def build(spark: SparkSession, sf_dir: str) -> Store:
-    documents = materialise(described(spark, sf_dir), "documents")
-    full = indexes.build(documents, fresh_folder(spark, "index"))
-    bare = documents.select("slug", "title", "body", F.lit("").alias("summary"), *[F.array().cast("array<string>").alias(c) for c in indexes.LISTS])
-    plain = indexes.build(bare, fresh_folder(spark, "plain-index"), stemmed=False)
-    return Store(documents, full, plain)
+    @cached_property
+    def plain(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of titles and texts, for which nothing else of a
+        document is made."""
+        docs = corpus(self.spark, self.sf_dir).select("slug", "title", F.col("text").alias("body"))
+        fields, folder = (F.col("title"), F.col("body")), fresh_folder(self.spark, "plain-index")
+        tables = {"postings": index.postings(docs, "slug", *fields), "lengths": index.lengths(docs, "slug", *fields)}
+        return indexes.build_one("postings", tables, folder), indexes.build_one("lengths", tables, folder)
+
+
+_stores: dict[tuple[str, str], Store] = {}
 
 
 def kept(spark: SparkSession, sf_dir: str) -> Store:
     """The session's store of a folder's documents."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
-        _stores[key] = build(spark, sf_dir)
+        _stores[key] = Store(spark, sf_dir)
     return _stores[key]
 
 
@@ -105,7 +130,8 @@ def kept(spark: SparkSession, sf_dir: str) -> Store:
 def index_build(spark, sf_dir):
     """Builds the store anew; what the index holds of each document."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    _stores[key] = made = build(spark, sf_dir)
+    _stores[key] = made = Store(spark, sf_dir)
+    made.plain  # noqa: B018
     terms = made.index.postings.groupBy("slug").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
     weights = made.index.weights.groupBy("slug").agg(F.count(F.lit(1)).alias("n_keywords"), F.sum("weight").alias("weight"))
     none = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind)).alias(c)
@@ -126,18 +152,18 @@ SQL_PORTER = Q.bm25("described", SQL_POOLED, "bm25", stemmed=True)
 
 
 def bm25_topk(spark, sf_dir):
-    tables = kept(spark, sf_dir).plain
-    return rank.bm25(questions(spark, sf_dir), tables.postings, tables.stats(), "slug")
+    postings, lengths = kept(spark, sf_dir).plain
+    return rank.bm25(questions(spark, sf_dir), postings, indexes.stats(lengths), "slug")
 
 
 def bm25_porter_topk(spark, sf_dir):
     """Stems of all seven fields, as an engine searches."""
-    tables = kept(spark, sf_dir).index
-    return rank.bm25(questions(spark, sf_dir), tables.postings, tables.stats(), "slug", stemmed=True)
+    store = kept(spark, sf_dir)
+    return rank.bm25(questions(spark, sf_dir), store.postings, indexes.stats(store.lengths), "slug", stemmed=True)
 
 
 def tier0_keyword_topk(spark, sf_dir):
-    return rank.tier0(questions(spark, sf_dir), kept(spark, sf_dir).index.weights)
+    return rank.tier0(questions(spark, sf_dir), kept(spark, sf_dir).weights)
 
 
 SQL_WEIGHTS = rf"""kw AS (
