@@ -1,8 +1,7 @@
 """Keywords, categories, concepts and synopsis of documents (slug, title, text).
 
 All of it is local to a document, so it is computed in the row, without a
-shuffle: a document's tokens are sorted, and the runs of equal ones counted.
-Keywords, where array functions are slow, are counted in Arrow batches.
+shuffle, and in Arrow batches, where array functions are slow.
 """
 
 from __future__ import annotations
@@ -74,34 +73,49 @@ def term_frequencies(docs: DataFrame, stop=STOP_WORDS) -> DataFrame:
     return docs.select("slug", F.explode(frequencies(F.col("text"), stop)).alias("r")).select("slug", "r.token", "r.n", "r.first", "r.tf")
 
 
-_WORD = re.compile(T.TOKEN)
+#: Tokens of two or more characters.
+_WORD = re.compile(T.TOKEN.split("|")[0])
 #: White space of ASCII, as the first paragraph and headings see it.
 _GAP = re.compile(r"\n[ \t\n\x0b\f\r]*\n")
 _HEADING = re.compile(r"^#{1,6}[ \t\n\x0b\f\r]+(.+)$", re.MULTILINE)
 SCORED = ArrayType(StructType().add("token", StringType()).add("score", DoubleType()))
 
 
-def best_tokens(title: str, text: str, k: int, stop: frozenset, common: frozenset) -> list[tuple[str, float]]:
+def tokens_of(t: str, stop: frozenset) -> list[str]:
+    """As ``T.tokenize``."""
+    return [w for w in _WORD.findall(t.lower()) if w not in stop and len(w) <= 30]
+
+
+def best_tokens(
+    title: str,
+    text: str,
+    k: int,
+    stop: frozenset,
+    common: frozenset,
+    known: list[str] | None = None,
+) -> list[tuple[str, float]]:
     """The ``k`` best of a text's tokens, first ones first among equals: TF x
-    static IDF with boosts for the title, the first paragraph and headings."""
-    tokens = lambda t: [w for w in _WORD.findall(t.lower()) if 2 <= len(w) <= 30 and w not in stop]
-    counts = Counter(tokens(text))  # in the order of first places
+    static IDF with boosts for the title, the first paragraph and headings.
+    ``known`` are the text's tokens, where they have been taken before."""
+    tokens = lambda t: tokens_of(t, stop)
+    counts = Counter(tokens(text) if known is None else known)  # in the order of first places
     if not counts:
         return []
     most = max(counts.values())
-    parts = _GAP.split(text, 1)
-    where = [set(tokens(title)), counts if len(parts) == 1 else set(tokens(parts[0])), set(tokens("\n".join(_HEADING.findall(text))))]
-
-    def score(w: str, n: int) -> float:
-        boost = 1.0
-        for factor, held in zip(BOOSTS, where, strict=True):
-            if w in held:
-                boost *= factor
-        known = T.IDF_COMMON if w in common else T.IDF_SHORT if len(w) <= 3 else T.IDF_OTHER
-        return math.floor((0.5 + 0.5 * n / most) * known * boost * 1e6 + 0.5) / 1e6  # half up, as SQL rounds
-
-    ranked = heapq.nsmallest(k, ((-score(w, n), i, w) for i, (w, n) in enumerate(counts.items())))
-    return [(w, -minus) for minus, _, w in ranked]
+    parts = _GAP.split(text, 1) if "\n" in text else [text]
+    where = [{*tokens(title)}, counts if len(parts) == 1 else {*tokens(parts[0])}, {*tokens("\n".join(_HEADING.findall(text)))} if "#" in text else ()]
+    in_title, in_first, in_heading = where
+    scores: dict[tuple, float] = {}  # many tokens have the same
+    rows = []
+    for i, (w, n) in enumerate(counts.items()):
+        key = (n, w in common, len(w) <= 3, w in in_title, w in in_first, w in in_heading)
+        if key not in scores:
+            idf = T.IDF_COMMON if key[1] else T.IDF_SHORT if key[2] else T.IDF_OTHER
+            boost = math.prod((f for f, held in zip(BOOSTS, key[3:], strict=True) if held), start=1.0)
+            scores[key] = -math.floor((0.5 + 0.5 * n / most) * idf * boost * 1e6 + 0.5) / 1e6  # half up, as SQL rounds
+        rows.append((scores[key], i, w))
+    rows.sort()
+    return [(w, -minus) for minus, _, w in rows[:k]]
 
 
 def keyword_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS, common=COMMON_WORDS) -> Column:
@@ -127,22 +141,41 @@ def keywords(docs: DataFrame, k: int = 10, stop=STOP_WORDS, common=COMMON_WORDS)
     return _listed(docs, keyword_array(F.col("title"), F.col("text"), k, stop, common), "token", "score")
 
 
+CATEGORISED = ArrayType(StructType().add("category", StringType()).add("score", DoubleType()))
+
+
+def near_taxonomy(table: dict[str, tuple[str, ...]]) -> Callable[[str], bool]:
+    """Whether a token contains, or is contained in, any word of a taxonomy."""
+    words = [w for ws in table.values() for w in ws]
+    size = min([3, *map(len, words)])
+    text, starts = "\n".join(words), {w[:size] for w in words}
+
+    def near(t: str) -> bool:
+        return t in text or any(t[i : i + size] in starts for i in range(len(t) - size + 1)) and any(w in t for w in words)
+
+    return near
+
+
+def best_categories(tokens: list[str], table: dict[str, tuple[str, ...]], near: Callable[[str], bool], k: int) -> list[tuple[str, float]]:
+    """The ``k`` best categories of a document's keywords: 1 for an exact taxonomy
+    word, 0.5 for one that contains or is contained; scores of 1 or more."""
+    tokens = [t for t in tokens if near(t)]
+    if not tokens:
+        return []
+    scores = ((sum(1.0 if t == w else 0.5 for w in ws for t in tokens if t in w or w in t), c) for c, ws in table.items())
+    return [(c, -minus) for minus, c in sorted((-score, c) for score, c in scores if score >= 1)[:k]]
+
+
 def category_array(tokens: Column, taxonomy=None, k: int = 5) -> Column:
-    """category, score by a document's keywords: 1 for an exact taxonomy word, 0.5
-    for one that contains or is contained; scores of 1 or more."""
-    table = F.array(*[
-        F.struct(F.lit(c).alias("category"), F.array(*[F.lit(w) for w in ws]).alias("words")) for c,
-        ws in (taxonomy or TAXONOMY).items()
-    ])
-    hit = lambda token, w: F.when(token == w, 1.0).when(token.contains(w) | w.contains(token), 0.5).otherwise(0.0)
-    total = lambda words, token: F.aggregate(words, F.lit(0.0), lambda s, w: s + hit(token, w))
+    """category, score by a document's keywords."""
+    table = dict(taxonomy or TAXONOMY)
 
-    def of(list_: Column) -> Column:
-        score = lambda c: F.aggregate(list_, F.lit(0.0), lambda s, token: s + total(c["words"], token))
-        return F.transform(table, lambda c: F.struct((-score(c)).alias("minus"), c["category"].alias("category")))
+    @F.pandas_udf(CATEGORISED)
+    def best(lists: pd.Series) -> pd.Series:
+        near = near_taxonomy(table)
+        return pd.Series([best_categories([] if x is None else [*x], table, near, k) for x in lists], dtype=object)
 
-    best = F.slice(F.sort_array(F.filter(let(tokens, of), lambda r: r["minus"] <= -1)), 1, k)
-    return F.transform(best, lambda r: F.struct(r["category"].alias("category"), (-r["minus"]).alias("score")))
+    return best(tokens)
 
 
 def categories(docs: DataFrame, taxonomy=None, k: int = 5) -> DataFrame:
@@ -157,25 +190,71 @@ def merged_categories(known: Column, found: Column, k: int = 5) -> Column:
     return F.slice(F.array_distinct(F.concat(F.coalesce(known, none), F.coalesce(found, none))), 1, k)
 
 
-def synopsis(text: Column, title: Column, most: int = 200, stop=STOP_WORDS) -> Column:
+#: White space of Unicode (Python's own has four separators more).
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_GAPS = re.compile(r"(?<=[.!?]) (?=[A-Z])")
+#: Patterns, what they become, and characters of which each match has one.
+_MARKDOWN = [
+    (re.compile(pattern, re.ASCII | re.MULTILINE), new, signs)
+    for pattern, new, signs in (
+        (r"\[([^\]]*)\]\([^)]*\)", r"\1", "["),
+        (r"^#{1,6}\s+", "", "#"),
+        (r"\*{1,3}|_{1,3}", "", "*_"),
+        (r"`{1,3}", "", "`"),
+        (r"^\s*[-*+]\s", "", "-*+"),
+        (r"^\s*\d+\.\s", "", "0123456789"),
+    )
+]
+
+
+def words_of(t: str) -> list[str]:
+    """As ``T.words``."""
+    return [w for w in _SPACE.split(t) if w] if _SEPARATORS.search(t) else t.split()
+
+
+def _truncated(t: str, most: int) -> str:
+    """As ``T.truncate``."""
+    if len(t) <= most:
+        return t
+    last = t.rfind(" ", 0, most)
+    return t[: last if last > most // 2 else most].rstrip(" .,;:!?") + "..."
+
+
+def best_sentence(title: str, text: str, most: int, stop: frozenset) -> str:
     """The best sentence of the first 500 words, first of equals; a text of under
     50 words is its own synopsis."""
-    plain = T.strip_markdown(F.coalesce(text, F.lit("")))
-    own = F.array_distinct(T.tokenize(F.coalesce(title, F.lit("")), stop))
-
-    def of(p: Column) -> Column:
-        flat = T.strip(F.regexp_replace(p, T.SPACE, " "))
-        scored = let(
-            own,
-            lambda tokens: F.transform(
-                T.sentences(T.first_words(p, 500)),
-                lambda s, i: F.struct(T.sentence_score(s, i, tokens, stop).alias("score"), (-i).alias("at"), s.alias("s")),
-            ),
-        )
-        best = F.array_max(scored)["s"]
-        return F.when(T.word_count(p) < 50, T.truncate(flat, most)).otherwise(T.truncate(F.coalesce(best, flat), most))
+    for pattern, new, signs in _MARKDOWN:
+        if any(x in text for x in signs):
+            text = pattern.sub(new, text)
+    ws = words_of(text)
+    best, top = None, -1.0
+    if len(ws) >= 50:
+        own = {*tokens_of(title, stop)}
+        for i, s in enumerate(_GAPS.split(" ".join(ws[:500]))):
+            n = len(s)
+            size = 1.0 if 50 <= n <= 150 else n / 50.0 if n < 50 else max(0.3, 1.0 - (n - 150) / 300.0)
+            place = 1.5 if i == 0 else 1.2 if i <= 2 else 1.0
+            low = s.lower()
+            most_shared = sum(w in low for w in own)
+            if size * place * (1.0 + most_shared * 2.0) <= top:
+                continue  # not even if all of these are tokens
+            shared = len(own.intersection(tokens_of(s, stop))) if most_shared else 0
+            score = size * place * (1.0 + shared * 2.0)
+            if score > top:
+                best, top = s, score
+    return _truncated(" ".join(ws) if best is None else best, most)
 
-    return let(plain, of)
+
+def synopsis(text: Column, title: Column, most: int = 200, stop=STOP_WORDS) -> Column:
+    """The best sentence of each text."""
+    stop = frozenset(stop)
+
+    @F.pandas_udf(StringType())
+    def best(titles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([best_sentence(a or "", b or "", most, stop) for a, b in zip(titles, texts, strict=True)], dtype=object)
+
+    return best(F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
 
 
 def bigram_array(text: Column, stop=STOP_WORDS) -> Column:
@@ -197,56 +276,90 @@ def bigrams(docs: DataFrame, stop=STOP_WORDS) -> DataFrame:
     )
 
 
+#: A combining mark belongs to the word of the letter before it.
+_CAPITALISED = re.compile(CAPITALISED.replace(r"\b([A-Z]", r"([A-Z](?<![\w\u0300-\u036f][A-Z])", 1).replace(r"\b", r"(?![\w\u0300-\u036f])"))
+_EMPHASISED = re.compile(EMPHASISED)
+_MARKS = re.compile(r"^[*_]{1,3}|[*_]{1,3}$")
+_NO_NAME = re.compile(r"[^a-zA-Z0-9 \-]")
+_BLANK = re.compile(r"\s", re.ASCII)
+_NUMBER = re.compile("[0-9]+")
+
+
+def best_concepts(title: str, text: str, k: int, stop: frozenset, known: list[str] | None = None) -> list[tuple[str, float]]:
+    """The ``k`` best concepts: capitalised runs, headings, emphasised phrases,
+    frequent bigrams and short titles, with additive scores."""
+    scores: dict[str, float] = {}
+
+    def said(concept: str, w: float) -> None:
+        scores[concept] = scores.get(concept, 0.0) + w
+
+    for run, n in Counter(_CAPITALISED.findall(text)).items():
+        if _BLANK.search(run) or n >= 2 and len(run) > 3 and run.lower() not in stop:
+            said(run, n)
+    for heading in _HEADING.findall(text) if "#" in text else ():
+        h = _NO_NAME.sub("", heading).strip(" ")
+        ws = h.split()
+        if 0 < len(ws) <= 3:
+            said(h, SHORT_HEADING)
+        for n in (3, 2) if len(ws) > 3 else ():
+            for i in range(len(ws) - n + 1):
+                said(" ".join(ws[i : i + n]), LONG_HEADING)
+    for m in _EMPHASISED.finditer(text) if "*" in text or "_" in text else ():
+        phrase = _MARKS.sub("", m[0])
+        ws = words_of(phrase)
+        if 1 <= len(ws) <= 3:
+            start = phrase.index(ws[0])
+            phrase = phrase[start : phrase.rindex(ws[-1]) + len(ws[-1])]
+            if len(phrase) <= 50:
+                said(phrase, EMPHASIS)
+    tokens = tokens_of(text, stop) if known is None else known
+    for (a, b), n in Counter(zip(tokens, tokens[1:], strict=False)).items():
+        if n >= 2:
+            said(f"{a} {b}", n * PAIR)
+    name = _NO_NAME.sub("", title).strip(" ")
+    if 1 <= len(name.split()) <= 3:
+        said(name, TITLE)
+    kept = ((-w, c) for c, w in scores.items() if len(c) > 1 and not _NUMBER.fullmatch(c.replace(" ", "").replace("-", "")) and c.lower() not in stop)
+    return [(c, -minus) for minus, c in heapq.nsmallest(k, kept)]
+
+
+CONCEPTS = ArrayType(StructType().add("concept", StringType()).add("score", DoubleType()))
+
+
 def concept_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS) -> Column:
-    """concept, score: capitalised runs, headings, emphasised phrases, frequent
-    bigrams and short titles, with additive scores."""
-    text = F.coalesce(text, F.lit(""))
-    said = lambda concept, w: F.struct(concept.alias("concept"), w.cast("double").alias("w"))
-    plain = lambda s: T.strip(F.regexp_replace(s, r"[^a-zA-Z0-9 \-]", ""))
-    none = F.array().cast("array<struct<concept:string,w:double>>")
-
-    single = lambda c: ~c.rlike(r"\s")
-    caps = F.filter(
-        counted(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(1))),
-        lambda r: ~single(r["value"]) | ((r["n"] >= 2) & ~F.lower(r["value"]).isin(*stop) & (F.length(r["value"]) > 3)),
-    )
+    """concept, score of each text."""
+    stop = frozenset(stop)
 
-    def of_heading(h: Column) -> Column:
-        ws = T.words(h)
-        windows = lambda n: F.transform(
-            F.sequence(F.lit(1), F.size(ws) - n + 1),
-            lambda i: said(F.array_join(F.slice(ws, i, F.lit(n)), " "), F.lit(LONG_HEADING)),
-        )
-        return F.when(h == "", none).when(F.size(ws) <= 3, F.array(said(h, F.lit(SHORT_HEADING)))).otherwise(F.concat(windows(3), windows(2)))
-
-    headed = F.flatten(F.transform(F.transform(T.headings(text), plain), of_heading))
-    phrases = F.transform(
-        F.regexp_extract_all(text, F.lit(EMPHASISED), F.lit(0)),
-        lambda m: T.strip(F.regexp_replace(m, r"^[*_]{1,3}|[*_]{1,3}$", "")),
-    )
-    bold = F.filter(phrases, lambda p: T.word_count(p).between(1, 3) & (F.length(p) <= 50))
-    pairs = F.filter(bigram_array(text, stop), lambda r: r["n"] >= 2)
-    titled = F.filter(F.array(plain(F.coalesce(title, F.lit("")))), lambda t: T.word_count(t).between(1, 3))
-    everything = F.concat(
-        F.transform(caps, lambda r: said(r["value"], r["n"])),
-        F.coalesce(headed, none),
-        F.transform(bold, lambda p: said(p, F.lit(EMPHASIS))),
-        F.transform(pairs, lambda r: said(r["value"], r["n"] * PAIR)),
-        F.transform(titled, lambda t: said(t, F.lit(TITLE))),
-    )
-    added = runs(
-        F.sort_array(everything),
-        lambda x, y: x["concept"] == y["concept"],
-        lambda a, lo, hi: F.struct(
-            (-F.aggregate(F.slice(a, lo + 1, hi - lo), F.lit(0.0), lambda s, x: s + x["w"])).alias("minus"),
-            F.get(a, lo)["concept"].alias("concept"),
-        ),
-    )
-    kept = F.filter(
-        added,
-        lambda r: (F.length(r["concept"]) > 1) & ~F.regexp_replace(r["concept"], "[ -]", "").rlike("^[0-9]+$") & ~F.lower(r["concept"]).isin(*stop),
-    )
-    return F.transform(F.slice(F.sort_array(kept), 1, k), lambda r: F.struct(r["concept"].alias("concept"), (-r["minus"]).alias("score")))
+    @F.pandas_udf(CONCEPTS)
+    def best(titles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([best_concepts(a or "", b or "", k, stop) for a, b in zip(titles, texts, strict=True)], dtype=object)
+
+    return best(F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
+
+
+DESCRIPTION = StructType().add("fingerprint", ArrayType(StringType())).add("found", ArrayType(StringType())).add("concepts", ArrayType(StringType())).add("summary", StringType())
+
+
+def description(title: Column, text: Column, taxonomy=None, summaries: bool = True, stop=STOP_WORDS, common=COMMON_WORDS) -> Column:
+    """fingerprint, categories found, concepts and summary of each text, whose
+    tokens are taken once; three concepts at least, if there are keywords to make
+    them up."""
+    stop, common, table = frozenset(stop), frozenset(common), dict(taxonomy or TAXONOMY)
+
+    def one(a: str, b: str, near: Callable[[str], bool]) -> tuple:
+        tokens = tokens_of(b, stop)
+        fingerprint = [w for w, _ in best_tokens(a, b, 10, stop, common, tokens)]
+        own = [c for c, _ in best_concepts(a, b, 10, stop, tokens)]
+        lower = {c.lower() for c in own}
+        padded = (own + [w for w in fingerprint if w not in lower])[: max(len(own), 3)]
+        return fingerprint, [c for c, _ in best_categories(fingerprint, table, near, 5)], padded, best_sentence(a, b, 200, stop) if summaries else None
+
+    @F.pandas_udf(DESCRIPTION)
+    def of(titles: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        near = near_taxonomy(table)
+        return pd.DataFrame([one(a or "", b or "", near) for a, b in zip(titles, texts, strict=True)], columns=DESCRIPTION.names, dtype=object)
+
+    return of(F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
 
 
 def concepts(docs: DataFrame, k: int = 10, stop=STOP_WORDS) -> DataFrame:

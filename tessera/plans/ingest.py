@@ -15,19 +15,19 @@ def describe(docs: DataFrame, taxonomy=None, summarise=fingerprint.synopsis) ->
     fingerprint, categories, concepts and summary; a document without category is
     ``general``.  ``summarise`` is another way to make summaries, a function of
     the columns text and title: a language model's, for example."""
-    none = F.array().cast("array<string>")
-    named = lambda rows, c: F.transform(rows, lambda r: r[c])
-    out = docs.withColumn("fingerprint", named(fingerprint.keyword_array(F.col("title"), F.col("text")), "token"))
-    found = named(fingerprint.category_array(F.col("fingerprint"), taxonomy), "category")
+    whole = fingerprint.description(F.col("title"), F.col("text"), taxonomy, summarise is fingerprint.synopsis)
+    out = docs.withColumn("_d", whole)
+    found = F.col("_d.found")
     if "existing_categories" in docs.columns:
         found = fingerprint.merged_categories(F.col("existing_categories"), found)
-    general = fingerprint.let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit("general"))))
-    own = named(fingerprint.concept_array(F.col("title"), F.col("text")), "concept")
-    # three concepts at least, if there are keywords to make them up
-    spare = lambda c: F.filter("fingerprint", lambda w: ~F.array_contains(F.transform(c, F.lower), w))
-    padded = fingerprint.let(own, lambda c: F.slice(F.concat(c, spare(c)), F.lit(1), F.greatest(F.size(c), F.lit(3))))
-    out = out.withColumn("categories", general).withColumn("concepts", F.coalesce(padded, none)).withColumn("summary", summarise(F.col("text"), F.col("title")))
-    return out.drop("existing_categories")
+    summary = F.col("_d.summary") if summarise is fingerprint.synopsis else summarise(F.col("text"), F.col("title"))
+    return out.select(
+        *[c for c in docs.columns if c not in ("existing_categories", "fingerprint", "categories", "concepts", "summary")],
+        F.col("_d.fingerprint").alias("fingerprint"),
+        fingerprint.let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit("general")))).alias("categories"),
+        F.col("_d.concepts").alias("concepts"),
+        summary.alias("summary"),
+    )
 
 
 def ingest(
