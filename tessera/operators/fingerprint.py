@@ -13,8 +13,10 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from ..functions import text as T
@@ -354,10 +356,14 @@ def description(title: Column, text: Column, taxonomy=None, summaries: bool = Tr
         padded = (own + [w for w in fingerprint if w not in lower])[: max(len(own), 3)]
         return fingerprint, [c for c, _ in best_categories(fingerprint, table, near, 5)], padded, best_sentence(a, b, 200, stop) if summaries else None
 
-    @F.pandas_udf(DESCRIPTION)
-    def of(titles: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        near = near_taxonomy(table)
-        return pd.DataFrame([one(a or "", b or "", near) for a, b in zip(titles, texts, strict=True)], columns=DESCRIPTION.names, dtype=object)
+    @F.arrow_udf(DESCRIPTION)
+    def of(titles: pa.Array, texts: pa.Array) -> pa.Array:
+        near, parts = near_taxonomy(table), []
+        for lo in range(0, max(1, len(texts)), 512):  # few texts at a time are Python's own
+            some = zip(*(x.slice(lo, 512).to_pylist() for x in (titles, texts)), strict=True)
+            rows = [dict(zip(DESCRIPTION.names, one(a or "", b or "", near), strict=True)) for a, b in some]
+            parts.append(pa.array(rows, to_arrow_type(DESCRIPTION)))
+        return pa.concat_arrays(parts)
 
     return of(F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
 
