@@ -30,12 +30,20 @@ def combined(tier0: Column, tier1: Column, tier2: Column) -> Column:
     return tier0 * 1.0 + tier1 * 0.8 + tier2 * 0.6
 
 
-def bm25_term(tf: Column, dl: Column, avgdl: Column, n: Column, df: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+def bm25_idf(n: Column, df: Column) -> Column:
     idf = F.log((n - df + 0.5) / (df + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
+    return F.when(idf <= 0, 1e-6).otherwise(idf)
+
+
+def bm25_weight(idf, tf, dl, avgdl, k1: float = 1.2, b: float = 0.75):
+    """Of columns or of arrays."""
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def bm25_term(tf: Column, dl: Column, avgdl: Column, n: Column, df: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    return bm25_weight(bm25_idf(n, df), tf, dl, avgdl, k1, b)
+
+
 def entry_score(keywords: Column, fingerprint: Column, categories: Column, title: Column, synopsis: Column) -> Column:
     """The richer tier-0 score: exact or 0.7 x partial overlap per field."""
     best = lambda target: F.greatest(jaccard(keywords, target), 0.7 * partial_match(keywords, target))

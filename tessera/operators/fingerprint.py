@@ -25,7 +25,7 @@ from ..functions.text import let
 
 # Patterns and weights of the kinds of evidence for a concept.
 CAPITALISED = r"\b([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){0,2})\b"
-EMPHASISED = r"\*{1,3}([^*\n]+)\*{1,3}|_{1,3}([^_\n]+)_{1,3}"
+EMPHASISED = r"\*\*{0,2}([^*\n]+)\*{1,3}|__{0,2}([^_\n]+)_{1,3}"  # each begins with a letter of its own, which is fast
 SHORT_HEADING, LONG_HEADING, EMPHASIS, PAIR, TITLE = 3.0, 2.5, 2.0, 1.5, 5.0
 #: Factors of a keyword that is in the title, the first paragraph, a heading.
 BOOSTS = (3.0, 2.0, 2.0)
@@ -94,13 +94,13 @@ def best_tokens(
     k: int,
     stop: frozenset,
     common: frozenset,
-    known: list[str] | None = None,
+    known: Counter | None = None,
 ) -> list[tuple[str, float]]:
     """The ``k`` best of a text's tokens, first ones first among equals: TF x
     static IDF with boosts for the title, the first paragraph and headings.
-    ``known`` are the text's tokens, where they have been taken before."""
+    ``known`` counts the text's tokens, where they have been taken before."""
     tokens = lambda t: tokens_of(t, stop)
-    counts = Counter(tokens(text) if known is None else known)  # in the order of first places
+    counts = Counter(tokens(text)) if known is None else known  # in the order of first places
     if not counts:
         return []
     most = max(counts.values())
@@ -108,14 +108,26 @@ def best_tokens(
     where = [{*tokens(title)}, counts if len(parts) == 1 else {*tokens(parts[0])}, {*tokens("\n".join(_HEADING.findall(text)))} if "#" in text else ()]
     in_title, in_first, in_heading = where
     scores: dict[tuple, float] = {}  # many tokens have the same
-    rows = []
-    for i, (w, n) in enumerate(counts.items()):
+
+    def score(w: str, n: int) -> float:
         key = (n, w in common, len(w) <= 3, w in in_title, w in in_first, w in in_heading)
         if key not in scores:
             idf = T.IDF_COMMON if key[1] else T.IDF_SHORT if key[2] else T.IDF_OTHER
             boost = math.prod((f for f, held in zip(BOOSTS, key[3:], strict=True) if held), start=1.0)
             scores[key] = -math.floor((0.5 + 0.5 * n / most) * idf * boost * 1e6 + 0.5) / 1e6  # half up, as SQL rounds
-        rows.append((scores[key], i, w))
+        return scores[key]
+
+    # those that only some boosts are given to, and of the others, by number, no more than can be among the best
+    boosted = {*in_title, *in_heading, *(in_first if len(parts) > 1 else ())}.intersection(counts)
+    places = {w: i for i, w in enumerate(counts)}
+    rows = [(score(w, counts[w]), places[w], w) for w in boosted]
+    left = k if most < 1 << 20 else len(counts) + 1  # beyond, other numbers may round to equal scores
+    for w, n in counts.most_common():
+        if left <= 0:
+            break
+        if w not in boosted:
+            rows.append((score(w, n), places[w], w))
+            left -= w not in common and len(w) > 3
     rows.sort()
     return [(w, -minus) for minus, _, w in rows[:k]]
 
@@ -350,7 +362,7 @@ def description(title: Column, text: Column, taxonomy=None, summaries: bool = Tr
 
     def one(a: str, b: str, near: Callable[[str], bool]) -> tuple:
         tokens = tokens_of(b, stop)
-        fingerprint = [w for w, _ in best_tokens(a, b, 10, stop, common, tokens)]
+        fingerprint = [w for w, _ in best_tokens(a, b, 10, stop, common, Counter(tokens))]
         own = [c for c, _ in best_concepts(a, b, 10, stop, tokens)]
         lower = {c.lower() for c in own}
         padded = (own + [w for w in fingerprint if w not in lower])[: max(len(own), 3)]

@@ -4,14 +4,15 @@ Terms and tokens are dealt to buckets by hash, and the tables are partitioned by
 bucket: a batch of questions joins the buckets that its terms are in (dynamic
 partition pruning skips the others) and reads no text.  Each task writes its own
 documents' rows, document by document, to all buckets: nothing is shuffled, and
-ids are stored as runs.
+ids are stored as runs.  Where documents come and go, postings are rows, of which
+some die; where they stay as they are, blocks of many documents' postings are rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index
@@ -37,16 +38,26 @@ def stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def packed(documents: DataFrame, *fields: Column, stemmed: bool = False) -> DataFrame:
+    """Postings of documents that stay as they are, in blocks."""
+    return index.posting_blocks(documents, "slug", *fields, buckets=BUCKETS, stemmed=stemmed)
+
+
+def pooled(documents: DataFrame) -> list[Column]:
+    """All fields of full text."""
+    return [F.col(c) for c in FIELDS if c in documents.columns] + [F.array_join(c, " ") for c in LISTS if c in documents.columns]
+
+
 def tables_of(documents: DataFrame, entries: DataFrame | None = None, stemmed: bool = True) -> dict[str, DataFrame]:
     """The tables of documents (slug, title, summary, body, categories, concepts,
     fingerprint): all fields pooled for full text, the index entry's for keywords."""
-    pooled = [F.col(c) for c in FIELDS if c in documents.columns] + [F.array_join(c, " ") for c in LISTS if c in documents.columns]
+    fields = pooled(documents)
     if entries is None:
         entries = documents.select("slug", "title", F.coalesce("summary", F.lit("")).alias("synopsis"), "categories", "fingerprint")
     return {
-        "postings": index.postings(documents, "slug", *pooled, stemmed=stemmed),
+        "postings": index.postings(documents, "slug", *fields, stemmed=stemmed),
         "weights": index.keyword_weights(entries),
-        "lengths": index.lengths(documents, "slug", *pooled),
+        "lengths": index.lengths(documents, "slug", *fields),
     }
 
 
@@ -57,7 +68,8 @@ def write(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
         paths[name] = f"{folder}/{name}"
         if name in ("postings", "weights"):
             term = "term" if name == "postings" else "token"
-            df = df.withColumn("bucket", F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
+            if "bucket" not in df.columns:
+                df = df.withColumn("bucket", F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
             df.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(paths[name], compression="zstd")
         else:
             df.write.parquet(paths[name], compression="zstd")

@@ -84,20 +84,21 @@ class Store:
     def documents(self) -> DataFrame:
         return materialise(described(self.spark, self.sf_dir), "documents")
 
-    def _table(self, name: str) -> DataFrame:
-        return indexes.build_one(name, indexes.tables_of(self.documents), fresh_folder(self.spark, "index"))
+    def _made(self, name: str, df: DataFrame) -> DataFrame:
+        return indexes.build_one(name, {name: df}, fresh_folder(self.spark, "index"))
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self._table("postings")
+        docs = self.documents
+        return self._made("postings", indexes.packed(docs, *indexes.pooled(docs), stemmed=True))
 
     @cached_property
     def weights(self) -> DataFrame:
-        return self._table("weights")
+        return self._made("weights", indexes.tables_of(self.documents)["weights"])
 
-    @cached_property
+    @property
     def lengths(self) -> DataFrame:
-        return self._table("lengths")
+        return index.block_lengths(self.postings, "slug")
 
     @property
     def index(self) -> indexes.Index:
@@ -107,10 +108,9 @@ class Store:
     def plain(self) -> tuple[DataFrame, DataFrame]:
         """Postings and lengths of titles and texts, for which nothing else of a
         document is made."""
-        docs = corpus(self.spark, self.sf_dir).select("slug", "title", F.col("text").alias("body"))
-        fields, folder = (F.col("title"), F.col("body")), fresh_folder(self.spark, "plain-index")
-        tables = {"postings": index.postings(docs, "slug", *fields), "lengths": index.lengths(docs, "slug", *fields)}
-        return indexes.build_one("postings", tables, folder), indexes.build_one("lengths", tables, folder)
+        docs = corpus(self.spark, self.sf_dir).select("slug", "title", "text")
+        postings = self._made("postings", indexes.packed(docs, F.col("title"), F.col("text")))
+        return postings, index.block_lengths(postings, "slug")
 
 
 _stores: dict[tuple[str, str], Store] = {}
@@ -132,7 +132,7 @@ def index_build(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     _stores[key] = made = Store(spark, sf_dir)
     made.plain  # noqa: B018
-    terms = made.index.postings.groupBy("slug").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    terms = index.unpacked(made.postings, "slug").groupBy("slug").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
     weights = made.index.weights.groupBy("slug").agg(F.count(F.lit(1)).alias("n_keywords"), F.sum("weight").alias("weight"))
     none = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind)).alias(c)
     return made.index.lengths.join(terms, "slug", "left").join(weights, "slug", "left").select(

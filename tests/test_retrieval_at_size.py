@@ -86,3 +86,43 @@ def test_descriptions_of_odd_texts_are_those_of_sql(spark):
     rows.parquet(f"{folder}/documents.parquet")
     got = ingest.describe(queries.corpus(spark, folder)).select("slug", "title", "fingerprint", "categories", "concepts", "summary").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_postings_in_blocks_are_those_of_rows_and_rank_the_same(spark, monkeypatch, tmp_path):
+    texts = {f"d{i:02}": ["cat dog dogs", "Été cat cat bird", "", "!?", f"running runs x{i}"][i % 5] for i in range(33)} | {"none": None}
+    docs = spark.createDataFrame(list(texts.items()), "slug string, text string").coalesce(2)
+    monkeypatch.setattr(index, "BLOCK", 7)
+    blocks = indexes.build_one("postings", {"postings": indexes.packed(docs, F.col("text"), stemmed=True)}, str(tmp_path))
+    rows, columns = index.postings(docs, "slug", F.col("text"), stemmed=True), ("term", "slug", "tf", "dl")
+    assert sorted(map(tuple, index.unpacked(blocks, "slug").select(*columns).collect())) == sorted(map(tuple, rows.select(*columns).collect()))
+    lengths = index.block_lengths(blocks, "slug")
+    assert sorted(map(tuple, lengths.collect())) == sorted(map(tuple, index.lengths(docs, "slug", F.col("text")).collect()))
+    asked = spark.createDataFrame([(1, "cats running"), (2, "x4 bird"), (3, "nothing"), (4, "")] + [(q, "dog cat été") for q in range(10, 25)], "query_id long, question string")
+    ranked = lambda p: sorted(map(tuple, rank.bm25(asked, p, indexes.stats(lengths), "slug", 5, stemmed=True).collect()))
+    assert (want := ranked(rows)) and ranked(blocks) == want
+    monkeypatch.setattr(rank, "USUAL", 1 << 30)
+    assert ranked(blocks) == want
+    monkeypatch.setattr(rank, "BROADCAST_BYTES", -1)  # too many terms to meet blocks
+    assert ranked(blocks) == want
+
+
+def test_registered_retrieval_makes_no_row_of_a_posting(spark, tmp_path):
+    os.symlink(SF, there := tmp_path / "blocks")
+    store = queries.kept(spark, str(there))
+    rows = indexes.tables_of(store.documents)["postings"].count()
+    assert store.postings.count() < rows / 50
+    found = plan(queries.bm25_porter_topk(spark, str(there)))
+    assert "Exchange hashpartitioning(block" in found and "Exchange hashpartitioning(slug" not in found
+
+
+def test_suffixes_and_keywords_of_unusual_words(spark):
+    from tessera.functions.porter import stem
+    from tessera.operators import fingerprint
+
+    words = "relational conditional rationalize triplicate formality saying syzygy hopping falling agreed feed skies generalizations controll rate cease oscillators".split()
+    assert [stem(w) for w in words] == "relat condit ration triplic formal sai syzygi hop fall agre feed ski gener control rate ceas oscil".split()
+    stop, common = frozenset(["the"]), frozenset(["new"])
+    text = "new new new abc abc delta delta alpha beta\n\n# Gamma delta\nnew gamma omega omega omega"
+    best = [w for w, _ in fingerprint.best_tokens("Beta title", text, 4, stop, common)]
+    scores = fingerprint.best_tokens("Beta title", text, 100, stop, common)
+    assert best == [w for w, _ in scores[:4]] and len(scores) == 7
