@@ -222,9 +222,11 @@ _MARKDOWN = [
 ]
 
 
-def words_of(t: str) -> list[str]:
-    """As ``T.words``."""
-    return [w for w in _SPACE.split(t) if w] if _SEPARATORS.search(t) else t.split()
+def words_of(t: str, most: int | None = None) -> list[str]:
+    """As ``T.words``, or the first ``most`` of them."""
+    if _SEPARATORS.search(t):
+        return [w for w in _SPACE.split(t) if w][:most]
+    return t.split() if most is None else t.split(None, most)[:most]
 
 
 def _truncated(t: str, most: int) -> str:
@@ -241,14 +243,16 @@ def best_sentence(title: str, text: str, most: int, stop: frozenset) -> str:
     for pattern, new, signs in _MARKDOWN:
         if any(x in text for x in signs):
             text = pattern.sub(new, text)
-    ws = words_of(text)
+    ws = words_of(text, 500)
     best, top = None, -1.0
     if len(ws) >= 50:
         own = {*tokens_of(title, stop)}
-        for i, s in enumerate(_GAPS.split(" ".join(ws[:500]))):
+        for i, s in enumerate(_GAPS.split(" ".join(ws))):
             n = len(s)
             size = 1.0 if 50 <= n <= 150 else n / 50.0 if n < 50 else max(0.3, 1.0 - (n - 150) / 300.0)
             place = 1.5 if i == 0 else 1.2 if i <= 2 else 1.0
+            if size * place * (1.0 + len(own) * 2.0) <= top:
+                continue
             low = s.lower()
             most_shared = sum(w in low for w in own)
             if size * place * (1.0 + most_shared * 2.0) <= top:

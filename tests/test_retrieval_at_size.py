@@ -90,7 +90,7 @@ def test_descriptions_of_odd_texts_are_those_of_sql(spark):
 
 def test_postings_in_blocks_are_those_of_rows_and_rank_the_same(spark, monkeypatch, tmp_path):
     texts = {f"d{i:02}": ["cat dog dogs", "Été cat cat bird", "", "!?", f"running runs x{i}"][i % 5] for i in range(33)} | {"none": None}
-    docs = spark.createDataFrame(list(texts.items()), "slug string, text string").coalesce(2)
+    docs = spark.createDataFrame([*texts.items()][::-1], "slug string, text string").coalesce(2)
     monkeypatch.setattr(index, "BLOCK", 7)
     blocks = indexes.build_one("postings", {"postings": indexes.packed(docs, F.col("text"), stemmed=True)}, str(tmp_path))
     rows, columns = index.postings(docs, "slug", F.col("text"), stemmed=True), ("term", "slug", "tf", "dl")
