@@ -126,3 +126,11 @@ def test_suffixes_and_keywords_of_unusual_words(spark):
     best = [w for w, _ in fingerprint.best_tokens("Beta title", text, 4, stop, common)]
     scores = fingerprint.best_tokens("Beta title", text, 100, stop, common)
     assert best == [w for w, _ in scores[:4]] and len(scores) == 7
+
+
+def test_answers_and_what_they_read_come_from_blocks(spark, tmp_path):
+    os.symlink(SF, there := tmp_path / "answers")
+    answers = queries.tiered_retrieve(spark, str(there)).select("query_id").distinct().count()
+    store = queries.kept(spark, str(there))
+    assert {"bucket", "slugs", "terms"} <= {*store.postings.columns} and "lengths" not in vars(store)
+    assert queries.retrieval_reads(spark, str(there)).count() == answers > 0
