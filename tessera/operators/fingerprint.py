@@ -6,14 +6,15 @@ shuffle, and in Arrow batches, where array functions are slow.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -22,6 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 from ..functions import text as T
 from ..functions.lexicon import COMMON_WORDS, STOP_WORDS, TAXONOMY
 from ..functions.text import let
+from ..functions.units import Units
 
 # Patterns and weights of the kinds of evidence for a concept.
 CAPITALISED = r"\b([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){0,2})\b"
@@ -206,8 +208,7 @@ def merged_categories(known: Column, found: Column, k: int = 5) -> Column:
 
 #: White space of Unicode (Python's own has four separators more).
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_GAPS = re.compile(r"(?<=[.!?]) (?=[A-Z])")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Patterns, what they become, and characters of which each match has one.
 _MARKDOWN = [
     (re.compile(pattern, re.ASCII | re.MULTILINE), new, signs)
@@ -224,7 +225,7 @@ _MARKDOWN = [
 
 def words_of(t: str, most: int | None = None) -> list[str]:
     """As ``T.words``, or the first ``most`` of them."""
-    if _SEPARATORS.search(t):
+    if any(c in t for c in _SEPARATORS):
         return [w for w in _SPACE.split(t) if w][:most]
     return t.split() if most is None else t.split(None, most)[:most]
 
@@ -237,24 +238,39 @@ def _truncated(t: str, most: int) -> str:
     return t[: last if last > most // 2 else most].rstrip(" .,;:!?") + "..."
 
 
-def best_sentence(title: str, text: str, most: int, stop: frozenset) -> str:
+def _sentences(t: str) -> list[str]:
+    """Cut at spaces between a mark that ends a sentence and a capital letter."""
+    cuts = []
+    for gap in (". ", "! ", "? "):
+        i = t.find(gap)
+        while i >= 0:
+            if "A" <= t[i + 2 : i + 3] <= "Z":
+                cuts.append(i + 1)
+            i = t.find(gap, i + 2)
+    cuts.sort()
+    return [t[a + 1 : z] for a, z in zip([-1, *cuts], [*cuts, len(t)], strict=True)]
+
+
+def best_sentence(title: str, text: str, most: int, stop: frozenset, own: set[str] | None = None) -> str:
     """The best sentence of the first 500 words, first of equals; a text of under
-    50 words is its own synopsis."""
+    50 words is its own synopsis.  ``own`` are the title's tokens, if known."""
     for pattern, new, signs in _MARKDOWN:
-        if any(x in text for x in signs):
-            text = pattern.sub(new, text)
+        for x in signs:
+            if x in text:
+                text = pattern.sub(new, text)
+                break
     ws = words_of(text, 500)
     best, top = None, -1.0
     if len(ws) >= 50:
-        own = {*tokens_of(title, stop)}
-        for i, s in enumerate(_GAPS.split(" ".join(ws))):
+        own = {*tokens_of(title, stop)} if own is None else own
+        for i, s in enumerate(_sentences(" ".join(ws))):
             n = len(s)
             size = 1.0 if 50 <= n <= 150 else n / 50.0 if n < 50 else max(0.3, 1.0 - (n - 150) / 300.0)
             place = 1.5 if i == 0 else 1.2 if i <= 2 else 1.0
             if size * place * (1.0 + len(own) * 2.0) <= top:
                 continue
             low = s.lower()
-            most_shared = sum(w in low for w in own)
+            most_shared = len([w for w in own if w in low])
             if size * place * (1.0 + most_shared * 2.0) <= top:
                 continue  # not even if all of these are tokens
             shared = len(own.intersection(tokens_of(s, stop))) if most_shared else 0
@@ -303,9 +319,10 @@ _BLANK = re.compile(r"\s", re.ASCII)
 _NUMBER = re.compile("[0-9]+")
 
 
-def best_concepts(title: str, text: str, k: int, stop: frozenset, known: list[str] | None = None) -> list[tuple[str, float]]:
+def best_concepts(title: str, text: str, k: int, stop: frozenset, pairs: list[tuple[str, int]] | None = None) -> list[tuple[str, float]]:
     """The ``k`` best concepts: capitalised runs, headings, emphasised phrases,
-    frequent bigrams and short titles, with additive scores."""
+    frequent bigrams and short titles, with additive scores.  ``pairs`` are the
+    bigrams of two or more, where they have been counted before."""
     scores: dict[str, float] = {}
 
     def said(concept: str, w: float) -> None:
@@ -330,15 +347,17 @@ def best_concepts(title: str, text: str, k: int, stop: frozenset, known: list[st
             phrase = phrase[start : phrase.rindex(ws[-1]) + len(ws[-1])]
             if len(phrase) <= 50:
                 said(phrase, EMPHASIS)
-    tokens = tokens_of(text, stop) if known is None else known
-    for (a, b), n in Counter(zip(tokens, tokens[1:], strict=False)).items():
-        if n >= 2:
-            said(f"{a} {b}", n * PAIR)
+    if pairs is None:
+        tokens = tokens_of(text, stop)
+        pairs = [(f"{a} {b}", n) for (a, b), n in Counter(zip(tokens, tokens[1:], strict=False)).items() if n >= 2]
+    for pair, n in pairs:
+        said(pair, n * PAIR)
     name = _NO_NAME.sub("", title).strip(" ")
     if 1 <= len(name.split()) <= 3:
         said(name, TITLE)
-    kept = ((-w, c) for c, w in scores.items() if len(c) > 1 and not _NUMBER.fullmatch(c.replace(" ", "").replace("-", "")) and c.lower() not in stop)
-    return [(c, -minus) for minus, c in heapq.nsmallest(k, kept)]
+    kept = [(-w, c) for c, w in scores.items() if len(c) > 1 and (c[0] > "9" or not _NUMBER.fullmatch(c.replace(" ", "").replace("-", ""))) and c.lower() not in stop]
+    kept.sort()
+    return [(c, -minus) for minus, c in kept[:k]]
 
 
 CONCEPTS = ArrayType(StructType().add("concept", StringType()).add("score", DoubleType()))
@@ -358,27 +377,123 @@ def concept_array(title: Column, text: Column, k: int = 10, stop=STOP_WORDS) ->
 DESCRIPTION = StructType().add("fingerprint", ArrayType(StringType())).add("found", ArrayType(StringType())).add("concepts", ArrayType(StringType())).add("summary", StringType())
 
 
+def describe(
+    titles: list[str],
+    texts: list[str],
+    units: Units | None,
+    table: dict[str, tuple[str, ...]],
+    summaries: bool = True,
+    stop: frozenset = frozenset(STOP_WORDS),
+    common: frozenset = frozenset(COMMON_WORDS),
+) -> tuple[list, list, list, list]:
+    """fingerprints, categories found, concepts and summaries of texts and their
+    units: what ``best_tokens`` and the others give, for many texts at once."""
+    if units is None:
+        return [], [], [], []
+    kept = (units.size >= 2) & (units.size <= 30) & ~pc.is_in(units.names, value_set=pa.array(sorted(stop), pa.string())).to_numpy(zero_copy_only=False)
+
+    def split(x: str) -> list[str]:
+        if not x.isascii():
+            return [w for w in _WORD.findall(x) if w not in stop and len(w) <= 30]
+        w = x.lstrip("0123456789-").rstrip("-")
+        return [w] if 2 <= len(w) <= 30 and w not in stop else []
+
+    names, no, row, at = units.tokens(split, kept)
+    own = [{*tokens_of(t, stop)} for t in titles]
+    fingerprints = _best_of_each(texts, own, units, names, no, row, at, stop, common)
+    pairs = _pairs_of_each(len(texts), names, no, row)
+    near = _near_all({w for ws in fingerprints for w in ws}, table)
+    found = [[c for c, _ in best_categories(ws, table, near, 5)] for ws in fingerprints]
+    concepts = []
+    for title, text, ws, two in zip(titles, texts, fingerprints, pairs, strict=True):
+        best = [c for c, _ in best_concepts(title, text, 10, stop, pairs=two)]
+        if len(best) < 3:
+            lower = {c.lower() for c in best}
+            best = (best + [w for w in ws if w not in lower])[:3]
+        concepts.append(best)
+    return fingerprints, found, concepts, [best_sentence(a, b, 200, stop, o) if summaries else None for a, b, o in zip(titles, texts, own, strict=True)]
+
+
+def _best_of_each(texts, own, units, names, no, row, at, stop, common, k: int = 10) -> list[list[str]]:
+    """``best_tokens`` of each text, by its tokens (numbers of names, rows, places)."""
+    wide, bits = len(names), max(1, len(no).bit_length())
+    if not len(no):
+        return [[] for _ in texts]
+    keys = np.sort(((row * wide + no) << bits) | np.arange(len(no)))
+    key, place = keys >> bits, keys & ((1 << bits) - 1)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n, key, place = np.diff(np.append(first, len(key))), key[first], place[first]
+    r, of = key // wide, key % wide
+    starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    most = np.repeat(np.maximum.reduceat(n, starts), np.diff(np.append(starts, len(r))))
+    gaps = np.full(len(texts), np.iinfo(np.int64).max)
+    for i, t in enumerate(texts):
+        if "\n" in t and (m := _GAP.search(t)):
+            gaps[i] = units.offsets[i] + (m.start() if t.isascii() else len(t[: m.start()].lower().encode()))
+
+    def among(sets: list) -> np.ndarray:
+        """Whether a text's token is in its set."""
+        flat = pa.array([w for ws in sets for w in ws], pa.string())
+        known = pc.index_in(flat, value_set=names)
+        wanted = np.repeat(np.arange(len(sets)), [*map(len, sets)])[known.is_valid().to_numpy(zero_copy_only=False)] * wide + known.drop_null().to_numpy()
+        out, i = np.zeros(len(key), bool), np.searchsorted(key, wanted)
+        i, wanted = i[i < len(key)], wanted[i < len(key)]
+        out[i[key[i] == wanted]] = True
+        return out
+
+    usual = pc.is_in(names, value_set=pa.array(sorted(common), pa.string())).to_numpy(zero_copy_only=False)
+    short = pc.utf8_length(names).to_numpy() <= 3
+    idf = np.where(usual, T.IDF_COMMON, np.where(short, T.IDF_SHORT, T.IDF_OTHER))[of]
+    headings = [{*tokens_of("\n".join(_HEADING.findall(t)), stop)} if "#" in t else () for t in texts]
+    held = (among(own), at[place] < gaps[r], among(headings))
+    boost = math.prod((np.where(h, f, 1.0) for f, h in zip(BOOSTS, held, strict=True)), start=1.0)
+    score = np.floor((0.5 + 0.5 * n / most) * idf * boost * 1e6 + 0.5).astype(np.int64)  # half up, as SQL rounds
+    order = np.lexsort((place, -score, r)) if len(texts).bit_length() + 26 + bits > 62 else np.argsort((r << (26 + bits)) | (((1 << 26) - 1 - score) << bits) | place)
+    r = r[order]
+    best = order[np.arange(len(r)) - np.searchsorted(r, r) < k]
+    words = names.take(pa.array(of[best])).to_pylist()
+    ends = np.searchsorted(key[best] // wide, np.arange(len(texts) + 1)).tolist()
+    return [words[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+
+def _pairs_of_each(size: int, names, no, row) -> list[list[tuple[str, int]]]:
+    """Pairs of adjacent tokens that a text has more than once."""
+    wide = len(names)
+    same = np.flatnonzero(row[1:] == row[:-1])
+    out: list[list[tuple[str, int]]] = [[] for _ in range(size)]
+    if not len(same):
+        return out
+    two = np.sort(no[same] * wide + no[same + 1]) if size == 1 else np.sort((row[same] * wide + no[same]) * wide + no[same + 1])
+    first = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
+    n = np.diff(np.append(first, len(two)))
+    two, n = two[first[n > 1]], n[n > 1]
+    a, b = (names.take(pa.array(x)).to_pylist() for x in (two // wide % wide, two % wide))
+    for i, x, y, c in zip((two // wide // wide).tolist(), a, b, n.tolist(), strict=True):
+        out[i].append((f"{x} {y}", c))
+    return out
+
+
+def _near_all(tokens: set[str], table: dict[str, tuple[str, ...]]) -> Callable[[str], bool]:
+    """``near_taxonomy`` of these tokens."""
+    words = [w for ws in table.values() for w in ws]
+    text, flat = "\n".join(words), pa.array(sorted(tokens), pa.string())
+    holds = pc.match_substring_regex(flat, "|".join(map(re.escape, words))).to_pylist() if words else [False] * len(flat)
+    return {t for t, some in zip(flat.to_pylist(), holds, strict=True) if some or t in text}.__contains__
+
+
 def description(title: Column, text: Column, taxonomy=None, summaries: bool = True, stop=STOP_WORDS, common=COMMON_WORDS) -> Column:
     """fingerprint, categories found, concepts and summary of each text, whose
     tokens are taken once; three concepts at least, if there are keywords to make
     them up."""
     stop, common, table = frozenset(stop), frozenset(common), dict(taxonomy or TAXONOMY)
 
-    def one(a: str, b: str, near: Callable[[str], bool]) -> tuple:
-        tokens = tokens_of(b, stop)
-        fingerprint = [w for w, _ in best_tokens(a, b, 10, stop, common, Counter(tokens))]
-        own = [c for c, _ in best_concepts(a, b, 10, stop, tokens)]
-        lower = {c.lower() for c in own}
-        padded = (own + [w for w in fingerprint if w not in lower])[: max(len(own), 3)]
-        return fingerprint, [c for c, _ in best_categories(fingerprint, table, near, 5)], padded, best_sentence(a, b, 200, stop) if summaries else None
-
     @F.arrow_udf(DESCRIPTION)
     def of(titles: pa.Array, texts: pa.Array) -> pa.Array:
-        near, parts = near_taxonomy(table), []
+        parts = []
         for lo in range(0, max(1, len(texts)), 512):  # few texts at a time are Python's own
-            some = zip(*(x.slice(lo, 512).to_pylist() for x in (titles, texts)), strict=True)
-            rows = [dict(zip(DESCRIPTION.names, one(a or "", b or "", near), strict=True)) for a, b in some]
-            parts.append(pa.array(rows, to_arrow_type(DESCRIPTION)))
+            a, b = ([t or "" for t in x.slice(lo, 512).to_pylist()] for x in (titles, texts))
+            columns = describe(a, b, Units(b) if b else None, table, summaries, stop, common)
+            parts.append(pa.StructArray.from_arrays([pa.array(x, to_arrow_type(f.dataType)) for x, f in zip(columns, DESCRIPTION, strict=True)], DESCRIPTION.names))
         return pa.concat_arrays(parts)
 
     return of(F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..operators import index
 
-BUCKETS = 16
+#: Of postings, and of blocks of keyword weights.
+BUCKETS, WEIGHT_BUCKETS = 16, 4
 FIELDS = ("title", "summary", "body")
 LISTS = ("categories", "concepts", "fingerprint")
 
@@ -86,6 +87,24 @@ def build_one(name: str, tables: dict[str, DataFrame], folder: str) -> DataFrame
     return tables[name].sparkSession.read.parquet(path)
 
 
+def write_blocks(documents: DataFrame, folder: str) -> None:
+    """Documents that stay as they are (slug, doc_id, title, text), described, and
+    their postings and keyword weights in blocks, in one pass."""
+    rows = index.described_blocks(documents, BUCKETS, WEIGHT_BUCKETS)
+    rows.sortWithinPartitions("kind", "bucket").write.partitionBy("kind", "bucket").parquet(folder, compression="zstd")
+
+
+def read_blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, postings and weights of ``write_blocks``."""
+    block = ("block", "slugs", "terms", "ends", "counts", "at")
+    columns = {
+        index.DOCUMENT: ("slug", "doc_id", "title", "body", "summary", "categories", "concepts", "fingerprint", "is_long"),
+        index.POSTINGS: ("bucket", *block, "dls", "tf"),
+        index.WEIGHTS: ("bucket", *block, "weight"),
+    }
+    return tuple(spark.read.parquet(f"{folder}/kind={kind}").select(*names) for kind, names in columns.items())
+
+
 def build(documents: DataFrame, folder: str, entries: DataFrame | None = None, stemmed: bool = True) -> Index:
     write(tables_of(documents, entries, stemmed), folder)
     return read(documents.sparkSession, folder)

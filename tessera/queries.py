@@ -49,52 +49,37 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as engine documents; every document with over 300 words lists
-    the next one as its section."""
-    docs = ingest.describe(corpus(spark, sf_dir))
-    nxt = F.concat(F.lit("doc-"), F.col("doc_id") + 1)
-    maps = F.when(
-        T.word_count(F.col("text")) > 300,
-        F.array(F.struct(nxt.alias("slug"), F.col("title").alias("title"), F.col("summary").alias("synopsis"))),
-    )
-    maps = F.coalesce(maps, F.array().cast("array<struct<slug:string,title:string,synopsis:string>>"))
-    return docs.select(
-        "slug",
-        "doc_id",
-        "title",
-        F.col("text").alias("body"),
-        "summary",
-        "categories",
-        "concepts",
-        "fingerprint",
-        maps.alias("section_map"),
-    )
-
-
 class Store:
     """What an engine keeps: documents, their index, and a plain full-text index
     of titles and texts.  Each table is made when it is first asked for, so that a
-    query that reads one of them doesn't wait for the others."""
+    query that reads only the plain one doesn't wait for the others."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     @cached_property
-    def documents(self) -> DataFrame:
-        return materialise(described(self.spark, self.sf_dir), "documents")
-
-    def _made(self, name: str, df: DataFrame) -> DataFrame:
-        return indexes.build_one(name, {name: df}, fresh_folder(self.spark, "index"))
+    def _tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Documents, postings and keyword weights, made in one pass over the texts."""
+        indexes.write_blocks(corpus(self.spark, self.sf_dir), folder := fresh_folder(self.spark, "index"))
+        return indexes.read_blocks(self.spark, folder)
 
     @cached_property
+    def documents(self) -> DataFrame:
+        """The corpus as engine documents; every document with over 300 words lists
+        the next one as its section."""
+        nxt = F.concat(F.lit("doc-"), F.col("doc_id") + 1)
+        section = F.array(F.struct(nxt.alias("slug"), F.col("title").alias("title"), F.col("summary").alias("synopsis")))
+        none = F.array().cast("array<struct<slug:string,title:string,synopsis:string>>")
+        return self._tables[0].withColumn("section_map", F.when(F.col("is_long"), section).otherwise(none)).drop("is_long")
+
+    @property
     def postings(self) -> DataFrame:
-        docs = self.documents
-        return self._made("postings", indexes.packed(docs, *indexes.pooled(docs), stemmed=True))
+        self.documents  # noqa: B018
+        return self._tables[1]
 
-    @cached_property
+    @property
     def weights(self) -> DataFrame:
-        return self._made("weights", indexes.tables_of(self.documents)["weights"])
+        return self._tables[2]
 
     @property
     def lengths(self) -> DataFrame:
@@ -109,7 +94,7 @@ class Store:
         """Postings and lengths of titles and texts, for which nothing else of a
         document is made."""
         docs = corpus(self.spark, self.sf_dir).select("slug", "title", "text")
-        postings = self._made("postings", indexes.packed(docs, F.col("title"), F.col("text")))
+        postings = indexes.build_one("postings", {"postings": indexes.packed(docs, F.col("title"), F.col("text"))}, fresh_folder(self.spark, "index"))
         return postings, index.block_lengths(postings, "slug")
 
 
@@ -133,7 +118,7 @@ def index_build(spark, sf_dir):
     _stores[key] = made = Store(spark, sf_dir)
     made.plain  # noqa: B018
     terms = index.unpacked(made.postings, "slug").groupBy("slug").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
-    weights = made.index.weights.groupBy("slug").agg(F.count(F.lit(1)).alias("n_keywords"), F.sum("weight").alias("weight"))
+    weights = index.unpacked_weights(made.weights, "slug").groupBy("slug").agg(F.count(F.lit(1)).alias("n_keywords"), F.sum("weight").alias("weight"))
     none = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind)).alias(c)
     return made.index.lengths.join(terms, "slug", "left").join(weights, "slug", "left").select(
         "slug",
