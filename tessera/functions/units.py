@@ -37,6 +37,11 @@ def words_in(unit: str, unknown: frozenset = frozenset()) -> list[str]:
     return "".join([c if _in_word(c) and c not in unknown else " " for c in unit]).split()
 
 
+def listed(a: pa.Array) -> list:
+    """Strings or bytes as a list, which ``to_pylist`` makes one scalar after another."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 def expand(first: np.ndarray, reps: np.ndarray) -> np.ndarray:
     """first, first + 1, ... of each, so many times."""
     return np.repeat(first - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
@@ -67,7 +72,7 @@ class Units:
     def odd(self) -> list[tuple[int, str]]:
         """Number and name of units that aren't plain."""
         at = np.flatnonzero(~self.plain)
-        return [*zip(at.tolist(), self.names.take(pa.array(at)).to_pylist(), strict=True)]
+        return [*zip(at.tolist(), listed(self.names.take(pa.array(at))), strict=True)]
 
     def tokens(self, split: Callable[[str], list[str]], kept: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """Names of tokens; number of the name, row and place of each token, in

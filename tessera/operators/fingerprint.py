@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 from ..functions import text as T
 from ..functions.lexicon import COMMON_WORDS, STOP_WORDS, TAXONOMY
 from ..functions.text import let
-from ..functions.units import Units
+from ..functions.units import Units, listed
 
 # Patterns and weights of the kinds of evidence for a concept.
 CAPITALISED = r"\b([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){0,2})\b"
@@ -451,7 +451,7 @@ def _best_of_each(texts, own, units, names, no, row, at, stop, common, k: int =
     order = np.lexsort((place, -score, r)) if len(texts).bit_length() + 26 + bits > 62 else np.argsort((r << (26 + bits)) | (((1 << 26) - 1 - score) << bits) | place)
     r = r[order]
     best = order[np.arange(len(r)) - np.searchsorted(r, r) < k]
-    words = names.take(pa.array(of[best])).to_pylist()
+    words = listed(names.take(pa.array(of[best])))
     ends = np.searchsorted(key[best] // wide, np.arange(len(texts) + 1)).tolist()
     return [words[a:z] for a, z in zip(ends, ends[1:], strict=False)]
 
@@ -467,7 +467,7 @@ def _pairs_of_each(size: int, names, no, row) -> list[list[tuple[str, int]]]:
     first = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
     n = np.diff(np.append(first, len(two)))
     two, n = two[first[n > 1]], n[n > 1]
-    a, b = (names.take(pa.array(x)).to_pylist() for x in (two // wide % wide, two % wide))
+    a, b = (listed(names.take(pa.array(x))) for x in (two // wide % wide, two % wide))
     for i, x, y, c in zip((two // wide // wide).tolist(), a, b, n.tolist(), strict=True):
         out[i].append((f"{x} {y}", c))
     return out
